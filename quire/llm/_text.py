@@ -12,7 +12,7 @@ U = np.uint64
 #: Odd base of the polynomial hash modulo 2**64, and its inverse.
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
-PIECE = 1 << 20
+PIECE = 1 << 18
 
 _made: dict[str, np.ndarray] = {}
 

@@ -30,7 +30,6 @@ from quire.llm._frames import col, fresh, row_key
 from quire.llm._scratch import Scratch, shuffle_parts, small_join
 from quire.llm._text import (
     BLOBS,
-    PIECE,
     U,
     _powers,
     blobs,
@@ -47,7 +46,9 @@ LENGTH, GRAM = 200, 64
 #: Contexts of one gram within a task from which its anchors go to the last digit at once.
 CROWD = 16
 #: Anchors that a task holds before it resolves and sends them.
-HELD = 2_000_000
+HELD = 500_000
+#: Bytes of text that are hashed together; a power of two.
+PIECE = 1 << 18
 
 ANCHOR = np.dtype([("h", "<u8"), ("c", "<u8"), ("k", "<i8"), ("s", "<i4"), ("e", "<i4"), ("f", "u1")])
 WINDOW = np.dtype([("h", "<u8"), ("k", "<i8"), ("s", "<i4"), ("f", "u1")])
@@ -78,7 +79,7 @@ def merged(x: np.ndarray) -> np.ndarray:
 
 def _pieces(at: np.ndarray, length: int):
     """(first byte, last byte, first row, last row) of pieces of at most PIECE bytes; every window lies in one."""
-    for lo, hi in runs_of_rows(at):
+    for lo, hi in runs_of_rows(at, PIECE):
         if at[hi] - at[lo] <= PIECE:
             yield int(at[lo]), int(at[hi]), lo, hi
         else:
@@ -225,7 +226,7 @@ def _window_task(parts: int, length: int):
                 i = 0
                 while i < len(edges):
                     b = int(edges["s"][i])
-                    j = max(i + 1, int(np.searchsorted(edges["e"], b + PIECE // 4, "right")))
+                    j = max(i + 1, int(np.searchsorted(edges["e"], b + PIECE, "right")))
                     part = edges[i:j]
                     # a range repeats here if it was the first of its kind in two tasks
                     sizes = part["e"] - part["s"] + 1
