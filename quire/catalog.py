@@ -1,11 +1,625 @@
-"""All queries of the engine's own operators, with their SQL."""
+"""All queries of the engine's own operators, each beside its DuckDB SQL."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries():
-    return {}
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
+from quire.functions import text as X
+from quire.model import T
+from quire.operators import joins as J
+from quire.operators import language as L
+from quire.operators import sequence as S
 
-def oracle_sql():
-    return {}
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register a query under its function's name, with its SQL if there is one."""
+
+    def add(f):
+        _QUERIES[f.__name__] = f
+        if sql is not None:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from quire import islands_catalog  # noqa: F401  registers the Python operators
+
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
+
+
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def docs(spark, d):
+    return table(spark, d, "documents").select("source", "doc_id", "lang", "text")
+
+
+def pairs(spark, d) -> DataFrame:
+    """Source and translation: each user turn with the assistant turn right after it."""
+    c = table(spark, d, "conversations")
+    a = c.filter("role = 'user'").select("conv_id", F.col("turn"), F.col("text").alias("src"))
+    b = c.filter("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("tr"))
+    return a.join(b, ["conv_id", "turn"])
+
+
+LINES = "l AS (SELECT source, doc_id, unnest(range(len(string_split(text, chr(10))))) AS line, unnest(string_split(text, chr(10))) AS text FROM documents WHERE text IS NOT NULL)"
+PAIRS = """pairs AS (SELECT a.conv_id, a.turn, a.text AS src, b.text AS tr FROM conversations a JOIN conversations b
+  ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 WHERE a.role = 'user' AND b.role = 'assistant')"""
+TAGS = "'</?[a-zA-Z][^>]*>'"
+
+
+def _words(x: str) -> str:
+    return f"CAST(len(list_filter(regexp_split_to_array(regexp_replace({x}, {TAGS}, ' ', 'g'), '[ \\t\\n\\x0B\\f\\r]+'), lambda w: w <> '')) AS BIGINT)"
+
+
+def _fp(x: str) -> str:
+    return f"substr(sha1(trim(regexp_replace(regexp_replace({x}, {TAGS}, '', 'g'), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'))), 1, 12)"
+
+
+EDGE = f"""WITH {LINES}, f AS (SELECT *, row_number() OVER (PARTITION BY source, doc_id ORDER BY line) AS a, row_number() OVER (PARTITION BY source, doc_id ORDER BY line DESC) AS b
+  FROM l WHERE trim(text) <> ''),
+e AS (SELECT source, doc_id, lower(regexp_replace(text, '[^\\pL]', '', 'g')) AS key, length(regexp_replace(text, '[^\\pL\\pN]', '', 'g')) AS body FROM f WHERE (a <= 2 OR b <= 2) AND length(trim(text)) <= 120),
+k AS (SELECT key, count(DISTINCT doc_id) AS n_docs, count(*) AS n_lines FROM e WHERE key <> '' AND length(key) >= 0.5 * body GROUP BY key HAVING count(DISTINCT doc_id) >= 4)"""
+
+
+@query(EDGE + " SELECT * FROM k")
+def entry_running_heads(spark, d):
+    """Lines that stand at the edge of four documents or more."""
+    return S.running_heads(docs(spark, d))
+
+
+@query(
+    f"""{EDGE.replace('k AS (', 'k0 AS (').replace('GROUP BY key HAVING', 'GROUP BY key HAVING')}, rest AS (SELECT source, doc_id, text FROM f
+  WHERE NOT ((a <= 2 OR b <= 2) AND length(trim(text)) <= 120 AND lower(regexp_replace(text, '[^\\pL]', '', 'g')) IN (SELECT key FROM k0)))
+SELECT source, count(*) AS lines_left, count(DISTINCT doc_id) AS docs_left FROM rest GROUP BY source"""
+)
+def heads_removed(spark, d):
+    """What stays of each source once its running heads are gone."""
+    full = S.lines(docs(spark, d)).filter(F.trim("text") != "")
+    heads = S.running_heads(docs(spark, d)).select("key")
+    gone = S.edge_lines(S.lines(docs(spark, d)), ["source", "doc_id"]).join(heads, "key").select("doc_id", "line")
+    return full.join(gone, ["doc_id", "line"], "left_anti").groupBy("source").agg(F.count("*").alias("lines_left"), F.countDistinct("doc_id").alias("docs_left"))
+
+
+@query(
+    f"""SELECT source, count(*) AS n_docs, CAST(sum(len(string_split(text, chr(10)))) AS BIGINT) AS n_lines, CAST(sum({_words('text')}) AS BIGINT) AS n_words,
+  CAST(sum(length(text)) AS BIGINT) AS n_chars, CAST(count(*) FILTER (regexp_matches(text, '[0-9]')) AS BIGINT) AS with_digit FROM documents GROUP BY source"""
+)
+def doc_census(spark, d):
+    """Counts by book."""
+    n = X.words(F.col("text"))
+    return docs(spark, d).groupBy("source").agg(
+        F.count("*").alias("n_docs"),
+        F.sum(F.size(F.split("text", "\n"))).cast("long").alias("n_lines"),
+        F.sum(n).alias("n_words"),
+        F.sum(F.length("text")).cast("long").alias("n_chars"),
+        F.count_if(F.col("text").rlike("[0-9]")).alias("with_digit"),
+    )
+
+
+@query(
+    f"""WITH {LINES}, b AS (SELECT *, dense_rank() OVER (PARTITION BY source ORDER BY doc_id) AS s, row_number() OVER (PARTITION BY source, doc_id ORDER BY line) AS b FROM l WHERE trim(text) <> '')
+SELECT doc_id, line, printf('s%02d.b%04d', s, b) AS id FROM b"""
+)
+def block_ids(spark, d):
+    """Positional ids."""
+    return S.block_ids(docs(spark, d))
+
+
+@query(f"SELECT page_id, {_words('html')} AS n_words, CAST(length(regexp_replace(html, {TAGS}, '', 'g')) AS BIGINT) AS n_chars FROM pages")
+def tag_strip_words(spark, d):
+    """words and characters of pages without their tags."""
+    p = table(spark, d, "pages")
+    return p.select("page_id", X.words(F.col("html")).alias("n_words"), F.length(X.strip_tags(F.col("html"))).cast("long").alias("n_chars"))
+
+
+@query(f"SELECT fp, min(doc_id) AS doc_id, count(*) AS copies FROM (SELECT doc_id, {_fp('text')} AS fp FROM documents) GROUP BY fp")
+def fingerprint_dedup(spark, d):
+    """The first document of each fingerprint."""
+    return docs(spark, d).groupBy(X.fingerprint(F.col("text")).alias("fp")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
+
+
+#: Lines that sites and licences leave in texts.
+WATERMARKS = ("licensed under", "all rights reserved", "copyright", "downloaded from", "scanned by", "cookie", "subscribe")
+
+
+@query(f"WITH {LINES} SELECT source, CAST(count(*) FILTER (hit) AS BIGINT) AS dropped, CAST(count(*) FILTER (NOT hit) AS BIGINT) AS kept FROM (SELECT source, regexp_matches(text, '(?i){'|'.join(WATERMARKS)}') AS hit FROM l) GROUP BY source")
+def watermark_filter(spark, d):
+    """Watermark lines, dropped and counted."""
+    hit = F.col("text").rlike("(?i)" + "|".join(WATERMARKS))
+    return S.lines(docs(spark, d)).groupBy("source").agg(F.count_if(hit).alias("dropped"), F.count_if(~hit).alias("kept"))
+
+
+@query(f"SELECT doc_id, {_words('text')} AS n_words FROM documents WHERE regexp_matches(text, '(?i)licensed under|subscribe|newsletter|table of contents') AND {_words('text')} < 120")
+def junk_pages(spark, d):
+    """Pages of a publisher's matter under 120 words."""
+    n = X.words(F.col("text"))
+    return docs(spark, d).filter(F.col("text").rlike("(?i)licensed under|subscribe|newsletter|table of contents")).select("doc_id", n.alias("n_words")).filter("n_words < 120")
+
+
+_LANG = (
+    "w AS (SELECT doc_id, source, lang, text, list_filter(regexp_split_to_array(lower(substr(text, 1, 200000)), '[^\\pL]+'), lambda w: w <> '') AS ws FROM documents),"
+    "c AS (SELECT *, "
+    + ", ".join(f"len(list_filter(ws, lambda w: w IN ({', '.join(repr(m) for m in ms)}))) AS c_{code}" for code, ms in sorted(L.MARKERS.items()))
+    + " FROM w), m AS (SELECT *, greatest(c_de, c_en, c_es, c_fr) AS c, greatest(len(ws), 1) AS n FROM c),"
+    "g AS (SELECT doc_id, source, lang, text, c / CAST(n AS DOUBLE) AS share, CASE WHEN c / CAST(n AS DOUBLE) >= 0.025 THEN CASE c WHEN c_de THEN 'de' WHEN c_en THEN 'en' WHEN c_es THEN 'es' ELSE 'fr' END END AS lang_found FROM m)"
+)
+
+
+@query(f"WITH {_LANG} SELECT doc_id, lang_found, round(share, 6) AS share FROM g")
+def lang_detect(spark, d):
+    """The language of each document by its function words."""
+    return L.detect(docs(spark, d)).select("doc_id", "lang_found", F.round("share", 6).alias("share"))
+
+
+@query(f"WITH {_LANG} SELECT lang, lang_found, count(*) AS n_docs FROM g GROUP BY lang, lang_found")
+def lang_confusion(spark, d):
+    """Declared against found languages."""
+    return L.detect(docs(spark, d)).groupBy("lang", "lang_found").agg(F.count("*").alias("n_docs"))
+
+
+@query(
+    f"""WITH {_LANG}, s AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS r, count(*) OVER (PARTITION BY source) AS n FROM g WHERE length(text) > 60)
+SELECT source, count(*) AS sampled, round(avg(CASE WHEN lang_found = 'en' THEN 1.0e0 ELSE 0.0e0 END), 6) AS share_en FROM s WHERE r % greatest(1, n // 400) = 0 GROUP BY source"""
+)
+def target_share(spark, d):
+    """The share of an even sample that is in the target language already."""
+    w = Window.partitionBy("source")
+    s = L.detect(docs(spark, d)).filter(F.length("text") > 60).withColumn("r", F.row_number().over(w.orderBy("doc_id")) - 1).withColumn("n", F.count("*").over(w))
+    s = s.filter(F.expr("r % greatest(1, n div 400) = 0"))
+    return s.groupBy("source").agg(F.count("*").alias("sampled"), F.round(F.avg(F.when(F.col("lang_found") == "en", 1.0).otherwise(0.0)), 6).alias("share_en"))
+
+
+@query(
+    "SELECT source, " + ", ".join(f"CAST(sum(len(regexp_extract_all(text, '[{r}]'))) AS BIGINT) AS {n}" for n, r in (("cyrillic", "Ѐ-ӿ"), ("greek", "Ͱ-Ͽ"), ("han", "一-鿿"), ("kana", "぀-ヿ"), ("latin", "A-Za-zÀ-ɏ"))) + ", 'latin' AS dominant FROM documents GROUP BY source"
+)
+def dominant_script(spark, d):
+    """Letters by script, and the script that most letters have."""
+    one = docs(spark, d).select("source", F.explode(L.script_counts(F.col("text"))).alias("s")).select("source", "s.*")
+    wide = one.groupBy("source").pivot("script", sorted(L.SCRIPTS)).agg(F.sum("c").cast("long"))
+    top = one.groupBy("source", "script").agg(F.sum("c").alias("c")).groupBy("source").agg(F.max_by("script", "c").alias("dominant"))
+    return wide.join(top, "source")
+
+
+@query(
+    f"""WITH {LINES}, m AS (SELECT source, avg(CASE WHEN regexp_matches(text, '^[ \\t][ \\t]+[^ \\t]') THEN 1.0e0 ELSE 0 END) AS indent, avg(CASE WHEN trim(text) = '' THEN 1.0e0 ELSE 0 END) AS blank FROM l GROUP BY source)
+SELECT source, CASE WHEN indent > 0.3 THEN 'indent' WHEN blank > 0.15 THEN 'blank' ELSE 'line' END AS mode FROM m"""
+)
+def split_mode(spark, d):
+    """How paragraphs are told apart."""
+    share = lambda c: F.avg(F.when(c, 1.0).otherwise(0.0))
+    m = S.lines(docs(spark, d)).groupBy("source").agg(share(F.col("text").rlike(r"^[ \t][ \t]+[^ \t]")).alias("indent"), share(F.trim("text") == "").alias("blank"))
+    return m.select("source", F.when(F.col("indent") > 0.3, "indent").when(F.col("blank") > 0.15, "blank").otherwise("line").alias("mode"))
+
+
+@query(
+    f"""WITH {LINES}, f AS (SELECT *, lag(text) OVER (PARTITION BY source, doc_id ORDER BY line) AS p FROM l),
+t AS (SELECT *, CASE WHEN p IS NOT NULL AND regexp_matches(text, '^\\p{{Ll}}') AND regexp_matches(p, '\\pL[-,;]?$') THEN 0 ELSE 1 END AS b FROM f),
+i AS (SELECT *, sum(b) OVER (PARTITION BY source, doc_id ORDER BY line) AS para FROM t),
+j AS (SELECT *, lead(b) OVER (PARTITION BY source, doc_id ORDER BY line) = 0 AS more FROM i),
+k AS (SELECT *, CASE WHEN more AND regexp_matches(text, '\\pL-$') THEN regexp_replace(text, '-+$', '') WHEN more THEN text || ' ' ELSE text END AS piece FROM j)
+SELECT source, doc_id, CAST(para AS BIGINT) AS para, count(*) AS n_blocks, string_agg(piece, '' ORDER BY line) AS text FROM k GROUP BY source, doc_id, para"""
+)
+def glue_paragraphs(spark, d):
+    """Torn paragraphs, joined."""
+    return S.glue(S.lines(docs(spark, d)), ["source", "doc_id"])
+
+
+_BAG = "string_split(trim(regexp_replace(regexp_replace(%s, '</?[a-zA-Z][^>]*>', ' ', 'g'), '[^0-9]+', ' ', 'g')), ' ')"
+
+
+@query(f"SELECT doc_id, n, count(*) AS times FROM (SELECT doc_id, unnest({_BAG % 'text'}) AS n FROM documents) WHERE n <> '' GROUP BY doc_id, n")
+def number_bag(spark, d):
+    """The multiset of numbers of each document."""
+    return docs(spark, d).select("doc_id", F.explode(X.numbers(F.col("text"), grouped=False)).alias("n")).groupBy("doc_id", "n").agg(F.count("*").alias("times"))
+
+
+def neighbours(spark, d) -> DataFrame:
+    """Pairs for number checks: each document and the next one."""
+    a = docs(spark, d).select(F.col("doc_id").alias("conv_id"), F.lit(0).alias("turn"), F.col("text").alias("src"))
+    return a.join(docs(spark, d).select((F.col("doc_id") - 1).alias("conv_id"), F.col("text").alias("tr")), "conv_id")
+
+
+NEXT = "pairs AS (SELECT a.doc_id AS conv_id, 0 AS turn, a.text AS src, b.text AS tr FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1)"
+
+
+def _bag_diff(one: str, other: str) -> str:
+    side = lambda c: f"SELECT conv_id, turn, n, count(*) AS c FROM (SELECT conv_id, turn, unnest({_BAG % c}) AS n FROM pairs) WHERE n <> '' GROUP BY conv_id, turn, n"
+    return f"WITH {NEXT}, a AS ({side(one)}), b AS ({side(other)}) SELECT a.conv_id, a.turn, a.n, a.c - coalesce(b.c, 0) AS times FROM a LEFT JOIN b ON a.conv_id = b.conv_id AND a.turn = b.turn AND a.n = b.n WHERE a.c > coalesce(b.c, 0)"
+
+
+def _difference(spark, d, one, other):
+    bag = lambda c: neighbours(spark, d).select("conv_id", "turn", F.explode(X.numbers(F.col(c), grouped=False)).alias("n")).groupBy("conv_id", "turn", "n").agg(F.count("*").alias(c))
+    left = bag(one).join(bag(other), ["conv_id", "turn", "n"], "left")
+    return left.withColumn("times", F.col(one) - F.coalesce(other, F.lit(0))).filter("times > 0").select("conv_id", "turn", "n", "times")
+
+
+@query(_bag_diff("src", "tr"))
+def number_loss(spark, d):
+    """Numbers of the source that its translation lacks."""
+    return _difference(spark, d, "src", "tr")
+
+
+@query(_bag_diff("tr", "src"))
+def number_gain(spark, d):
+    """Numbers that only the translation has."""
+    return _difference(spark, d, "tr", "src")
+
+
+@query(
+    f"""WITH {NEXT}, a AS (SELECT conv_id, turn, unnest({_BAG % 'src'}) AS n FROM pairs), b AS (SELECT conv_id, turn, unnest({_BAG % 'tr'}) AS n FROM pairs),
+x AS (SELECT conv_id, turn, n, count(*) AS c FROM a WHERE n <> '' GROUP BY ALL), y AS (SELECT conv_id, turn, n, count(*) AS c FROM b WHERE n <> '' GROUP BY ALL)
+SELECT coalesce(x.conv_id, y.conv_id) AS conv_id, coalesce(x.turn, y.turn) AS turn, coalesce(x.n, y.n) AS n, greatest(coalesce(x.c, 0), coalesce(y.c, 0)) AS times FROM x FULL JOIN y ON x.conv_id = y.conv_id AND x.turn = y.turn AND x.n = y.n"""
+)
+def number_union(spark, d):
+    """The larger count of each number."""
+    bag = lambda c: neighbours(spark, d).select("conv_id", "turn", F.explode(X.numbers(F.col(c), grouped=False)).alias("n")).groupBy("conv_id", "turn", "n").agg(F.count("*").alias(c))
+    return bag("src").join(bag("tr"), ["conv_id", "turn", "n"], "full").select("conv_id", "turn", "n", F.greatest(F.coalesce("src", F.lit(0)), F.coalesce("tr", F.lit(0))).alias("times"))
+
+
+_RATIO = f"""WITH {PAIRS}, r AS (SELECT *, length(trim(regexp_replace(tr, {TAGS}, '', 'g'))) / CAST(length(trim(regexp_replace(src, {TAGS}, '', 'g'))) AS DOUBLE) AS r, length(trim(regexp_replace(src, {TAGS}, '', 'g'))) AS n FROM pairs)"""
+
+
+def _ratios(spark, d):
+    plain = lambda c: F.length(F.trim(X.strip_tags(F.col(c))))
+    return pairs(spark, d).withColumn("n", plain("src")).filter("n > 0").withColumn("r", plain("tr") / F.col("n"))
+
+
+@query(
+    _RATIO
+    + """, m AS (SELECT CASE WHEN count(*) = 0 THEN 1.0e0 ELSE list(r ORDER BY r)[count(*) // 2 + 1] END AS mid FROM r WHERE n >= 40)
+SELECT conv_id, turn, round(r, 6) AS ratio FROM r, m WHERE n >= 40 AND (r / mid < 0.55 OR r / mid > 2.2)"""
+)
+def length_ratio_outliers(spark, d):
+    """A10, Q03: pairs far from the upper median of length ratios.
+
+    The upper median is the row of rank n div 2 + 1 of a distributed sort, not a collected list."""
+    r = _ratios(spark, d).filter("n >= 40")
+    n = r.count()
+    if not n:
+        return r.select("conv_id", "turn", F.col("r").alias("ratio"))
+    mid = r.agg(F.expr(f"percentile_disc({(n // 2 + 1) / n!r}) WITHIN GROUP (ORDER BY r)")).first()[0] or 1.0
+    return r.filter((F.col("r") / mid < 0.55) | (F.col("r") / mid > 2.2)).select("conv_id", "turn", F.round("r", 6).alias("ratio"))
+
+
+@query(_RATIO + " SELECT conv_id, turn, round(r, 6) AS ratio FROM r WHERE n >= 60 AND NOT (r BETWEEN 0.5 AND 2.5)")
+def loss_detector(spark, d):
+    """Translations so short or long that they are asked for again."""
+    r = _ratios(spark, d).filter(F.col("n") >= T.loss_min)
+    return r.filter(~F.col("r").between(T.loss_low, T.loss_high)).select("conv_id", "turn", F.round("r", 6).alias("ratio"))
+
+
+@query(f"WITH {PAIRS} SELECT conv_id, turn, CAST(len(regexp_extract_all(tr, '[A-Za-zÀ-ɏ][A-Za-zÀ-ɏ][A-Za-zÀ-ɏ][A-Za-zÀ-ɏ]+')) AS BIGINT) AS runs FROM pairs WHERE len(regexp_extract_all(tr, '[A-Za-zÀ-ɏ][A-Za-zÀ-ɏ][A-Za-zÀ-ɏ][A-Za-zÀ-ɏ]+')) >= 3")
+def untranslated_fragments(spark, d):
+    """Q04: at least three runs of four letters of the source's script."""
+    return pairs(spark, d).select("conv_id", "turn", F.regexp_count("tr", F.lit(r"[A-Za-zÀ-ɏ]{4,}")).cast("long").alias("runs")).filter("runs >= 3")
+
+
+@query("SELECT conv_id, turn FROM conversations a WHERE role = 'user' AND NOT EXISTS (SELECT 1 FROM conversations b WHERE b.conv_id = a.conv_id AND b.turn = a.turn + 1 AND b.role = 'assistant')")
+def completeness(spark, d):
+    """Turns without an answer."""
+    c = table(spark, d, "conversations")
+    b = c.filter("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"))
+    return c.filter("role = 'user'").select("conv_id", "turn").join(b, ["conv_id", "turn"], "left_anti")
+
+
+#: Terms and the patterns that their translations must have.
+TERMS = (("the", "und|der|die"), ("tion", "tion"), ("and", "and"))
+
+
+@query(
+    f"WITH {PAIRS} SELECT term, count(*) AS missed FROM ("
+    + " UNION ALL ".join(f"SELECT '{a}' AS term FROM pairs WHERE contains(lower(src), '{a}') AND NOT regexp_matches(tr, '(?i){p}')" for a, p in TERMS)
+    + ") GROUP BY term"
+)
+def terms_check(spark, d):
+    """Terms that translations miss."""
+    return J.term_check(pairs(spark, d), list(TERMS)).groupBy("term").agg(F.count("*").alias("missed"))
+
+
+#: Replacements, in order.
+SWEEPS = (("the ", "THE "), ("THE and", "the+and"), ("ing", "in'"))
+
+
+@query(
+    """WITH s AS (SELECT doc_id, text AS t0, replace(text, 'the ', 'THE ') AS t1 FROM documents), u AS (SELECT *, replace(t1, 'THE and', 'the+and') AS t2 FROM s), v AS (SELECT *, replace(t2, 'ing', 'in''') AS t3 FROM u)
+SELECT doc_id, CAST((length(t0) - length(replace(t0, 'the ', ''))) // 4 + (length(t1) - length(replace(t1, 'THE and', ''))) // 7 + (length(t2) - length(replace(t2, 'ing', ''))) // 3 AS BIGINT) AS n_replaced, md5(t3) AS digest FROM v"""
+)
+def sweep_fixups(spark, d):
+    """Ordered exact replacements and their counts."""
+    return J.sweep(docs(spark, d).select("doc_id", "text"), "text", list(SWEEPS)).select("doc_id", "n_replaced", F.md5("text").alias("digest"))
+
+
+@query(f"WITH {PAIRS} SELECT conv_id, turn, coalesce(CASE WHEN turn % 3 = 0 THEN tr || '!' END, tr) AS text, turn % 3 = 0 AS edited FROM pairs")
+def overlay_edits(spark, d):
+    """Edits over drafts."""
+    p = pairs(spark, d).select("conv_id", "turn", F.col("tr").alias("text"))
+    return J.overlay(p, p.filter("turn % 3 = 0").withColumn("text", F.concat("text", F.lit("!"))), ["conv_id", "turn"])
+
+
+@query("SELECT user_id, event_type, event_id, round(value, 6) AS value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1")
+def latest_wins(spark, d):
+    """The last record of each key."""
+    e = table(spark, d, "events").select("user_id", "event_type", "ts", "event_id", "value")
+    return S.latest(e, ["user_id", "event_type"], [F.col("ts"), F.col("event_id")]).select("user_id", "event_type", "event_id", F.round("value", 6).alias("value"))
+
+
+@query("SELECT event_type, user_id % 5 AS model, count(*) AS requests, round(sum(value), 4) AS cost FROM events GROUP BY GROUPING SETS ((event_type, user_id % 5), (event_type), ())")
+def usage_rollup(spark, d):
+    """Requests and cost by pass and model, with totals."""
+    e = table(spark, d, "events").select("event_type", (F.col("user_id") % 5).alias("model"), "value")
+    return e.rollup("event_type", "model").agg(F.count("*").alias("requests"), F.round(F.sum("value"), 4).alias("cost"))
+
+
+@query(
+    """WITH m AS (SELECT user_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1)
+SELECT event_type AS model, count(*) AS blocks, round(count(*) / CAST(sum(count(*)) OVER () AS DOUBLE), 6) AS share FROM m GROUP BY event_type"""
+)
+def pass_share(spark, d):
+    """Who wrote the last version of each block."""
+    e = table(spark, d, "events").select("user_id", "event_type", "ts", "event_id")
+    last = S.latest(e, ["user_id"], [F.col("ts"), F.col("event_id")])
+    n = last.groupBy(F.col("event_type").alias("model")).agg(F.count("*").alias("blocks"))
+    return n.crossJoin(F.broadcast(n.agg(F.sum("blocks").alias("all")))).select("model", "blocks", F.round(F.col("blocks") / F.col("all"), 6).alias("share"))
+
+
+@query(
+    """WITH c AS (SELECT event_type AS model, user_id % 12 AS chapter, count(*) AS n FROM events GROUP BY ALL), t AS (SELECT user_id % 12 AS chapter, count(*) AS total FROM events GROUP BY ALL)
+SELECT model, chapter, n, n = total AS whole FROM c JOIN t USING (chapter)"""
+)
+def model_coverage(spark, d):
+    """Which chapters a model did, whole or in part."""
+    e = table(spark, d, "events").select(F.col("event_type").alias("model"), (F.col("user_id") % 12).alias("chapter"))
+    n = e.groupBy("model", "chapter").agg(F.count("*").alias("n"))
+    return n.join(n.groupBy("chapter").agg(F.sum("n").alias("total")), "chapter").select("model", "chapter", "n", (F.col("n") == F.col("total")).alias("whole"))
+
+
+@query(
+    """WITH n AS (SELECT DISTINCT event_type, user_id FROM events), g AS (SELECT *, user_id - row_number() OVER (PARTITION BY event_type ORDER BY user_id) AS g FROM n),
+r AS (SELECT event_type, min(user_id) AS a, max(user_id) AS b FROM g GROUP BY event_type, g)
+SELECT event_type, string_agg(CASE WHEN a = b THEN CAST(a AS VARCHAR) ELSE a || '–' || b END, ', ' ORDER BY a) AS ranges FROM r GROUP BY event_type"""
+)
+def run_ranges(spark, d):
+    """Numbers as ranges."""
+    return S.ranges(table(spark, d, "events").select("event_type", "user_id"), ["event_type"], "user_id")
+
+
+@query(
+    f"""WITH {LINES}, h AS (SELECT l.doc_id, l.line, b.item_id, lower(regexp_extract(b.text, '^\\pL+', 0)) AS term FROM l JOIN benchmark b ON regexp_extract(l.text, '^\\pL+', 0) = regexp_extract(b.text, '^\\pL+', 0) WHERE regexp_matches(l.text, '^\\pL')),
+f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY term ORDER BY doc_id, line, item_id) AS r FROM h) WHERE r = 1)
+SELECT doc_id, count(*) AS notes, string_agg(term, ' ' ORDER BY line, term) AS text FROM f GROUP BY doc_id"""
+)
+def note_dedup_merge(spark, d):
+    """One note a term, merged by block."""
+    head = lambda df: df.withColumn("head", F.regexp_extract("text", r"^\p{L}+", 0)).filter("head <> ''").drop("text")
+    hits = head(S.lines(docs(spark, d))).join(head(table(spark, d, "benchmark")), "head").select("doc_id", "line", "item_id", F.lower("head").alias("term"))
+    first = J.first_wins(hits, ["term"], ["doc_id", "line", "item_id"])
+    return first.groupBy("doc_id").agg(F.count("*").alias("notes"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "term"))), lambda x: x["term"]), " ").alias("text"))
+
+
+@query(f"WITH {LINES} SELECT work, count(*) AS n, min(doc_id) AS first_doc FROM (SELECT doc_id, line, regexp_extract(text, '^(\\pL+ \\pL+)', 1) AS work FROM l) WHERE work <> '' GROUP BY work HAVING count(*) > 1")
+def citation_groups(spark, d):
+    """Lines by the work that they name, here their first two words."""
+    cited = S.lines(docs(spark, d)).select("doc_id", F.regexp_extract("text", r"^(\p{L}+ \p{L}+)", 1).alias("work")).filter("work <> ''")
+    return cited.groupBy("work").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc")).filter("n > 1")
+
+
+_H1 = "h AS (SELECT page_id, regexp_extract(html, '<h1[^>]*>([^<]*)</h1>', 1) AS text FROM pages)"
+
+
+@query(
+    f"""WITH {_H1}, e AS (SELECT text AS k, min(page_id) AS title FROM h WHERE page_id % 2 = 0 GROUP BY 1), z AS (SELECT regexp_replace(text, '\\s+', '', 'g') AS k, min(page_id) AS title FROM h WHERE page_id % 2 = 0 GROUP BY 1)
+SELECT h.page_id, coalesce(e.title, z.title) AS title FROM h LEFT JOIN e ON h.text = e.k LEFT JOIN z ON regexp_replace(h.text, '\\s+', '', 'g') = z.k"""
+)
+def heading_two_tier_join(spark, d):
+    """Headings by exact text, else loosely."""
+    h = table(spark, d, "pages").select("page_id", F.regexp_extract("html", "<h1[^>]*>([^<]*)</h1>", 1).alias("text"))
+    return J.two_tier(h, "text", h.filter("page_id % 2 = 0").select("text", F.col("page_id").alias("title"))).select("page_id", "title")
+
+
+_HREF = "SELECT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS href, unnest(range(len(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)))) AS n FROM pages"
+
+
+@query(f"WITH l AS ({_HREF}), a AS (SELECT url, min(page_id) AS target FROM pages GROUP BY url) SELECT l.page_id, l.n, CASE WHEN a.target <> l.page_id THEN a.target END AS target FROM l LEFT JOIN a ON l.href = a.url")
+def link_resolution(spark, d):
+    """Links to the page that they lead to, if it is another one of the table."""
+    p = table(spark, d, "pages")
+    links = p.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("n", "href"))
+    at = p.groupBy(F.col("url").alias("href")).agg(F.min("page_id").alias("target"))
+    return links.join(at, "href", "left").select("page_id", F.col("n").cast("long").alias("n"), F.when(F.col("target") != F.col("page_id"), F.col("target")).alias("target"))
+
+
+@query(f"WITH l AS ({_HREF}) SELECT page_id FROM pages WHERE url NOT IN (SELECT href FROM l)")
+def orphan_notes(spark, d):
+    """Pages that no link leads to."""
+    p = table(spark, d, "pages")
+    hrefs = p.select(F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("url")).distinct()
+    return p.select("page_id", "url").join(hrefs, "url", "left_anti").select("page_id")
+
+
+@query(
+    """WITH b AS (SELECT user_id, ts, min(event_id) AS target FROM events WHERE event_type = (SELECT min(event_type) FROM events) GROUP BY user_id, ts)
+SELECT e.event_id, b.target FROM events e ASOF LEFT JOIN b ON e.user_id = b.user_id AND e.ts <= b.ts"""
+)
+def asof_page_target(spark, d):
+    """The first target at or after each row."""
+    e = table(spark, d, "events").select("user_id", "ts", "event_id", "event_type")
+    kind = e.agg(F.min("event_type")).first()[0]
+    right = e.filter(F.col("event_type") == kind).select("user_id", "ts", F.col("event_id").alias("target"))
+    return J.next_at_or_after(e.select("user_id", "ts", "event_id"), right, "user_id", "ts", "target").select("event_id", "target")
+
+
+@query(
+    """WITH c AS (SELECT source, doc_id, sum(length(text)) OVER (PARTITION BY source ORDER BY doc_id) AS upto, sum(length(text)) OVER (PARTITION BY source) AS total FROM documents),
+s AS (SELECT source, k FROM (SELECT DISTINCT source FROM documents), (SELECT unnest([1, 2, 3]) AS k))
+SELECT s.source, s.k, min(c.doc_id) AS doc_id FROM s JOIN c ON s.source = c.source AND c.upto * 4 >= s.k * c.total GROUP BY s.source, s.k"""
+)
+def image_slots(spark, d):
+    """Images by their fraction of the text, here a quarter, a half and three quarters."""
+    w = Window.partitionBy("source")
+    c = docs(spark, d).withColumn("upto", F.sum(F.length("text")).over(w.orderBy("doc_id"))).withColumn("total", F.sum(F.length("text")).over(w))
+    return c.select("source", "doc_id", "upto", "total", F.explode(F.array(*[F.lit(k) for k in (1, 2, 3)])).alias("k")).filter("upto * 4 >= k * total").groupBy("source", "k").agg(F.min("doc_id").alias("doc_id"))
+
+
+_RUN = """, g AS (SELECT *, sum(b) OVER (PARTITION BY {by} ORDER BY pos) AS run FROM h), r AS (SELECT {by}, run, min(pos) AS a, max(pos) AS z, count(*) AS hits FROM g GROUP BY {by}, run HAVING count(*) >= {least}),
+x AS (SELECT *, CASE WHEN a - lag(z) OVER (PARTITION BY {by} ORDER BY a) <= {hole} THEN 0 ELSE 1 END AS nb FROM r), y AS (SELECT *, sum(nb) OVER (PARTITION BY {by} ORDER BY a) AS span FROM x)
+SELECT {by}, CAST(span AS BIGINT) AS span, min(a) AS first_pos, max(z) AS last_pos, CAST(sum(hits) AS BIGINT) AS hits FROM y GROUP BY {by}, span"""
+
+
+@query(
+    "WITH h0 AS (SELECT user_id % 7 AS book, event_id AS pos, event_id % 23 AS n FROM events WHERE event_id % 3 = 0), h AS (SELECT *, CASE WHEN pos - lag(pos) OVER w <= 40 AND n - lag(n) OVER w BETWEEN 1 AND 8 THEN 0 ELSE 1 END AS b FROM h0 WINDOW w AS (PARTITION BY book ORDER BY pos))"
+    + _RUN.format(by="book", least=2, hole=40)
+)
+def reference_spans(spark, d):
+    """Runs of rising entry numbers, merged over holes."""
+    h = table(spark, d, "events").filter("event_id % 3 = 0").select((F.col("user_id") % 7).alias("book"), F.col("event_id").alias("pos"), (F.col("event_id") % 23).alias("n"))
+    return S.number_runs(h, ["book"], 2, T.refs_step, T.refs_hole)
+
+
+@query(
+    "WITH h0 AS (SELECT user_id % 7 AS book, event_id AS pos FROM events WHERE event_type IN (SELECT max(event_type) FROM events)), h AS (SELECT *, CASE WHEN pos - lag(pos) OVER (PARTITION BY book ORDER BY pos) <= 40 THEN 0 ELSE 1 END AS b FROM h0)"
+    + _RUN.format(by="book", least=3, hole=40)
+)
+def citation_runs(spark, d):
+    """Runs of citations, merged over holes."""
+    e = table(spark, d, "events")
+    kind = e.agg(F.max("event_type")).first()[0]
+    h = e.filter(F.col("event_type") == kind).select((F.col("user_id") % 7).alias("book"), F.col("event_id").alias("pos"))
+    return S.number_runs(h, ["book"], 3, None, T.refs_hole)
+
+
+@query(
+    f"""WITH RECURSIVE s AS (SELECT source, doc_id, {_words('text')} AS words, len(string_split(text, chr(10))) AS n_p, CAST(len(list_filter(string_split(text, chr(10)), lambda x: length(x) < 400)) AS BIGINT) AS with_digit,
+  length(text) / CAST(len(string_split(text, chr(10))) AS DOUBLE) AS mean_len FROM documents),
+w AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r, sum(words) OVER (PARTITION BY source ORDER BY doc_id) - words AS before, sum(words) OVER (PARTITION BY source) AS total FROM s),
+f AS (SELECT *, before >= 0.6 * total AND n_p >= 5 AND with_digit >= 0.95 * n_p AND mean_len < 400 AS fit, doc_id % 2 = 0 AS named FROM w),
+b(source, r, doc_id, is_back) AS (SELECT source, r, doc_id, fit AND named FROM f WHERE r = 1 UNION ALL SELECT f.source, f.r, f.doc_id, f.fit AND (f.named OR b.is_back) FROM f JOIN b ON f.source = b.source AND f.r = b.r + 1)
+SELECT source, doc_id, is_back FROM b"""
+)
+def back_matter(spark, d):
+    """Back matter by place, look and name; here short lines stand for lines with a digit."""
+    rows = F.split("text", "\n")
+    s = docs(spark, d).select("source", "doc_id", X.words(F.col("text")).alias("words"), F.size(rows).alias("n_p"), F.size(F.filter(rows, lambda x: F.length(x) < 400)).alias("with_digit"), (F.length("text") / F.size(rows)).alias("mean_len"))
+    return S.back_matter(s, ["source"], "doc_id", F.col("doc_id") % 2 == 0).select("source", "doc_id", "is_back")
+
+
+@query(
+    """WITH h AS (SELECT user_id, event_id AS pos, CASE WHEN event_id - lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) <= 60 THEN 0 ELSE 1 END AS b FROM events), g AS (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY pos) AS run FROM h),
+r AS (SELECT user_id, run, min(pos) AS first_pos, max(pos) AS last_pos, count(*) AS n FROM g GROUP BY user_id, run)
+SELECT user_id, first_pos, last_pos, n FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, first_pos) AS k FROM r) WHERE k = 1"""
+)
+def toc_trim(spark, d):
+    """The longest run of marks."""
+    return S.longest_run(table(spark, d, "events").select("user_id", F.col("event_id").alias("pos")), ["user_id"], 60)
+
+
+@query(
+    """SELECT conv_id, turn, role, coalesce(lag(text, 1) OVER w, '') AS before1, coalesce(lag(text, 2) OVER w, '') AS before2,
+  coalesce(array_to_string(string_split(lead(text) OVER w, ' ')[1:20], ' '), '') AS ahead FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)"""
+)
+def context_window(spark, d):
+    """What a request carries from before and ahead."""
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    c = table(spark, d, "conversations")
+    back = lambda k: F.coalesce(F.lag("text", k).over(w), F.lit(""))
+    return c.select("conv_id", "turn", "role", back(1).alias("before1"), back(2).alias("before2"), F.coalesce(F.array_join(F.slice(F.split(F.lead("text").over(w), " "), 1, 20), " "), F.lit("")).alias("ahead"))
+
+
+@query(
+    f"""WITH s AS (SELECT doc_id, source, {_fp('text')} AS now, CASE WHEN doc_id % 7 = 0 THEN 'old' WHEN doc_id % 5 = 0 THEN NULL ELSE {_fp('text')} END AS was, doc_id % 11 <> 0 AS has FROM documents)
+SELECT source, count(*) AS blocks, CAST(sum(CASE WHEN has AND (was IS NULL OR was = now) THEN 0 ELSE 1 END) AS BIGINT) AS missing FROM s GROUP BY source HAVING sum(CASE WHEN has AND (was IS NULL OR was = now) THEN 0 ELSE 1 END) > 0"""
+)
+def resume_todo(spark, d):
+    """Chunks with a block that changed or was never done."""
+    b = docs(spark, d).select(F.col("doc_id").alias("id"), "source", X.fingerprint(F.col("text")).alias("now"))
+    done = b.filter("id % 11 <> 0").select("id", F.when(F.col("id") % 7 == 0, "old").when(F.col("id") % 5 == 0, F.lit(None)).otherwise(F.col("now")).alias("fp"))
+    return J.todo(b, done, ["source"], F.col("now"))
+
+
+@query("SELECT conv_id, n, top FROM (SELECT conv_id, count(*) AS n, max(turn) FILTER (role = 'assistant') AS top FROM conversations GROUP BY conv_id) WHERE n >= 4 AND top < 0.6 * n")
+def stopped_edits(spark, d):
+    """Passes whose last edit stands early."""
+    c = table(spark, d, "conversations").groupBy("conv_id").agg(F.count("*").alias("n"), F.max(F.when(F.col("role") == "assistant", F.col("turn"))).alias("top"))
+    return c.filter("n >= 4 and top < 0.6 * n")
+
+
+@query(
+    f"""WITH {LINES}, p AS (SELECT source, doc_id, count(*) FILTER (length(text) >= 40) AS long_lines, count(*) FILTER (length(text) >= 40 AND regexp_matches(text, '\\S \\| \\S')) AS gaps FROM l GROUP BY source, doc_id),
+c AS (SELECT *, long_lines >= 8 AND gaps >= 3 AND gaps >= 0.1 * long_lines AS columned FROM p)
+SELECT source, CAST(count(*) FILTER (columned) AS BIGINT) AS pages, count(*) FILTER (columned) >= 0.15 * count(*) AS multicolumn FROM c GROUP BY source"""
+)
+def multi_column(spark, d):
+    """Pages with column gaps (here a bar between words), and books that have many."""
+    p = S.lines(docs(spark, d)).groupBy("source", "doc_id").agg(F.count_if(F.length("text") >= 40).alias("long_lines"), F.count_if((F.length("text") >= 40) & F.col("text").rlike(r"\S \| \S")).alias("gaps"))
+    c = p.withColumn("columned", F.expr(f"long_lines >= 8 and gaps >= 3 and gaps >= {T.col_lines} * long_lines"))
+    return c.groupBy("source").agg(F.count_if("columned").alias("pages"), (F.count_if("columned") >= T.col_pages * F.count("*")).alias("multicolumn"))
+
+
+@query("WITH o AS (SELECT lang, doc_id, length(text) AS n, row_number() OVER (PARTITION BY lang ORDER BY length(text) DESC, doc_id) AS r, count(*) OVER (PARTITION BY lang) AS c FROM documents) SELECT lang, doc_id, n, CAST(r AS INTEGER) AS place, c - 8 AS more FROM o WHERE r <= 8")
+def top_offenders(spark, d):
+    """The first eight, and how many more there are."""
+    o = docs(spark, d).select("lang", "doc_id", F.length("text").cast("long").alias("n"))
+    top = o.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "doc_id"))).filter("place <= 8")
+    return top.join(o.groupBy("lang").agg((F.count("*") - 8).alias("more")), "lang")
+
+
+@query(f"SELECT doc_id, CASE WHEN length(text) <= 60 THEN text ELSE regexp_replace(substr(text, 1, 60), '\\s+\\S*\\z', '') || '…' END AS cut, CASE WHEN length(text) > 173 THEN substr(text, 1, 110) || '…' || right(text, 60) ELSE text END AS shown FROM documents")
+def cut_texts(spark, d):
+    """Texts cut at a word, and head and tail of long ones."""
+    return docs(spark, d).select("doc_id", X.cut(F.col("text"), 60).alias("cut"), X.show(F.col("text")).alias("shown"))
+
+
+@query("SELECT o_orderkey, l.n, l.last FROM orders JOIN (SELECT l_orderkey, count(*) AS n, max(l_shipdate) AS last FROM lineitem GROUP BY l_orderkey) l ON l_orderkey = o_orderkey WHERE l.n >= 5 ORDER BY l.n DESC, o_orderkey")
+def natural_order(spark, d):
+    """Rows in the order of two numbers."""
+    n = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n"), F.max("l_shipdate").alias("last")).filter("n >= 5")
+    return table(spark, d, "orders").join(n, F.col("l_orderkey") == F.col("o_orderkey")).select("o_orderkey", "n", "last").orderBy(F.desc("n"), "o_orderkey")
+
+
+@query("""SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, count(*) AS n FROM lineitem GROUP BY l_returnflag, l_linestatus""")
+def pricing_summary(spark, d):
+    """Relational extra: grouped sums."""
+    return table(spark, d, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.round(F.sum("l_quantity"), 2).alias("sum_qty"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"), F.count("*").alias("n"))
+
+
+@query("""SELECT n_name, c_mktsegment, count(*) AS orders, round(sum(o_totalprice), 2) AS total FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY CUBE (n_name, c_mktsegment)""")
+def order_cube(spark, d):
+    """Relational extra: joins under a cube."""
+    j = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(F.broadcast(table(spark, d, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
+    return j.cube("n_name", "c_mktsegment").agg(F.count("*").alias("orders"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+
+
+@query(
+    """SELECT conv_id, turn, CASE WHEN contains(text, '.') THEN split_part(text, '.', 1) ELSE text END AS summary FROM conversations WHERE role = 'assistant'"""
+)
+def meta_split(spark, d):
+    """The summary at the head of an answer, or all of it."""
+    c = table(spark, d, "conversations").filter("role = 'assistant'")
+    return c.select("conv_id", "turn", F.substring_index("text", ".", 1).alias("summary"))
+
+
+@query(
+    """WITH a AS (SELECT conv_id, string_agg('[[[P ' || turn || ']]] ' || replace(text, chr(10), ' '), chr(10) ORDER BY turn) AS out FROM conversations GROUP BY conv_id),
+p AS (SELECT conv_id, unnest(string_split(out, '[[[P ')) AS part FROM a)
+SELECT conv_id, CAST(split_part(part, ']]] ', 1) AS BIGINT) AS turn, trim(regexp_replace(substr(part, strpos(part, ']]] ') + 4), '\\n$', '')) AS text FROM p WHERE part <> ''"""
+)
+def answer_parse(spark, d):
+    """An answer in marked blocks, written and parsed again."""
+    from quire.plans import answers
+
+    c = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.replace("text", F.lit("\n"), F.lit(" ")).alias("text")))).alias("b"))
+    out = c.select("conv_id", F.array_join(F.transform("b", lambda x: F.concat(F.lit("[[[P "), x["turn"].cast("string"), F.lit("]]] "), x["text"])), "\n").alias("out"))
+    return answers.blocks(out, "out").select("conv_id", F.col("id").cast("long").alias("turn"), "text")
