@@ -343,11 +343,11 @@ def sweep_fixups(spark, d):
     return J.sweep(docs(spark, d).select("doc_id", "text"), "text", list(SWEEPS)).select("doc_id", "n_replaced", F.md5("text").alias("digest"))
 
 
-@query(f"WITH {PAIRS} SELECT conv_id, turn, coalesce(CASE WHEN turn % 3 = 0 THEN tr || '!' END, tr) AS text, turn % 3 = 0 AS edited FROM pairs")
+@query(f"WITH {PAIRS} SELECT conv_id, turn, coalesce(CASE WHEN length(tr) > 300 THEN tr || '!' END, tr) AS text, length(tr) > 300 AS edited FROM pairs")
 def overlay_edits(spark, d):
     """Edits over drafts."""
     p = pairs(spark, d).select("conv_id", "turn", F.col("tr").alias("text"))
-    return J.overlay(p, p.filter("turn % 3 = 0").withColumn("text", F.concat("text", F.lit("!"))), ["conv_id", "turn"])
+    return J.overlay(p, p.filter("length(text) > 300").withColumn("text", F.concat("text", F.lit("!"))), ["conv_id", "turn"])
 
 
 @query("SELECT user_id, event_type, event_id, round(value, 6) AS value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1")
@@ -421,13 +421,13 @@ _H1 = "h AS (SELECT page_id, regexp_extract(html, '<h1[^>]*>([^<]*)</h1>', 1) AS
 
 
 @query(
-    f"""WITH {_H1}, e AS (SELECT text AS k, min(page_id) AS title FROM h WHERE page_id % 2 = 0 GROUP BY 1), z AS (SELECT regexp_replace(text, '\\s+', '', 'g') AS k, min(page_id) AS title FROM h WHERE page_id % 2 = 0 GROUP BY 1)
+    f"""WITH {_H1}, e AS (SELECT text AS k, min(page_id) AS title FROM h GROUP BY 1), z AS (SELECT regexp_replace(text, '\\s+', '', 'g') AS k, min(page_id) AS title FROM h GROUP BY 1)
 SELECT h.page_id, coalesce(e.title, z.title) AS title FROM h LEFT JOIN e ON h.text = e.k LEFT JOIN z ON regexp_replace(h.text, '\\s+', '', 'g') = z.k"""
 )
 def heading_two_tier_join(spark, d):
     """Headings by exact text, else loosely."""
     h = table(spark, d, "pages").select("page_id", F.regexp_extract("html", "<h1[^>]*>([^<]*)</h1>", 1).alias("text"))
-    return J.two_tier(h, "text", h.filter("page_id % 2 = 0").select("text", F.col("page_id").alias("title"))).select("page_id", "title")
+    return J.two_tier(h, "text", h.select("text", F.col("page_id").alias("title"))).select("page_id", "title")
 
 
 _HREF = "SELECT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS href, unnest(range(len(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)))) AS n FROM pages"
@@ -480,12 +480,14 @@ SELECT {by}, CAST(span AS BIGINT) AS span, min(a) AS first_pos, max(z) AS last_p
 
 
 @query(
-    "WITH h0 AS (SELECT user_id % 7 AS book, event_id AS pos, event_id % 23 AS n FROM events WHERE event_id % 3 = 0), h AS (SELECT *, CASE WHEN pos - lag(pos) OVER w <= 40 AND n - lag(n) OVER w BETWEEN 1 AND 8 THEN 0 ELSE 1 END AS b FROM h0 WINDOW w AS (PARTITION BY book ORDER BY pos))"
+    "WITH h0 AS (SELECT user_id % 7 AS book, event_id AS pos, event_id % 23 AS n FROM events WHERE event_type IN (SELECT min(event_type) FROM events)), h AS (SELECT *, CASE WHEN pos - lag(pos) OVER w <= 40 AND n - lag(n) OVER w BETWEEN 1 AND 8 THEN 0 ELSE 1 END AS b FROM h0 WINDOW w AS (PARTITION BY book ORDER BY pos))"
     + _RUN.format(by="book", least=2, hole=40)
 )
 def reference_spans(spark, d):
     """Runs of rising entry numbers, merged over holes."""
-    h = table(spark, d, "events").filter("event_id % 3 = 0").select((F.col("user_id") % 7).alias("book"), F.col("event_id").alias("pos"), (F.col("event_id") % 23).alias("n"))
+    e = table(spark, d, "events")
+    kind = e.agg(F.min("event_type")).first()[0]
+    h = e.filter(F.col("event_type") == kind).select((F.col("user_id") % 7).alias("book"), F.col("event_id").alias("pos"), (F.col("event_id") % 23).alias("n"))
     return S.number_runs(h, ["book"], 2, T.refs_step, T.refs_hole)
 
 

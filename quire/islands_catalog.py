@@ -1 +1,173 @@
+"""Queries whose operators are Python islands: parsers, planners, passes and writers."""
 
+from __future__ import annotations
+
+import pandas as pd
+from pyspark.sql import functions as F
+
+from quire.catalog import docs, pairs, query, table
+from quire.functions import similarity
+from quire.functions import text as X
+from quire.model import T
+from quire.operators import sequence as S
+from quire.plans import packing, passes
+from quire.sinks import writers
+from quire.sources import encoding, html
+
+BLOCK = "page_id long, pos long, id string, kind string, text string, links array<string>, level int"
+
+
+def _page_blocks(frames):
+    for frame in frames:
+        rows = [{"page_id": i, **{k: b[k] for k in ("pos", "id", "kind", "text", "links", "level")}} for i, h in zip(frame["page_id"], frame["html"], strict=True) for b in html.numbered(html.read(h).blocks)]
+        out = pd.DataFrame(rows, columns=["page_id", "pos", "id", "kind", "text", "links", "level"])
+        out["level"] = out["level"].astype("Int32")
+        yield out
+
+
+def page_blocks(spark, d):
+    return table(spark, d, "pages").select("page_id", "html").mapInPandas(_page_blocks, BLOCK)
+
+
+@query()
+def html_blocks(spark, d):
+    """Pages as ordered blocks."""
+    return page_blocks(spark, d)
+
+
+@query()
+def style_census(spark, d):
+    """Tags and classes with counts and three spread samples."""
+
+    def run(frames):
+        for frame in frames:
+            rows = [(i, n, *x) for i, h in zip(frame["page_id"], frame["html"], strict=True) for n, x in enumerate(html.read(h).census)]
+            yield pd.DataFrame(rows, columns=["page_id", "n", "tag", "cls", "sample"])
+
+    seen = table(spark, d, "pages").select("page_id", "html").mapInPandas(run, "page_id long, n long, tag string, cls string, sample string")
+    top = seen.groupBy("tag", "cls").agg(F.count("*").alias("count"), F.min(F.struct("page_id", "n", "sample")).alias("a"), F.max(F.struct("page_id", "n", "sample")).alias("z"))
+    return top.select("tag", "cls", "count", F.array_distinct(F.array("a.sample", "z.sample")).alias("samples")).orderBy(F.desc("count"))
+
+
+def _lines_as_blocks(spark, d):
+    return S.lines(docs(spark, d)).filter("trim(text) <> ''").withColumn("pos", F.col("doc_id") * 100000 + F.col("line")).withColumn("kind", F.when(F.col("line") == 0, "title").otherwise("p"))
+
+
+@query()
+def chunk_plan(spark, d):
+    """Chunks of each book, and their words."""
+    b = _lines_as_blocks(spark, d).withColumn("words", X.words(F.col("text")))
+    return packing.plan_chunks(b, "source").groupBy("source", "chunk").agg(F.count("*").alias("blocks"), F.sum("words").alias("words"))
+
+
+@query()
+def size_batches(spark, d):
+    """Batches of at most 12,000 characters."""
+    b = _lines_as_blocks(spark, d).withColumn("size", F.length("text").cast("long"))
+    return packing.plan_batches(b, "source", T.fix_chars).groupBy("source", "batch").agg(F.count("*").alias("blocks"), F.sum("size").alias("chars"))
+
+
+@query()
+def glossary_budget(spark, d):
+    """The terms that a request about each document carries."""
+
+    def run(pdf):
+        pdf = pdf.sort_values("doc_id")
+        said = [(k, *t.split()[:2]) for k, t in enumerate(pdf["text"]) if len(t.split()) > 1]
+        out = [(i, len(packing.glossary(said, k, t))) for k, (i, t) in enumerate(zip(pdf["doc_id"], pdf["text"], strict=True))]
+        return pd.DataFrame(out, columns=["doc_id", "terms"])
+
+    return docs(spark, d).select("source", "doc_id", "text").groupBy("source").applyInPandas(run, "doc_id long, terms long")
+
+
+@query()
+def similarity_twins(spark, d):
+    """Neighbouring answers that are alike although the questions aren't."""
+
+    def run(pdf):
+        pdf = pdf.sort_values("turn")
+        found = similarity.twins([str(t) for t in pdf["turn"]], pdf["src"].tolist(), pdf["tr"].tolist())
+        return pd.DataFrame({"conv_id": [pdf["conv_id"].iloc[0]], "twins": [len(found)]})
+
+    return pairs(spark, d).groupBy("conv_id").applyInPandas(run, "conv_id long, twins long")
+
+
+@query()
+def comment_splice(spark, d):
+    """Translated comments set into a listing."""
+    listing = 'int a = 1; // counts the open files\nchar *s = "// not a comment at all";\n# include <x>\nb = 2  # adds up all the values\n'
+    rows = [(1, listing, 1, "counts the open files", "zählt die offenen Dateien"), (2, listing, 2, "not a comment at all", "kein Kommentar"), (3, listing, 4, "adds up all the values", "addiert alle Werte")]
+    f = F.udf(lambda t, line, part, tr: similarity.splice(t, [(line, part, tr)])[1], "int")
+    return spark.createDataFrame(rows, "n int, listing string, line int, part string, tr string").select("n", f("listing", "line", "part", "tr").alias("replaced"))
+
+
+@query()
+def encoding_detect(spark, d):
+    """Texts written in other encodings, and what they are read as."""
+    f = F.udf(lambda t, i: encoding.decode(t.encode(("utf-8", "cp1252", "utf-16")[i % 3], "replace"))[0] == t.encode(("utf-8", "cp1252", "utf-16")[i % 3], "replace").decode(("utf-8", "cp1252", "utf-16")[i % 3]), "boolean")
+    return docs(spark, d).select("lang", f("text", "doc_id").alias("same")).groupBy("lang").agg(F.count_if("same").alias("right"), F.count("*").alias("n"))
+
+
+def _reversed(t: str) -> str:
+    return t.replace("  ", " ").rstrip()
+
+
+@query()
+def stub_translate(spark, d):
+    """An ordered pass over the chunks of each book by a model without network."""
+    b = _lines_as_blocks(spark, d).withColumn("words", X.words(F.col("text"))).withColumn("id", F.concat_ws(".", "doc_id", "line"))
+    chunked = packing.plan_chunks(b, "source").select("source", "pos", "chunk").join(b.select("source", "pos", "id", F.regexp_replace("text", r"\[\[\[", "[").alias("text")), ["source", "pos"])
+    return passes.translate(chunked, "source", [passes.stub]).groupBy("source", "chunk").agg(F.count("*").alias("blocks"), F.count("tr").alias("translated"))
+
+
+@query()
+def stub_edit(spark, d):
+    """An edit pass in parallel; rows are what it changed."""
+    p = pairs(spark, d).select("conv_id", F.lit(0).alias("chunk"), F.col("turn").cast("string").alias("id"), F.concat("tr", F.lit(" ")).alias("tr"))
+    return passes.edit(p, "conv_id", _reversed).groupBy("conv_id").agg(F.count("*").alias("edits"))
+
+
+_TXT = """WITH l AS (SELECT doc_id, unnest(range(len(string_split(text, chr(10))))) AS pos, unnest(string_split(text, chr(10))) AS text FROM documents WHERE text IS NOT NULL),
+r AS (SELECT doc_id, pos, regexp_replace(text, '</?[a-zA-Z][^>]*>', '', 'g') AS t, pos % 5 = 4 AS verse FROM l)
+SELECT doc_id, md5(string_agg(CASE WHEN verse THEN '    ' || t ELSE t END, chr(10) ORDER BY pos)) AS digest FROM r GROUP BY doc_id"""
+
+
+@query(_TXT)
+def render_txt(spark, d):
+    """Plain text of each document, every fifth line as verse."""
+    b = S.lines(docs(spark, d)).withColumnRenamed("line", "pos").withColumn("kind", F.when(F.col("pos") % 5 == 4, "verse").otherwise("p"))
+    return writers.render_text(b, "doc_id").select("doc_id", F.md5("text").alias("digest"))
+
+
+def _rendered(spark, d, kind):
+    return writers.render(page_blocks(spark, d), "page_id", kind).select("page_id", "name", F.octet_length("content").alias("bytes"))
+
+
+@query()
+def render_md(spark, d):
+    """Pages as Markdown."""
+    return _rendered(spark, d, "md")
+
+
+@query()
+def render_html(spark, d):
+    """Pages as HTML."""
+    return _rendered(spark, d, "html")
+
+
+@query()
+def render_epub(spark, d):
+    """Pages as EPUB."""
+    return _rendered(spark, d, "epub")
+
+
+@query()
+def render_fb2(spark, d):
+    """Pages as FB2."""
+    return _rendered(spark, d, "fb2")
+
+
+@query()
+def render_tex(spark, d):
+    """Pages as LaTeX."""
+    return _rendered(spark, d, "tex")
