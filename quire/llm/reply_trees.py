@@ -1,7 +1,7 @@
 """Reply trees: root-to-leaf paths, their ranks, and conversations formatted from them.
 
 Ancestors are found by self-joins that double their reach: after k rounds a message knows
-its ancestor 2**k steps up, and the score, length and root of what lies between.  Leaves
+its ancestor 2**k steps up, and the score and root of what lies between.  Leaves
 are then ranked within their trees by the score of their path, and only the chosen paths
 are enumerated, by the same jump tables from the longest to the shortest: each ancestor is
 reached exactly once.  Joins are by message, so a large tree is no hot key.
@@ -92,20 +92,20 @@ def reply_paths(messages: DataFrame, top: int = TOP, scratch: Scratch | None = N
     scratch = scratch or Scratch(messages.sparkSession, "paths")
     nodes = messages.select("node", "parent", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))
     known = nodes.select(F.col("node").alias("parent"), F.col("node").alias("up"))
-    state = nodes.join(known, "parent", "left").select("node", "up", "score", F.lit(1).cast("long").alias("length"), F.when(F.col("up").isNull(), F.col("node")).alias("root"))
-    jumps, n, k = [], None, 0
-    while True:
-        state = scratch.stage(state, f"reach{k}")
-        left, rows = state.agg(F.count("up"), F.count("*")).first()
-        n = rows if n is None else n
-        if not left or (1 << k) > n:
+    state = nodes.join(known, "parent", "left").select("node", "up", "score", F.when(F.col("up").isNull(), F.col("node")).alias("root"))
+    state = scratch.stage(state, "reach0")
+    n = state.count()
+    jumps, k = [], 0
+    while (1 << k) <= n:
+        # only messages that haven't reached their root go on
+        going = state.filter("up is not null")
+        if going.isEmpty():
             break
-        jumps.append(state.filter("up is not null").select("node", "up"))
-        far = state.select(F.col("node").alias("up"), F.col("up").alias("up2"), F.col("score").alias("score2"), F.col("length").alias("length2"), F.col("root").alias("root2"))
-        state = state.join(far, "up", "left").select(
-            "node", F.col("up2").alias("up"), (F.col("score") + F.coalesce("score2", F.lit(0.0))).alias("score"), (F.col("length") + F.coalesce("length2", F.lit(0))).alias("length"), F.coalesce("root", "root2").alias("root")
-        )
+        jumps.append(going.select("node", "up"))
+        far = state.select(F.col("node").alias("up"), F.col("up").alias("up2"), F.col("score").alias("score2"), F.col("root").alias("root2"))
+        moved = going.join(far, "up").select("node", F.col("up2").alias("up"), (F.col("score") + F.col("score2")).alias("score"), F.coalesce("root", "root2").alias("root"))
         k += 1
+        state = scratch.stage(state.filter("up is null").unionByName(moved), f"reach{k}")
     leaves = state.filter("root is not null").join(nodes.select(F.col("parent").alias("node")), "node", "left_anti")
     order = Window.partitionBy("root").orderBy(F.desc("score"), "node")
     chosen = leaves.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
