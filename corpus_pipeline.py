@@ -52,8 +52,12 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A sample whose tokens have the target shares of sources, languages and topics."""
-    rows, _ = mixing.mix(docs)
-    return rows.filter(F.col(rows.columns[-1])).select(*[F.col("`" + c + "`") for c in docs.columns])
+    scratch = Scratch(spark, "pipeline")
+    key = fresh(docs, "row_key")
+    keyed = docs.withColumn(key, row_key(docs, "doc_id", "text"))
+    judged = mixing.mix(keyed.select(F.col(key).alias("k"), *[col(keyed, c).alias(c) for c in ("doc_id", "text", "lang", "source")]))
+    chosen = scratch.stage(judged.filter("sampled").select(F.col("k").alias(key)).distinct(), "chosen")
+    return small_join(keyed, scratch, "chosen", chosen, key, "left_semi").select(*[F.col("`" + c + "`") for c in docs.columns])
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

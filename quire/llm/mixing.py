@@ -86,41 +86,40 @@ def mix(
     sweeps: int = SWEEPS,
     budget: float = BUDGET,
     seed: str = SEED,
-) -> tuple[DataFrame, DataFrame]:
-    """``docs`` with what mixing says, and its columns' names.
-
-    Adds n_tokens, topic, probability and sampled (names get underscores before them where
-    ``docs`` has them already) and returns (rows, cells).  Null sources and languages are
-    values of their own.  Texts without words (null, empty) have no tokens, so nothing to
-    weigh: probability 0.  Equal ids draw alike, so repeated rows are sampled together.  An
-    empty table gives no rows.
+) -> DataFrame:
+    """The columns of ``docs`` but the text, and n_tokens, topic, probability and sampled.
+
+    The added names get underscores before them where ``docs`` has them already.  Null
+    sources and languages are values of their own.  Texts without words (null, empty) have
+    no tokens, so nothing to weigh: probability 0.  Equal ids draw alike, so repeated rows
+    are sampled together.  An empty table gives no rows.
     """
     scratch = Scratch(docs.sparkSession, "mix")
     text = col(docs, text_col)
     names = [fresh(docs, x) for x in ("n_tokens", "topic", "probability", "sampled")]
     keys = [fresh(docs, x) for x in ("mix_source", "mix_lang", "mix_topic")]
     n_tokens, topic_name, probability, sampled = names
-    # told once, as one narrow staged table; the text is not carried
+    rest = [c for c in docs.columns if c != text_col]
+    # the texts are read once; what they say is a narrow table
     facts = docs.select(
-        "*",
+        *[col(docs, c) for c in rest],
         token_count(text).alias(n_tokens),
         (topic_of(text) if topic is None else topic).alias(topic_name),
         _key(col(docs, source_col)).alias(keys[0]),
         _key(col(docs, lang_col)).alias(keys[1]),
     ).withColumn(keys[2], _key(F.col(topic_name)))
-    narrow = scratch.stage(facts.select(*[F.col(k).alias(m) for k, m in zip(keys, exponents, strict=True)], F.col(n_tokens).alias("tokens")), "facts")
-    cells = scratch.stage(narrow.groupBy(*exponents).agg(F.sum("tokens").alias("tokens")).filter("tokens > 0"), "cells")
-    fitted = scratch.stage(calibrated(cells, scratch, exponents, sweeps, budget), "fitted")
-    scratch.drop("facts")
+    facts = scratch.stage(facts, "facts")
+    cells = facts.groupBy(*[F.col(k).alias(m) for k, m in zip(keys, exponents, strict=True)]).agg(F.sum(n_tokens).alias("tokens")).filter("tokens > 0")
+    fitted = scratch.stage(calibrated(scratch.stage(cells, "cells"), scratch, exponents, sweeps, budget), "fitted")
     chances = fitted.select(*[F.col(m).alias(k) for k, m in zip(keys, exponents, strict=True)], F.col("probability").alias(probability))
     rows = small_join(facts, scratch, "fitted", chances, keys, "left")
     chance = F.when(F.col(n_tokens) > 0, F.coalesce(F.col(probability), F.lit(0.0))).otherwise(0.0)
-    rows = rows.select(*docs.columns, n_tokens, topic_name, chance.alias(probability)).withColumn(sampled, draw(F.col("`" + id_col + "`"), seed) < F.col(probability))
-    return rows, fitted
+    rows = rows.select(*[F.col("`" + c.replace("`", "``") + "`") for c in rest], n_tokens, topic_name, chance.alias(probability))
+    return rows.withColumn(sampled, draw(F.col("`" + id_col + "`"), seed) < F.col(probability))
 
 
 def query(spark, sf_dir):
-    rows, _ = mix(table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text"))
+    rows = mix(table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text"))
     return rows.select("doc_id", "source", "lang", "topic", "n_tokens", F.round("probability", 6).alias("probability"), "sampled")
 
 
