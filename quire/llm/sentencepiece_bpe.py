@@ -228,7 +228,7 @@ def _chunk_tokens(model: Model, data: np.ndarray, start: np.ndarray, end: np.nda
     return tokens, np.bincount(owner, weights=size, minlength=len(start)).astype(np.int64)
 
 
-def encode_batch(model: Model, column, dropout: float, seed: int, variants: int, limit_bytes: int = 4 * PIECE) -> pa.ListArray:
+def encode_batch(model: Model, column, dropout: float, seed: int, variants: int, limit_bytes: int = 2 << 20) -> pa.ListArray:
     """The tokens of each text of a column."""
     data, at = utf8(column)
     limit = int(dropout * (1 << 32))
@@ -270,13 +270,18 @@ def encode_batch(model: Model, column, dropout: float, seed: int, variants: int,
     return pa.ListArray.from_arrays(pa.array(np.cumsum(n), pa.int32()), pa.array(values))
 
 
-def decode_batch(model: Model, column: pa.ListArray) -> pa.Array:
-    """The text of each row of tokens."""
+def decode_batch(model: Model, column: pa.ListArray, together: int = 1 << 19) -> pa.Array:
+    """The text of each row of tokens, about ``together`` tokens at a time."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     at = column.offsets.to_numpy().astype(np.int64)
-    ids = column.values.to_numpy(zero_copy_only=False)[at[0] : at[-1]].astype(np.int64)
+    ids = column.values.to_numpy(zero_copy_only=False)[at[0] : at[-1]]
     at = at - at[0]
+    parts = [_decoded(model, ids[at[lo] : at[hi]].astype(np.int64), at[lo : hi + 1] - at[lo]) for lo, hi in runs_of_rows(at, together)]
+    return pa.concat_arrays([pa.array([], pa.string()), *parts])
+
+
+def _decoded(model: Model, ids: np.ndarray, at: np.ndarray) -> pa.Array:
     size = model.lengths[ids]
     total = np.r_[0, np.cumsum(size)]
     bounds = total[at]
