@@ -30,9 +30,9 @@ def latest(df: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
 def ranges(df: DataFrame, by: list[str], number: str) -> DataFrame:
     """Runs of consecutive numbers by key, as text: ``1–3, 7``."""
     w = Window.partitionBy(*by).orderBy(number)
-    runs = df.select(*by, number).distinct().withColumn("g", F.col(number) - F.row_number().over(w)).groupBy(*by, "g").agg(F.min(number).alias("a"), F.max(number).alias("b"))
-    told = F.when(F.col("a") == F.col("b"), F.col("a").cast("string")).otherwise(F.concat_ws("–", F.col("a").cast("string"), F.col("b").cast("string")))
-    return runs.groupBy(*by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("a", told.alias("t")))), lambda x: x["t"]), ", ").alias("ranges"))
+    runs = df.select(*by, number).distinct().withColumn("_g", F.col(number) - F.row_number().over(w)).groupBy(*by, "_g").agg(F.min(number).alias("_a"), F.max(number).alias("_z"))
+    told = F.when(F.col("_a") == F.col("_z"), F.col("_a").cast("string")).otherwise(F.concat_ws("–", F.col("_a").cast("string"), F.col("_z").cast("string")))
+    return runs.groupBy(*by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_a", told.alias("t")))), lambda x: x["t"]), ", ").alias("ranges"))
 
 
 def edge_lines(pages: DataFrame, by: list[str], th: Thresholds = T) -> DataFrame:
@@ -78,9 +78,9 @@ def number_runs(hits: DataFrame, by: list[str], least: int, step: int | None, ho
     if step:
         rise = F.col("n") - F.lag("n").over(w)
         apart = apart | (rise < 1) | (rise > step)
-    runs = islands(hits, by, order, apart, "run").groupBy(*by, "run").agg(F.min("pos").alias("a"), F.max("pos").alias("b"), F.count("*").alias("hits")).filter(F.col("hits") >= least)
-    far = F.col("a") - F.lag("b").over(Window.partitionBy(*by).orderBy("a")) > hole
-    return islands(runs, by, ["a"], far, "span").groupBy(*by, "span").agg(F.min("a").alias("first_pos"), F.max("b").alias("last_pos"), F.sum("hits").alias("hits"))
+    runs = islands(hits, by, order, apart, "_run").groupBy(*by, "_run").agg(F.min("pos").alias("_a"), F.max("pos").alias("_z"), F.count("*").alias("_n")).filter(F.col("_n") >= least)
+    far = F.col("_a") - F.lag("_z").over(Window.partitionBy(*by).orderBy("_a")) > hole
+    return islands(runs, by, ["_a"], far, "span").groupBy(*by, "span").agg(F.min("_a").alias("first_pos"), F.max("_z").alias("last_pos"), F.sum("_n").alias("hits"))
 
 
 def longest_run(marks: DataFrame, by: list[str], gap: int) -> DataFrame:

@@ -33,7 +33,7 @@ def notes(df: DataFrame, out: str) -> DataFrame:
     """A row for each note: block, kind, term, text."""
     rest = [c for c in df.columns if c != out]
     rows = df.select(*rest, F.explode(_all(out, NOTE, 3)).alias("b"))
-    field = lambda name: F.trim(F.regexp_extract("b.g2", rf"(?m)^{name}:[ \t]*(.*)$", 1))
+    field = lambda name: F.trim(F.regexp_extract("b.g2", rf"(?m)^[ \t]*{name}:[ \t]*(.*)$", 1))
     return rows.select(*rest, F.col("b.g0").alias("block"), F.col("b.g1").alias("kind"), field("TERM").alias("term"), field("TEXT").alias("text"))
 
 
