@@ -27,10 +27,23 @@ def shared_folder(spark: SparkSession) -> str:
     return _OWN[0]
 
 
+#: Rows of an Arrow batch; texts can be long, and workers hold a few batches.
+BATCH_ROWS = 2000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Hold the session's Arrow batches to BATCH_ROWS rows."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name))
+    if now <= 0 or now > BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 class Scratch:
     """A folder for the staged tables of one call of an operator."""
 
     def __init__(self, spark: SparkSession, name: str):
+        small_batches(spark)
         self.spark = spark
         self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
         atexit.register(self.drop)

@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 
 from quire.llm._frames import col, table
 from quire.llm._labels import fold, training_rows
-from quire.llm._text import groups, range_hash, prefix_sums, runs_of_rows, utf8, word_hashes, words
+from quire.llm._scratch import small_batches
+from quire.llm._text import groups, lean, prefix_sums, range_hash, runs_of_rows, utf8, word_hashes, words
 
 #: Training documents of each label.
 PER_CLASS = 10_000
@@ -199,7 +200,7 @@ def _features_task(batches):
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = PER_CLASS, id_col: str = "doc_id", text_col: str = "text") -> Gam | float:
     """A model; with labels of one kind only, or none, their share."""
-    rows = training_rows(docs, labels, label, per_class, id_col, text_col).mapInArrow(_features_task, "label int, " + ", ".join(f"{f} double" for f in FEATURES)).toArrow()
+    rows = training_rows(docs, labels, label, per_class, id_col, text_col).mapInArrow(lean(_features_task), "label int, " + ", ".join(f"{f} double" for f in FEATURES)).toArrow()
     m = np.stack([c.to_numpy() for c in rows.columns], axis=1).astype(float) if rows.num_rows else np.zeros((0, 1 + len(FEATURES)))
     m = m[np.lexsort(m.T)]  # the same sums whatever the order of tasks
     y = m[:, 0]
@@ -210,6 +211,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class:
 
 def score(docs: DataFrame, model: Gam | float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, score): null and empty texts score as texts without words."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(col(docs, id_col).alias("id"), col(docs, text_col).cast("string").alias("t"))
 
@@ -219,7 +221,7 @@ def score(docs: DataFrame, model: Gam | float, id_col: str = "doc_id", text_col:
             s = np.full(batch.num_rows, known) if isinstance(known, float) else known.score(_rows_of(batch.column("t")))
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(s)], ["id", "score"])
 
-    return rows.mapInArrow(run, f"id {dict(rows.dtypes)['id']}, score double").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(lean(run), f"id {dict(rows.dtypes)['id']}, score double").withColumnRenamed("id", id_col)
 
 
 def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "quality", per_class: int = PER_CLASS) -> DataFrame:

@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.llm._text import lean
 from quire.llm._frames import col, table
 from quire.llm._scratch import Scratch, shuffle_parts
 
@@ -145,7 +146,7 @@ def format_paths(messages: DataFrame, paths: DataFrame) -> DataFrame:
             first = [batch.column(c) for c in ("conv", "root", "leaf", "rank", "path_score")]
             yield pa.RecordBatch.from_arrays([*first, pa.array(counts, pa.int64()), pa.array(texts, pa.string()), pa.array(spans, kind)], ["conv", "root", "leaf", "rank", "path_score", "n_turns", "formatted", "loss_spans"])
 
-    return whole.mapInArrow(run, FORMATTED.format(conv=dict(whole.dtypes)["conv"]))
+    return whole.mapInArrow(lean(run), FORMATTED.format(conv=dict(whole.dtypes)["conv"]))
 
 
 def format_conversations(turns: DataFrame, top: int = TOP, **columns) -> DataFrame:
@@ -172,7 +173,7 @@ def query(spark, sf_dir):
     turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
     probe = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(PROBE).alias("text"))
     made = format_conversations(turns.unionByName(probe))
-    return made.mapInArrow(_digests, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return made.mapInArrow(lean(_digests), "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 ORACLE = r"""

@@ -26,7 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm._frames import col, table
-from quire.llm._text import PIECE, U, mix, prefix_sums, range_hash, runs_of_rows, utf8
+from quire.llm._scratch import small_batches
+from quire.llm._text import PIECE, U, lean, mix, prefix_sums, range_hash, runs_of_rows, utf8
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 DROPOUT, SEED, VARIANTS = 0.1, 17, 4
@@ -295,6 +296,7 @@ def _decoded(model: Model, ids: np.ndarray, at: np.ndarray) -> pa.Array:
 
 
 def _broadcast(df: DataFrame, path: str):
+    small_batches(df.sparkSession)
     with open(path, "rb") as f:  # a file of the driver, half a megabyte
         return df.sparkSession.sparkContext.broadcast(f.read())
 
@@ -317,7 +319,7 @@ def encode(docs: DataFrame, text_col: str = "text", out_col: str = "tokens", dro
             yield pa.RecordBatch.from_arrays([*batch.columns, tokens], [*batch.schema.names, out_col])
 
     schema = kept.withColumn(out_col, F.lit(None).cast("array<int>")).schema
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(lean(run), schema)
 
 
 def decode(rows: DataFrame, tokens_col: str = "tokens", out_col: str = "decoded", model: str = MODEL) -> DataFrame:
@@ -332,7 +334,7 @@ def decode(rows: DataFrame, tokens_col: str = "tokens", out_col: str = "decoded"
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns, decode_batch(known, batch.column(at))], [*batch.schema.names, out_col])
 
-    return kept.mapInArrow(run, kept.withColumn(out_col, F.lit(None).cast("string")).schema)
+    return kept.mapInArrow(lean(run), kept.withColumn(out_col, F.lit(None).cast("string")).schema)
 
 
 def query(spark, sf_dir):

@@ -34,6 +34,7 @@ from quire.llm._text import (
     _powers,
     blobs,
     groups,
+    lean,
     mix,
     prefix_sums,
     range_hash,
@@ -46,7 +47,7 @@ LENGTH, GRAM = 200, 64
 #: Contexts of one gram within a task from which its anchors go to the last digit at once.
 CROWD = 16
 #: Anchors that a task holds before it resolves and sends them.
-HELD = 500_000
+HELD = 250_000
 #: Bytes of text that are hashed together; a power of two.
 PIECE = 1 << 18
 
@@ -173,7 +174,7 @@ def _anchor_task(parts: int, length: int, gram: int):
         if held:
             yield from flush()
 
-    return run
+    return lean(run)
 
 
 def _anchor_merge(parts: int, length: int):
@@ -198,7 +199,7 @@ def _anchor_merge(parts: int, length: int):
             if len(y):
                 yield _batch(kind, y, parts)
 
-    return run
+    return lean(run)
 
 
 def _window_task(parts: int, length: int):
@@ -244,7 +245,7 @@ def _window_task(parts: int, length: int):
         if held:
             yield from flush()
 
-    return run
+    return lean(run)
 
 
 def _window_merge(parts: int, length: int):
@@ -261,7 +262,7 @@ def _window_merge(parts: int, length: int):
         if len(out):
             yield _batch(REPEATED, out, parts)
 
-    return run
+    return lean(run)
 
 
 def _by_key(merge: bool):
@@ -277,7 +278,7 @@ def _by_key(merge: bool):
         last = [*first[1:], len(x)]
         yield pa.RecordBatch.from_arrays([pa.array(x["k"][first]), pa.array([x[a:b].tobytes() for a, b in zip(first, last, strict=True)], pa.binary())], ["k", "e"])
 
-    return run
+    return lean(run)
 
 
 def repeated_spans(texts: DataFrame, scratch: Scratch, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -334,7 +335,7 @@ def _cut(whole_chars: bool, as_text: bool):
             rest = [c for c in batch.schema.names if c not in ("t", "e", "k")]
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in rest] + list(made.values()), rest + list(made))
 
-    return run
+    return lean(run)
 
 
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.llm._text import lean
 from quire.llm._frames import col, table
 from quire.llm._scratch import Scratch
 
@@ -83,7 +84,7 @@ def _score(queries, k: int):
                 ["q", "query_id", "vec_id", "score"],
             )
 
-    return run
+    return lean(run)
 
 
 def top_k(vectors: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 1024) -> DataFrame:

@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 
 from quire.llm._frames import col, table
 from quire.llm._labels import fold, training_rows
-from quire.llm._text import U, groups, mix, prefix_sums, range_hash, runs_of_rows, utf8, words
+from quire.llm._scratch import small_batches
+from quire.llm._text import U, groups, lean, mix, prefix_sums, range_hash, runs_of_rows, utf8, words
 
 #: Training documents of each label, and the bytes that one may have.
 PER_CLASS, MOST_BYTES = 2400, 16 << 10
@@ -324,6 +325,7 @@ def _some_inputs(net: Network, w: Words, used: np.ndarray):
 
 def score(docs: DataFrame, model: Network | float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, score): null and empty texts score as texts without words."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(col(docs, id_col).alias("id"), col(docs, text_col).cast("string").alias("t"))
 
@@ -334,7 +336,7 @@ def score(docs: DataFrame, model: Network | float, id_col: str = "doc_id", text_
             s = np.full(len(at) - 1, net) if isinstance(net, float) else net.score(data, at)
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(np.clip(s, 0, 1))], ["id", "score"])
 
-    return rows.mapInArrow(run, f"id {dict(rows.dtypes)['id']}, score double").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(lean(run), f"id {dict(rows.dtypes)['id']}, score double").withColumnRenamed("id", id_col)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic", per_class: int = PER_CLASS) -> DataFrame:
