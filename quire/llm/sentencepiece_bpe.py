@@ -229,7 +229,7 @@ def _chunk_tokens(model: Model, data: np.ndarray, start: np.ndarray, end: np.nda
     return tokens, np.bincount(owner, weights=size, minlength=len(start)).astype(np.int64)
 
 
-def encode_batch(model: Model, column, dropout: float, seed: int, variants: int, limit_bytes: int = 2 << 20) -> pa.ListArray:
+def encode_batch(model: Model, column, dropout: float, seed: int, variants: int, limit_bytes: int = 1 << 20) -> pa.ListArray:
     """The tokens of each text of a column."""
     data, at = utf8(column)
     limit = int(dropout * (1 << 32))
