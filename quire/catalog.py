@@ -30,7 +30,7 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from quire import islands_catalog  # noqa: F401  registers the Python operators
+    from quire import checks_catalog, islands_catalog  # noqa: F401  register their queries
 
     return dict(_QUERIES)
 
@@ -284,14 +284,9 @@ def _ratios(spark, d):
 SELECT conv_id, turn, round(r, 6) AS ratio FROM r, m WHERE n >= 40 AND (r / mid < 0.55 OR r / mid > 2.2)"""
 )
 def length_ratio_outliers(spark, d):
-    """A10, Q03: pairs far from the upper median of length ratios.
-
-    The upper median is the row of rank n div 2 + 1 of a distributed sort, not a collected list."""
+    """A10, Q03: pairs far from the upper median of length ratios."""
     r = _ratios(spark, d).filter("n >= 40")
-    n = r.count()
-    if not n:
-        return r.select("conv_id", "turn", F.col("r").alias("ratio"))
-    mid = r.agg(F.expr(f"percentile_disc({(n // 2 + 1) / n!r}) WITHIN GROUP (ORDER BY r)")).first()[0] or 1.0
+    mid = S.value_at(r, "r", r.count() // 2) or 1.0
     return r.filter((F.col("r") / mid < 0.55) | (F.col("r") / mid > 2.2)).select("conv_id", "turn", F.round("r", 6).alias("ratio"))
 
 

@@ -56,13 +56,17 @@ def unscaffold(c: Column) -> Column:
     return F.regexp_replace(c, r"(?:\s*\n[ \t]*(?:```\w*|</[^\s<>]{1,24}>)[ \t]*)+\s*$", "")
 
 
+#: What may stand between groups of three figures.
+SEPARATORS = r",.'\x{A0}\x{202F}\x{2009} \x{2019}"
+
+
 def numbers(c: Column, grouped: bool = True) -> Column:
-    """Every number of a text; with ``grouped``, thousands separators are joined first."""
+    """Every number of a text; with ``grouped``, thousands separators within one are left out."""
     t = strip_tags(c, " ")
-    if grouped:
-        for _ in range(4):  # a group at a time, up to 10**15
-            t = F.regexp_replace(t, r"(?<![0-9])([0-9]{1,15})[,.'\x{A0}\x{202F}\x{2009} \x{2019}]([0-9]{3})(?![0-9])", "$1$2")
-    return F.regexp_extract_all(t, F.lit(r"[0-9]+"), F.lit(0))
+    if not grouped:
+        return F.regexp_extract_all(t, F.lit(r"[0-9]+"), F.lit(0))
+    found = F.regexp_extract_all(t, F.lit(rf"(?U)\b[0-9]{{1,3}}(?:[{SEPARATORS}][0-9]{{3}})+(?![0-9])|[0-9]+"), F.lit(0))
+    return F.transform(found, lambda x: F.regexp_replace(x, "[^0-9]", ""))
 
 
 def limited(c: Column) -> Column:

@@ -50,34 +50,36 @@ def style_census(spark, d):
 
 
 def _lines_as_blocks(spark, d):
-    return S.lines(docs(spark, d)).filter("trim(text) <> ''").withColumn("pos", F.col("doc_id") * 100000 + F.col("line")).withColumn("kind", F.when(F.col("line") == 0, "title").otherwise("p"))
+    """Lines as blocks; each document is a book, so that no task holds more than one."""
+    return S.lines(docs(spark, d)).filter("trim(text) <> ''").withColumn("pos", F.col("line").cast("long")).withColumn("kind", F.when(F.col("line") == 0, "title").otherwise("p"))
 
 
 @query()
 def chunk_plan(spark, d):
     """Chunks of each book, and their words."""
     b = _lines_as_blocks(spark, d).withColumn("words", X.words(F.col("text")))
-    return packing.plan_chunks(b, "source").groupBy("source", "chunk").agg(F.count("*").alias("blocks"), F.sum("words").alias("words"))
+    return packing.plan_chunks(b, "doc_id").groupBy("doc_id", "chunk").agg(F.count("*").alias("blocks"), F.sum("words").alias("words"))
 
 
 @query()
 def size_batches(spark, d):
     """Batches of at most 12,000 characters."""
     b = _lines_as_blocks(spark, d).withColumn("size", F.length("text").cast("long"))
-    return packing.plan_batches(b, "source", T.fix_chars).groupBy("source", "batch").agg(F.count("*").alias("blocks"), F.sum("size").alias("chars"))
+    return packing.plan_batches(b, "doc_id", T.fix_chars).groupBy("doc_id", "batch").agg(F.count("*").alias("blocks"), F.sum("size").alias("chars"))
 
 
 @query()
 def glossary_budget(spark, d):
-    """The terms that a request about each document carries."""
+    """The terms that a request about each turn carries, from the turns before it."""
 
     def run(pdf):
-        pdf = pdf.sort_values("doc_id")
-        said = [(k, *t.split()[:2]) for k, t in enumerate(pdf["text"]) if len(t.split()) > 1]
-        out = [(i, len(packing.glossary(said, k, t))) for k, (i, t) in enumerate(zip(pdf["doc_id"], pdf["text"], strict=True))]
-        return pd.DataFrame(out, columns=["doc_id", "terms"])
+        pdf = pdf.sort_values("turn")
+        texts = [t or "" for t in pdf["text"]]
+        said = [(k, *t.split()[:2]) for k, t in enumerate(texts) if len(t.split()) > 1]
+        out = [(i, n, len(packing.glossary(said, k, t))) for k, (i, n, t) in enumerate(zip(pdf["conv_id"], pdf["turn"], texts, strict=True))]
+        return pd.DataFrame(out, columns=["conv_id", "turn", "terms"])
 
-    return docs(spark, d).select("source", "doc_id", "text").groupBy("source").applyInPandas(run, "doc_id long, terms long")
+    return table(spark, d, "conversations").select("conv_id", "turn", "text").groupBy("conv_id").applyInPandas(run, "conv_id long, turn long, terms long")
 
 
 @query()
@@ -116,8 +118,8 @@ def _reversed(t: str) -> str:
 def stub_translate(spark, d):
     """An ordered pass over the chunks of each book by a model without network."""
     b = _lines_as_blocks(spark, d).withColumn("words", X.words(F.col("text"))).withColumn("id", F.concat_ws(".", "doc_id", "line"))
-    chunked = packing.plan_chunks(b, "source").select("source", "pos", "chunk").join(b.select("source", "pos", "id", F.regexp_replace("text", r"\[\[\[", "[").alias("text")), ["source", "pos"])
-    return passes.translate(chunked, "source", [passes.stub]).groupBy("source", "chunk").agg(F.count("*").alias("blocks"), F.count("tr").alias("translated"))
+    chunked = packing.plan_chunks(b, "doc_id").select("doc_id", "pos", "chunk").join(b.select("doc_id", "pos", "id", F.regexp_replace("text", r"\[\[\[", "[").alias("text")), ["doc_id", "pos"])
+    return passes.translate(chunked, "doc_id", [passes.stub]).groupBy("doc_id", "chunk").agg(F.count("*").alias("blocks"), F.count("tr").alias("translated"))
 
 
 @query()

@@ -102,3 +102,34 @@ def back_matter(sections: DataFrame, by: list[str], order: str, named: Column, t
     runs = islands(told, by, [order], ~(F.col("fit") & F.lag("fit").over(w)), "run")
     since = Window.partitionBy(*by, "run").orderBy(order)
     return runs.withColumn("is_back", F.col("fit") & (F.max(F.col("named").cast("int")).over(since) == 1)).drop("fit", "run")
+
+
+def value_at(df: DataFrame, column: str, rank: int, most: int = 4096) -> float | None:
+    """The value of a double column at ``rank`` (from 0) in ascending order; None past the end.
+
+    Counts in equal bins narrow the range until at most ``most`` rows are left in it, so only so
+    many values ever reach the driver; a range of one value needs no more narrowing."""
+    x = df.select(F.col(column).alias("x")).filter("x is not null")
+    lo, hi, n = x.agg(F.min("x"), F.max("x"), F.count("*")).first()
+    if rank >= n:
+        return None
+    while n > most and lo < hi:
+        step = (hi - lo) / most
+        if lo + step <= lo:
+            break
+        inside = x.filter(F.col("x").between(lo, hi))
+        place = F.least(F.floor((F.col("x") - F.lit(lo)) / F.lit(step)), F.lit(most - 1))
+        bins = inside.groupBy(place.alias("b")).agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).orderBy("b").collect()
+        for b in bins:
+            if rank < b["n"]:
+                lo, hi, n = b["lo"], b["hi"], b["n"]
+                break
+            rank -= b["n"]
+    if lo == hi:
+        return lo
+    counted = x.filter(F.col("x").between(lo, hi)).groupBy("x").agg(F.count("*").alias("n")).orderBy("x").collect()
+    for value, times in counted:
+        if rank < times:
+            return value
+        rank -= times
+    return None
