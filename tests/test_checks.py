@@ -202,3 +202,20 @@ def test_entries_run_together():
     assert contents.entries("The River ..... 3 The Hill ... 9") == ["The River", "The Hill"]
     assert contents.entries("One 3\nTwo 14") == ["One", "Two"]
     assert contents.entries("Only one line 7") == ["Only one line 7"] and contents.entries("") == []
+
+
+@pytest.mark.parametrize("rows_per_batch", ["1", "3", "1000"])
+def test_books_are_planned_whole_whatever_the_batches(spark, rows_per_batch):
+    from quire.plans import packing
+
+    sizes = {1: [5, 5, 5], 2: [9], None: [4, 4, 4, 4], 3: [1, 8, 1]}
+    rows = [(b, p, n) for b, ns in sizes.items() for p, n in reversed(list(enumerate(ns)))]
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, rows_per_batch)
+    try:
+        got = packing.plan_batches(spark.createDataFrame(rows, "book long, pos long, size long").coalesce(1), "book", 10).collect()
+    finally:
+        spark.conf.set(name, before)
+    found = {b: [r["batch"] for r in sorted(got, key=lambda r: r["pos"]) if r["book"] == b] for b in sizes}
+    assert found == {b: packing.batches(ns, 10) for b, ns in sizes.items()}
