@@ -3,13 +3,14 @@
 A word enters as the embedding of its name (if the vocabulary has it) beside the mean
 embedding of its character trigrams.  Two GRUs run over a window of words, attention pools
 their states, and a logistic unit scores the window.  All overlapping windows of a text are
-scored; a logistic unit over the highest score and the expected number of toxic windows
-gives the document's score.
+scored, one from each word on that has ``WINDOW`` words after it; a logistic unit over the
+highest score and the expected number of toxic windows gives the document's score.
 
 Labels are of documents, so training picks windows: those with words that stand out in
 toxic documents at first, then those that the network itself scores highest.  Training is
-plain numpy on the driver, on a bounded sample; scoring encodes each distinct word of a
-batch once and runs all its windows together.
+plain numpy on the driver, on a bounded sample, and learns from every ``APART_BY``-th window
+of it; the document's unit is fitted on all windows.  Scoring encodes each distinct word of
+a batch once and runs neighbouring windows together: their words at one time are a slice.
 """
 
 from __future__ import annotations
@@ -26,13 +27,14 @@ from quire.llm._text import U, groups, lean, mix, prefix_sums, range_hash, runs_
 
 #: Training documents of each label, and the bytes that one may have.
 PER_CLASS, MOST_BYTES = 2400, 16 << 10
-WINDOW, STRIDE = 24, 16
+#: Words of a window; scored windows begin at every word, those that the network learns from so many words apart.
+WINDOW, STRIDE, APART_BY = 24, 1, 16
 NAMES, TRIGRAMS, EMBED, HIDDEN, ATTEND = 4096, 2048, 8, 8, 8
 STEPS, BATCH, RATE, ROUNDS = 160, 384, 0.01, 2
 #: Toxic training documents from which a third of the sample is set apart, and -log of a chance that makes a key word.
 APART, CHANCE = 200, 7.0
 #: Windows that are scored together, and bytes of text that are prepared together.
-TOGETHER, PIECE = 8192, 2 << 20
+TOGETHER, PIECE = 4096, 2 << 20
 THRESHOLD = 0.7
 
 _CLEAN = np.zeros(256, np.uint8)
@@ -74,15 +76,15 @@ class Words:
         self.trigrams = (mix(code.astype(U)) % U(TRIGRAMS)).astype(np.int64)
         self.size = size
 
-    def windows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def windows(self, stride: int = STRIDE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Starts (in ``which``), lengths and texts of all windows; texts without words have none."""
-        n = np.maximum(0, -(-(self.counts - WINDOW) // STRIDE)) + 1
+        n = np.maximum(0, -(-(self.counts - WINDOW) // stride)) + 1
         n[self.counts == 0] = 0
         text = np.repeat(np.arange(len(n)), n)
         k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         count = self.counts[text]
         base = (np.cumsum(self.counts) - self.counts)[text]
-        start = np.minimum(k * STRIDE, np.maximum(0, count - WINDOW))
+        start = np.minimum(k * stride, np.maximum(0, count - WINDOW))
         return base + start, np.minimum(count, WINDOW), text
 
 
@@ -186,10 +188,72 @@ class Network:
             dx += dgates @ self.p[f"w_{d}"].T
         return g, dx
 
-    def window_logits(self, w: Words) -> tuple[np.ndarray, np.ndarray]:
-        """Logits of all windows, and their texts."""
+    def neighbours(self, gates: dict, n: int) -> np.ndarray:
+        """Logits of the n whole windows that begin at neighbouring words; gates: by direction (3 * HIDDEN, words)."""
+        half = np.float32(0.5)
+        seen, out, score, value = {}, np.empty(n, np.float32), np.empty((WINDOW, n), np.float32), np.empty((WINDOW, n), np.float32)
+        zr, c, gap = np.empty((2 * HIDDEN, n), np.float32), np.empty((HIDDEN, n), np.float32), np.empty((HIDDEN, n), np.float32)
+        for d, order in (("f", range(WINDOW)), ("b", range(WINDOW - 1, -1, -1))):
+            side = slice(0, HIDDEN) if d == "f" else slice(HIDDEN, None)
+            u, att, w = np.ascontiguousarray(self.p[f"u_{d}"].T), np.ascontiguousarray(self.p["att_w"][side].T), self.p["out_w"][side]
+            h = np.zeros((HIDDEN, n), np.float32)
+            for t in order:
+                g, hu = gates[d][:, t : t + n], u @ h
+                np.add(g[: 2 * HIDDEN], hu[: 2 * HIDDEN], out=zr)
+                zr *= half
+                np.tanh(zr, out=zr)
+                zr += 1
+                zr *= half
+                np.multiply(zr[HIDDEN:], hu[2 * HIDDEN :], out=c)
+                c += g[2 * HIDDEN :]
+                np.tanh(c, out=c)
+                np.subtract(c, h, out=gap)
+                gap *= zr[:HIDDEN]
+                h += gap
+                if d == "f":
+                    seen[t] = att @ h
+                    value[t] = w @ h
+                else:
+                    a = att @ h
+                    a += seen[t]
+                    a += self.p["att_b"][:, None]
+                    score[t] = self.p["att_v"] @ np.tanh(a, out=a)
+                    value[t] += w @ h
+        score -= score.max(axis=0)
+        np.exp(score, out=score)
+        np.divide(np.einsum("tn,tn->n", score, value), score.sum(axis=0), out=out)
+        return out + self.p["out_b"][0]
+
+    def all_logits(self, w: Words) -> tuple[np.ndarray, np.ndarray]:
+        """Logits of all overlapping windows, and their texts."""
         start, length, text = w.windows()
         x, _ = self.inputs(w)
+        out = np.empty(len(start), np.float32)
+        whole = length == WINDOW
+        if whole.any():
+            by_word = {d: x @ self.p[f"w_{d}"] + self.p[f"b_{d}"] for d in "fb"}
+            at, place = start[whole], np.flatnonzero(whole)
+            i = 0
+            while i < len(at):
+                # the windows that begin within so many words; between texts there are some words with none
+                j = int(np.searchsorted(at, at[i] + TOGETHER))
+                n = int(at[j - 1] - at[i]) + 1
+                which = w.which[at[i] : at[i] + n + WINDOW - 1]
+                gates = {d: np.ascontiguousarray(by_word[d][which].T) for d in "fb"}
+                out[place[i:j]] = self.neighbours(gates, n)[at[i:j] - at[i]]
+                i = j
+        some = np.flatnonzero(~whole)
+        which = np.r_[w.which, np.full(WINDOW, len(x) - 1)]
+        for i in range(0, len(some), TOGETHER):
+            part = some[i : i + TOGETHER]
+            mask = np.arange(WINDOW) < length[part, None]
+            out[part] = self.forward(x, np.where(mask, which[start[part, None] + np.arange(WINDOW)], len(x) - 1), mask)
+        return out, text
+
+    def window_logits(self, w: Words) -> tuple[np.ndarray, np.ndarray]:
+        """Logits of the windows that training learns from, and their texts."""
+        start, length, text = w.windows(APART_BY)
+        x, _ = self.inputs(w)
         pad = len(x) - 1
         out = np.empty(len(start), np.float32)
         which = np.r_[w.which, np.full(WINDOW, pad)]
@@ -207,7 +271,7 @@ class Network:
 
     def features(self, w: Words) -> np.ndarray:
         """By text: the highest logit, log of the expected toxic windows and of all windows; without words the lowest."""
-        logit, text = self.window_logits(w)
+        logit, text = self.all_logits(w)
         n = len(w.counts)
         top = np.full(n, -12.0)
         np.maximum.at(top, text, logit)
@@ -255,7 +319,7 @@ def train(labels: np.ndarray, column: pa.Array) -> Network | float:
     share = toxic.sum() / len(labels)
     key = np.r_[(a * -np.log(share) > CHANCE) & (a * (1 - share) > 20 * b * share), False]
 
-    start, length, of = w.windows()
+    start, length, of = w.windows(APART_BY)
     index = np.r_[w.which, np.full(WINDOW, len(w.hashes))][start[:, None] + np.arange(WINDOW)]
     mask = np.arange(WINDOW) < length[:, None]
     index = np.where(mask, index, len(w.hashes))

@@ -310,6 +310,26 @@ def test_gradients_of_the_network():
         assert abs((values[0] - values[1]) / 2e-3 - grads[k][at]) < 1e-3
 
 
+def test_a_passage_is_scored_whole_at_every_offset():
+    net = toxicity.Network(np.zeros(0, np.uint64), np.zeros(0, np.float32))
+    rng = np.random.default_rng(11)
+    passage, text = rng.choice(WORDS, toxicity.WINDOW).tolist(), rng.choice(WORDS, 90).tolist()
+    alone = toxicity.Words(*_text.utf8(pa.array([" ".join(passage)])))
+    x, _ = net.inputs(alone)
+    want = net.forward(x, alone.which[None], None)[0]
+    texts = [" ".join(text[:k] + passage + text[k:]) for k in range(60)] + ["", "a b c"]
+    w = toxicity.Words(*_text.utf8(pa.array(texts)))
+    start, length, of = w.windows()
+    assert np.bincount(of, minlength=62).tolist() == [91] * 60 + [0, 1] and length[-1] == 3
+    logit, _ = net.all_logits(w)
+    base = np.cumsum(w.counts) - w.counts
+    for k in range(60):
+        assert abs(logit[(of == k) & (start == base[k] + k)] - want).max() < 1e-5
+    x, _ = net.inputs(w)
+    whole = length == toxicity.WINDOW
+    assert abs(net.forward(x, w.which[start[whole, None] + np.arange(toxicity.WINDOW)], None) - logit[whole]).max() < 1e-5
+
+
 def test_words_and_hashes():
     data, at = _text.utf8(pa.array(["a  b\x0bc", "", None, "é\u00a0x", " "]))
     start, end, row = _text.words(data, at)
