@@ -3,7 +3,10 @@
 Token counts by cell (source, language, topic) are raked: sweep by sweep the cells are
 scaled to the target share of each source, of each language and of each topic.  A document
 is then sampled with the calibrated probability min(1, budget * weight / tokens) of its
-cell.  Its draw is a hash of the seed and its id, so a run can be repeated anywhere.
+cell.  Raking is bounded: a cell of which all tokens are taken is held there and the rest
+is raked to what remains; a margin's value with fewer tokens than its target is taken whole
+and the others share what it leaves.  ``margins`` holds targets against what is reached.
+The query itself cuts after plain raking, as its SQL does.  A draw is a hash of the seed and its id, so a run can be repeated anywhere.
 
 The cells are one aggregation of the corpus; all raking happens on that small table, and
 the probabilities come back by a join that is broadcast only if the table is small.
@@ -53,7 +56,31 @@ def _key(c: Column) -> Column:
     return F.when(c.isNull(), "-").otherwise(F.concat(F.lit("+"), c.cast("string")))
 
 
-def calibrated(cells: DataFrame, scratch: Scratch, exponents: dict[str, float], sweeps: int, budget: float) -> DataFrame:
+def _reachable(goals: DataFrame) -> float:
+    """The factor to goals by which least(cap, factor * goal) sum to 1; infinite if all caps are needed.  goals: (goal, cap)."""
+    factor = 1.0
+    while True:
+        full = F.col("cap") <= F.lit(factor) * F.col("goal")
+        held, free = goals.agg(F.sum(F.when(full, F.col("cap"))), F.sum(F.when(~full, F.col("goal")))).first()
+        if not free:
+            return float("inf")
+        more = (1.0 - (held or 0.0)) / free
+        if more <= factor * (1 + 1e-12):  # the full ones only grow, so this ends
+            return factor
+        factor = more
+
+
+def _raked(m: str) -> Column:
+    """The weight scaled to the goal of ``m``, with cells at their bound held there."""
+    by = Window.partitionBy(m)
+    full, goal = F.col("weight") >= F.col("bound"), F.col(f"goal_{m}")
+    now = F.sum(F.least("weight", "bound")).over(by)
+    held, free = F.sum(F.when(full, F.col("bound")).otherwise(0.0)).over(by), F.sum(F.when(full, 0.0).otherwise(F.col("weight"))).over(by)
+    grown = F.when(~full & (goal > held) & (free > 0), F.col("weight") * ((goal - held) / free)).otherwise(F.col("weight"))
+    return F.when(now > goal, F.col("weight") * (goal / now)).otherwise(grown)
+
+
+def calibrated(cells: DataFrame, scratch: Scratch, exponents: dict[str, float], sweeps: int, budget: float, bounded: bool = True) -> DataFrame:
     """From cells (source, lang, topic, tokens): the same with weight and probability."""
     small = cells.count() <= ONE_TASK
     if small:
@@ -63,13 +90,21 @@ def calibrated(cells: DataFrame, scratch: Scratch, exponents: dict[str, float],
     for m, power in exponents.items():
         goal = lambda had, p=power: F.pow(had.cast("double") / whole, F.lit(p))
         goals = cells.groupBy(m).agg(goal(F.sum("tokens")).alias("goal")).agg(F.sum("goal")).first()[0] or 1.0
-        state = state.withColumn(f"goal_{m}", goal(F.sum("tokens").over(Window.partitionBy(m))) / goals)
+        had = F.sum("tokens").over(Window.partitionBy(m))
+        state = state.withColumn(f"goal_{m}", goal(had) / goals)
+        if bounded and whole:
+            cap = lambda had: had.cast("double") / (whole * budget)
+            factor = _reachable(cells.groupBy(m).agg(F.sum("tokens").alias("had")).select((goal(F.col("had")) / goals).alias("goal"), cap(F.col("had")).alias("cap")))
+            state = state.withColumn(f"goal_{m}", F.least(cap(had), F.lit(factor) * F.col(f"goal_{m}")))
+    if bounded:
+        state = state.withColumn("bound", F.col("tokens") / (F.col("total") * F.lit(budget)))
     state = scratch.stage(state.withColumn("weight", F.col("tokens") / F.col("total")), "goals")
     for sweep in range(sweeps):
         if small and sweep % STAGED == 0:
             state = state.coalesce(1)
         for m in exponents:
-            state = state.withColumn("weight", F.col("weight") * (F.col(f"goal_{m}") / F.sum("weight").over(Window.partitionBy(m))))
+            plain = F.col("weight") * (F.col(f"goal_{m}") / F.sum("weight").over(Window.partitionBy(m)))
+            state = state.withColumn("weight", _raked(m) if bounded else plain)
         if sweep % STAGED == STAGED - 1 or sweep == sweeps - 1:
             state = scratch.stage(state, f"sweep{sweep}")
     return state.withColumn("probability", F.least(F.lit(1.0), F.lit(budget) * F.col("total") * F.col("weight") / F.col("tokens")))
@@ -86,13 +121,15 @@ def mix(
     sweeps: int = SWEEPS,
     budget: float = BUDGET,
     seed: str = SEED,
+    bounded: bool = True,
 ) -> DataFrame:
     """The columns of ``docs`` but the text, and n_tokens, topic, probability and sampled.
 
     The added names get underscores before them where ``docs`` has them already.  Null
     sources and languages are values of their own.  Texts without words (null, empty) have
     no tokens, so nothing to weigh: probability 0.  Equal ids draw alike, so repeated rows
-    are sampled together.  An empty table gives no rows.
+    are sampled together.  An empty table gives no rows.  Not ``bounded``, weights are cut
+    at probability 1 after raking, and what is cut is lost to budget and margins.
     """
     scratch = Scratch(docs.sparkSession, "mix")
     text = col(docs, text_col)
@@ -110,7 +147,7 @@ def mix(
     ).withColumn(keys[2], _key(F.col(topic_name)))
     facts = scratch.stage(facts, "facts")
     cells = facts.groupBy(*[F.col(k).alias(m) for k, m in zip(keys, exponents, strict=True)]).agg(F.sum(n_tokens).alias("tokens")).filter("tokens > 0")
-    fitted = scratch.stage(calibrated(scratch.stage(cells, "cells"), scratch, exponents, sweeps, budget), "fitted")
+    fitted = scratch.stage(calibrated(scratch.stage(cells, "cells"), scratch, exponents, sweeps, budget, bounded), "fitted")
     chances = fitted.select(*[F.col(m).alias(k) for k, m in zip(keys, exponents, strict=True)], F.col("probability").alias(probability))
     rows = small_join(facts, scratch, "fitted", chances, keys, "left")
     chance = F.when(F.col(n_tokens) > 0, F.coalesce(F.col(probability), F.lit(0.0))).otherwise(0.0)
@@ -118,8 +155,25 @@ def mix(
     return rows.withColumn(sampled, draw(F.col("`" + id_col + "`"), seed) < F.col(probability))
 
 
+def margins(mixed: DataFrame, exponents: dict[str, float] = EXPONENTS) -> DataFrame:
+    """Of rows from ``mix``, by margin and value: had (share of the tokens), target, expected and sampled (shares of the
+    sample's tokens), and fill (the expected sample in tokens, of all tokens)."""
+    out = None
+    tokens, chance = F.col("n_tokens"), F.col("n_tokens") * F.col("probability")
+    for m, power in exponents.items():
+        one = mixed.groupBy(F.lit(m).alias("margin"), F.col(m).cast("string").alias("value")).agg(F.sum(tokens).alias("had"), F.sum(chance).alias("expected"), F.sum(F.when(F.col("sampled"), tokens).otherwise(0)).alias("sampled"))
+        one = one.filter("had > 0")
+        out = one if out is None else out.unionByName(one)
+    by = Window.partitionBy("margin")
+    out = out.withColumn("fill", F.sum("expected").over(by) / F.sum("had").over(by))
+    out = out.withColumns({c: F.col(c) / F.sum(c).over(by) for c in ("had", "expected", "sampled")})
+    power = F.coalesce(*[F.when(F.col("margin") == m, F.lit(p)) for m, p in exponents.items()])
+    out = out.withColumn("target", F.pow("had", power))
+    return out.withColumn("target", F.col("target") / F.sum("target").over(by)).select("margin", "value", "had", "target", "expected", "sampled", "fill")
+
+
 def query(spark, sf_dir):
-    rows = mix(table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text"))
+    rows = mix(table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text"), bounded=False)
     return rows.select("doc_id", "source", "lang", "topic", "n_tokens", F.round("probability", 6).alias("probability"), "sampled")
 
 

@@ -225,6 +225,26 @@ def test_mixing_meets_marginals(spark):
     assert got.filter("doc_id >= 600 and sampled").count() == 0
 
 
+def test_mixing_spends_its_budget_though_cells_are_full(spark):
+    rng = np.random.default_rng(12)
+    # one large source and eight small ones, whose targets are above all that they have; a rare topic within
+    rows = [(i, " ".join(rng.choice(WORDS, 700)) if i % 9 else "a1 | b2 | c | " * 150, "en" if i % 4 else "de", "big" if i % 16 else f"s{i // 16 % 8}") for i in range(1200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    worst = {}
+    for bounded in (False, True):
+        got = mixing.margins(mixing.mix(docs, bounded=bounded)).toPandas()
+        want = got["target"].copy()
+        for _, part in got.groupby("margin"):  # full values give what they have, the others share the rest
+            cap, full = part["had"] / mixing.BUDGET, part["had"] < 0
+            for _ in range(20):
+                factor = (1 - cap[full].sum()) / part["target"][~full].sum()
+                full = cap <= factor * part["target"]
+            want[part.index] = np.where(full, cap, factor * part["target"])
+        worst[bounded] = abs(got["expected"] * got["fill"] / mixing.BUDGET - want).max()
+        assert (abs(got["fill"] / mixing.BUDGET - 1) < 0.01).all() == bounded
+    assert worst[True] < 0.005 < 0.02 < worst[False]
+
+
 def test_warc_reads_what_it_writes(spark, tmp_path):
     big = "x" * 2000
     pages = spark.createDataFrame([(1, "u\r\n", big, 0), (5, None, big, 0), (3, "v", big, 0), (4, "w", "small", 0), (6, "w", "small", 0), (None, "n", None, 0), (8, "é", "WARC/1.1\r\n\r\n", 0)], "page_id long, url string, html string, payload int")
