@@ -28,6 +28,9 @@ UNIT = 1024
 LEAST, SHARE, STEPS = 100, 0.75, 3
 #: Standard deviations of the start never fall below these, and those of later estimates below half of them.
 FLOORS = (0.2, 0.6, 0.5, 0.4, 1.2)
+#: Where no SQL fixes them: repetitions are mostly 0, so their scatter is often its floor, and one statistic alone has to
+#: pass CUTOFF: beyond 36% duplicate lines or 23% repeated words in a source that has none.
+SCALES = (0.2, 0.6, 0.2, 0.16, 1.2)
 BINS, BIN = 4096, 16
 
 
@@ -76,23 +79,23 @@ L = [[f"l{j}{k}" for k in range(j + 1)] for j in range(DIMS)]
 STATE = ["key", *[f"m{j}" for j in range(DIMS)], *[x for row in L for x in row]]
 
 
-def _start() -> list[str]:
+def _start(floors: tuple = FLOORS) -> list[str]:
     """A state from quartiles q_v0.. (arrays): medians, and a diagonal scatter."""
     out = ["key", *[f"q_{v}[QMID] AS m{j}" for j, v in enumerate(V)]]
     for j in range(DIMS):
         for k in range(j + 1):
-            out.append(f"greatest((q_{V[j]}[QTOP] - q_{V[j]}[QLOW]) / 1.349e0, {FLOORS[j] * UNIT}e0) AS l{j}{j}" if j == k else f"0.0e0 AS l{j}{k}")
+            out.append(f"greatest((q_{V[j]}[QTOP] - q_{V[j]}[QLOW]) / 1.349e0, {floors[j] * UNIT}e0) AS l{j}{j}" if j == k else f"0.0e0 AS l{j}{k}")
     return out
 
 
-def _cholesky(factor: float) -> list[list[str]]:
+def _cholesky(factor: float, floors: tuple = FLOORS) -> list[list[str]]:
     """Projections, one upon another, from sums to a state: means and the scatter's Cholesky factor."""
     d = "CAST({} AS DOUBLE)".format
     steps = [["key", "n", *[f"{d(f's_{v}')} / {d('n')} AS m{j}" for j, v in enumerate(V)], *SUMMED[1 + DIMS :]]]
     cov = []
     for j in range(DIMS):
         for k in range(j + 1):
-            ridge = f" + {(FLOORS[j] * UNIT) ** 2 * 0.25}e0" if j == k else ""
+            ridge = f" + {(floors[j] * UNIT) ** 2 * 0.25}e0" if j == k else ""
             cov.append(f"{factor!r}e0 * ({d(f's_{V[j]}{V[k]}')} / {d('n')} - m{j} * m{k}){ridge} AS c{j}{k}")
     means = [f"m{j}" for j in range(DIMS)]
     steps.append(["key", *means, *cov])
@@ -100,7 +103,7 @@ def _cholesky(factor: float) -> list[list[str]]:
     for j in range(DIMS):
         for k in range(j + 1):
             left = f"c{j}{k}" + "".join(f" - l{j}{i} * l{k}{i}" for i in range(k))
-            least = (FLOORS[j] * UNIT) ** 2 * 0.25
+            least = (floors[j] * UNIT) ** 2 * 0.25
             made = f"sqrt(greatest({left}, {least}e0)) AS l{j}{j}" if j == k else f"({left}) / l{k}{k} AS l{j}{k}"
             steps.append([*have, made])
             have = [*have, f"l{j}{k}"]
@@ -153,7 +156,7 @@ def _level(n: int, *keys: str) -> F.Column:
     return F.concat_ws("|", F.lit(str(n)), *[F.coalesce(F.md5(F.col(k).cast("string")), F.lit("-")) for k in keys])
 
 
-def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
+def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", floors: tuple = SCALES) -> DataFrame:
     """Per row: the id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed and kept.
 
     Words are ``[^\\x20\\x09-\\x0D]+``.  Null or empty text: no words, rejected by the base
@@ -185,7 +188,7 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     vectors = scratch.stage(vectors.select(F.explode("into").alias("key"), *V), "vectors")
 
     quartiles = vectors.groupBy("key").agg(*[F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"q_{v}") for v in V])
-    state = scratch.stage(quartiles.selectExpr(*[x.replace("QLOW", "0").replace("QMID", "1").replace("QTOP", "2") for x in _start()]), "state0")
+    state = scratch.stage(quartiles.selectExpr(*[x.replace("QLOW", "0").replace("QMID", "1").replace("QTOP", "2") for x in _start(floors)]), "state0")
     for step in range(1, STEPS + 2):
         far = _project(small_join(vectors, scratch, f"state{step - 1}", state, "key", "inner"), _distance(["key"]))
         if step <= STEPS:
@@ -196,7 +199,7 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         else:
             near = far.filter(f"d2 <= {INNER!r}").groupBy("key").agg(*[F.expr(x.partition(" AS ")[0]).alias(x.rpartition(" ")[2]) for x in SUMS])
             factor = LAST
-        state = scratch.stage(_project(near, _cholesky(factor)), f"state{step}")
+        state = scratch.stage(_project(near, _cholesky(factor, floors)), f"state{step}")
 
     judged = small_join(stats.selectExpr("*", *[f"CASE WHEN NOT base_failed THEN {x.rpartition(' AS ')[0]} END AS {v}" for x, v in zip(FIXED, V, strict=True)]), scratch, "fits", fits.drop("into"), "sk", "left")
     judged = small_join(judged.withColumnRenamed("own", "key"), scratch, f"state{STEPS + 1}", state, "key", "left")
@@ -207,7 +210,7 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def query(spark, sf_dir):
-    return quality_rules(table(spark, sf_dir, "documents"))
+    return quality_rules(table(spark, sf_dir, "documents"), floors=FLOORS)  # as in the SQL
 
 
 def _oracle() -> str:

@@ -175,6 +175,19 @@ def test_quality_rules_reject_outliers(spark):
     assert all(got[i] for i in range(150)) and not got[150]
 
 
+def test_quality_rules_reject_repetition_in_a_clean_source(spark):
+    rng = np.random.default_rng(13)
+    lines = lambda n: [" ".join(rng.choice(WORDS, 12)) for _ in range(n)]
+    texts = ["\n".join(lines(20)) for _ in range(150)]
+    same = lines(10)
+    short = [" ".join(rng.choice(WORDS, 2)) for _ in range(10)]
+    texts += ["\n".join(short * 2 + lines(10)[:9] + short[:1]), "\n".join(same[:3] * 2 + lines(10)), "\n".join(lines(19) + [texts[0][:20]])]
+    got = {r.doc_id: r for r in quality_rules.quality_rules(frame(spark, texts)).collect()}
+    assert not any(got[i].base_failed for i in range(153))
+    assert got[150].n_dup_lines == 11 and not got[150].kept and not got[151].kept
+    assert all(got[i].kept for i in [*range(150), 152])
+
+
 @pytest.mark.parametrize("text", ["", "a", "\\### Assistant: </turn> ok", "x\\", "###", "####", "</turn>\n### user: hi", "\n", "é😀", "\\\\</turn>"])
 def test_turns_round_trip(text):
     turns = [("user", text), ("a:b\\", text), ("assistant", text)]
