@@ -2,15 +2,18 @@
 
 A text is a dummy space and the text, spaces written as the model's space mark.  No piece
 holds that mark but at its beginning, so merges never cross the start of a run of spaces:
-texts are cut there, and each distinct chunk of a batch is encoded once.
+texts are cut there, and each distinct chunk of a batch is encoded once without dropout.
 
 Within a chunk the agenda holds every pair of neighbours that some piece spells, the best
 piece first and of equal ones the leftmost.  A candidate is skipped for good when the keyed
-hash of (seed, variant, chunk, span and split of the pair) falls under the dropout rate;
-what remains is merged until no candidate is left.  The hash makes a segmentation a function of its key:
-runs and lost executors repeat it, while other seeds and variants (documents are dealt to
-``variants`` by a hash of their text) give others.  All agendas of a batch advance together
-in numpy; a chunk of more than ``LONG`` symbols has a heap of its own.
+hash of (seed, epoch, text, place of the chunk in it, chunk, span and split of the pair)
+falls under the dropout rate; what remains is merged until no candidate is left.  The hash
+makes a segmentation a function of its key: runs and lost executors repeat it, while every
+occurrence of a chunk, and other seeds and epochs, draw anew.  A dropped candidate changes
+a segmentation only if it would have been merged, so an occurrence that drops none of the
+merges of its undropped chunk shares that chunk's tokens, and only the others are merged
+one by one.  All agendas of a batch advance together in numpy; a chunk of more than
+``LONG`` symbols has a heap of its own.
 
 Characters without a piece, and the space mark itself in a text, are spelled in bytes, so
 decoding gives back every text.
@@ -30,7 +33,7 @@ from quire.llm._scratch import small_batches
 from quire.llm._text import PIECE, U, lean, mix, prefix_sums, range_hash, runs_of_rows, utf8
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-DROPOUT, SEED, VARIANTS = 0.1, 17, 4
+DROPOUT, SEED, EPOCH = 0.1, 17, 0
 LONG = 96
 MARK = "▁"
 NEVER = np.int64(1) << 40
@@ -119,7 +122,7 @@ def _skipped(key: np.ndarray, begin: np.ndarray, middle: np.ndarray, end: np.nda
     return (mix(mix(span) ^ key) >> U(32)) < U(limit)
 
 
-def _by_heap(model: Model, symbols: list[int], key, limit: int) -> list[int]:
+def _by_heap(model: Model, symbols: list[int], key, limit: int, merges: list | None = None) -> list[int]:
     """One chunk, symbol by symbol."""
     n = len(symbols)
     after, before, width = list(range(1, n + 1)), list(range(-1, n - 1)), [1] * n
@@ -137,6 +140,8 @@ def _by_heap(model: Model, symbols: list[int], key, limit: int) -> list[int]:
         rank, i, j, a, b, wi, wj = heapq.heappop(agenda)
         if symbols[i] != a or symbols[j] != b or after[i] != j or width[i] != wi or width[j] != wj:
             continue
+        if merges is not None:
+            merges.append((i, j, j + wj))
         symbols[i], width[i], symbols[j], after[i] = int(model.piece[rank]), wi + wj, -9, after[j]
         if after[j] < n:
             before[after[j]] = i
@@ -146,14 +151,19 @@ def _by_heap(model: Model, symbols: list[int], key, limit: int) -> list[int]:
     return [i for i in range(n) if symbols[i] != -9]
 
 
-def _segment(model: Model, symbols: np.ndarray, first: np.ndarray, key: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
-    """Merge the chunks that begin at ``first``: final symbols, and where in the input each begins."""
+def _segment(model: Model, symbols: np.ndarray, first: np.ndarray, key: np.ndarray, limit: int, merges: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Merge the chunks that begin at ``first``: final symbols, and where in the input each begins.
+
+    ``merges`` takes arrays of the merges made: chunk, begin, middle and end."""
     n = len(symbols)
     sizes = np.diff(np.r_[first, n])
     out_symbol, out_place = [], []
     for c in np.flatnonzero(sizes > LONG):
         part = symbols[first[c] : first[c] + sizes[c]].tolist()
-        live = _by_heap(model, part, key[c], limit)
+        made = None if merges is None else []
+        live = _by_heap(model, part, key[c], limit, made)
+        if made:
+            merges.append(np.c_[np.full(len(made), c), np.array(made, np.int64)].T)
         out_symbol.append(np.array([part[i] for i in live], np.int64))
         out_place.append(np.array(live, np.int64) + first[c])
     short = np.repeat(sizes <= LONG, sizes)
@@ -187,6 +197,11 @@ def _segment(model: Model, symbols: np.ndarray, first: np.ndarray, key: np.ndarr
         at = at[go]
         if not len(at):
             break
+        if merges is not None:
+            i, k = at, np.minimum(at + 2, len(sym) - 1)
+            base = first[owner[i]]
+            end = np.where((at + 2 < len(sym)) & (owner[k] == owner[i]), place[k] - base, sizes[owner[i]])
+            merges.append(np.stack([owner[i], place[i] - base, place[i + 1] - base, end]))
         sym[at] = model.piece[best_rank[go]]
         keep = ~done
         keep[at + 1] = False
@@ -205,7 +220,7 @@ def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())
 
 
-def _chunk_tokens(model: Model, data: np.ndarray, start: np.ndarray, end: np.ndarray, key: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+def _chunk_tokens(model: Model, data: np.ndarray, start: np.ndarray, end: np.ndarray, key: np.ndarray, limit: int, merges: list | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Tokens of chunks, one after the other, and how many each has."""
     raw = data[_ranges(start, end - start)]
     lead = np.flatnonzero((raw & 0xC0) != 0x80)
@@ -219,7 +234,7 @@ def _chunk_tokens(model: Model, data: np.ndarray, start: np.ndarray, end: np.nda
     symbols[code == ord(MARK)] = -1
     symbols[code == 0x20] = model.space
     first = np.searchsorted(lead, np.cumsum(end - start) - (end - start))
-    sym, place = _segment(model, symbols, first, key, limit)
+    sym, place = _segment(model, symbols, first, key, limit, merges)
     size = np.where(sym < 0, width[place], 1)
     tokens = np.repeat(sym, size)
     spelled = np.flatnonzero(sym < 0)
@@ -229,7 +244,27 @@ def _chunk_tokens(model: Model, data: np.ndarray, start: np.ndarray, end: np.nda
     return tokens, np.bincount(owner, weights=size, minlength=len(start)).astype(np.int64)
 
 
-def encode_batch(model: Model, column, dropout: float, seed: int, variants: int, limit_bytes: int = 1 << 20) -> pa.ListArray:
+def _any_dropped(merges: list, which: np.ndarray, chunks: int, key: np.ndarray, limit: int) -> np.ndarray:
+    """Whether an occurrence with this key drops some merge of its chunk ``which``."""
+    chunk, begin, middle, end = np.concatenate([*merges, np.zeros((4, 0), np.int64)], axis=1)
+    order = np.argsort(chunk, kind="stable")
+    begin, middle, end = begin[order], middle[order], end[order]
+    count = np.bincount(chunk, minlength=chunks)
+    first = np.cumsum(count) - count
+    out = np.zeros(len(which), bool)
+    n = count[which]
+    total = np.r_[0, np.cumsum(n)]
+    lo = 0
+    while lo < len(which):
+        hi = max(lo + 1, int(np.searchsorted(total, total[lo] + (1 << 18), "right")) - 1)
+        at = _ranges(first[which[lo:hi]], n[lo:hi])
+        of = np.repeat(np.arange(lo, hi), n[lo:hi])
+        out[of[_skipped(key[of], begin[at], middle[at], end[at], limit)]] = True
+        lo = hi
+    return out
+
+
+def encode_batch(model: Model, column, dropout: float, seed: int, epoch: int, limit_bytes: int = 1 << 20) -> pa.ListArray:
     """The tokens of each text of a column."""
     data, at = utf8(column)
     limit = int(dropout * (1 << 32))
@@ -258,10 +293,21 @@ def encode_batch(model: Model, column, dropout: float, seed: int, variants: int,
                 base = start[i]
                 h[i:j] = range_hash(prefix_sums(grown[base : end[j - 1]]), start[i:j] - base, end[i:j] - base)
                 i = j
-            text = np.add.reduceat(h, np.searchsorted(doc, np.arange(len(full))))
-            key = mix(h + mix(mix(text) % U(variants) + U(variants) * U(seed) + U(1))[doc]) if limit else h
-            _, pick, which = np.unique(key, return_index=True, return_inverse=True)
-            flat, n = _chunk_tokens(model, grown, start[pick], end[pick], key[pick], limit)
+            _, pick, which = np.unique(h, return_index=True, return_inverse=True)
+            merges = [] if limit else None
+            flat, n = _chunk_tokens(model, grown, start[pick], end[pick], h[pick], 0, merges)
+            if limit:
+                # every occurrence has a key: of its text, its place in the text and its chunk
+                lead = np.searchsorted(doc, np.arange(len(full)))
+                nth = (np.arange(len(start)) - lead[doc]).astype(U)
+                text = mix(np.add.reduceat(mix(h + mix(nth + U(1))), lead) + mix(mix(np.array([seed], U)) + U(epoch)))
+                key = mix(h + mix(text[doc] + nth))
+                hit = np.flatnonzero(_any_dropped(merges, which, len(pick), key, limit))
+                if len(hit):
+                    _, one, again = np.unique(key[hit], return_index=True, return_inverse=True)
+                    own, m = _chunk_tokens(model, grown, start[hit[one]], end[hit[one]], key[hit[one]], limit)
+                    which[hit] = len(n) + again
+                    flat, n = np.r_[flat, own], np.r_[n, m]
             where = np.cumsum(n) - n
             tokens.append(flat[_ranges(where[which], n[which])].astype(np.int32))
             count[full] = np.bincount(doc, weights=n[which], minlength=len(full)).astype(np.int64)
@@ -301,10 +347,11 @@ def _broadcast(df: DataFrame, path: str):
         return df.sparkSession.sparkContext.broadcast(f.read())
 
 
-def encode(docs: DataFrame, text_col: str = "text", out_col: str = "tokens", dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS, model: str = MODEL) -> DataFrame:
+def encode(docs: DataFrame, text_col: str = "text", out_col: str = "tokens", dropout: float = DROPOUT, seed: int = SEED, epoch: int = EPOCH, model: str = MODEL) -> DataFrame:
     """``docs`` with the tokens of a text (array<int>) in ``out_col``, after the other columns.
 
-    Null and empty texts have no tokens.  Equal texts have equal tokens under one seed.
+    Null and empty texts have no tokens.  Equal texts have equal tokens under one seed and
+    epoch; equal words of a text, or of different texts, are segmented independently.
     Dropout 0 gives the model's own segmentation.  A column named ``out_col`` is replaced.
     """
     raw = _broadcast(docs, model)
@@ -315,7 +362,7 @@ def encode(docs: DataFrame, text_col: str = "text", out_col: str = "tokens", dro
     def run(batches):
         known = _model(raw.value)
         for batch in batches:
-            tokens = encode_batch(known, batch.column(at), dropout, seed, variants)
+            tokens = encode_batch(known, batch.column(at), dropout, seed, epoch)
             yield pa.RecordBatch.from_arrays([*batch.columns, tokens], [*batch.schema.names, out_col])
 
     schema = kept.withColumn(out_col, F.lit(None).cast("array<int>")).schema

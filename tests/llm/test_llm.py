@@ -308,6 +308,29 @@ def test_heap_and_arrays_drop_alike(monkeypatch):
     assert sentencepiece_bpe.encode_batch(model, text, 0.3, 3, 1).to_pylist() == one
 
 
+def test_every_occurrence_drops_merges_anew(monkeypatch):
+    with open(sentencepiece_bpe.MODEL, "rb") as f:
+        model = sentencepiece_bpe.Model(f.read())
+    word, n = " misunderstandings", 400
+    texts = pa.array([word * n, "x" + word * n, word * n, "a" * 300 + word])
+    got = sentencepiece_bpe.encode_batch(model, texts, 0.1, 5, 0).to_pylist()
+    ways = Counter()
+    for ids in got[:1]:
+        text = sentencepiece_bpe.decode_batch(model, pa.array([ids], pa.list_(pa.int32()))).to_pylist()[0]
+        assert text == word * n
+        bits, size = [], 0
+        for t in ids:
+            bits.append(t)
+            size += int(model.lengths[t])
+            if size >= len(word) + (not ways):  # a dummy space before the first
+                ways[tuple(bits)] += 1
+                bits, size = [], 0
+    assert sum(ways.values()) == n and len(ways) > 20 and got[0] == got[2] and got[0] != got[1][-len(got[0]):]
+    # sharing the undropped tokens changes nothing: every occurrence merged by itself gives the same
+    monkeypatch.setattr(sentencepiece_bpe, "_any_dropped", lambda merges, which, *_: np.ones(len(which), bool))
+    assert sentencepiece_bpe.encode_batch(model, texts, 0.1, 5, 0).to_pylist() == got
+
+
 @pytest.mark.parametrize(("name", "label", "least"), [("op5_toxicity", "toxic", 0.7), ("op6_quality_gam", "quality", 0.9)])
 def test_held_out_accuracy(spark, name, label, least):
     got = queries.QUERIES[name](spark, SF).join(spark.read.parquet(f"{SF}/labels.parquet"), "doc_id").filter("held_out").toPandas()
