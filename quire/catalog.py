@@ -162,13 +162,13 @@ _LANG = (
 @query(f"WITH {_LANG} SELECT doc_id, lang_found, round(share, 6) AS share FROM g")
 def lang_detect(spark, d):
     """The language of each document by its function words."""
-    return L.detect(docs(spark, d)).select("doc_id", "lang_found", F.round("share", 6).alias("share"))
+    return L.detect(docs(spark, d), only=L.QUERIED).select("doc_id", "lang_found", F.round("share", 6).alias("share"))
 
 
 @query(f"WITH {_LANG} SELECT lang, lang_found, count(*) AS n_docs FROM g GROUP BY lang, lang_found")
 def lang_confusion(spark, d):
     """Declared against found languages."""
-    return L.detect(docs(spark, d)).groupBy("lang", "lang_found").agg(F.count("*").alias("n_docs"))
+    return L.detect(docs(spark, d), only=L.QUERIED).groupBy("lang", "lang_found").agg(F.count("*").alias("n_docs"))
 
 
 @query(
@@ -178,7 +178,7 @@ SELECT source, count(*) AS sampled, round(avg(CASE WHEN lang_found = 'en' THEN 1
 def target_share(spark, d):
     """The share of an even sample that is in the target language already."""
     w = Window.partitionBy("source")
-    s = L.detect(docs(spark, d)).filter(F.length("text") > 60).withColumn("r", F.row_number().over(w.orderBy("doc_id")) - 1).withColumn("n", F.count("*").over(w))
+    s = L.detect(docs(spark, d), only=L.QUERIED).filter(F.length("text") > 60).withColumn("r", F.row_number().over(w.orderBy("doc_id")) - 1).withColumn("n", F.count("*").over(w))
     s = s.filter(F.expr("r % greatest(1, n div 400) = 0"))
     return s.groupBy("source").agg(F.count("*").alias("sampled"), F.round(F.avg(F.when(F.col("lang_found") == "en", 1.0).otherwise(0.0)), 6).alias("share_en"))
 

@@ -14,7 +14,18 @@ MARKERS = {
     "es": ("el", "los", "las", "y", "que", "en", "un", "una", "por", "con", "para", "del", "se", "no", "su"),
     "fr": ("le", "les", "et", "des", "une", "est", "dans", "que", "qui", "pour", "pas", "sur", "par", "au", "du"),
 }
+#: Further languages, beside those that the queries' SQL knows.
+MORE = {
+    "it": ("il", "la", "le", "e", "di", "che", "in", "un", "una", "per", "con", "non", "è", "sono"),
+    "pl": ("i", "w", "nie", "na", "że", "to", "się", "jest", "do", "z", "za", "jak", "ale", "był"),
+    "ru": ("и", "в", "не", "на", "что", "он", "она", "как", "это", "то", "же", "бы", "был", "была", "для", "его", "её", "их", "мы", "вы"),
+    "uk": ("і", "та", "не", "на", "що", "він", "вона", "як", "це", "для", "його", "її", "їх", "ми", "ви", "був", "була"),
+}
+#: The languages of the queries: it and pl share words with those of their SQL, and would take texts from them.
+QUERIED = (*MARKERS, "ru", "uk")
 SAMPLE = 200_000
+#: Characters of languages that are told by script, not by words.
+HANGUL, KANA, HAN = "[가-힯]", "[぀-ヿ]", "[一-鿿]"
 #: Scripts by their ranges.
 SCRIPTS = {"cyrillic": r"Ѐ-ӿ", "greek": r"Ͱ-Ͽ", "han": r"一-鿿", "kana": r"぀-ヿ", "latin": r"A-Za-zÀ-ɏ"}
 
@@ -24,17 +35,29 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.substring(text, 1, SAMPLE)), r"[^\p{L}]+"), lambda w: w != "")
 
 
-def detect(df: DataFrame, text: str = "text", th: Thresholds = T) -> DataFrame:
-    """Adds lang_found and share: the language whose markers fill most of the text, null under the least share.
+def by_script(text: Column) -> Column:
+    """(code, share) of a sample in Korean, Japanese or Chinese script, else null."""
+    t = F.substring(text, 1, SAMPLE)
+    share = lambda chars: F.regexp_count(t, F.lit(chars)) / F.greatest(F.length(t), F.lit(1))
+    found = lambda code, c: F.struct(F.lit(code).alias("code"), c.alias("share"))
+    hangul, kana, han = share(HANGUL), share(KANA), share(HAN)
+    return F.when(hangul > 0.15, found("ko", hangul)).when(kana > 0.04, found("ja", kana + han)).when(han > 0.15, found("zh", han))
+
+
+def detect(df: DataFrame, text: str = "text", th: Thresholds = T, only: tuple = (*MARKERS, *MORE)) -> DataFrame:
+    """Adds lang_found and share: the language of the script, or else that whose markers fill most of the sample, null under the least share.
 
-    Ties go to the first language by name."""
+    Ties go to the first language by name, of those in MARKERS before those in MORE; words tell those in ``only``."""
+    languages = [(code, ws) for code, ws in [*sorted(MARKERS.items()), *sorted(MORE.items())] if code in only]
     df = df.withColumn("_w", tokens(F.col(text)))
     n = F.greatest(F.size("_w"), F.lit(1))
     count = lambda ws: F.size(F.filter("_w", lambda w: w.isin(*ws)))
-    df = df.withColumn("_c", F.array(*[F.struct(count(ws).alias("c"), F.lit(-i).alias("i"), F.lit(code).alias("code")) for i, (code, ws) in enumerate(sorted(MARKERS.items()))]))
+    df = df.withColumn("_c", F.array(*[F.struct(count(ws).alias("c"), F.lit(-i).alias("i"), F.lit(code).alias("code")) for i, (code, ws) in enumerate(languages)]))
     best = F.array_max("_c")
     share = best["c"] / n
-    return df.withColumn("share", share).withColumn("lang_found", F.when(share >= th.min_share, best["code"])).drop("_w", "_c")
+    df = df.withColumn("_s", by_script(F.col(text)))
+    code = F.coalesce(F.col("_s.code"), F.when(share >= th.min_share, best["code"]))
+    return df.withColumn("lang_found", code).withColumn("share", F.coalesce(F.col("_s.share"), share)).drop("_w", "_c", "_s")
 
 
 def script_counts(text: Column) -> Column:

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import similarity
 from quire.functions import text as X
-from quire.operators import joins, sequence
+from quire.operators import joins, language, sequence
 from quire.plans import answers, packing, passes
 from quire.sinks import writers
 from quire.sources import books, encoding, html
@@ -205,3 +205,23 @@ def test_stream_keeps_latest(spark, tmp_path):
     stream = spark.readStream.schema("k int, at int, v string").parquet(src)
     incremental.keep_latest(stream, ["k"], "at", str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     assert {(r.k, r.v) for r in incremental.latest_view(spark, str(tmp_path / "out"), ["k"], "at").collect()} == {(1, "c"), (2, "z")}
+
+
+@pytest.mark.parametrize(
+    ("text", "code"),
+    [
+        ("한국어 문장은 이렇게 씁니다", "ko"),
+        ("これは日本語の文章です", "ja"),
+        ("这是一个中文句子", "zh"),
+        ("он не был там и это не то что мы знаем", "ru"),
+        ("він не був там і це не те що ми знаємо", "uk"),
+        ("il libro che non è per una persona di città", "it"),
+        ("to nie jest tak jak się zdaje ale był w domu", "pl"),
+        ("the end of the day and 日本", "en"),
+        ("der Tag ist nicht mit dem Abend", "de"),
+        ("xyzzy", None),
+        (None, None),
+    ],
+)
+def test_detect(spark, text, code):
+    assert language.detect(spark.createDataFrame([(text,)], "text string")).first().lang_found == code
