@@ -61,12 +61,14 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, n_tokens and the tokens of the text."""
-    rows = sentencepiece_bpe.encode(docs.select("doc_id", "lang", "source", "text"))
-    return rows.select("doc_id", "lang", "source", F.size("tokens").cast("long").alias("n_tokens"), "tokens")
+    """doc_id, lang, source, n_tokens, the tokens of the text, and of what they decode to the digest and whether it is the text."""
+    rows = sentencepiece_bpe.decode(sentencepiece_bpe.encode(docs.select("doc_id", "lang", "source", "text")))
+    decoded = F.col("decoded")
+    lossless = (decoded == F.coalesce("text", F.lit(""))).alias("lossless")
+    return rows.select("doc_id", "lang", "source", F.size("tokens").cast("long").alias("n_tokens"), "tokens", F.sha2(decoded, 256).alias("decoded_sha256"), lossless)
 
 
-STAGES = [("quality rules", quality), ("n-gram Jaccard join", near_copies), ("suffix-array dedup", repeats), ("mixing", mixture), ("SentencePiece encoding", tokens)]
+STAGES = [("quality rules", quality), ("n-gram Jaccard join", near_copies), ("suffix-array dedup", repeats), ("mixing", mixture), ("SentencePiece encoding and decoding", tokens)]
 
 #: Stages 4, 7 and 10 have no SQL of use; tests hold run() against a brute-force version.
 ORACLE_SQL = None

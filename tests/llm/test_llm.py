@@ -423,6 +423,16 @@ def test_pipeline_against_plain_versions(spark, tmp_path):
     assert {r.doc_id: r.decoded.encode() for r in back.collect()} == {r.doc_id: want[r.doc_id] for r in some.collect()}
 
 
+def test_last_stage_decodes(spark, monkeypatch):
+    docs = frame(spark, ["a  b\n ▁é", "", None, "x"])
+    got = {r.doc_id: r for r in corpus_pipeline.tokens(spark, docs, "").collect()}
+    assert all(r.lossless for r in got.values()) and got[2].n_tokens == 0
+    assert got[0].decoded_sha256 == hashlib.sha256("a  b\n ▁é".encode()).hexdigest()
+    whole = sentencepiece_bpe.encode
+    monkeypatch.setattr(sentencepiece_bpe, "encode", lambda d: whole(d).withColumn("tokens", F.expr("slice(tokens, 1, greatest(size(tokens) - 1, 0))")))
+    assert [r.doc_id for r in corpus_pipeline.tokens(spark, docs, "").filter("not lossless").collect()] == [0, 3]
+
+
 def test_digest_of_kept_bytes(spark):
     got = suffix_dedup.query(spark, SF).filter("n_removed = 0").limit(3).collect()
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
