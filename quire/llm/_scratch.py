@@ -18,10 +18,12 @@ _OWN: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``, or one of our own where it is unset."""
+    """The folder in ``spark.checkpoint.dir``; in local mode one of our own where it is unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not _OWN:
         _OWN.append("file://" + tempfile.mkdtemp(prefix="quire-"))
     return _OWN[0]
@@ -61,10 +63,28 @@ class Scratch:
         where = jvm.org.apache.hadoop.fs.Path(path)
         return where.getFileSystem(self.spark._jsc.hadoopConfiguration()), where
 
-    def size(self, name: str) -> int:
-        """Bytes of a staged table on disk."""
+    def fits(self, name: str, most: int) -> bool:
+        """Whether the rows of a staged table take at most ``most`` bytes in memory.
+
+        Counted are the values before compression, by the footers of the files, and eight
+        bytes for each field, as repeated values are encoded.
+        """
         fs, where = self._fs(self.path(name))
-        return int(fs.getContentSummary(where).getLength())
+        if int(fs.getContentSummary(where).getLength()) > most:
+            return False
+        jvm, conf, total = self.spark._jvm, self.spark._jsc.hadoopConfiguration(), 0
+        for status in fs.listStatus(where):
+            if status.getPath().getName().endswith(".parquet"):
+                reader = jvm.org.apache.parquet.hadoop.ParquetFileReader.open(jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromStatus(status, conf))
+                try:
+                    fields = reader.getFileMetaData().getSchema().getFieldCount()
+                    blocks = reader.getFooter().getBlocks()
+                    total += sum(blocks.get(i).getTotalByteSize() + 8 * fields * blocks.get(i).getRowCount() for i in range(blocks.size()))
+                finally:
+                    reader.close()
+            if total > most:
+                return False
+        return True
 
     def drop(self, *names: str) -> None:
         """Delete staged tables that nothing reads any more; all of them without names."""
@@ -77,13 +97,13 @@ class Scratch:
                     raise RuntimeError(f"cannot delete {path}") from why
 
 
-#: A staged table up to this many bytes of Parquet may be broadcast.
-BROADCAST_BYTES = 8 << 20
+#: A staged table up to this many bytes in memory may be broadcast.
+BROADCAST_BYTES = 16 << 20
 
 
 def small_join(left: DataFrame, scratch: Scratch, name: str, right: DataFrame, on, how: str) -> DataFrame:
     """Join with staged table ``name``: broadcast behind a check of its size, else by shuffle."""
-    if scratch.size(name) <= BROADCAST_BYTES:
+    if scratch.fits(name, BROADCAST_BYTES):
         right = right.hint("broadcast")
     else:
         right = right.hint("merge")  # sort-merge: spills, and adaptive execution splits hot keys

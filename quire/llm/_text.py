@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import functools
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,7 +12,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U = np.uint64
-#: Odd base of the polynomial hash modulo 2**64, and its inverse.
+#: Odd base of the rolling numbers modulo 2**64, and its inverse.
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 PIECE = 1 << 18
@@ -60,18 +61,79 @@ def mix(x: np.ndarray) -> np.ndarray:
 _LETTERS = mix(np.arange(1, 257, dtype=U) * U(0xD1342543DE82EF95))
 
 
-def prefix_sums(data: np.ndarray) -> np.ndarray:
-    """P with hash(i, j) = (P[j] - P[i]) * BASE**-i."""
-    up, _ = _powers(len(data) + 1)
-    out = np.zeros(len(data) + 1, U)
-    np.cumsum(_LETTERS[data] * up[: len(data)], out=out[1:])
-    return out
+def rolling(data: np.ndarray, width: int) -> np.ndarray:
+    """A number for every string of ``width`` bytes; equal strings have equal ones, but so may different ones.
+
+    A polynomial modulo 2**64 is quick to roll and collides on structured text, so it only
+    chooses and buckets; equality is never read from it.
+    """
+    up, down = _powers(len(data) + 1)
+    sums = np.zeros(len(data) + 1, U)
+    np.cumsum(_LETTERS[data] * up[: len(data)], out=sums[1:])
+    return mix((sums[width:] - sums[:-width]) * down[: len(data) - width + 1])
 
 
-def range_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hashes of byte ranges; equal ranges have equal hashes, others differ but for chance."""
-    _, down = _powers(len(sums))
-    return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(U) * U(0x632BE59BD9B4E019))
+def mix2(x: np.ndarray) -> np.ndarray:
+    """Another scrambling, for a second hash that shares nothing with the first (the finaliser of murmur3)."""
+    x = x ^ (x >> U(33))
+    x = x * U(0xFF51AFD7ED558CCD)
+    x ^= x >> U(33)
+    x *= U(0xC4CEB9FE1A85EC53)
+    x ^= x >> U(33)
+    return x
+
+
+#: Ranges of more bytes are digested one by one.
+BLOCKWISE = 512
+_HASHES = ((mix, 0x632BE59BD9B4E019), (mix2, 0x9E6C63D0676A9A99))
+
+
+def byte_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, both: bool = False) -> tuple[np.ndarray, ...]:
+    """64-bit hashes of byte ranges, one or two that share nothing.
+
+    Eight bytes at a time enter a state that is scrambled after each, so no algebra of the
+    text cancels out; long ranges have a BLAKE2b digest.
+    """
+    size = (end - start).astype(np.int64)
+    hashes = _HASHES if both else _HASHES[:1]
+    out = [f(size.astype(U) * U(0xD1342543DE82EF95) + U(seed)) for f, seed in hashes]
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    eight = np.ndarray((len(data) + 1,), "<u8", padded, 0, (1,))
+    live = np.flatnonzero((size > 0) & (size <= BLOCKWISE))
+    live = live[np.argsort(-size[live], kind="stable")] if len(live) and size[live].max() > 8 else live
+    falling = -size[live]
+    at = 0
+    while len(live):
+        left = size[live] - at
+        word = eight[start[live] + at]
+        short = left < 8
+        if short.any():
+            word = np.where(short, word & ((U(1) << (np.minimum(left, 7).astype(U) * U(8))) - U(1)), word)
+        for x, (f, _) in zip(out, hashes, strict=True):
+            x[live] = f(x[live] ^ word) + U(0x9E3779B97F4A7C15)
+        at += 8
+        live = live[: np.searchsorted(falling, -at, "left")]  # those of more than ``at`` bytes
+    for i in np.flatnonzero(size > BLOCKWISE):
+        digest = np.frombuffer(hashlib.blake2b(data[start[i] : end[i]].tobytes(), digest_size=16).digest(), "<u8")
+        for x, d in zip(out, digest, strict=False):
+            x[i] = d
+    return tuple(out)
+
+
+def same_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether ranges of equal sizes, from ``a`` and from ``b`` on, hold the same bytes."""
+    out = np.ones(len(a), bool)
+    total = np.r_[0, np.cumsum(size)]
+    lo = 0
+    while lo < len(a):
+        hi = max(lo + 1, int(np.searchsorted(total, total[lo] + (1 << 20), "right")) - 1)
+        n = size[lo:hi]
+        of = np.repeat(np.arange(lo, hi), n)
+        off = np.arange(int(n.sum())) - np.repeat(total[lo:hi] - total[lo], n)
+        out[of[data[a[of] + off] != data[b[of] + off]]] = False
+        lo = hi
+    return out
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -119,19 +181,6 @@ def words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return starts, np.flatnonzero(ends) + 1, np.searchsorted(at, starts, "right") - 1
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of words, made piece by piece so that memory doesn't follow the text."""
-    out = np.empty(len(starts), U)
-    i = 0
-    while i < len(starts):
-        j = max(i + 1, int(np.searchsorted(ends, starts[i] + PIECE, "right")))
-        base = starts[i]
-        sums = prefix_sums(data[base : ends[j - 1]])
-        out[i:j] = range_hash(sums, starts[i:j] - base, ends[i:j] - base)
-        i = j
-    return out
-
-
 def packed(bucket: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
     """Records by bucket: the buckets and, for each, its records as bytes."""
     if not len(rows):

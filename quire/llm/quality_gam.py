@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from quire.llm._frames import col, table
 from quire.llm._labels import fold, training_rows
 from quire.llm._scratch import small_batches
-from quire.llm._text import groups, lean, prefix_sums, range_hash, runs_of_rows, utf8, word_hashes, words
+from quire.llm._text import byte_hashes, groups, lean, runs_of_rows, utf8, words
 
 #: Training documents of each label.
 PER_CLASS = 10_000
@@ -44,7 +44,7 @@ def features(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     start, end, row = words(data, at)
     count = np.bincount(row, minlength=n)
     some = np.maximum(count, 1)
-    h = word_hashes(data, start, end)
+    (h,) = byte_hashes(data, start, end)
     order, first = groups(row, h)
     kinds = np.bincount(row[order[first]], minlength=n)
     often = np.zeros(n)
@@ -59,12 +59,7 @@ def features(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     begin, trimmed = begin[full], trimmed[full]
     line_row = np.searchsorted(at, begin, "right") - 1
     lines = np.bincount(line_row, minlength=n)
-    lh = np.empty(len(begin), np.uint64)
-    i = 0
-    while i < len(begin):
-        j = max(i + 1, int(np.searchsorted(trimmed, begin[i] + (1 << 20), "right")))
-        lh[i:j] = range_hash(prefix_sums(data[begin[i] : trimmed[j - 1]]), begin[i:j] - begin[i], trimmed[i:j] - begin[i])
-        i = j
+    (lh,) = byte_hashes(data, begin, trimmed)
     lo, lf = groups(line_row, lh)
     alone = np.bincount(line_row[lo[lf]], minlength=n)
     return np.stack(

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from quire.llm._frames import col, table
 from quire.llm._scratch import small_batches
-from quire.llm._text import PIECE, U, lean, mix, prefix_sums, range_hash, runs_of_rows, utf8
+from quire.llm._text import U, byte_hashes, lean, mix, runs_of_rows, same_bytes, utf8
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 DROPOUT, SEED, EPOCH = 0.1, 17, 0
@@ -244,6 +244,17 @@ def _chunk_tokens(model: Model, data: np.ndarray, start: np.ndarray, end: np.nda
     return tokens, np.bincount(owner, weights=size, minlength=len(start)).astype(np.int64)
 
 
+def _distinct(data: np.ndarray, start: np.ndarray, end: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One chunk of each kind, and the kind of every chunk; equal hashes are held against the bytes."""
+    _, pick, which = np.unique(h, return_index=True, return_inverse=True)
+    size = end - start
+    same = size == size[pick[which]]
+    some = np.flatnonzero(same & (pick[which] != np.arange(len(h))))
+    same[some] = same_bytes(data, start[some], start[pick[which[some]]], size[some])
+    odd = np.flatnonzero(~same)
+    return np.r_[pick, odd], np.where(same, which, len(pick) + np.cumsum(~same) - 1)
+
+
 def _any_dropped(merges: list, which: np.ndarray, chunks: int, key: np.ndarray, limit: int) -> np.ndarray:
     """Whether an occurrence with this key drops some merge of its chunk ``which``."""
     chunk, begin, middle, end = np.concatenate([*merges, np.zeros((4, 0), np.int64)], axis=1)
@@ -286,14 +297,8 @@ def encode_batch(model: Model, column, dropout: float, seed: int, epoch: int, li
             start = np.flatnonzero(cut)
             end = np.r_[start[1:], len(grown)]
             doc = np.searchsorted(begin, start, "right") - 1
-            h = np.empty(len(start), U)
-            i = 0
-            while i < len(start):
-                j = max(i + 1, int(np.searchsorted(end, start[i] + PIECE, "right")))
-                base = start[i]
-                h[i:j] = range_hash(prefix_sums(grown[base : end[j - 1]]), start[i:j] - base, end[i:j] - base)
-                i = j
-            _, pick, which = np.unique(h, return_index=True, return_inverse=True)
+            (h,) = byte_hashes(grown, start, end)
+            pick, which = _distinct(grown, start, end, h)
             merges = [] if limit else None
             flat, n = _chunk_tokens(model, grown, start[pick], end[pick], h[pick], 0, merges)
             if limit:
@@ -304,7 +309,7 @@ def encode_batch(model: Model, column, dropout: float, seed: int, epoch: int, li
                 key = mix(h + mix(text[doc] + nth))
                 hit = np.flatnonzero(_any_dropped(merges, which, len(pick), key, limit))
                 if len(hit):
-                    _, one, again = np.unique(key[hit], return_index=True, return_inverse=True)
+                    one, again = _distinct(grown, start[hit], end[hit], key[hit])
                     own, m = _chunk_tokens(model, grown, start[hit[one]], end[hit[one]], key[hit[one]], limit)
                     which[hit] = len(n) + again
                     flat, n = np.r_[flat, own], np.r_[n, m]

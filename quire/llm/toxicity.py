@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from quire.llm._frames import col, table
 from quire.llm._labels import fold, training_rows
 from quire.llm._scratch import small_batches
-from quire.llm._text import U, groups, lean, mix, prefix_sums, range_hash, runs_of_rows, utf8, words
+from quire.llm._text import U, byte_hashes, groups, lean, mix, runs_of_rows, utf8, words
 
 #: Training documents of each label, and the bytes that one may have.
 PER_CLASS, MOST_BYTES = 2400, 16 << 10
@@ -57,12 +57,7 @@ class Words:
         if not len(start):
             self.hashes, self.which, self.first, self.trigrams, self.pick = np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), start
             return
-        h = np.empty(len(start), U)
-        i = 0
-        while i < len(start):
-            j = max(i + 1, int(np.searchsorted(end, start[i] + (1 << 20), "right")))
-            h[i:j] = range_hash(prefix_sums(data[start[i] : end[j - 1]]), start[i:j] - start[i], end[i:j] - start[i])
-            i = j
+        (h,) = byte_hashes(data, start, end)
         self.hashes, pick, self.which = np.unique(h, return_index=True, return_inverse=True)
         size = end[pick] - start[pick]
         # each distinct word between two marks; a trigram begins at every byte but the last two

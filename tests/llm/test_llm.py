@@ -59,15 +59,39 @@ def test_suffix_dedup_is_exact(spark):
     assert got == dict(enumerate(cut_plainly(texts, suffix_dedup.LENGTH)))
 
 
-def test_suffix_dedup_of_crowds_and_pieces(spark, monkeypatch):
+@pytest.mark.parametrize("crowd", [2, 4, 16])
+def test_suffix_dedup_of_crowds_and_pieces(spark, crowd):
     rng = np.random.default_rng(2)
     text = lambda n: "".join(rng.choice(list("abcdef"), n))
     passage = text(260)
-    texts = [text(230) + passage + text(230) for _ in range(60)] + [text(700_000) + passage]
-    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffix_dedup.suffix_dedup(frame(spark, texts)).collect()}
+    texts = [text(230) + passage + text(230) for _ in range(60)] + [text(60_000 if crowd < 16 else 700_000) + passage]
+    # one byte too short to repeat, variants of it, and a long run
+    texts += [text(90) + passage[:199] + text(90) for _ in range(20)] + [text(50) + passage[: 180 + i] + text(100) for i in range(0, 80, 7)] + ["ab" * 700, "ba" * 300]
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffix_dedup.suffix_dedup(frame(spark, texts), crowd=crowd).collect()}
     assert got == dict(enumerate(cut_plainly(texts, suffix_dedup.LENGTH)))
 
 
+def test_windows_of_rows_are_read_from_their_bytes():
+    rng = np.random.default_rng(21)
+    base = rng.integers(97, 100, 60).astype(np.uint8)
+    digits = suffix_dedup.Digits(20, 8)
+    texts = []
+    for _ in range(300):
+        t = base.copy()
+        t[rng.integers(0, 60, 2)] = rng.integers(97, 100, 2)
+        texts.append(t)
+    # rows around one place, all dealt alike, though what they share differs
+    x = np.zeros(300, suffix_dedup.ROW)
+    x["k"], x["a"], x["s"] = np.arange(300), 30, 30 - rng.integers(0, 13, 300)
+    x["e"] = np.minimum(30, x["s"] + rng.integers(0, 13, 300))
+    off = np.arange(300) * 60 + x["s"]
+    got = suffix_dedup.merged(digits.windows(suffix_dedup.Rows(x, np.concatenate(texts), off, 0)))
+    held = Counter((s - 30, texts[i][s : s + 20].tobytes()) for i in range(300) for s in range(x["s"][i], x["e"][i] + 1))
+    want = [(i, s, s + 20) for i in range(300) for s in range(x["s"][i], x["e"][i] + 1) if held[s - 30, texts[i][s : s + 20].tobytes()] > 1]
+    want = suffix_dedup.merged(np.array(want, suffix_dedup.SPAN))
+    assert got.tolist() == want.tolist() and 0 < len(want)
+
+
 def test_suffix_dedup_with_null_and_repeated_ids(spark):
     texts = some_texts()
     ids = [None, None, 1, 1, 1, 1, 1, 2, 3, 3]
