@@ -7,11 +7,11 @@ ids follow the rules of the stage's operator.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm import jaccard_join, mixing, quality_rules, sentencepiece_bpe, suffix_dedup
-from quire.llm._frames import col, fresh, row_key, table
+from quire.llm._frames import col, fresh, keyed, table
 from quire.llm._scratch import Scratch, small_join
 
 
@@ -19,29 +19,35 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
     scratch = Scratch(spark, "pipeline")
     key = fresh(docs, "row_key")
-    keyed = docs.withColumn(key, row_key(docs, "doc_id", "text"))
-    judged = quality_rules.quality_rules(keyed.select(F.col(key).alias("id"), col(keyed, "text").alias("text"), col(keyed, "lang").alias("lang"), col(keyed, "source").alias("source")), id_col="id")
+    rows = keyed(docs, scratch, key, "doc_id", "text")
+    judged = quality_rules.quality_rules(rows.select(F.col(key).alias("id"), *[col(rows, c).alias(c) for c in ("text", "lang", "source")]), id_col="id")
     good = scratch.stage(judged.filter("kept").select(F.col("id").alias(key)).distinct(), "good")
-    return small_join(keyed, scratch, "good", good, key, "left_semi").select(*[col(docs, c) for c in docs.columns])
+    return small_join(rows, scratch, "good", good, key, "left_semi").select(*[F.col("`" + c + "`") for c in docs.columns])
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents that with the smallest id stays; of rows that repeat its id one."""
+    """Of each group of linked documents that with the smallest id stays.
+
+    Of rows that repeat its id that with the smallest row (text first, nulls first) stays.
+    Rows without an id link with nothing and stay.
+    """
     scratch = Scratch(spark, "pipeline")
     key = fresh(docs, "row_id")
     found = scratch.stage(jaccard_join.jaccard_join(docs).select(F.col("doc_id").alias(key), "component_id"), "found")
     gone = scratch.stage(found.filter(f"component_id <> {key}").select(key).distinct(), "gone")
-    keyed = docs.withColumn(key, col(docs, "doc_id"))
-    left = small_join(keyed, scratch, "gone", gone, key, "left_anti")
+    rows = docs.withColumn(key, col(docs, "doc_id"))
+    left = small_join(rows, scratch, "gone", gone, key, "left_anti")
     again = found.filter(f"{key} is not null and component_id = {key}").groupBy(key).count().filter("count > 1").select(key)
+    names = ["`" + c + "`" for c in docs.columns]
     if again.isEmpty():
-        return left.select(*[F.col("`" + c + "`") for c in docs.columns])
+        return left.select(*names)
     again = scratch.stage(again, "again")
     once = small_join(left, scratch, "again", again, key, "left_anti")
     many = small_join(left, scratch, "again", again, key, "left_semi")
-    place = fresh(many, "place")
-    first = many.withColumn(place, F.row_number().over(Window.partitionBy(key).orderBy("text"))).filter(F.col(place) == 1).drop(place)
-    return once.unionByName(first).select(*[F.col("`" + c + "`") for c in docs.columns])
+    # an aggregate with a partial one before the shuffle: no task holds the rows of an id
+    order = ["`text`"] + [c for c in names if c != "`text`"]
+    first = many.groupBy(key).agg(F.min(F.struct(*order)).alias("first_row")).select("first_row.*")
+    return once.select(*names).unionByName(first.select(*names))
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,10 +60,10 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A sample whose tokens have the target shares of sources, languages and topics."""
     scratch = Scratch(spark, "pipeline")
     key = fresh(docs, "row_key")
-    keyed = docs.withColumn(key, row_key(docs, "doc_id", "text"))
-    judged = mixing.mix(keyed.select(F.col(key).alias("k"), *[col(keyed, c).alias(c) for c in ("doc_id", "text", "lang", "source")]))
+    rows = keyed(docs, scratch, key, "doc_id", "text")
+    judged = mixing.mix(rows.select(F.col(key).alias("k"), *[col(rows, c).alias(c) for c in ("doc_id", "text", "lang", "source")]))
     chosen = scratch.stage(judged.filter("sampled").select(F.col("k").alias(key)).distinct(), "chosen")
-    return small_join(keyed, scratch, "chosen", chosen, key, "left_semi").select(*[F.col("`" + c + "`") for c in docs.columns])
+    return small_join(rows, scratch, "chosen", chosen, key, "left_semi").select(*[F.col("`" + c + "`") for c in docs.columns])
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
