@@ -1,12 +1,13 @@
 """Mixing of sources to target weights by iterative proportional fitting, in DataFrame functions only.
 
 Token counts by cell (source, language, topic) are raked: sweep by sweep the cells are
-scaled to the target share of each source, of each language and of each topic.  A document
-is then sampled with the calibrated probability min(1, budget * weight / tokens) of its
-cell.  Raking is bounded: a cell of which all tokens are taken is held there and the rest
-is raked to what remains; a margin's value with fewer tokens than its target is taken whole
-and the others share what it leaves.  ``margins`` holds targets against what is reached.
-The query itself cuts after plain raking, as its SQL does.  A draw is a hash of the seed and its id, so a run can be repeated anywhere.
+scaled to the target share of each source, of each language and of each topic, until the
+largest error of a margin is under ``TOLERANCE``.  A document is then sampled with the
+calibrated probability budget * weight / tokens of its cell.  Raking is bounded: a cell of
+which all tokens are taken is held there and the rest is raked to what remains; a margin's
+value with fewer tokens than its target is taken whole and the others share what it leaves.
+``margins`` holds targets against what is reached.  A draw is a hash of the seed and its
+id, so a run can be repeated anywhere.
 
 The cells are one aggregation of the corpus; all raking happens on that small table, and
 the probabilities come back by a join that is broadcast only if the table is small.
@@ -20,9 +21,10 @@ from pyspark.sql import functions as F
 from quire.llm._frames import col, fresh, table
 from quire.llm._scratch import Scratch, small_join
 
-#: Target share of a margin's value: its share of the tokens to this power, normalised.
+#: Where no targets are given, that of a margin's value is its share of the tokens to this power, normalised.
 EXPONENTS = {"source": 0.5, "lang": 0.7, "topic": 0.8}
 SWEEPS, BUDGET, SEED = 12, 0.5, "quire"
+TOLERANCE = 1e-10
 STAGED = 4
 #: Up to so many cells are raked in one task; more are spread by the margin at hand.
 ONE_TASK = 20_000
@@ -80,36 +82,57 @@ def _raked(m: str) -> Column:
     return F.when(now > goal, F.col("weight") * (goal / now)).otherwise(grown)
 
 
-def calibrated(cells: DataFrame, scratch: Scratch, exponents: dict[str, float], sweeps: int, budget: float, bounded: bool = True) -> DataFrame:
-    """From cells (source, lang, topic, tokens): the same with weight and probability."""
+def _wanted(m: str, had: Column, exponents: dict[str, float], targets: dict) -> Column:
+    """The target weight of a margin's value ``m``, before it is normalised; ``had`` is its share of the tokens."""
+    if m not in targets:
+        return F.pow(had, F.lit(exponents[m]))
+    told = [x for value, weight in targets[m].items() for x in (F.lit("-" if value is None else "+" + str(value)), F.lit(float(weight)))]
+    return F.coalesce(F.try_element_at(F.create_map(*told), F.col(m)), F.lit(0.0)) if told else F.lit(0.0)
+
+
+def calibrated(cells: DataFrame, scratch: Scratch, exponents: dict[str, float] = EXPONENTS, targets: dict | None = None, sweeps: int = SWEEPS, budget: float = BUDGET) -> DataFrame:
+    """From cells (source, lang, topic, tokens): those with a target, with weight and probability."""
     small = cells.count() <= ONE_TASK
     if small:
         cells = cells.coalesce(1)  # one task needs no shuffle for any margin
+    targets = targets or {}
     whole = float(cells.agg(F.sum("tokens")).first()[0] or 0)
+    for m in targets:
+        cells = cells.filter(_wanted(m, F.lit(0.0), exponents, targets) > 0)
     state = cells.withColumn("total", F.lit(whole))
-    for m, power in exponents.items():
-        goal = lambda had, p=power: F.pow(had.cast("double") / whole, F.lit(p))
-        goals = cells.groupBy(m).agg(goal(F.sum("tokens")).alias("goal")).agg(F.sum("goal")).first()[0] or 1.0
-        had = F.sum("tokens").over(Window.partitionBy(m))
-        state = state.withColumn(f"goal_{m}", goal(had) / goals)
-        if bounded and whole:
-            cap = lambda had: had.cast("double") / (whole * budget)
-            factor = _reachable(cells.groupBy(m).agg(F.sum("tokens").alias("had")).select((goal(F.col("had")) / goals).alias("goal"), cap(F.col("had")).alias("cap")))
-            state = state.withColumn(f"goal_{m}", F.least(cap(had), F.lit(factor) * F.col(f"goal_{m}")))
-    if bounded:
-        state = state.withColumn("bound", F.col("tokens") / (F.col("total") * F.lit(budget)))
+    for m in exponents if whole else ():
+        share = lambda had: had.cast("double") / whole
+        values = cells.groupBy(m).agg(share(F.sum("tokens")).alias("had")).select(_wanted(m, F.col("had"), exponents, targets).alias("goal"), (F.col("had") / budget).alias("cap"))
+        # a row of numbers for each margin is all that the driver sees
+        wanted = values.agg(F.sum("goal")).first()[0] or 1.0
+        factor = _reachable(values.withColumn("goal", F.col("goal") / wanted))
+        had = share(F.sum("tokens").over(Window.partitionBy(m)))
+        state = state.withColumn(f"goal_{m}", F.least(had / budget, F.lit(factor) * (_wanted(m, had, exponents, targets) / wanted)))
+    if not whole:
+        state = state.withColumns({f"goal_{m}": F.lit(0.0) for m in exponents})
+    state = state.withColumn("bound", F.col("tokens") / (F.col("total") * F.lit(budget)))
     state = scratch.stage(state.withColumn("weight", F.col("tokens") / F.col("total")), "goals")
     for sweep in range(sweeps):
         if small and sweep % STAGED == 0:
             state = state.coalesce(1)
         for m in exponents:
-            plain = F.col("weight") * (F.col(f"goal_{m}") / F.sum("weight").over(Window.partitionBy(m)))
-            state = state.withColumn("weight", _raked(m) if bounded else plain)
+            state = state.withColumn("weight", _raked(m))
         if sweep % STAGED == STAGED - 1 or sweep == sweeps - 1:
             state = scratch.stage(state, f"sweep{sweep}")
+            if _error(state, exponents) < TOLERANCE:
+                break
     return state.withColumn("probability", F.least(F.lit(1.0), F.lit(budget) * F.col("total") * F.col("weight") / F.col("tokens")))
 
 
+def _error(state: DataFrame, exponents: dict[str, float]) -> float:
+    """The largest difference of a margin's value from its goal."""
+    off = None
+    for m in exponents:
+        one = state.groupBy(m).agg(F.abs(F.sum(F.least("weight", "bound")) - F.first(f"goal_{m}")).alias("off")).agg(F.max("off").alias("off"))
+        off = one if off is None else off.unionByName(one)
+    return off.agg(F.max("off")).first()[0] or 0.0
+
+
 def mix(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -117,19 +140,23 @@ def mix(
     source_col: str = "source",
     lang_col: str = "lang",
     topic: Column | None = None,
+    targets: dict[str, dict[str | None, float]] | None = None,
     exponents: dict[str, float] = EXPONENTS,
     sweeps: int = SWEEPS,
     budget: float = BUDGET,
     seed: str = SEED,
-    bounded: bool = True,
 ) -> DataFrame:
     """The columns of ``docs`` but the text, and n_tokens, topic, probability and sampled.
 
+    ``targets`` are weights by margin ("source", "lang", "topic") and value, None for null,
+    normalised over the values that occur; a value without one is never sampled.  A margin
+    that it doesn't name has the powers of ``exponents``.  ``budget`` is the share of all
+    tokens to sample; where targets can't fill it, all that they can reach is taken.
+
     The added names get underscores before them where ``docs`` has them already.  Null
     sources and languages are values of their own.  Texts without words (null, empty) have
     no tokens, so nothing to weigh: probability 0.  Equal ids draw alike, so repeated rows
-    are sampled together.  An empty table gives no rows.  Not ``bounded``, weights are cut
-    at probability 1 after raking, and what is cut is lost to budget and margins.
+    are sampled together, and rows of a null id too.  An empty table gives no rows.
     """
     scratch = Scratch(docs.sparkSession, "mix")
     text = col(docs, text_col)
@@ -147,7 +174,7 @@ def mix(
     ).withColumn(keys[2], _key(F.col(topic_name)))
     facts = scratch.stage(facts, "facts")
     cells = facts.groupBy(*[F.col(k).alias(m) for k, m in zip(keys, exponents, strict=True)]).agg(F.sum(n_tokens).alias("tokens")).filter("tokens > 0")
-    fitted = scratch.stage(calibrated(scratch.stage(cells, "cells"), scratch, exponents, sweeps, budget, bounded), "fitted")
+    fitted = scratch.stage(calibrated(scratch.stage(cells, "cells"), scratch, exponents, targets, sweeps, budget), "fitted")
     chances = fitted.select(*[F.col(m).alias(k) for k, m in zip(keys, exponents, strict=True)], F.col("probability").alias(probability))
     rows = small_join(facts, scratch, "fitted", chances, keys, "left")
     chance = F.when(F.col(n_tokens) > 0, F.coalesce(F.col(probability), F.lit(0.0))).otherwise(0.0)
@@ -155,29 +182,30 @@ def mix(
     return rows.withColumn(sampled, draw(F.col("`" + id_col + "`"), seed) < F.col(probability))
 
 
-def margins(mixed: DataFrame, exponents: dict[str, float] = EXPONENTS) -> DataFrame:
+def margins(mixed: DataFrame, exponents: dict[str, float] = EXPONENTS, targets: dict | None = None) -> DataFrame:
     """Of rows from ``mix``, by margin and value: had (share of the tokens), target, expected and sampled (shares of the
     sample's tokens), and fill (the expected sample in tokens, of all tokens)."""
     out = None
     tokens, chance = F.col("n_tokens"), F.col("n_tokens") * F.col("probability")
-    for m, power in exponents.items():
-        one = mixed.groupBy(F.lit(m).alias("margin"), F.col(m).cast("string").alias("value")).agg(F.sum(tokens).alias("had"), F.sum(chance).alias("expected"), F.sum(F.when(F.col("sampled"), tokens).otherwise(0)).alias("sampled"))
-        one = one.filter("had > 0")
+    for m in exponents:
+        one = mixed.groupBy(F.col(m).cast("string").alias("value")).agg(F.sum(tokens).alias("had"), F.sum(chance).alias("expected"), F.sum(F.when(F.col("sampled"), tokens).otherwise(0)).alias("sampled"))
+        one = one.filter("had > 0").withColumn("share", F.col("had") / F.sum("had").over(Window.partitionBy()))  # a row for each value
+        one = one.withColumn(m, _key(F.col("value"))).withColumn("target", _wanted(m, F.col("share"), exponents, targets or {})).drop("share", m)
+        one = one.withColumn("margin", F.lit(m))
         out = one if out is None else out.unionByName(one)
     by = Window.partitionBy("margin")
     out = out.withColumn("fill", F.sum("expected").over(by) / F.sum("had").over(by))
-    out = out.withColumns({c: F.col(c) / F.sum(c).over(by) for c in ("had", "expected", "sampled")})
-    power = F.coalesce(*[F.when(F.col("margin") == m, F.lit(p)) for m, p in exponents.items()])
-    out = out.withColumn("target", F.pow("had", power))
-    return out.withColumn("target", F.col("target") / F.sum("target").over(by)).select("margin", "value", "had", "target", "expected", "sampled", "fill")
+    out = out.withColumns({c: F.col(c) / F.sum(c).over(by) for c in ("had", "target", "expected", "sampled")})
+    return out.select("margin", "value", "had", "target", "expected", "sampled", "fill")
 
 
 def query(spark, sf_dir):
-    rows = mix(table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text"), bounded=False)
+    rows = mix(table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text"))
     return rows.select("doc_id", "source", "lang", "topic", "n_tokens", F.round("probability", 6).alias("probability"), "sampled")
 
 
 def _oracle() -> str:
+    """The same by other means: goals from prefix sums over values in order of cap / goal, margins by grouped joins."""
     share = lambda chars: f"length(regexp_replace(t, '[^{chars}]', '', 'g')) / CAST(greatest(length(t), 1) AS DOUBLE)"
     ctes = [
         "d AS MATERIALIZED (SELECT *, coalesce(text, '') AS t FROM documents)",
@@ -187,13 +215,21 @@ def _oracle() -> str:
         "cells AS MATERIALIZED (SELECT source, lang, topic, CAST(sum(n_tokens) AS BIGINT) AS tokens, sum(sum(n_tokens)) OVER () AS total FROM facts GROUP BY source, lang, topic HAVING sum(n_tokens) > 0)",
     ]
     for m, p in EXPONENTS.items():
-        ctes.append(f"goal_{m} AS MATERIALIZED (SELECT {m}, g / sum(g) OVER () AS goal FROM (SELECT {m}, pow(sum(tokens) / CAST(any_value(total) AS DOUBLE), {p}) AS g FROM cells GROUP BY {m}))")
-    ctes.append("s0 AS MATERIALIZED (SELECT *, tokens / CAST(total AS DOUBLE) AS weight FROM cells)")
+        ctes.append(f"want_{m} AS MATERIALIZED (SELECT {m}, pow(had, {p}) / sum(pow(had, {p})) OVER () AS goal, had / {BUDGET} AS cap FROM (SELECT {m}, sum(tokens) / CAST(any_value(total) AS DOUBLE) AS had FROM cells GROUP BY {m}))")
+        # in order of cap / goal the first values are taken whole; the factor is that of the first one that isn't
+        ctes.append(
+            f"""fill_{m} AS MATERIALIZED (SELECT min_by(f, r) AS factor FROM (SELECT cap / goal AS r,
+            (1 - coalesce(sum(cap) OVER (ORDER BY cap / goal, {m} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(goal) OVER (ORDER BY cap / goal, {m} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS f FROM want_{m}) WHERE r > f)"""
+        )
+        ctes.append(f"goal_{m} AS MATERIALIZED (SELECT {m}, coalesce(least(cap, factor * goal), cap) AS goal FROM want_{m}, fill_{m})")
+    ctes.append(f"s0 AS MATERIALIZED (SELECT *, tokens / CAST(total AS DOUBLE) AS weight, tokens / (CAST(total AS DOUBLE) * {BUDGET}) AS bound FROM cells)")
     n = 0
     for _ in range(SWEEPS):
         for m in EXPONENTS:
             ctes.append(
-                f"s{n + 1} AS MATERIALIZED (SELECT x.* REPLACE (x.weight * (f.goal / f.now) AS weight) FROM s{n} x JOIN (SELECT a.{m} AS k, sum(a.weight) AS now, any_value(g.goal) AS goal FROM s{n} a JOIN goal_{m} g ON a.{m} IS NOT DISTINCT FROM g.{m} GROUP BY a.{m}) f ON x.{m} IS NOT DISTINCT FROM f.k)"
+                f"""s{n + 1} AS MATERIALIZED (SELECT x.* REPLACE (CASE WHEN now > goal THEN x.weight * goal / now WHEN x.weight < x.bound AND goal > held AND free > 0 THEN x.weight * (goal - held) / free ELSE x.weight END AS weight)
+                FROM s{n} x JOIN (SELECT a.{m} AS k, any_value(g.goal) AS goal, sum(least(a.weight, a.bound)) AS now, sum(CASE WHEN a.weight >= a.bound THEN a.bound ELSE 0 END) AS held, sum(CASE WHEN a.weight < a.bound THEN a.weight ELSE 0 END) AS free
+                FROM s{n} a JOIN goal_{m} g ON a.{m} IS NOT DISTINCT FROM g.{m} GROUP BY a.{m}) f ON x.{m} IS NOT DISTINCT FROM f.k)"""
             )
             n += 1
     return f"""WITH {', '.join(ctes)}, p AS (SELECT f.*, CASE WHEN n_tokens > 0 THEN coalesce(least(1.0, {BUDGET} * total * weight / tokens), 0.0) ELSE 0.0 END AS probability

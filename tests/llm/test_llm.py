@@ -253,33 +253,75 @@ def test_topk_in_blocks_of_queries(spark, monkeypatch):
     assert {(r.query_id, r.rank, r.vec_id) for r in got.collect()} == want
 
 
-def test_mixing_meets_marginals(spark):
-    rng = np.random.default_rng(6)
-    rows = [(i, " ".join(rng.choice(WORDS, 200)), "en" if i % 5 else "de", "hot" if i % 3 else f"s{i % 4}") for i in range(600)] + [(600, None, None, None), (601, "", "en", "hot")]
-    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"))
-    by = {r.lang: r.w for r in got.filter("n_tokens > 0").groupBy("lang").agg(F.sum(F.col("n_tokens") * F.col("probability")).alias("w")).collect()}
-    assert by["de"] / (by["de"] + by["en"]) > 0.25  # of 0.2 of the tokens
-    assert got.filter("doc_id >= 600 and sampled").count() == 0
+def plainly_raked(docs, targets=None):
+    """Bounded raking in numpy, until nothing moves: the expected share of the budget by margin and value."""
+    cells = docs.groupby(["source", "lang", "topic"], dropna=False)["n_tokens"].sum().reset_index()
+    cells = cells[cells["n_tokens"] > 0].reset_index(drop=True)
+    share = cells["n_tokens"] / cells["n_tokens"].sum()
+    goals = {}
+    for m, power in mixing.EXPONENTS.items():
+        had = share.groupby(cells[m].fillna("-")).sum()
+        goal = had.index.map(lambda v: (targets or {}).get(m, {}).get(v, 0.0)).to_numpy() if m in (targets or {}) else had.to_numpy() ** power  # noqa: B023
+        goal, cap = goal / goal.sum(), had.to_numpy() / mixing.BUDGET
+        lo, hi = 0.0, 1e6
+        for _ in range(200):
+            mid = (lo + hi) / 2
+            lo, hi = (mid, hi) if np.minimum(cap, mid * goal).sum() < 1 else (lo, mid)
+        goals[m] = dict(zip(had.index, np.minimum(cap, hi * goal), strict=True))
+    w, bound = share.to_numpy().copy(), share.to_numpy() / mixing.BUDGET
+    for _ in range(400):
+        for m in mixing.EXPONENTS:
+            for v, goal in goals[m].items():
+                at = (cells[m].fillna("-") == v).to_numpy()
+                lo, hi = 0.0, 1e9
+                for _ in range(100):  # the factor by which the bounded weights reach the goal
+                    mid = (lo * hi) ** 0.5 if lo else hi / 2 if hi > 1e-9 else 0
+                    mid = (lo + hi) / 2 if hi < 2 * lo + 1e-12 or not lo else mid
+                    lo, hi = (mid, hi) if np.minimum(w[at] * mid, bound[at]).sum() < goal * (1 - 1e-12) else (lo, mid)
+                w[at] = np.minimum(w[at] * hi, bound[at])
+    return {m: {v: w[(cells[m].fillna("-") == v).to_numpy()].sum() for v in goals[m]} for m in goals}, goals
+
+
+def mixed_docs(spark):
+    rng = np.random.default_rng(12)
+    # one large source and eight small ones, whose targets are above all that they have; a rare topic within
+    rows = [(i, " ".join(rng.choice(WORDS, 700)) if i % 9 else "a1 | b2 | c | " * 150, "en" if i % 4 else "de", "big" if i % 16 else f"s{i // 16 % 8}", "x", 5) for i in range(1200)]
+    rows += [(2000, None, None, None, None, None), (2001, "", "en", "big", "x", 5), (None, " ".join(WORDS), None, "big", "x", 5), (7, " ".join(WORDS), "en", "big", "x", 5)]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, topic string, probability int")
 
 
 def test_mixing_spends_its_budget_though_cells_are_full(spark):
-    rng = np.random.default_rng(12)
-    # one large source and eight small ones, whose targets are above all that they have; a rare topic within
-    rows = [(i, " ".join(rng.choice(WORDS, 700)) if i % 9 else "a1 | b2 | c | " * 150, "en" if i % 4 else "de", "big" if i % 16 else f"s{i // 16 % 8}") for i in range(1200)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
-    worst = {}
-    for bounded in (False, True):
-        got = mixing.margins(mixing.mix(docs, bounded=bounded)).toPandas()
-        want = got["target"].copy()
-        for _, part in got.groupby("margin"):  # full values give what they have, the others share the rest
-            cap, full = part["had"] / mixing.BUDGET, part["had"] < 0
-            for _ in range(20):
-                factor = (1 - cap[full].sum()) / part["target"][~full].sum()
-                full = cap <= factor * part["target"]
-            want[part.index] = np.where(full, cap, factor * part["target"])
-        worst[bounded] = abs(got["expected"] * got["fill"] / mixing.BUDGET - want).max()
-        assert (abs(got["fill"] / mixing.BUDGET - 1) < 0.01).all() == bounded
-    assert worst[True] < 0.005 < 0.02 < worst[False]
+    docs = mixed_docs(spark)
+    made = mixing.mix(docs)
+    assert made.columns == ["doc_id", "lang", "source", "topic", "probability", "n_tokens", "_topic", "_probability", "sampled"]
+    made = made.select("doc_id", "lang", "source", "n_tokens", F.col("_topic").alias("topic"), F.col("_probability").alias("probability"), "sampled")
+    want, _ = plainly_raked(made.toPandas())
+    for r in mixing.margins(made).collect():
+        assert abs(r.fill / mixing.BUDGET - 1) < 1e-6
+        assert abs(r.expected * r.fill / mixing.BUDGET - want[r.margin]["-" if r.value is None else r.value]) < 1e-3
+    assert made.filter("n_tokens = 0 and (sampled or probability > 0)").count() == 0
+    assert len({r.sampled for r in made.filter("doc_id = 7").collect()}) <= 2
+
+
+def test_mixing_to_given_weights(spark):
+    docs = mixed_docs(spark).filter("doc_id < 1200").drop("topic", "probability")
+    targets = {"source": {"big": 6, "s1": 1, "s2": 1, "nowhere": 5}, "lang": {"en": 1, "de": 3}}
+    made = mixing.mix(docs, targets=targets, budget=0.02)
+    got = {(r.margin, r.value): r for r in mixing.margins(made, targets=targets).collect()}
+    assert abs(got["source", "big"].expected - 0.75) < 1e-6 and abs(got["source", "s1"].expected - 0.125) < 1e-6
+    assert abs(got["lang", "de"].expected - 0.75) < 1e-6 and abs(got["lang", "de"].target - 0.75) < 1e-9
+    assert made.filter("source = 's3' and (sampled or probability > 0)").count() == 0
+    # more than there is of s1 and s2: these are taken whole, the others share the rest
+    made = mixing.mix(docs, targets={"source": {"big": 1, "s1": 1, "s2": 1}}, budget=0.3)
+    got = {(r.margin, r.value): r for r in mixing.margins(made).collect()}
+    assert abs(got["source", "s1"].expected * got["source", "s1"].fill / got["source", "s1"].had - 1) < 1e-3 and abs(got["lang", "de"].fill - 0.3) < 1e-3
+
+
+def test_mixing_in_many_tasks(spark, monkeypatch):
+    docs = mixed_docs(spark).drop("topic", "probability")
+    whole = {(r.doc_id, r.n_tokens): r.probability for r in mixing.mix(docs).collect()}
+    monkeypatch.setattr(mixing, "ONE_TASK", 0)
+    assert all(abs(whole[r.doc_id, r.n_tokens] - r.probability) < 1e-9 for r in mixing.mix(docs).collect())
 
 
 def test_warc_reads_what_it_writes(spark, tmp_path):
