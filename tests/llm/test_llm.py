@@ -192,6 +192,96 @@ def test_quality_rules_on_edges(spark):
     assert [got[i].kept for i in range(5)] == [False, False, False, False, True]
 
 
+def judged_plainly(rows):
+    """(kept, squared distance) of (text, lang, source), by numpy: words, statistics, fits and distances."""
+    stats, good = [], []
+    for text, lang, source in rows:
+        t = text or ""
+        w = re.findall(r"[^\x20\x09-\x0D]+", t)
+        lines = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        grams = Counter(zip(w, w[1:], w[2:], strict=False))
+        again = {i + d for i in range(len(w) - 2) if grams[w[i], w[i + 1], w[i + 2]] > 1 for d in range(3)}
+        ok = len(w) >= 50 and 100 * len(again) <= 50 * len(w)
+        good.append(ok)
+        if ok:
+            chars, symbols = sum(map(len, w)), sum(c in "#*$%&|<>" for c in t)
+            x = [np.log(1 + chars / len(w)), np.log(1 + 100 * symbols / chars), np.sqrt((len(lines) - len(set(lines))) / len(lines)), np.sqrt(len(again) / len(w)), np.log(len(w))]
+            stats.append((np.floor(1024 * np.array(x) + 0.5), lang, (lang, source)))
+    x = np.array([v for v, *_ in stats])
+    scale = 1024 * np.array(quality_rules.SCALES)
+    chi = quality_rules
+
+    def distance(x, m, c):
+        d = x - m
+        return np.einsum("ij,jk,ik->i", d, np.linalg.inv(c + np.diag(scale**2 / 4)), d)
+
+    def fit(x):
+        low, middle, top = np.quantile(x, [0.25, 0.5, 0.75], axis=0)
+        e = np.maximum((top - low) / 1.349, scale)
+        z = (x - middle) / e
+        norm = np.maximum(np.sqrt((z * z).sum(axis=1)), 1e-9)[:, None]
+        fits = [(middle, np.diag(e**2))]
+        for u in (z / (1 + abs(z)), z / norm):
+            u = np.floor(1024 * u + 0.5)
+            s = u.T @ u
+            r = np.sqrt(np.maximum(np.diag(s), 1))
+            corr = s / np.outer(r, r)
+            np.fill_diagonal(corr, 1)
+            fits.append((middle, corr * np.outer(e, e)))
+
+        def step(m, c):
+            b = np.minimum(np.floor(np.sqrt(distance(x, m, c)) * chi.BIN), chi.BINS - 1)
+            before = np.searchsorted(np.sort(b), b, "left")
+            near = x[before < chi.SHARE * len(x)]
+            return near.mean(axis=0), chi.HALF * np.cov(near.T, bias=True)
+
+        for _ in range(chi.STEPS):
+            fits = [step(*f) for f in fits]
+        best = min(fits, key=lambda f: np.linalg.slogdet(f[1] + np.diag(scale**2 / 4))[1])
+        for _ in range(chi.LAST_STEPS):
+            best = step(*best)
+        near = x[distance(x, *best) <= chi.INNER]
+        return len(near), near.mean(axis=0), chi.LAST * np.cov(near.T, bias=True)
+
+    def lean(own, m, c):
+        n, om, oc = own
+        return (n * om + chi.PRIOR * m) / (n + chi.PRIOR), (n * oc + chi.PRIOR * c) / (n + chi.PRIOR)
+
+    whole = fit(x)
+    top = lean(whole, whole[1], np.diag(scale**2))
+    d2 = np.zeros(len(x))
+    for lang in {s[1] for s in stats}:
+        middle = lean(fit(x[[s[1] == lang for s in stats]]), *top)
+        for key in {s[2] for s in stats if s[1] == lang}:
+            at = np.array([s[2] == key for s in stats])
+            d2[at] = distance(x[at], *lean(fit(x[at]), *middle))
+    d2 = iter(d2)
+    return [(ok and d <= chi.CUTOFF, d) for ok, d in ((ok, next(d2) if ok else None) for ok in good)]
+
+
+def test_quality_rules_against_numpy(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = docs.select("doc_id", "text", "lang", "source").collect()
+    got = {r.doc_id: r for r in quality_rules.quality_rules(docs).collect()}
+    want = judged_plainly([r[1:] for r in rows])
+    for r, (kept, d2) in zip(rows, want, strict=True):
+        assert got[r.doc_id].kept == kept
+        assert (d2 is None) == (got[r.doc_id].distance2 is None) and (d2 is None or abs(got[r.doc_id].distance2 - d2) < 1e-6 * (1 + d2))
+    assert 0.5 < sum(k for k, _ in want) / len(want) < 1
+
+
+def test_sources_have_fits_of_their_own(spark):
+    rng = np.random.default_rng(14)
+    text = lambda n, lo, hi: " ".join(w * int(rng.integers(lo, hi)) for w in rng.choice(WORDS, n))
+    # words are short in one source and long in another; a long-worded text is at home in the second alone
+    rows = [(i, text(200, 1, 2), "en", "short", "x", 0, 0) for i in range(150)] + [(i, text(200, 6, 9), "en", "long", "x", 0, 0) for i in range(150, 300)]
+    rows += [(300, text(200, 6, 9), "en", "short", "x", 0, 0), (301, text(200, 6, 9), "en", "long", "x", 0, 0), (302, text(200, 1, 2), None, None, "x", 0, 0)]
+    got = {r.doc_id: r.kept for r in quality_rules.quality_rules(spark.createDataFrame(rows, DOCS)).collect()}
+    assert all(got[i] for i in range(300)) and not got[300] and got[301]
+    want = judged_plainly([(r[1], r[2], r[3]) for r in rows])
+    assert [got[i] for i in range(303)] == [k for k, _ in want]
+
+
 def test_quality_rules_reject_outliers(spark):
     rng = np.random.default_rng(4)
     texts = [" ".join(rng.choice(WORDS, 200)) for _ in range(150)] + [" ".join(w + "###" for w in rng.choice(WORDS, 200))]
