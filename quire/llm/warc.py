@@ -2,8 +2,10 @@
 
 Reading plans one partition for each file (the writer rolls files at ``ROLL`` bytes).
 Record-type and header predicates are pushed down: headers are parsed first, and the block
-of a record that they rule out is skipped by a seek, never read or decoded.  Option
-``payload`` is ``true`` or ``false``: without payloads every block is skipped.
+of a record that they rule out is skipped by a seek, never read or decoded.  Filters on the
+columns of FIELDS are pushed by Spark; for any other header field there are options,
+``header.content-type`` for example, whose value the field must have.  Option ``payload`` is
+``true`` or ``false``: without payloads every block is skipped.
 
 Writing goes to files with names of their own in a temporary folder; the commit moves those
 of the attempts that succeeded, so lost and repeated tasks leave nothing behind.
@@ -96,13 +98,12 @@ def read_records(stream, wanted, payload: bool):
 
 class WarcReader(DataSourceReader):
     def __init__(self, options: dict):
-        self.path, self.payload, self.tests = options["path"], options.get("payload", "true").lower() == "true", []
+        self.path, self.payload = options["path"], options.get("payload", "true").lower() == "true"
+        self.tests = [(name.removeprefix("header."), {value}) for name, value in options.items() if name.startswith("header.")]
 
     def pushFilters(self, filters):
         for f in filters:
             name = FIELDS.get(f.attribute[0]) if isinstance(f, (EqualTo, In, IsNotNull)) and len(f.attribute) == 1 else None
-            if name is None and isinstance(f, EqualTo) and len(f.attribute) == 2 and f.attribute[0] == "headers":
-                name = f.attribute[1]
             if name is None:
                 yield f
             elif isinstance(f, IsNotNull):
@@ -245,14 +246,22 @@ class WarcWriter(DataSourceArrowWriter):
         store.delete_dir(f"{path}/_temporary")
 
     def abort(self, messages):
-        store, _ = _open_fs(self.path)
-        for m in messages:
-            for name in m.files if m else []:
-                store.delete_file(name)
+        from pyarrow import fs
+
+        store, path = _open_fs(self.path)
+        if store.get_file_info(f"{path}/_temporary").type == fs.FileType.Directory:
+            store.delete_dir(f"{path}/_temporary")
 
 
 class WarcSource(DataSource):
-    """``spark.read.format("warc").load(path)`` and ``df.write.format("warc").save(path)``."""
+    """``spark.read.format("warc").load(path)`` and ``df.write.format("warc").save(path)``.
+
+    Reading: a record without a field has null there; an empty folder gives no rows; files
+    other than .warc and .warc.gz are passed over; a record that is cut off is an error.
+    Writing: of null payload_digest and payload_length the payload's own are written, null
+    payloads are empty, records are written as often as they come.  A payload has to fit in
+    memory.  No column but those of SCHEMA is written.
+    """
 
     @classmethod
     def name(cls):

@@ -437,6 +437,60 @@ def test_warc_skips_blocks_and_reads_gzip():
         assert [(h["warc-record-id"], b) for h, b in got] == [("<r1>", b"y" * 10)]
 
 
+def test_warc_reads_no_payload_that_filters_rule_out(spark, tmp_path, monkeypatch):
+    from pyspark.sql.datasource import EqualTo, GreaterThan, In
+
+    big = [("x%d" % i) * 60_000 for i in range(6)]
+    pages = spark.createDataFrame([(i, f"u{i}", t) for i, t in enumerate(big)] + [(9, "u9", "small")], "page_id long, url string, html string").coalesce(1)
+    warc.register(spark)
+    warc.write_pages(pages, str(tmp_path / "a"), Scratch(spark, "t"))
+    monkeypatch.setattr(warc._Buffered, "SIZE", 4096)
+    whole = warc._open_fs
+    seen = []
+
+    class Counting:
+        def __init__(self, raw):
+            self.raw, self.size, self.seek = raw, raw.size, raw.seek
+
+        def read(self, n):
+            got = self.raw.read(n)
+            seen.append(len(got))
+            return got
+
+        def __enter__(self):
+            return self
+
+        def __exit__(self, *_):
+            self.raw.close()
+
+    class Store:
+        def __init__(self, store):
+            self.store, self.get_file_info = store, store.get_file_info
+
+        def open_input_file(self, path):
+            return Counting(self.store.open_input_file(path))
+
+    monkeypatch.setattr(warc, "_open_fs", lambda path: (Store(whole(path)[0]), whole(path)[1]))
+
+    def read(filters, **options):
+        reader = warc.WarcReader({"path": str(tmp_path / "a")} | options)
+        kept = list(reader.pushFilters(filters))
+        seen.clear()
+        rows = [r for p in reader.partitions() for b in reader.read(p) for r in b.to_pylist()]
+        return kept, rows, sum(seen)
+
+    kept, rows, cost = read([])
+    assert len(rows) == 7 and cost > 6 * 120_000
+    kept, rows, cost = read([EqualTo(("record_id",), "<urn:page:3>"), GreaterThan(("payload_length",), 5)])
+    assert [r["payload"].decode() for r in rows] == [big[3]] and cost < 3 * 120_000 and [type(f) for f in kept] == [GreaterThan]
+    kept, rows, cost = read([In(("record_type",), ("revisit", "metadata"))])
+    assert not rows and not kept and cost < 60_000
+    kept, rows, cost = read([], **{"header.warc-target-uri": "u9"})
+    assert [r["payload"] for r in rows] == [b"small"] and cost < 60_000
+    plan = spark.read.format("warc").load(str(tmp_path / "a")).filter("record_id = '<urn:page:3>'")
+    assert plan.count() == 1 and "Filter" not in plan._jdf.queryExecution().executedPlan().toString().split("BatchScan")[0].split("HashAggregate")[0]
+
+
 def test_encoding_agrees_with_the_library_and_is_lossless():
     import sentencepiece
 
