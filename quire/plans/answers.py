@@ -5,20 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BLOCK = r"(?s)\[\[\[([PVT]) ([^\]\s]+)\]\]\](.*?)(?=\[\[\[|\z)"
-NOTE = r"(?s)\[\[\[NOTE ([^\]\s]+) (reference|fact|term|source)\]\]\](.*?)(?=\[\[\[|\z)"
-
-
-def _all(out: str, pattern: str, n: int) -> Column:
-    groups = [F.regexp_extract_all(out, F.lit(pattern), F.lit(i + 1)).alias(f"g{i}") for i in range(n)]
-    return F.arrays_zip(*groups)
-
+from quire.plans import protocol
 
 def blocks(df: DataFrame, out: str) -> DataFrame:
     """A row for each marked block: kind, id, text and its place from 0."""
     rest = [c for c in df.columns if c != out]
-    rows = df.select(*rest, F.posexplode(_all(out, BLOCK, 3)).alias("place", "b"))
-    return rows.select(*rest, "place", F.col("b.g0").alias("kind"), F.col("b.g1").alias("id"), F.trim(F.regexp_replace("b.g2", r"^\s+|\s+$", "")).alias("text"))
+    rows = df.select(*rest, F.posexplode(protocol.named(F.col(out), ("P", "V", "T"), 1)).alias("place", "b"))
+    return rows.select(*rest, "place", F.col("b.name").alias("kind"), F.col("b.args")[0].alias("id"), protocol.trimmed(F.col("b.body")).alias("text"))
 
 
 def verdict(expected: Column, got: Column) -> Column:
@@ -29,12 +22,15 @@ def verdict(expected: Column, got: Column) -> Column:
     return F.when(extra, "wrong").when(F.size(lacks) == 0, "ok").when((F.size(lacks) < F.size(expected)) & (lacks == tail), "truncated").otherwise("wrong")
 
 
+NOTE_KINDS = ("reference", "fact", "term", "source")
+
+
 def notes(df: DataFrame, out: str) -> DataFrame:
     """A row for each note: block, kind, term, text."""
     rest = [c for c in df.columns if c != out]
-    rows = df.select(*rest, F.explode(_all(out, NOTE, 3)).alias("b"))
-    field = lambda name: F.trim(F.regexp_extract("b.g2", rf"(?m)^[ \t]*{name}:[ \t]*(.*)$", 1))
-    return rows.select(*rest, F.col("b.g0").alias("block"), F.col("b.g1").alias("kind"), field("TERM").alias("term"), field("TEXT").alias("text"))
+    rows = df.select(*rest, F.explode(protocol.named(F.col(out), ("NOTE",), 2)).alias("b")).filter(F.col("b.args")[1].isin(*NOTE_KINDS))
+    one_line = lambda name: F.trim(F.substring_index(protocol.value(F.col("b.body"), name), "\n", 1))
+    return rows.select(*rest, F.col("b.args")[0].alias("block"), F.col("b.args")[1].alias("kind"), one_line("TERM").alias("term"), one_line("TEXT").alias("text"))
 
 
 def meta(c: Column) -> tuple[Column, Column]:
@@ -69,30 +65,45 @@ def lost_tokens(original: Column, over: Column) -> Column:
     return F.array_except(tokens(original), tokens(over))
 
 
-CODE = r"(?s)\[\[\[C\s+(\S+?)\s+(\d+)\]\]\]\s*ORIG:\s*(.*?)\n\s*TR:\s*(.*?)(?=\[\[\[|\z)"
-FIX = r"(?s)\[\[\[F\s+(\S+?)\]\]\]\s*ORIG:\s*(.*?)\n\s*FIX:\s*(.*?)(?=\[\[\[|\z)"
-
-
 def comments(df: DataFrame, out: str) -> DataFrame:
     """Translated comments: block, line, part and translation."""
     rest = [c for c in df.columns if c != out]
-    b = df.select(*rest, F.explode(_all(out, CODE, 4)).alias("b"))
-    return b.select(*rest, F.col("b.g0").alias("block"), F.col("b.g1").cast("int").alias("line"), F.trim("b.g2").alias("part"), F.trim(F.regexp_replace("b.g3", r"\s+\z", "")).alias("tr"))
+    rows = df.select(*rest, F.explode(protocol.named(F.col(out), ("C",), 2)).alias("b")).filter(F.col("b.args")[1].rlike("^[0-9]+$"))
+    return rows.select(*rest, F.col("b.args")[0].alias("block"), F.col("b.args")[1].cast("int").alias("line"), protocol.value(F.col("b.body"), "ORIG").alias("part"), protocol.value(F.col("b.body"), "TR").alias("tr"))
 
 
 def fixes(df: DataFrame, out: str) -> DataFrame:
     """Corrections: block, old and new."""
     rest = [c for c in df.columns if c != out]
-    b = df.select(*rest, F.explode(_all(out, FIX, 3)).alias("b"))
-    return b.select(*rest, F.col("b.g0").alias("block"), F.trim("b.g1").alias("old"), F.trim(F.regexp_replace("b.g2", r"\s+\z", "")).alias("new"))
+    rows = df.select(*rest, F.explode(protocol.named(F.col(out), ("F",), 1)).alias("b"))
+    return rows.select(*rest, F.col("b.args")[0].alias("block"), protocol.value(F.col("b.body"), "ORIG").alias("old"), protocol.value(F.col("b.body"), "FIX").alias("new"))
+
+
+STYLE_KINDS = ("title", "subtitle", "p", "verse", "note", "skip")
+
+
+def _pairs(lines: Column, sign: str) -> Column:
+    """Lines ``left sign right`` as (k, v), trimmed."""
+    told = F.filter(lines, lambda x: F.instr(x, sign) > 1)
+    return F.transform(told, lambda x: F.struct(F.trim(F.substring_index(x, sign, 1)).alias("k"), F.trim(F.substr(x, F.instr(x, sign) + 1)).alias("v")))
+
+
+def _last_wins(pairs: Column) -> Column:
+    """A map of pairs; of a key told twice the last counts."""
+    later = F.filter(pairs, lambda x, i: ~F.exists(F.slice(pairs, i + 2, F.greatest(F.size(pairs), F.lit(1))), lambda y: y["k"] == x["k"]))
+    return F.map_from_entries(later)
 
 
 def styles(c: Column) -> Column:
     """Lines ``tag|class = kind`` as a map; of a pair told twice the last counts."""
-    line = r"(?im)^\s*([a-z0-9]+\|[^=\n]*?)\s*=\s*(title|subtitle|p|verse|note|skip)\s*$"
-    told = F.arrays_zip(F.regexp_extract_all(c, F.lit(line), F.lit(1)).alias("k"), F.regexp_extract_all(c, F.lit(line), F.lit(2)).alias("v"))
-    later = F.filter(told, lambda x, i: ~F.exists(F.slice(told, i + 2, F.greatest(F.size(told), F.lit(1))), lambda y: y["k"] == x["k"]))
-    return F.map_from_entries(F.transform(later, lambda x: F.struct(x["k"], F.lower(x["v"]))))
+    told = F.transform(_pairs(F.split(c, "\n"), "="), lambda x: F.struct(x["k"].alias("k"), F.lower(x["v"]).alias("v")))
+    return _last_wins(F.filter(told, lambda x: x["v"].isin(*STYLE_KINDS) & x["k"].contains("|") & F.substring_index(x["k"], "|", 1).rlike("^[A-Za-z0-9]+$")))
+
+
+def heading_lines(c: Column) -> Column:
+    """Lines ``n. title`` as a map of the number to the title."""
+    numbered = F.transform(F.split(c, "\n"), lambda x: F.struct(F.regexp_extract(x, r"^\s*([0-9]+)[.)]", 1).try_cast("int").alias("k"), F.trim(F.regexp_replace(x, r"^\s*[0-9]+[.)]", "")).alias("v")))
+    return _last_wins(F.filter(numbered, lambda x: x["k"].isNotNull() & (x["v"] != "")))
 
 
 def toc_lines(df: DataFrame, out: str) -> DataFrame:
@@ -126,18 +137,43 @@ GENRES = (
 )
 
 
+def _bare(c: Column, marks: str) -> Column:
+    """Without white space and these marks at both ends."""
+    return F.btrim(c, F.lit(marks + " \t\r\n"))
+
+
+def section(c: Column, name: str) -> Column:
+    """The lines under the heading of that name, up to the next heading; an array."""
+    lines = F.split(c, "\n")
+    head = lambda x: x.rlike(r"^#{1,4}\s")
+    mine = lambda x: head(x) & (F.substring_index(F.trim(F.regexp_replace(x, "^#+", "")), " ", 1) == name)
+    tagged = F.aggregate(
+        lines,
+        F.struct(F.lit(False).alias("on"), F.array().cast("array<string>").alias("kept")),
+        lambda acc, x: F.struct(F.when(head(x), mine(x)).otherwise(acc["on"]).alias("on"), F.when(acc["on"] & ~head(x), F.array_append(acc["kept"], x)).otherwise(acc["kept"]).alias("kept")),
+    )
+    return tagged["kept"]
+
+
 def record(c: Column) -> Column:
     """``key = value`` lines under the META heading as a map, with known keys and genres only."""
-    body = F.regexp_extract(c, r"(?sm)^#{1,4}\s*META\b[^\n]*\n(.*?)(?=^#{1,4}\s|\z)", 1)
-    line = r"(?m)^\s*[-*]?\s*\**\s*(\w+)\s*\**\s*[=:]\s*(.+?)\s*$"
-    told = F.arrays_zip(F.regexp_extract_all(body, F.lit(line), F.lit(1)).alias("k"), F.regexp_extract_all(body, F.lit(line), F.lit(2)).alias("v"))
-    clean = F.transform(told, lambda x: F.struct(x["k"].alias("k"), F.regexp_replace(F.when(x["k"] == "genre", F.lower(x["v"])).otherwise(x["v"]), r"^[`\"'*\s]+|[`\"'*\s]+$", "").alias("v")))
-    good = F.filter(clean, lambda x: x["k"].isin(*RECORD) & (x["v"] != "") & ~x["v"].startswith("(") & ((x["k"] != "genre") | x["v"].isin(*GENRES)))
-    first = F.filter(good, lambda x, i: ~F.exists(F.slice(good, i + 2, F.greatest(F.size(good), F.lit(1))), lambda y: y["k"] == x["k"]))
-    return F.map_from_entries(first)
+    lines = F.transform(section(c, "META"), lambda x: F.when((F.instr(x, "=") == 0) | ((F.instr(x, ":") > 0) & (F.instr(x, ":") < F.instr(x, "="))), F.regexp_replace(x, "^([^:]*):", "$1=")).otherwise(x))
+    told = F.transform(_pairs(lines, "="), lambda x: F.struct(_bare(x["k"], "-*").alias("k"), _bare(x["v"], "`\"'*").alias("v")))
+    told = F.transform(told, lambda x: F.struct(x["k"].alias("k"), F.when(x["k"] == "genre", F.lower(x["v"])).otherwise(x["v"]).alias("v")))
+    return _last_wins(F.filter(told, lambda x: x["k"].isin(*RECORD) & (x["v"] != "") & ~x["v"].startswith("(") & ((x["k"] != "genre") | x["v"].isin(*GENRES))))
 
 
 def dropped_sections(c: Column) -> Column:
-    """The bullets under ``drop_sections:``."""
-    body = F.regexp_extract(c, r"(?i)drop_sections\s*:\s*\n((?:\s*[-*]\s*.+\n?)+)", 1)
-    return F.filter(F.transform(F.split(body, "\n"), lambda x: F.regexp_replace(x, r"^\s*[-*]\s*[\"']*|[\"'\s]+$", "")), lambda x: x != "")
+    """The bullets under the line ``drop_sections:``."""
+    lines = F.split(c, "\n")
+    bullet = lambda x: F.substring(F.trim(x), 1, 1).isin("-", "*")
+    # 0: before the line, 1: among its bullets, 2: after them
+    state = F.aggregate(
+        lines,
+        F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("kept")),
+        lambda acc, x: F.struct(
+            F.when((acc["at"] == 0) & F.lower(F.replace(x, F.lit(" "), F.lit(""))).endswith("drop_sections:"), 1).when((acc["at"] == 1) & ~bullet(x) & (F.trim(x) != ""), 2).otherwise(acc["at"]).alias("at"),
+            F.when((acc["at"] == 1) & bullet(x), F.array_append(acc["kept"], _bare(F.substr(F.trim(x), F.lit(2)), "\"'"))).otherwise(acc["kept"]).alias("kept"),
+        ),
+    )
+    return F.filter(state["kept"], lambda x: x != "")
