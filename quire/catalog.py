@@ -30,7 +30,7 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from quire import checks_catalog, islands_catalog  # noqa: F401  register their queries
+    from quire import books_catalog, checks_catalog, islands_catalog  # noqa: F401  register their queries
 
     return dict(_QUERIES)
 
@@ -110,15 +110,6 @@ def doc_census(spark, d):
     )
 
 
-@query(
-    f"""WITH {LINES}, b AS (SELECT *, dense_rank() OVER (PARTITION BY source ORDER BY doc_id) AS s, row_number() OVER (PARTITION BY source, doc_id ORDER BY line) AS b FROM l WHERE trim(text) <> '')
-SELECT doc_id, line, printf('s%02d.b%04d', s, b) AS id FROM b"""
-)
-def block_ids(spark, d):
-    """Positional ids."""
-    return S.block_ids(docs(spark, d))
-
-
 @query(f"SELECT page_id, {_words('html')} AS n_words, CAST(length(regexp_replace(html, {TAGS}, '', 'g')) AS BIGINT) AS n_chars FROM pages")
 def tag_strip_words(spark, d):
     """words and characters of pages without their tags."""
@@ -132,17 +123,6 @@ def fingerprint_dedup(spark, d):
     return docs(spark, d).groupBy(X.fingerprint(F.col("text")).alias("fp")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
 
 
-#: Lines that sites and licences leave in texts.
-WATERMARKS = ("licensed under", "all rights reserved", "copyright", "downloaded from", "scanned by", "cookie", "subscribe")
-
-
-@query(f"WITH {LINES} SELECT source, CAST(count(*) FILTER (hit) AS BIGINT) AS dropped, CAST(count(*) FILTER (NOT hit) AS BIGINT) AS kept FROM (SELECT source, regexp_matches(text, '(?i){'|'.join(WATERMARKS)}') AS hit FROM l) GROUP BY source")
-def watermark_filter(spark, d):
-    """Watermark lines, dropped and counted."""
-    hit = F.col("text").rlike("(?i)" + "|".join(WATERMARKS))
-    return S.lines(docs(spark, d)).groupBy("source").agg(F.count_if(hit).alias("dropped"), F.count_if(~hit).alias("kept"))
-
-
 @query(f"SELECT doc_id, {_words('text')} AS n_words FROM documents WHERE regexp_matches(text, '(?i)licensed under|subscribe|newsletter|table of contents') AND {_words('text')} < 120")
 def junk_pages(spark, d):
     """Pages of a publisher's matter under 120 words."""
@@ -151,7 +131,7 @@ def junk_pages(spark, d):
 
 
 _LANG = (
-    "w AS (SELECT doc_id, source, lang, text, list_filter(regexp_split_to_array(lower(substr(text, 1, 200000)), '[^\\pL]+'), lambda w: w <> '') AS ws FROM documents),"
+    "w AS (SELECT doc_id, source, lang, text, list_filter(regexp_split_to_array(lower(text), '[^\\pL]+'), lambda w: w <> '') AS ws FROM documents),"
     "c AS (SELECT *, "
     + ", ".join(f"len(list_filter(ws, lambda w: w IN ({', '.join(repr(m) for m in ms)}))) AS c_{code}" for code, ms in sorted(L.MARKERS.items()))
     + " FROM w), m AS (SELECT *, greatest(c_de, c_en, c_es, c_fr) AS c, greatest(len(ws), 1) AS n FROM c),"
@@ -183,28 +163,6 @@ def target_share(spark, d):
     return s.groupBy("source").agg(F.count("*").alias("sampled"), F.round(F.avg(F.when(F.col("lang_found") == "en", 1.0).otherwise(0.0)), 6).alias("share_en"))
 
 
-@query(
-    "SELECT source, " + ", ".join(f"CAST(sum(len(regexp_extract_all(text, '[{r}]'))) AS BIGINT) AS {n}" for n, r in (("cyrillic", "Ѐ-ӿ"), ("greek", "Ͱ-Ͽ"), ("han", "一-鿿"), ("kana", "぀-ヿ"), ("latin", "A-Za-zÀ-ɏ"))) + ", 'latin' AS dominant FROM documents GROUP BY source"
-)
-def dominant_script(spark, d):
-    """Letters by script, and the script that most letters have."""
-    one = docs(spark, d).select("source", F.explode(L.script_counts(F.col("text"))).alias("s")).select("source", "s.*")
-    wide = one.groupBy("source").pivot("script", sorted(L.SCRIPTS)).agg(F.sum("c").cast("long"))
-    top = one.groupBy("source", "script").agg(F.sum("c").alias("c")).groupBy("source").agg(F.max_by("script", "c").alias("dominant"))
-    return wide.join(top, "source")
-
-
-@query(
-    f"""WITH {LINES}, m AS (SELECT source, avg(CASE WHEN regexp_matches(text, '^[ \\t][ \\t]+[^ \\t]') THEN 1.0e0 ELSE 0 END) AS indent, avg(CASE WHEN trim(text) = '' THEN 1.0e0 ELSE 0 END) AS blank FROM l GROUP BY source)
-SELECT source, CASE WHEN indent > 0.3 THEN 'indent' WHEN blank > 0.15 THEN 'blank' ELSE 'line' END AS mode FROM m"""
-)
-def split_mode(spark, d):
-    """How paragraphs are told apart."""
-    share = lambda c: F.avg(F.when(c, 1.0).otherwise(0.0))
-    m = S.lines(docs(spark, d)).groupBy("source").agg(share(F.col("text").rlike(r"^[ \t][ \t]+[^ \t]")).alias("indent"), share(F.trim("text") == "").alias("blank"))
-    return m.select("source", F.when(F.col("indent") > 0.3, "indent").when(F.col("blank") > 0.15, "blank").otherwise("line").alias("mode"))
-
-
 @query(
     f"""WITH {LINES}, f AS (SELECT *, lag(text) OVER (PARTITION BY source, doc_id ORDER BY line) AS p FROM l),
 t AS (SELECT *, CASE WHEN p IS NOT NULL AND regexp_matches(text, '^\\p{{Ll}}') AND regexp_matches(p, '\\pL[-,;]?$') THEN 0 ELSE 1 END AS b FROM f),
@@ -297,12 +255,6 @@ def loss_detector(spark, d):
     return r.filter(~F.col("r").between(T.loss_low, T.loss_high)).select("conv_id", "turn", F.round("r", 6).alias("ratio"))
 
 
-@query(f"WITH {PAIRS} SELECT conv_id, turn, CAST(len(regexp_extract_all(tr, '[A-Za-zÀ-ɏ][A-Za-zÀ-ɏ][A-Za-zÀ-ɏ][A-Za-zÀ-ɏ]+')) AS BIGINT) AS runs FROM pairs WHERE len(regexp_extract_all(tr, '[A-Za-zÀ-ɏ][A-Za-zÀ-ɏ][A-Za-zÀ-ɏ][A-Za-zÀ-ɏ]+')) >= 3")
-def untranslated_fragments(spark, d):
-    """Q04: at least three runs of four letters of the source's script."""
-    return pairs(spark, d).select("conv_id", "turn", F.regexp_count("tr", F.lit(r"[A-Za-zÀ-ɏ]{4,}")).cast("long").alias("runs")).filter("runs >= 3")
-
-
 @query("SELECT conv_id, turn FROM conversations a WHERE role = 'user' AND NOT EXISTS (SELECT 1 FROM conversations b WHERE b.conv_id = a.conv_id AND b.turn = a.turn + 1 AND b.role = 'assistant')")
 def completeness(spark, d):
     """Turns without an answer."""
@@ -392,26 +344,6 @@ def run_ranges(spark, d):
     return S.ranges(table(spark, d, "events").select("event_type", "user_id"), ["event_type"], "user_id")
 
 
-@query(
-    f"""WITH {LINES}, h AS (SELECT l.doc_id, l.line, b.item_id, lower(regexp_extract(b.text, '^\\pL+', 0)) AS term FROM l JOIN benchmark b ON regexp_extract(l.text, '^\\pL+', 0) = regexp_extract(b.text, '^\\pL+', 0) WHERE regexp_matches(l.text, '^\\pL')),
-f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY term ORDER BY doc_id, line, item_id) AS r FROM h) WHERE r = 1)
-SELECT doc_id, count(*) AS notes, string_agg(term, ' ' ORDER BY line, term) AS text FROM f GROUP BY doc_id"""
-)
-def note_dedup_merge(spark, d):
-    """One note a term, merged by block."""
-    head = lambda df: df.withColumn("head", F.regexp_extract("text", r"^\p{L}+", 0)).filter("head <> ''").drop("text")
-    hits = head(S.lines(docs(spark, d))).join(head(table(spark, d, "benchmark")), "head").select("doc_id", "line", "item_id", F.lower("head").alias("term"))
-    first = J.first_wins(hits, ["term"], ["doc_id", "line", "item_id"])
-    return first.groupBy("doc_id").agg(F.count("*").alias("notes"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "term"))), lambda x: x["term"]), " ").alias("text"))
-
-
-@query(f"WITH {LINES} SELECT work, count(*) AS n, min(doc_id) AS first_doc FROM (SELECT doc_id, line, regexp_extract(text, '^(\\pL+ \\pL+)', 1) AS work FROM l) WHERE work <> '' GROUP BY work HAVING count(*) > 1")
-def citation_groups(spark, d):
-    """Lines by the work that they name, here their first two words."""
-    cited = S.lines(docs(spark, d)).select("doc_id", F.regexp_extract("text", r"^(\p{L}+ \p{L}+)", 1).alias("work")).filter("work <> ''")
-    return cited.groupBy("work").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc")).filter("n > 1")
-
-
 _H1 = "h AS (SELECT page_id, regexp_extract(html, '<h1[^>]*>([^<]*)</h1>', 1) AS text FROM pages)"
 
 
@@ -425,26 +357,6 @@ def heading_two_tier_join(spark, d):
     return J.two_tier(h, "text", h.select("text", F.col("page_id").alias("title"))).select("page_id", "title")
 
 
-_HREF = "SELECT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS href, unnest(range(len(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)))) AS n FROM pages"
-
-
-@query(f"WITH l AS ({_HREF}), a AS (SELECT url, min(page_id) AS target FROM pages GROUP BY url) SELECT l.page_id, l.n, CASE WHEN a.target <> l.page_id THEN a.target END AS target FROM l LEFT JOIN a ON l.href = a.url")
-def link_resolution(spark, d):
-    """Links to the page that they lead to, if it is another one of the table."""
-    p = table(spark, d, "pages")
-    links = p.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("n", "href"))
-    at = p.groupBy(F.col("url").alias("href")).agg(F.min("page_id").alias("target"))
-    return links.join(at, "href", "left").select("page_id", F.col("n").cast("long").alias("n"), F.when(F.col("target") != F.col("page_id"), F.col("target")).alias("target"))
-
-
-@query(f"WITH l AS ({_HREF}) SELECT page_id FROM pages WHERE url NOT IN (SELECT href FROM l)")
-def orphan_notes(spark, d):
-    """Pages that no link leads to."""
-    p = table(spark, d, "pages")
-    hrefs = p.select(F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("url")).distinct()
-    return p.select("page_id", "url").join(hrefs, "url", "left_anti").select("page_id")
-
-
 @query(
     """WITH b AS (SELECT user_id, ts, min(event_id) AS target FROM events WHERE event_type = (SELECT min(event_type) FROM events) GROUP BY user_id, ts)
 SELECT e.event_id, b.target FROM events e ASOF LEFT JOIN b ON e.user_id = b.user_id AND e.ts <= b.ts"""
@@ -457,62 +369,6 @@ def asof_page_target(spark, d):
     return J.next_at_or_after(e.select("user_id", "ts", "event_id"), right, "user_id", "ts", "target").select("event_id", "target")
 
 
-@query(
-    """WITH c AS (SELECT source, doc_id, sum(length(text)) OVER (PARTITION BY source ORDER BY doc_id) AS upto, sum(length(text)) OVER (PARTITION BY source) AS total FROM documents),
-s AS (SELECT source, k FROM (SELECT DISTINCT source FROM documents), (SELECT unnest([1, 2, 3]) AS k))
-SELECT s.source, s.k, min(c.doc_id) AS doc_id FROM s JOIN c ON s.source = c.source AND c.upto * 4 >= s.k * c.total GROUP BY s.source, s.k"""
-)
-def image_slots(spark, d):
-    """Images by their fraction of the text, here a quarter, a half and three quarters."""
-    w = Window.partitionBy("source")
-    c = docs(spark, d).withColumn("upto", F.sum(F.length("text")).over(w.orderBy("doc_id"))).withColumn("total", F.sum(F.length("text")).over(w))
-    return c.select("source", "doc_id", "upto", "total", F.explode(F.array(*[F.lit(k) for k in (1, 2, 3)])).alias("k")).filter("upto * 4 >= k * total").groupBy("source", "k").agg(F.min("doc_id").alias("doc_id"))
-
-
-_RUN = """, g AS (SELECT *, sum(b) OVER (PARTITION BY {by} ORDER BY pos) AS run FROM h), r AS (SELECT {by}, run, min(pos) AS a, max(pos) AS z, count(*) AS hits FROM g GROUP BY {by}, run HAVING count(*) >= {least}),
-x AS (SELECT *, CASE WHEN a - lag(z) OVER (PARTITION BY {by} ORDER BY a) <= {hole} THEN 0 ELSE 1 END AS nb FROM r), y AS (SELECT *, sum(nb) OVER (PARTITION BY {by} ORDER BY a) AS span FROM x)
-SELECT {by}, CAST(span AS BIGINT) AS span, min(a) AS first_pos, max(z) AS last_pos, CAST(sum(hits) AS BIGINT) AS hits FROM y GROUP BY {by}, span"""
-
-
-@query(
-    "WITH h0 AS (SELECT user_id % 7 AS book, event_id AS pos, event_id % 23 AS n FROM events WHERE event_type IN (SELECT min(event_type) FROM events)), h AS (SELECT *, CASE WHEN pos - lag(pos) OVER w <= 40 AND n - lag(n) OVER w BETWEEN 1 AND 8 THEN 0 ELSE 1 END AS b FROM h0 WINDOW w AS (PARTITION BY book ORDER BY pos))"
-    + _RUN.format(by="book", least=2, hole=40)
-)
-def reference_spans(spark, d):
-    """Runs of rising entry numbers, merged over holes."""
-    e = table(spark, d, "events")
-    kind = e.agg(F.min("event_type")).first()[0]
-    h = e.filter(F.col("event_type") == kind).select((F.col("user_id") % 7).alias("book"), F.col("event_id").alias("pos"), (F.col("event_id") % 23).alias("n"))
-    return S.number_runs(h, ["book"], 2, T.refs_step, T.refs_hole)
-
-
-@query(
-    "WITH h0 AS (SELECT user_id % 7 AS book, event_id AS pos FROM events WHERE event_type IN (SELECT max(event_type) FROM events)), h AS (SELECT *, CASE WHEN pos - lag(pos) OVER (PARTITION BY book ORDER BY pos) <= 40 THEN 0 ELSE 1 END AS b FROM h0)"
-    + _RUN.format(by="book", least=3, hole=40)
-)
-def citation_runs(spark, d):
-    """Runs of citations, merged over holes."""
-    e = table(spark, d, "events")
-    kind = e.agg(F.max("event_type")).first()[0]
-    h = e.filter(F.col("event_type") == kind).select((F.col("user_id") % 7).alias("book"), F.col("event_id").alias("pos"))
-    return S.number_runs(h, ["book"], 3, None, T.refs_hole)
-
-
-@query(
-    f"""WITH RECURSIVE s AS (SELECT source, doc_id, {_words('text')} AS words, len(string_split(text, chr(10))) AS n_p, CAST(len(list_filter(string_split(text, chr(10)), lambda x: length(x) < 400)) AS BIGINT) AS with_digit,
-  length(text) / CAST(len(string_split(text, chr(10))) AS DOUBLE) AS mean_len FROM documents),
-w AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r, sum(words) OVER (PARTITION BY source ORDER BY doc_id) - words AS before, sum(words) OVER (PARTITION BY source) AS total FROM s),
-f AS (SELECT *, before >= 0.6 * total AND n_p >= 5 AND with_digit >= 0.95 * n_p AND mean_len < 400 AS fit, doc_id % 2 = 0 AS named FROM w),
-b(source, r, doc_id, is_back) AS (SELECT source, r, doc_id, fit AND named FROM f WHERE r = 1 UNION ALL SELECT f.source, f.r, f.doc_id, f.fit AND (f.named OR b.is_back) FROM f JOIN b ON f.source = b.source AND f.r = b.r + 1)
-SELECT source, doc_id, is_back FROM b"""
-)
-def back_matter(spark, d):
-    """Back matter by place, look and name; here short lines stand for lines with a digit."""
-    rows = F.split("text", "\n")
-    s = docs(spark, d).select("source", "doc_id", X.words(F.col("text")).alias("words"), F.size(rows).alias("n_p"), F.size(F.filter(rows, lambda x: F.length(x) < 400)).alias("with_digit"), (F.length("text") / F.size(rows)).alias("mean_len"))
-    return S.back_matter(s, ["source"], "doc_id", F.col("doc_id") % 2 == 0).select("source", "doc_id", "is_back")
-
-
 @query(
     """WITH h AS (SELECT user_id, event_id AS pos, CASE WHEN event_id - lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) <= 60 THEN 0 ELSE 1 END AS b FROM events), g AS (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY pos) AS run FROM h),
 r AS (SELECT user_id, run, min(pos) AS first_pos, max(pos) AS last_pos, count(*) AS n FROM g GROUP BY user_id, run)
@@ -523,18 +379,6 @@ def toc_trim(spark, d):
     return S.longest_run(table(spark, d, "events").select("user_id", F.col("event_id").alias("pos")), ["user_id"], 60)
 
 
-@query(
-    """SELECT conv_id, turn, role, coalesce(lag(text, 1) OVER w, '') AS before1, coalesce(lag(text, 2) OVER w, '') AS before2,
-  coalesce(array_to_string(string_split(lead(text) OVER w, ' ')[1:20], ' '), '') AS ahead FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)"""
-)
-def context_window(spark, d):
-    """What a request carries from before and ahead."""
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    c = table(spark, d, "conversations")
-    back = lambda k: F.coalesce(F.lag("text", k).over(w), F.lit(""))
-    return c.select("conv_id", "turn", "role", back(1).alias("before1"), back(2).alias("before2"), F.coalesce(F.array_join(F.slice(F.split(F.lead("text").over(w), " "), 1, 20), " "), F.lit("")).alias("ahead"))
-
-
 @query(
     f"""WITH s AS (SELECT doc_id, source, {_fp('text')} AS now, CASE WHEN doc_id % 7 = 0 THEN 'old' WHEN doc_id % 5 = 0 THEN NULL ELSE {_fp('text')} END AS was, doc_id % 11 <> 0 AS has FROM documents)
 SELECT source, count(*) AS blocks, CAST(sum(CASE WHEN has AND (was IS NULL OR was = now) THEN 0 ELSE 1 END) AS BIGINT) AS missing FROM s GROUP BY source HAVING sum(CASE WHEN has AND (was IS NULL OR was = now) THEN 0 ELSE 1 END) > 0"""
@@ -546,25 +390,6 @@ def resume_todo(spark, d):
     return J.todo(b, done, ["source"], F.col("now"))
 
 
-@query("SELECT conv_id, n, top FROM (SELECT conv_id, count(*) AS n, max(turn) FILTER (role = 'assistant') AS top FROM conversations GROUP BY conv_id) WHERE n >= 4 AND top < 0.6 * n")
-def stopped_edits(spark, d):
-    """Passes whose last edit stands early."""
-    c = table(spark, d, "conversations").groupBy("conv_id").agg(F.count("*").alias("n"), F.max(F.when(F.col("role") == "assistant", F.col("turn"))).alias("top"))
-    return c.filter("n >= 4 and top < 0.6 * n")
-
-
-@query(
-    f"""WITH {LINES}, p AS (SELECT source, doc_id, count(*) FILTER (length(text) >= 40) AS long_lines, count(*) FILTER (length(text) >= 40 AND regexp_matches(text, '\\S \\| \\S')) AS gaps FROM l GROUP BY source, doc_id),
-c AS (SELECT *, long_lines >= 8 AND gaps >= 3 AND gaps >= 0.1 * long_lines AS columned FROM p)
-SELECT source, CAST(count(*) FILTER (columned) AS BIGINT) AS pages, count(*) FILTER (columned) >= 0.15 * count(*) AS multicolumn FROM c GROUP BY source"""
-)
-def multi_column(spark, d):
-    """Pages with column gaps (here a bar between words), and books that have many."""
-    p = S.lines(docs(spark, d)).groupBy("source", "doc_id").agg(F.count_if(F.length("text") >= 40).alias("long_lines"), F.count_if((F.length("text") >= 40) & F.col("text").rlike(r"\S \| \S")).alias("gaps"))
-    c = p.withColumn("columned", F.expr(f"long_lines >= 8 and gaps >= 3 and gaps >= {T.col_lines} * long_lines"))
-    return c.groupBy("source").agg(F.count_if("columned").alias("pages"), (F.count_if("columned") >= T.col_pages * F.count("*")).alias("multicolumn"))
-
-
 @query("WITH o AS (SELECT lang, doc_id, length(text) AS n, row_number() OVER (PARTITION BY lang ORDER BY length(text) DESC, doc_id) AS r, count(*) OVER (PARTITION BY lang) AS c FROM documents) SELECT lang, doc_id, n, CAST(r AS INTEGER) AS place, c - 8 AS more FROM o WHERE r <= 8")
 def top_offenders(spark, d):
     """The first eight, and how many more there are."""
@@ -579,13 +404,6 @@ def cut_texts(spark, d):
     return docs(spark, d).select("doc_id", X.cut(F.col("text"), 60).alias("cut"), X.show(F.col("text")).alias("shown"))
 
 
-@query("SELECT o_orderkey, l.n, l.last FROM orders JOIN (SELECT l_orderkey, count(*) AS n, max(l_shipdate) AS last FROM lineitem GROUP BY l_orderkey) l ON l_orderkey = o_orderkey WHERE l.n >= 5 ORDER BY l.n DESC, o_orderkey")
-def natural_order(spark, d):
-    """Rows in the order of two numbers."""
-    n = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n"), F.max("l_shipdate").alias("last")).filter("n >= 5")
-    return table(spark, d, "orders").join(n, F.col("l_orderkey") == F.col("o_orderkey")).select("o_orderkey", "n", "last").orderBy(F.desc("n"), "o_orderkey")
-
-
 @query("""SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, count(*) AS n FROM lineitem GROUP BY l_returnflag, l_linestatus""")
 def pricing_summary(spark, d):
     """Relational extra: grouped sums."""
@@ -599,22 +417,13 @@ def order_cube(spark, d):
     return j.cube("n_name", "c_mktsegment").agg(F.count("*").alias("orders"), F.round(F.sum("o_totalprice"), 2).alias("total"))
 
 
-@query(
-    """SELECT conv_id, turn, CASE WHEN contains(text, '.') THEN split_part(text, '.', 1) ELSE text END AS summary FROM conversations WHERE role = 'assistant'"""
-)
-def meta_split(spark, d):
-    """The summary at the head of an answer, or all of it."""
-    c = table(spark, d, "conversations").filter("role = 'assistant'")
-    return c.select("conv_id", "turn", F.substring_index("text", ".", 1).alias("summary"))
-
-
 @query(
     """WITH a AS (SELECT conv_id, string_agg('[[[P ' || turn || ']]] ' || replace(text, chr(10), ' '), chr(10) ORDER BY turn) AS out FROM conversations GROUP BY conv_id),
 p AS (SELECT conv_id, unnest(string_split(out, '[[[P ')) AS part FROM a)
 SELECT conv_id, CAST(split_part(part, ']]] ', 1) AS BIGINT) AS turn, trim(regexp_replace(substr(part, strpos(part, ']]] ') + 4), '\\n$', '')) AS text FROM p WHERE part <> ''"""
 )
 def answer_parse(spark, d):
-    """An answer in marked blocks, written and parsed again."""
+    """An answer in marked blocks, written and parsed again."""
     from quire.plans import answers
 
     c = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.replace("text", F.lit("\n"), F.lit(" ")).alias("text")))).alias("b"))

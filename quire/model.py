@@ -52,6 +52,7 @@ class Thresholds:
     refs_run: int = 5
     refs_step: int = 8
     refs_hole: int = 40
+    refs_tail: int = 2
     note_run: int = 5
     note_gap: int = 3
     min_share: float = 0.025

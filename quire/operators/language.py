@@ -23,7 +23,6 @@ MORE = {
 }
 #: The languages of the queries: it and pl share words with those of their SQL, and would take texts from them.
 QUERIED = (*MARKERS, "ru", "uk")
-SAMPLE = 200_000
 #: Characters of languages that are told by script, not by words.
 HANGUL, KANA, HAN = "[가-힯]", "[぀-ヿ]", "[一-鿿]"
 #: Scripts by their ranges.
@@ -31,34 +30,42 @@ SCRIPTS = {"cyrillic": r"Ѐ-ӿ", "greek": r"Ͱ-Ͽ", "han": r"一-鿿", "kana": r
 
 
 def tokens(text: Column) -> Column:
-    """Lower-case words of the sample that detection reads, split at what is no letter."""
-    return F.filter(F.split(F.lower(F.substring(text, 1, SAMPLE)), r"[^\p{L}]+"), lambda w: w != "")
+    """Lower-case words, split at what is no letter."""
+    return F.filter(F.split(F.lower(text), r"[^\p{L}]+"), lambda w: w != "")
 
 
-def by_script(text: Column) -> Column:
-    """(code, share) of a sample in Korean, Japanese or Chinese script, else null."""
-    t = F.substring(text, 1, SAMPLE)
+def by_script(t: Column) -> Column:
+    """(code, share) of a text in Korean, Japanese or Chinese script, else null."""
     share = lambda chars: F.regexp_count(t, F.lit(chars)) / F.greatest(F.length(t), F.lit(1))
     found = lambda code, c: F.struct(F.lit(code).alias("code"), c.alias("share"))
     hangul, kana, han = share(HANGUL), share(KANA), share(HAN)
     return F.when(hangul > 0.15, found("ko", hangul)).when(kana > 0.04, found("ja", kana + han)).when(han > 0.15, found("zh", han))
 
 
-def detect(df: DataFrame, text: str = "text", th: Thresholds = T, only: tuple = (*MARKERS, *MORE)) -> DataFrame:
-    """Adds lang_found and share: the language of the script, or else that whose markers fill most of the sample, null under the least share.
+def detect(df: DataFrame, text: str = "text", th: Thresholds = T, only: tuple = (*MARKERS, *MORE), sample: int | None = None) -> DataFrame:
+    """Adds lang_found and share: the language of the script, or else that whose markers fill most of the text, null under the least share.
 
+    With ``sample`` only so many characters from the beginning of a text are read.
     Ties go to the first language by name, of those in MARKERS before those in MORE; words tell those in ``only``."""
     languages = [(code, ws) for code, ws in [*sorted(MARKERS.items()), *sorted(MORE.items())] if code in only]
-    df = df.withColumn("_w", tokens(F.col(text)))
+    read = F.col(text) if sample is None else F.substring(text, 1, sample)
+    df = df.withColumn("_w", tokens(read))
     n = F.greatest(F.size("_w"), F.lit(1))
     count = lambda ws: F.size(F.filter("_w", lambda w: w.isin(*ws)))
     df = df.withColumn("_c", F.array(*[F.struct(count(ws).alias("c"), F.lit(-i).alias("i"), F.lit(code).alias("code")) for i, (code, ws) in enumerate(languages)]))
     best = F.array_max("_c")
     share = best["c"] / n
-    df = df.withColumn("_s", by_script(F.col(text)))
+    df = df.withColumn("_s", by_script(read))
     code = F.coalesce(F.col("_s.code"), F.when(share >= th.min_share, best["code"]))
     return df.withColumn("lang_found", code).withColumn("share", F.coalesce(F.col("_s.share"), share)).drop("_w", "_c", "_s")
 
 
 def script_counts(text: Column) -> Column:
     return F.array(*[F.struct(F.regexp_count(text, F.lit(f"[{r}]")).alias("c"), F.lit(name).alias("script")) for name, r in sorted(SCRIPTS.items())])
+
+
+def dominant(df: DataFrame, by: str, text: Column, least: int = 200) -> DataFrame:
+    """(by, dominant, letters): the script that most letters have, of ties the first by name; null under ``least`` letters."""
+    one = df.select(by, F.explode(script_counts(text)).alias("s")).groupBy(by, F.col("s.script").alias("script")).agg(F.sum("s.c").cast("long").alias("c"))
+    top = one.groupBy(by).agg(F.min(F.struct((-F.col("c")).alias("k"), "script", "c")).alias("m"))
+    return top.select(by, F.when(F.col("m.c") >= least, F.col("m.script")).alias("dominant"), F.col("m.c").alias("letters"))

@@ -50,14 +50,6 @@ def running_heads(docs: DataFrame, least: int = 4, th: Thresholds = T) -> DataFr
     return found.filter(F.col("n_docs") >= least)
 
 
-def block_ids(docs: DataFrame) -> DataFrame:
-    """sNN.bNNNN ids: a document is a section of its source, a full line a block."""
-    body = lines(docs).filter(F.trim("text") != "")
-    sections = body.select("source", "doc_id").distinct().withColumn("s", F.row_number().over(Window.partitionBy("source").orderBy("doc_id")))
-    numbered = body.withColumn("b", F.row_number().over(Window.partitionBy("source", "doc_id").orderBy("line"))).join(sections, ["source", "doc_id"])
-    return numbered.select("doc_id", F.col("line").cast("long").alias("line"), F.format_string("s%02d.b%04d", "s", "b").alias("id"))
-
-
 def glue(blocks: DataFrame, by: list[str], order: str = "line") -> DataFrame:
     """Paragraphs torn by a page: a block joins the one before it if it begins in lower case and that
     one ends with a letter and a hyphen, or with a letter and at most a comma or semicolon."""
@@ -69,20 +61,6 @@ def glue(blocks: DataFrame, by: list[str], order: str = "line") -> DataFrame:
     return runs.groupBy(*by, "para").agg(F.count("*").alias("n_blocks"), whole.alias("w")).select(*by, "para", "n_blocks", F.aggregate("w", F.lit(""), join).alias("text"))
 
 
-def number_runs(hits: DataFrame, by: list[str], least: int, step: int | None, hole: int) -> DataFrame:
-    """Runs of hits (pos, and n where ``step`` is given): the position moves by at most ``hole`` and n
-    rises by 1 to ``step``.  Runs of ``least`` hits that are at most ``hole`` apart are one span."""
-    order = ["pos"] + (["n"] if step else [])
-    w = Window.partitionBy(*by).orderBy(*order)
-    apart = F.col("pos") - F.lag("pos").over(w) > hole
-    if step:
-        rise = F.col("n") - F.lag("n").over(w)
-        apart = apart | (rise < 1) | (rise > step)
-    runs = islands(hits, by, order, apart, "_run").groupBy(*by, "_run").agg(F.min("pos").alias("_a"), F.max("pos").alias("_z"), F.count("*").alias("_n")).filter(F.col("_n") >= least)
-    far = F.col("_a") - F.lag("_z").over(Window.partitionBy(*by).orderBy("_a")) > hole
-    return islands(runs, by, ["_a"], far, "span").groupBy(*by, "span").agg(F.min("_a").alias("first_pos"), F.max("_z").alias("last_pos"), F.sum("_n").alias("hits"))
-
-
 def longest_run(marks: DataFrame, by: list[str], gap: int) -> DataFrame:
     """Of runs of positions with holes of at most ``gap`` the longest (the first among equals)."""
     far = F.col("pos") - F.lag("pos").over(Window.partitionBy(*by).orderBy("pos")) > gap
@@ -90,20 +68,6 @@ def longest_run(marks: DataFrame, by: list[str], gap: int) -> DataFrame:
     return runs.groupBy(*by).agg(F.min(F.struct((-F.col("n")).alias("k"), "first_pos", "last_pos", "n")).alias("m")).select(*by, "m.first_pos", "m.last_pos", "m.n")
 
 
-def back_matter(sections: DataFrame, by: list[str], order: str, named: Column, th: Thresholds = T) -> DataFrame:
-    """Flag back matter among sections (words, n_p, with_digit, mean_len).
-
-    A section counts if it begins after the tail share of all words and looks like references;
-    it is back matter if it is named so or follows one that is."""
-    w = Window.partitionBy(*by).orderBy(order)
-    total, before = F.sum("words").over(Window.partitionBy(*by)), F.sum("words").over(w) - F.col("words")
-    like = (F.col("n_p") >= th.back_min) & (F.col("with_digit") >= th.back_digits * F.col("n_p")) & (F.col("mean_len") < th.back_len)
-    told = sections.withColumn("fit", (before >= th.back_tail * total) & like).withColumn("named", named)
-    runs = islands(told, by, [order], ~(F.col("fit") & F.lag("fit").over(w)), "run")
-    since = Window.partitionBy(*by, "run").orderBy(order)
-    return runs.withColumn("is_back", F.col("fit") & (F.max(F.col("named").cast("int")).over(since) == 1)).drop("fit", "run")
-
-
 def value_at(df: DataFrame, column: str, rank: int, most: int = 4096) -> float | None:
     """The value of a double column at ``rank`` (from 0) in ascending order; None past the end.
 

@@ -5,6 +5,9 @@ from __future__ import annotations
 import codecs
 import re
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 CANDIDATES = ("cp1251", "koi8-r", "cp866", "cp1252", "cp1250", "cp1253", "shift_jis", "gb18030")
 BOMS = ((codecs.BOM_UTF8, "utf-8-sig"), (codecs.BOM_UTF16_LE, "utf-16"), (codecs.BOM_UTF16_BE, "utf-16"))
 _SCRIPT = ((0x41, 0x24F, "latin"), (0x370, 0x3FF, "greek"), (0x400, 0x4FF, "cyrillic"), (0x3040, 0x30FF, "kana"), (0x4E00, 0x9FFF, "han"))
@@ -52,15 +55,36 @@ def decode(raw: bytes, forced: str | None = None) -> tuple[str, str]:
     return text, name
 
 
+#: Readings of bytes that were taken for Latin-1, the first of equal ones wins.
+READINGS = ("cp1251", "cp866", "koi8-r")
+
+
+def letters(name: str) -> tuple[str, str]:
+    """The characters of the upper half of Latin-1, and what the same bytes are in ``name``."""
+    told = [(chr(c), bytes([c]).decode(name, "replace")) for c in range(0x80, 0x100)]
+    return "".join(a for a, _ in told), "".join(b for _, b in told)
+
+
+def repaired(df: DataFrame, text: str) -> DataFrame:
+    """``repair`` of a column, by functions of the JVM."""
+    c = F.col(text)
+    n = lambda x, chars: F.regexp_count(x, F.lit(chars))
+    found = [F.translate(c, *letters(name)) for name in READINGS]
+    counts = [n(x, "[\u0400-\u04FF]") for x in found]
+    best = F.greatest(*counts)
+    spoiled = (n(c, "[\u00C0-\u00FF]") >= 0.25 * F.length(c)) & (n(c, "[^\u0000-\u00FF]") == 0) & (best > F.floor(F.length(c) / 10))
+    read = F.coalesce(*[F.when(k == best, x) for x, k in zip(found, counts, strict=True)])
+    return df.withColumn(text, F.when(spoiled & (F.length(c) > 0), read).otherwise(c))
+
+
 def repair(text: str) -> str:
     """Cyrillic that was read as Latin-1; the reading with the most Cyrillic wins."""
-    sample = text[:20_000]
-    if not sample or sum(0xC0 <= ord(c) <= 0xFF for c in sample) < 0.25 * len(sample):
+    if not text or sum(0xC0 <= ord(c) <= 0xFF for c in text) < 0.25 * len(text):
         return text
     try:
         raw = text.encode("latin-1")
     except UnicodeEncodeError:
         return text
     count = lambda t: sum(0x400 <= ord(c) <= 0x4FF for c in t)
-    best = max((raw.decode(n, "replace") for n in ("cp1251", "cp866", "koi8-r")), key=count)
+    best = max((raw.decode(n, "replace") for n in READINGS), key=count)
     return best if count(best) > len(text) // 10 else text

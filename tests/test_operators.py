@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import similarity
 from quire.functions import text as X
-from quire.operators import joins, language, sequence
+from quire.operators import joins, language, reading, sequence
 from quire.plans import answers, packing, passes
 from quire.sinks import writers
 from quire.sources import books, encoding, html
@@ -57,17 +57,46 @@ def test_ranges(spark):
     assert sequence.ranges(df, ["k"], "n").first().ranges == "1–3, 7"
 
 
-def test_number_runs_merge_over_holes(spark):
-    df = spark.createDataFrame([(1, p, n) for p, n in [(1, 1), (2, 2), (3, 4), (30, 1), (31, 3), (200, 9)]], "b int, pos int, n int")
-    got = sequence.number_runs(df, ["b"], 2, 8, 40).collect()
-    assert [(r.first_pos, r.last_pos, r.hits) for r in got] == [(1, 31, 5)]
+def test_reference_spans(spark):
+    entry = lambda n, y: f"{n}. Smith ({y})"
+    rows = [(1, i, "p", entry(i + 1, 1990 + i)) for i in range(6)] + [(1, 6, "p", "and others"), (1, 7, "p", "so on"), (1, 8, "p", "more")]
+    # a run after a hole of forty blocks is of the same span; four entries are no run; one year is no list
+    rows += [(1, i, "p", "Prose") for i in range(9, 40)] + [(1, 40 + i, "p", entry(50 + i, 1999)) for i in range(5)]
+    rows += [(2, i, "p", entry(i + 1, 1990 + i)) for i in range(4)] + [(3, i, "p", entry(i + 1, 1990)) for i in range(9)] + [(4, 0, "p", " ".join(entry(i, 1990 + i) for i in range(1, 9)))]
+    rows += [(4, -2, "title", "References"), (4, -1, "title", "What else"), (5, 0, "title", "References"), (5, 1, "p", "Prose")]
+    b = spark.createDataFrame(rows, "book int, pos int, kind string, text string")
+    got = [tuple(r) for r in reading.reference_spans(b, ["book"]).collect()]
+    assert got == [(1, 1, 0, 44, 11)]
+    only = reading.reference_spans(b.filter("pos < 40"), ["book"]).collect()
+    assert [(r.first_pos, r.last_pos) for r in only] == [(0, 7)]
+    marked = reading.reference_marks(b, ["book"]).collect()
+    assert {r.pos for r in marked if r.book == 4} == {-2, 0} and not [r for r in marked if r.book in (2, 3, 5)]
+
+
+def test_citation_runs_break_at_gaps_over_three(spark):
+    cite = "Smith: Jones, 1990"
+    near = [(1, p, "note", cite) for p in (0, 3, 6, 9, 12)]
+    far = [(2, p, "p", cite) for p in (0, 20, 40, 60, 80)]
+    fill = [(k, p, "p" if p % 2 else "note", "Prose") for k, ps in ((1, (0, 3, 6, 9, 12)), (2, (0, 20, 40, 60, 80))) for p in range(81) if p not in ps]
+    got = reading.citation_runs(spark.createDataFrame(near + far + fill, "book int, pos int, kind string, text string"), ["book"]).collect()
+    assert [(r.book, r.first_pos, r.last_pos, r.hits) for r in got] == [(1, 0, 12, 5)]
+    # all inside is marked but notes that are no citations: 2, 4, 8 and 10
+    assert got[0].marked == 9
 
 
 def test_back_matter_goes_on_from_a_named_section(spark):
-    rows = [(1, 1, 100, 9, 0, 900.0, False), (1, 2, 5, 6, 6, 90.0, True), (1, 3, 5, 6, 6, 90.0, False), (1, 4, 5, 2, 2, 90.0, True)]
-    df = spark.createDataFrame(rows, "b int, s int, words int, n_p int, with_digit int, mean_len double, nm boolean")
-    got = sequence.back_matter(df, ["b"], "s", F.col("nm")).orderBy("s").collect()
-    assert [r.is_back for r in got] == [False, True, True, False]
+    rows = [(1, 1, "One", 600, 9, 0, 900.0), (1, 2, "Notes", 10, 9, 9, 50.0), (1, 3, "To two", 100, 9, 9, 50.0), (1, 4, "Index", 100, 9, 9, 50.0), (1, 5, "After", 100, 9, 1, 50.0), (1, 6, "Sources", 5, 0, 0, None)]
+    df = spark.createDataFrame(rows, "b int, section long, title string, words long, n_p long, with_digit long, mean_len double")
+    got = {r.section: (r.is_back, r.dropped) for r in reading.back_matter(df, ["b"]).collect()}
+    assert got == {1: (False, False), 2: (True, False), 3: (True, False), 4: (True, True), 5: (False, False), 6: (True, False)}
+
+
+def test_notes_are_merged_and_anchored(spark):
+    rows = [(1, 0, 0, 0, "b1", "Vesti", "fact", "a channel"), (1, 1, 0, 0, "b2", "vesti", "fact", "again"), (1, 0, 0, 1, "b1", "Kremlin", "source", "The Kremlin is old")]
+    got = reading.merge_notes(spark.createDataFrame(rows, "book int, pass int, file int, place int, block string, term string, kind string, text string"), ["book"]).collect()
+    assert [tuple(r) for r in got] == [(1, "b1", "Vesti — a channel The Kremlin is old", ["Vesti", "Kremlin"], True)]
+    t = spark.createDataFrame([("seen in <i>Vesti</i> by all", ["nothing", "Vesti"]), ("no such word", ["else"]), ("the green snakes bit", ["green snake"])], "text string, terms array<string>")
+    assert [r[0] for r in t.select(reading.anchored(F.col("text"), F.col("terms"), F.lit("[1]"))).collect()] == ["seen in <i>Vesti</i>[1] by all", "no such word", "the green snakes[1] bit"]
 
 
 def test_as_of_takes_the_first_at_or_after(spark):
