@@ -222,8 +222,10 @@ def score(docs: DataFrame, model: Gam | float, id_col: str = "doc_id", text_col:
 def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "quality", per_class: int = PER_CLASS) -> DataFrame:
     """Per row: the id, held_out, score (0 to 1) and predicted (score of THRESHOLD or more).
 
-    Labels of fold 1 are never seen.  A null id is not held out; repeated rows score alike.
-    Only ids and texts are read.  Without labels of both kinds the score is a constant.
+    Labels of fold 1 are never seen.  A null id is not held out; repeated rows score alike, and
+    in training a repeated id is one example.  Null and empty texts score as texts without words;
+    the features of a very long one are of all of it.  Only ids and texts are read.  An empty
+    table gives no rows; without labels of both kinds the score is a constant.
     """
     out = score(docs, train(docs, labels, label, per_class, id_col, text_col), id_col, text_col)
     held = F.coalesce(fold(F.col("`" + id_col + "`")) == 1, F.lit(False))

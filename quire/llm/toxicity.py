@@ -30,7 +30,7 @@ PER_CLASS, MOST_BYTES = 2400, 16 << 10
 #: Words of a window; scored windows begin at every word, those that the network learns from so many words apart.
 WINDOW, STRIDE, APART_BY = 24, 1, 16
 NAMES, TRIGRAMS, EMBED, HIDDEN, ATTEND = 4096, 2048, 8, 8, 8
-STEPS, BATCH, RATE, ROUNDS = 160, 384, 0.01, 2
+STEPS, BATCH, RATE, ROUNDS = 320, 384, 0.01, 4
 #: Toxic training documents from which a third of the sample is set apart, and -log of a chance that makes a key word.
 APART, CHANCE = 200, 7.0
 #: Windows that are scored together, and bytes of text that are prepared together.
@@ -401,8 +401,10 @@ def score(docs: DataFrame, model: Network | float, id_col: str = "doc_id", text_
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic", per_class: int = PER_CLASS) -> DataFrame:
     """Per row: the id, held_out, score (0 to 1) and predicted (score of THRESHOLD or more).
 
-    Labels of fold 1 are never seen.  A null id is not held out; repeated rows score alike.
-    Only ids and texts are read.  Without labels of both kinds the score is a constant.
+    Labels of fold 1 are never seen.  A null id is not held out; repeated rows score alike, and
+    in training a repeated id is one example.  Null and empty texts score as texts without words;
+    very long ones are scored whole, windows in blocks.  Only ids and texts are read.  An empty
+    table gives no rows; without labels of both kinds the score is a constant.
     """
     rows = training_rows(docs, labels, label, per_class, id_col, text_col, MOST_BYTES).toArrow()
     order = np.argsort([hash_of for hash_of in map(_stable, rows.column("text").to_pylist())], kind="stable")
