@@ -7,14 +7,17 @@ stopped goes on where it was."""
 from __future__ import annotations
 
 import argparse
+import dataclasses
 import os
+import sys
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quire import host
 from quire.functions import text as X
 from quire.model import T, Thresholds
-from quire.operators import checks
+from quire.operators import checks, language
 from quire.plans import packing, passes
 from quire.sinks import writers
 from quire.sources import books
@@ -32,13 +35,27 @@ class Engine:
         return self.spark.read.parquet(f"{self.work}/{name}")
 
     def read(self, path: str) -> DataFrame:
-        """Blocks of all books under ``path``."""
-        books.read_books(self.spark, path).write.mode("overwrite").parquet(f"{self.work}/blocks")
+        """Blocks of all books under ``path``, after the passes that every read ends with."""
+        books.finished(books.read_books(self.spark, path), th=self.th).write.mode("overwrite").parquet(f"{self.work}/blocks")
         return self._table("blocks")
 
     def translatable(self) -> DataFrame:
-        """Paragraphs, verse, notes and tables, and the headings, which have chunks too."""
-        return self._table("blocks").filter(F.col("error").isNull() & F.col("kind").isin("p", "verse", "note", "table", "title", "subtitle"))
+        """Paragraphs, verse, notes and tables that neither stay as they are nor go, and the headings, which have chunks too."""
+        kinds = F.col("kind").isin("p", "verse", "note", "table", "title", "subtitle")
+        return self._table("blocks").filter(F.col("error").isNull() & kinds & ~F.col("asis") & ~F.col("drop"))
+
+    def guard(self, to: str, share: float = 0.9) -> None:
+        """Refuse a run that can't be meant: nothing to read, hardly any text, or a book that is in the target language already."""
+        b = self.translatable().filter("kind not in ('title', 'subtitle')")
+        n, words = b.agg(F.count("*"), F.sum(X.words(F.col("text")))).first()
+        if n < 20 and (words or 0) < 500:
+            raise ValueError(f"{n} paragraphs and {words or 0} words: hardly a book")
+        w = Window.partitionBy("book_id")
+        sample = b.filter(F.length("text") > 60).withColumn("r", F.row_number().over(w.orderBy("pos")) - 1).withColumn("n", F.count("*").over(w)).filter("r % greatest(1, n div 400) = 0")
+        found = language.detect(sample).groupBy("book_id").agg(F.count("*").alias("n"), F.avg((F.col("lang_found") == to).cast("int")).alias("share"))
+        done = [r["book_id"] for r in found.filter(f"n >= 20 and share > {share}").limit(5).collect()]
+        if done:
+            raise ValueError(f"in {to} already: {', '.join(done)}")
 
     def translate(self, to: str) -> DataFrame:
         """Translations (book_id, chunk, pos, id, tr) of the blocks whose fingerprint isn't stored yet."""
@@ -67,8 +84,9 @@ class Engine:
         if done is None:
             return b
         told = b.join(done.select("book_id", "id", "tr"), ["book_id", "id"], "left")
-        text = F.coalesce("tr", "text") if partial else F.when(F.col("kind").isin("break", "image", "code"), F.col("text")).otherwise(F.col("tr"))
-        return told.withColumn("text", text).drop("tr")
+        stays = F.col("kind").isin("break", "image", "code") | F.col("asis")
+        text = F.coalesce("tr", "text") if partial else F.when(stays, F.coalesce("tr", "text")).otherwise(F.col("tr"))
+        return told.filter(~F.col("drop")).withColumn("text", text).drop("tr")
 
     def build(self, to: str, kind: str, partial: bool = False) -> DataFrame:
         """(book_id, name, content) of each book; also written beside the work as files of bytes."""
@@ -93,11 +111,13 @@ class Engine:
             "marks": checks.note_marks(both, key).count(),
         }
 
-    def run(self, path: str, to: str, steps: tuple[str, ...] = STEPS, kind: str = "md", partial: bool = False) -> dict:
-        """The steps in order; what the last two give."""
+    def run(self, path: str, to: str, steps: tuple[str, ...] = STEPS, kind: str = "md", partial: bool = False, guarded: bool = False) -> dict:
+        """The steps in order; what the last two give.  ``guarded``: refuse to translate what can't be meant."""
         out: dict = {}
         if "read" in steps:
             self.read(path)
+        if guarded and "translate" in steps:
+            self.guard(to)
         if "translate" in steps:
             self.translate(to)
         if "build" in steps:
@@ -117,12 +137,25 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("--skip", action="append", choices=STEPS, default=[])
     p.add_argument("--kind", default="md", choices=["txt", *writers.WRITERS])
     p.add_argument("--partial", action="store_true")
+    p.add_argument("--force", action="store_true", help="translate even what hardly is a book, or is in the language already")
+    p.add_argument("--tune", help="a file of thresholds, NAME = number")
+    p.add_argument("--doctor", action="store_true", help="say which tools there are, and stop")
     p.add_argument("--chunk-words", type=int)
     p.add_argument("--dest", default=".")
-    a = p.parse_args(argv)
-    th = T if a.chunk_words is None else Thresholds(target_words=a.chunk_words, max_words=a.chunk_words * 7 // 5)
+    def stored(name: str) -> str:
+        where = name if os.path.exists(name) else os.path.join(host.config_dir(), "profiles", name + ".conf")
+        with open(where, encoding="utf-8") as f:
+            return f.read()
+
+    a = p.parse_args(host.with_profiles(sys.argv[1:] if argv is None else argv, stored))
+    if a.doctor:
+        print("\n".join(f"{tool}: {'there' if there else 'missing'} ({use})" for tool, use, there in host.doctor()))
+        return 0
+    th = host.tuned(stored(a.tune))[0] if a.tune else T
+    if a.chunk_words is not None:
+        th = dataclasses.replace(th, target_words=a.chunk_words, max_words=a.chunk_words * 7 // 5)
     engine = Engine(SparkSession.builder.getOrCreate(), a.work, thresholds=th)
-    out = engine.run(a.path, a.to, tuple(s for s in a.only or STEPS if s not in a.skip), a.kind, a.partial)
+    out = engine.run(a.path, a.to, tuple(s for s in a.only or STEPS if s not in a.skip), a.kind, a.partial, not a.force)
     if "books" in out:
         os.makedirs(a.dest, exist_ok=True)
         for row in out["books"].select("name", "content").toLocalIterator():  # a book at a time

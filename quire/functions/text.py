@@ -75,10 +75,26 @@ def limited(c: Column) -> Column:
     return scarce & ~c.rlike(r"(?i)too (?:long|large)|context (?:window|length|limit)|maximum (?:length|size)")
 
 
-def reset_after(c: Column) -> Column:
-    """Seconds until a limit resets, from ``resets in 1h 2m 3s``; null if it isn't said."""
+def reset_after(c: Column, now: Column | None = None) -> Column:
+    """Seconds until a limit resets, from ``resets in 1h 2m 3s`` or ``resets at 3pm``; null if it isn't said.
+
+    A time of day is the next one after ``now``, a timestamp of the session's zone."""
     part = lambda unit: F.coalesce(F.regexp_extract(c, rf"(?i)resets? in\s[\w ]*?(\d+)\s*{unit}", 1).try_cast("long"), F.lit(0))
-    return F.when(c.rlike(r"(?i)resets? in\s+\d"), part("h") * 3600 + part("m") * 60 + part("s"))
+    now = F.current_timestamp() if now is None else now
+    said = lambda k: F.regexp_extract(c, r"(?i)resets?(?:\s+at)?\s+(\d{1,2})(?::(\d{2}))?\s*([ap]m)?", k)
+    hour, half = said(1).try_cast("int"), F.lower(said(3))
+    hour = F.when(half == "", hour).otherwise(hour % 12 + F.when(half == "pm", 12).otherwise(0))
+    minute = F.coalesce(said(2).try_cast("int"), F.lit(0))
+    left = (hour - F.hour(now)) * 3600 + (minute - F.minute(now)) * 60 - F.second(now)
+    at = F.when((hour <= 23) & (minute <= 59), F.when(left > 0, left).otherwise(left + 86400)).cast("long")
+    return F.when(c.rlike(r"(?i)resets? in\s+\d"), part("h") * 3600 + part("m") * 60 + part("s")).otherwise(at)
+
+
+def unspaced(c: Column) -> Column:
+    """Letterspaced words joined: four single letters and more with one space between them."""
+    spaced = r"(?<![\p{L}\p{N}_])\p{L}(?: \p{L}){3,}(?![\p{L}\p{N}_])"
+    found = F.regexp_extract_all(c, F.lit(spaced), F.lit(0))
+    return F.aggregate(found, c, lambda acc, x: F.replace(acc, x, F.replace(x, F.lit(" "), F.lit(""))))
 
 
 def out_name(author: Column, title: Column, fallback: Column) -> Column:

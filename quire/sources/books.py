@@ -8,8 +8,11 @@ import zipfile
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
+from quire.model import T, Thresholds
+from quire.operators import reading as R
 from quire.sources import html
 
 SCHEMA = "book_id string, pos long, id string, kind string, text string, links array<string>, level int, note_id string, error string"
@@ -200,6 +203,34 @@ def _rows(frames):
                 yield out
 
 
+def finished(blocks: DataFrame, drop: tuple[str, ...] = (), th: Thresholds = T) -> DataFrame:
+    """Blocks of books after the passes that every read ends with: adds asis and drop.
+
+    Back matter stays as it is and an index goes; so do reference lists, runs of citations and
+    listings; notes that no link leads to are paragraphs."""
+    by = ["book_id"]
+    good = blocks.filter("error is null")
+    numbered = good.withColumn("section", F.count_if(F.col("kind") == "title").over(Window.partitionBy(*by).orderBy("pos")))
+    back = R.back_matter(R.sections(good, by), by, drop, th)
+    told = numbered.join(back, [*by, "section"], "left")
+    refs = R.reference_marks(good, by, th).withColumn("_ref", F.lit(True))
+    told = told.join(refs, [*by, "pos"], "left")
+    inside = R.citation_runs(good, by, th).select(*by, "first_pos", "last_pos")
+    cited = good.filter(F.col("kind").isin(*R.PROSE)).join(inside, by).filter("pos between first_pos and last_pos").filter((F.col("kind") != "note") | R.cites(F.col("text")))
+    told = told.join(cited.select(*by, "pos").distinct().withColumn("_cite", F.lit(True)), [*by, "pos"], "left")
+    # a section's title is translated even where the section isn't
+    kept = F.coalesce("is_back", F.lit(False)) & (F.col("kind") != "title") | F.coalesce("_ref", F.lit(False)) | F.coalesce("_cite", F.lit(False)) | (F.col("kind") == "code")
+    told = told.withColumn("asis", kept).withColumn("drop", F.coalesce("dropped", F.lit(False)))
+    links = good.select(*by, F.explode("links").alias("href")).filter(F.col("href").startswith("#")).select(*by, F.substring("href", 2, 1 << 20).alias("target"))
+    out = R.demote_notes(told, links.unionByName(_marks(good)), by)
+    return out.select(*blocks.columns, "asis", "drop").unionByName(blocks.filter("error is not null").withColumn("asis", F.lit(False)).withColumn("drop", F.lit(False)))
+
+
+def _marks(blocks: DataFrame) -> DataFrame:
+    """The notes that marks ``[^n]`` in the text lead to."""
+    return blocks.filter("kind <> 'note'").select("book_id", F.explode(F.regexp_extract_all("text", F.lit(r"\[\^([^\]\s]+)\]"), F.lit(1))).alias("target"))
+
+
 def read_books(spark: SparkSession, path: str) -> DataFrame:
     """Blocks of all files under ``path``; a file that can't be read is one row with its error."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
