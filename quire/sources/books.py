@@ -60,6 +60,7 @@ def inline(s: str) -> tuple[str, list[str]]:
         return f"<a{len(links)}>{m[1]}</a{len(links)}>"
 
     out = []
+    s = re.sub(r"\\([\\`*_\[\]])", lambda m: chr(0xE100 + ord(m[1])), s)  # an escaped sign is none
     for i, part in enumerate(re.split(r"(`[^`]+`)", s)):
         if i % 2:
             out.append(f"<code>{part[1:-1]}</code>")
@@ -69,7 +70,7 @@ def inline(s: str) -> tuple[str, list[str]]:
             close = r"_(?!\w)" if "_" in mark else mark
             part = re.sub(rf"{mark}(?=\S)(.+?)(?<=\S){close}", rf"<{tag}>\1</{tag}>", part)
         out.append(part)
-    return "".join(out), links
+    return re.sub("[\ue100-\ue17f]", lambda m: chr(ord(m[0]) - 0xE100), "".join(out)), links
 
 
 def markdown(text: str) -> list[dict]:
@@ -141,11 +142,15 @@ def fb2(raw: bytes) -> list[dict]:
     out = []
     local = lambda e: e.tag.rpartition("}")[2]
 
-    def text(e):
+    def text(e, links=None):
         body = e.text or ""
         for c in e:
             tag = {"emphasis": "i", "strong": "b", "strikethrough": "s", "code": "code", "sup": "sup", "sub": "sub"}.get(local(c))
-            body += f"<{tag}>{text(c)}</{tag}>" if tag else text(c)
+            href = next((v for k, v in c.attrib.items() if k.endswith("href")), None) if local(c) == "a" else None
+            if href is not None and links is not None:
+                links.append(href)
+                tag = f"a{len(links)}"
+            body += f"<{tag}>{text(c, links)}</{tag}>" if tag else text(c, links)
             body += c.tail or ""
         return re.sub(r"\s+", " ", body)
 
@@ -155,16 +160,22 @@ def fb2(raw: bytes) -> list[dict]:
             if name == "section":
                 walk(c, depth + 1, c.get("id") if note is not None else None)
             elif name == "title":
-                if note is None:
+                if note is None and len(c):
                     out.append(_block("title", " ".join(text(p).strip() for p in c).strip(), level=max(1, depth)))
             elif name in ("poem", "stanza", "cite", "epigraph"):
                 walk(c, depth, note)
             elif name in ("p", "text-author", "subtitle", "v"):
                 kind = "note" if note is not None else {"subtitle": "subtitle", "v": "verse"}.get(name, "p")
-                if body := text(c).strip():
-                    out.append(_block(kind, body, note_id=note))
+                links: list[str] = []
+                if body := text(c, links).strip():
+                    out.append(_block("code", body[6:-7], []) if kind == "p" and re.fullmatch(r"<code>[^<]*</code>", body) else _block(kind, body, links, note_id=note))
             elif name == "empty-line":
                 out.append(_block("break", ""))
+            elif name == "table" and note is None:
+                rows = ([re.sub(r"\s+", " ", text(d)).strip().replace("|", "\\|") for d in r if local(d) in ("td", "th")] for r in c if local(r) == "tr")
+                out.append(_block("table", "\n".join(" | ".join(r) for r in rows)))
+            elif name == "image" and note is None:
+                out.append(_block("image", c.get("alt") or "", [next((v for k, v in c.attrib.items() if k.endswith("href")), "")]))
 
     for body in (e for e in ElementTree.fromstring(raw) if local(e) == "body"):
         walk(body, 0, "" if body.get("name") == "notes" else None)
