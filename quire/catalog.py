@@ -151,16 +151,22 @@ def lang_confusion(spark, d):
     return L.detect(docs(spark, d), only=L.QUERIED).groupBy("lang", "lang_found").agg(F.count("*").alias("n_docs"))
 
 
+_LINE_LANG = _LANG.replace("FROM documents)", "FROM books)", 1)
+
+
 @query(
-    f"""WITH {_LANG}, s AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS r, count(*) OVER (PARTITION BY source) AS n FROM g WHERE length(text) > 60)
-SELECT source, count(*) AS sampled, round(avg(CASE WHEN lang_found = 'en' THEN 1.0e0 ELSE 0.0e0 END), 6) AS share_en FROM s WHERE r % greatest(1, n // 400) = 0 GROUP BY source"""
+    f"""WITH l AS (SELECT doc_id, unnest(range(len(string_split(text, chr(10))))) AS line, unnest(string_split(text, chr(10))) AS text FROM documents WHERE text IS NOT NULL),
+books AS (SELECT doc_id * 1000000 + line AS doc_id, doc_id // 8 AS source, '' AS lang, text FROM l WHERE length(text) > 60), {_LINE_LANG},
+s AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS r, count(*) OVER (PARTITION BY source) AS n FROM g)
+SELECT source AS book, count(*) AS sampled, round(avg(CASE WHEN lang_found = 'en' THEN 1.0e0 ELSE 0.0e0 END), 6) AS share_en FROM s WHERE r % greatest(1, n // 400) = 0 GROUP BY source"""
 )
 def target_share(spark, d):
-    """The share of an even sample that is in the target language already."""
-    w = Window.partitionBy("source")
-    s = L.detect(docs(spark, d), only=L.QUERIED).filter(F.length("text") > 60).withColumn("r", F.row_number().over(w.orderBy("doc_id")) - 1).withColumn("n", F.count("*").over(w))
-    s = s.filter(F.expr("r % greatest(1, n div 400) = 0"))
-    return s.groupBy("source").agg(F.count("*").alias("sampled"), F.round(F.avg(F.when(F.col("lang_found") == "en", 1.0).otherwise(0.0)), 6).alias("share_en"))
+    """The share of an even sample of a book's paragraphs that is in the target language already."""
+    w = Window.partitionBy("book")
+    p = S.lines(docs(spark, d), keep=("doc_id",)).filter(F.length("text") > 60).withColumn("book", F.expr("doc_id div 8"))
+    s = p.withColumn("r", F.row_number().over(w.orderBy("doc_id", "line")) - 1).withColumn("n", F.count("*").over(w)).filter(F.expr("r % greatest(1, n div 400) = 0"))
+    s = L.detect(s, only=L.QUERIED)
+    return s.groupBy("book").agg(F.count("*").alias("sampled"), F.round(F.avg(F.when(F.col("lang_found") == "en", 1.0).otherwise(0.0)), 6).alias("share_en"))
 
 
 @query(
@@ -243,7 +249,7 @@ SELECT conv_id, turn, round(r, 6) AS ratio FROM r, m WHERE n >= 40 AND (r / mid
 )
 def length_ratio_outliers(spark, d):
     """A10, Q03: pairs far from the upper median of length ratios."""
-    r = _ratios(spark, d).filter("n >= 40")
+    r = _ratios(spark, d).filter("n >= 40").select("conv_id", "turn", "r").persist()  # three narrow columns, read by several jobs
     mid = S.value_at(r, "r", r.count() // 2) or 1.0
     return r.filter((F.col("r") / mid < 0.55) | (F.col("r") / mid > 2.2)).select("conv_id", "turn", F.round("r", 6).alias("ratio"))
 

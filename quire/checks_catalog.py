@@ -170,14 +170,14 @@ def mark_pieces(spark, d):
 
 
 def _numbered(system: str, prompt: str) -> str:
-    return "\n".join(x.upper() for x in prompt.splitlines())
+    return prompt.replace("e", "a")
 
 
-@query()
+@query("SELECT doc_id // 8 AS book, t AS text, replace(trim(regexp_replace(t, '\\s+', ' ', 'g')), 'e', 'a') AS title FROM (SELECT DISTINCT doc_id // 8 * 8 AS doc_id, string_split(text, chr(10))[1] AS t FROM documents WHERE text IS NOT NULL AND trim(string_split(text, chr(10))[1]) <> '')")
 def stub_headings(spark, d):
     """Distinct headings of each book, translated in batches."""
-    b = S.lines(docs(spark, d)).filter("trim(text) <> '' and line = 0").select("source", F.col("doc_id").alias("pos"), F.lit("title").alias("kind"), "text")
-    return model_passes.headings(b, "source", [_numbered]).select("source", "text", "title")
+    b = S.lines(docs(spark, d), keep=("doc_id",)).filter("trim(text) <> '' and line = 0").select(F.expr("doc_id div 8").alias("book"), F.col("doc_id").alias("pos"), F.lit("title").alias("kind"), "text")
+    return model_passes.headings(b, "book", [_numbered]).select("book", "text", "title")
 
 
 @query(

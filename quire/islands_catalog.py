@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from quire.catalog import docs, pairs, query, table
 from quire.functions import similarity
 from quire.functions import text as X
 from quire.model import T
+from quire.operators import checks
 from quire.operators import sequence as S
 from quire.plans import packing, passes
 from quire.sinks import writers
@@ -37,7 +39,7 @@ def html_blocks(spark, d):
 
 @query()
 def style_census(spark, d):
-    """Tags and classes with counts and three spread samples."""
+    """Tags and classes with counts and three samples, evenly spread over the first sixty."""
 
     def run(frames):
         for frame in frames:
@@ -45,8 +47,7 @@ def style_census(spark, d):
             yield pd.DataFrame(rows, columns=["page_id", "n", "tag", "cls", "sample"])
 
     seen = table(spark, d, "pages").select("page_id", "html").mapInPandas(run, "page_id long, n long, tag string, cls string, sample string")
-    top = seen.groupBy("tag", "cls").agg(F.count("*").alias("count"), F.min(F.struct("page_id", "n", "sample")).alias("a"), F.max(F.struct("page_id", "n", "sample")).alias("z"))
-    return top.select("tag", "cls", "count", F.array_distinct(F.array("a.sample", "z.sample")).alias("samples")).orderBy(F.desc("count"))
+    return checks.spread(seen, ["tag", "cls"], ["page_id", "n"], "sample").orderBy(F.desc("count"))
 
 
 def _lines_as_blocks(spark, d):
@@ -94,20 +95,50 @@ def similarity_twins(spark, d):
     return pairs(spark, d).groupBy("conv_id").applyInPandas(run, "conv_id long, twins long")
 
 
-@query()
+_LISTING = """WITH w AS (SELECT doc_id, text, regexp_extract_all(text, '[A-Za-z]{3,}') AS ws FROM documents WHERE text IS NOT NULL),
+k AS (SELECT doc_id, array_to_string(ws[1:5], ' ') AS said FROM w WHERE len(ws) >= 5)
+SELECT doc_id, length(said) >= 12 AND doc_id % 4 <> 1 AS replaced,
+  md5('x = 1' || chr(10) || CASE doc_id % 4 WHEN 0 THEN 'y = 2  # ' WHEN 1 THEN 's = "' WHEN 2 THEN 'z(); // ' ELSE '/* ' END
+    || CASE WHEN length(said) >= 12 AND doc_id % 4 <> 1 THEN 'neu' ELSE said END || CASE doc_id % 4 WHEN 1 THEN '"' WHEN 3 THEN ' */' ELSE '' END) AS digest FROM k"""
+
+
+@query(_LISTING)
 def comment_splice(spark, d):
-    """Translated comments set into a listing."""
-    listing = 'int a = 1; // counts the open files\nchar *s = "// not a comment at all";\n# include <x>\nb = 2  # adds up all the values\n'
-    rows = [(1, listing, 1, "counts the open files", "zählt die offenen Dateien"), (2, listing, 2, "not a comment at all", "kein Kommentar"), (3, listing, 4, "adds up all the values", "addiert alle Werte")]
-    f = F.udf(lambda t, line, part, tr: similarity.splice(t, [(line, part, tr)])[1], "int")
-    return spark.createDataFrame(rows, "n int, listing string, line int, part string, tr string").select("n", f("listing", "line", "part", "tr").alias("replaced"))
+    """Translated comments set into listings; a document's first words are a comment, or a string that isn't one."""
+    ws = F.regexp_extract_all("text", F.lit("[A-Za-z]{3,}"), F.lit(0))
+    k = docs(spark, d).filter("text is not null").withColumn("ws", ws).filter(F.size("ws") >= 5).select("doc_id", F.array_join(F.slice("ws", 1, 5), " ").alias("said"))
+    sign = F.expr("case doc_id % 4 when 0 then 'y = 2  # ' when 1 then 's = \"' when 2 then 'z(); // ' else '/* ' end")
+    end = F.expr("case doc_id % 4 when 1 then '\"' when 3 then ' */' else '' end")
+    rows = k.select("doc_id", "said", F.concat(F.lit("x = 1\n"), sign, "said", end).alias("listing"))
+
+    def run(batches):
+        for batch in batches:
+            done = [similarity.splice(t, [(2, s, "neu")]) for t, s in zip(batch.column("listing").to_pylist(), batch.column("said").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([n > 0 for _, n in done]), pa.array([t for t, _ in done], pa.string())], ["doc_id", "replaced", "listing"])
+
+    return rows.mapInArrow(run, "doc_id long, replaced boolean, listing string").select("doc_id", "replaced", F.md5("listing").alias("digest"))
 
 
 @query()
 def encoding_detect(spark, d):
-    """Texts written in other encodings, and what they are read as."""
-    f = F.udf(lambda t, i: encoding.decode(t.encode(("utf-8", "cp1252", "utf-16")[i % 3], "replace"))[0] == t.encode(("utf-8", "cp1252", "utf-16")[i % 3], "replace").decode(("utf-8", "cp1252", "utf-16")[i % 3]), "boolean")
-    return docs(spark, d).select("lang", f("text", "doc_id").alias("same")).groupBy("lang").agg(F.count_if("same").alias("right"), F.count("*").alias("n"))
+    """Texts written in each encoding that has their letters, and how many are read as they were."""
+    names = ("utf-8", "utf-16", "cp1252", "cp1250", "cp1251", "koi8-r")
+    rows = docs(spark, d).filter("text is not null").select("lang", "text")
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                for name in names:
+                    try:
+                        raw = text.encode(name)
+                    except UnicodeEncodeError:
+                        continue
+                    out.append((lang, name, encoding.decode(raw)[0] == text))
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], k) for i, k in enumerate((pa.string(), pa.string(), pa.bool_()))], ["lang", "name", "same"])
+
+    told = rows.mapInArrow(run, "lang string, name string, same boolean")
+    return told.groupBy("lang", "name").agg(F.count_if("same").alias("right"), F.count("*").alias("n"))
 
 
 def _reversed(t: str) -> str:
@@ -142,7 +173,7 @@ def render_txt(spark, d):
 
 
 def _rendered(spark, d, kind):
-    return writers.render(page_blocks(spark, d), "page_id", kind).select("page_id", "name", F.octet_length("content").alias("bytes"))
+    return writers.render(page_blocks(spark, d), "page_id", kind).select("page_id", "name", F.octet_length("content").alias("bytes"), F.sha2("content", 256).alias("digest"))
 
 
 @query()

@@ -124,3 +124,13 @@ SKIPPED_LINKS = r"(?i)oceanofpdf|authoralerts|contents\.xhtml|#"
 def kept_link(href: Column, skip: str = SKIPPED_LINKS) -> Column:
     """Whether an outer link stays: an http address that isn't on the list."""
     return href.startswith("http") & ~href.rlike(skip)
+
+
+def spread(seen: DataFrame, by: list[str], order: list[str], sample: str, first: int = 60, n: int = 3) -> DataFrame:
+    """(by, count, samples): how often, and ``n`` samples evenly spread over the first ones in order."""
+    w = Window.partitionBy(*by).orderBy(*order)
+    # the first ones of each task are enough to find those of all
+    early = seen.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= first)
+    some = early.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("_r", sample))).alias("s"))
+    at = F.transform(F.sequence(F.lit(0), F.least(F.lit(n), F.size("s")) - 1), lambda i: F.round(i * (F.size("s") - 1) / F.greatest(F.least(F.lit(n), F.size("s")) - 1, F.lit(1))).cast("int"))
+    return seen.groupBy(*by).agg(F.count("*").alias("count")).join(some, by).select(*by, "count", F.transform(at, lambda i: F.col("s")[i][sample]).alias("samples"))

@@ -14,7 +14,7 @@ def test_query_matches_sql(spark, duck, name):
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
-def test_query_has_rows(spark, name):
+def test_query_has_rows_and_columns(spark, name):
     assert QUERIES[name](spark, SF).count() > 0
 
 
