@@ -204,3 +204,56 @@ def render_fb2(spark, d):
 def render_tex(spark, d):
     """Pages as LaTeX."""
     return _rendered(spark, d, "tex")
+
+
+#: Lines of a document as blocks: the first a title, every fifth verse.
+_DOC = """l AS (SELECT doc_id, unnest(range(len(string_split(text, chr(10))))) AS pos, unnest(string_split(text, chr(10))) AS t FROM documents WHERE text IS NOT NULL),
+b AS (SELECT *, CASE WHEN pos = 0 THEN 'title' WHEN pos % 5 = 4 THEN 'verse' ELSE 'p' END AS kind FROM l)"""
+
+
+def _written(spark, d, kind):
+    p = S.lines(docs(spark, d), keep=("doc_id",)).withColumn("pos", F.col("line").cast("long"))
+    b = p.select("doc_id", "pos", F.expr("concat('b', pos)").alias("id"), F.expr("case when pos = 0 then 'title' when pos % 5 = 4 then 'verse' else 'p' end").alias("kind"), "text", F.array().cast("array<string>").alias("links"), F.lit(None).cast("int").alias("level"))
+    return writers.render(b, "doc_id", kind).select("doc_id", F.md5("content").alias("digest"))
+
+
+def _replaced(x: str, pairs: list[tuple[str, str]]) -> str:
+    for a, b in pairs:
+        quoted = lambda s: "'" + s.replace("'", "''") + "'"
+        x = f"replace({x}, {quoted(a)}, {quoted(b)})"
+    return x
+
+
+_XML = [("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")]
+
+
+@query(f"""WITH {_DOC}, m AS (SELECT doc_id, pos, CASE kind WHEN 'title' THEN '# ' ELSE '' END || {_replaced("t", [(chr(92), chr(92) * 2), *((c, chr(92) + c) for c in "`*_[]")])} || CASE kind WHEN 'verse' THEN '  ' ELSE '' END AS x FROM b)
+SELECT doc_id, md5(string_agg(x, chr(10) || chr(10) ORDER BY pos) || chr(10)) AS digest FROM m GROUP BY doc_id""")
+def write_md(spark, d):
+    """Documents as Markdown."""
+    return _written(spark, d, "md")
+
+
+@query(f"""WITH {_DOC}, m AS (SELECT doc_id, pos, CASE kind WHEN 'title' THEN '<h1 id="b0">' || {_replaced("t", _XML)} || '</h1>' WHEN 'verse' THEN '<p class="verse">' || {_replaced("t", _XML)} || '</p>' ELSE '<p>' || {_replaced("t", _XML)} || '</p>' END AS x FROM b)
+SELECT doc_id, md5('<!DOCTYPE html>' || chr(10) || '<html xmlns="http://www.w3.org/1999/xhtml"><head><meta charset="utf-8"/><title>' || doc_id || '</title></head><body>' || chr(10) || string_agg(x, chr(10) ORDER BY pos) || chr(10) || '</body></html>' || chr(10)) AS digest FROM m GROUP BY doc_id""")
+def write_html(spark, d):
+    """Documents as HTML."""
+    return _written(spark, d, "html")
+
+
+@query(f"""WITH {_DOC}, e AS (SELECT *, {_replaced("t", _XML)} AS x, kind = 'verse' AND coalesce(lag(kind) OVER (PARTITION BY doc_id ORDER BY pos), '') <> 'verse' AS opens, kind = 'verse' AND coalesce(lead(kind) OVER (PARTITION BY doc_id ORDER BY pos), '') <> 'verse' AS closes FROM b),
+m AS (SELECT doc_id, pos, CASE kind WHEN 'title' THEN '<section><title><p>' || x || '</p></title>' WHEN 'verse' THEN CASE WHEN opens THEN '<poem><stanza>' ELSE '' END || '<v>' || x || '</v>' || CASE WHEN closes THEN '</stanza></poem>' ELSE '' END ELSE '<p>' || x || '</p>' END AS x FROM e)
+SELECT doc_id, md5('<?xml version="1.0" encoding="utf-8"?>' || chr(10) || '<FictionBook xmlns="http://www.gribuser.ru/xml/fictionbook/2.0" xmlns:l="http://www.w3.org/1999/xlink"><description><title-info><book-title>' || doc_id || '</book-title><lang>en</lang></title-info></description><body>' || string_agg(x, '' ORDER BY pos) || '</section></body></FictionBook>') AS digest FROM m GROUP BY doc_id""")
+def write_fb2(spark, d):
+    """Documents as FB2."""
+    return _written(spark, d, "fb2")
+
+
+_TEX = [(chr(92), "\x01"), *((c, chr(92) + c) for c in "{}$&#%_"), ("~", r"\textasciitilde{}"), ("^", r"\textasciicircum{}"), ("\x01", r"\textbackslash{}")]
+
+
+@query(f"""WITH {_DOC}, m AS (SELECT doc_id, pos, CASE kind WHEN 'title' THEN '\\chapter{{' || {_replaced("t", _TEX)} || '}}' WHEN 'verse' THEN {_replaced("t", _TEX)} || '\\\\' ELSE {_replaced("t", _TEX)} || chr(10) END AS x FROM b)
+SELECT doc_id, md5('\\documentclass{{book}}' || chr(10) || '\\usepackage{{hyperref,ulem}}' || chr(10) || '\\title{{' || doc_id || '}}' || chr(10) || '\\begin{{document}}' || chr(10) || string_agg(x, chr(10) ORDER BY pos) || chr(10) || '\\end{{document}}' || chr(10)) AS digest FROM m GROUP BY doc_id""")
+def write_tex(spark, d):
+    """Documents as LaTeX."""
+    return _written(spark, d, "tex")
