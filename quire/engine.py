@@ -17,12 +17,15 @@ from pyspark.sql import functions as F
 from quire import host
 from quire.functions import text as X
 from quire.model import T, Thresholds
-from quire.operators import checks, language
-from quire.plans import packing, passes
+from quire.operators import checks, joins, language
+from quire.operators import reading as R
+from quire.plans import model_passes, packing, passes
 from quire.sinks import writers
 from quire.sources import books
 
 STEPS = ("read", "translate", "build", "qa")
+#: Steps that are taken only when they are asked for.
+MORE = ("edit", "notes")
 
 
 class Engine:
@@ -68,13 +71,36 @@ class Engine:
         new.withColumn("saved", F.current_timestamp()).write.mode("append").parquet(where)
         return self._done(to)
 
+    def edit(self, to: str) -> DataFrame:
+        """Edits (book_id, chunk, pos, id, old, new) of the drafts, chunk by chunk; appended, the last one of a block counts."""
+        done = self._done(to)
+        drafts = self.translatable().join(done.select("book_id", "id", "tr", "chunk"), ["book_id", "id"])
+        new = passes.edit_pass(drafts, "book_id", self.agents).withColumn("saved", F.current_timestamp())
+        new.write.mode("append").parquet(f"{self.work}/{to}-edits")
+        return self._table(f"{to}-edits")
+
+    def unfinished(self, to: str) -> DataFrame:
+        """Chunks whose edits stop early."""
+        done = self.translatable().join(self._done(to).select("book_id", "id", "chunk"), ["book_id", "id"])
+        return R.stopped(done, self._table(f"{to}-edits"), ["book_id", "chunk"])
+
+    def notes(self, to: str) -> DataFrame:
+        """Notes (book_id, block, text, terms, source) on the translations, one a term, merged by block."""
+        done = self.translatable().join(self._done(to).select("book_id", "id", "tr", "chunk"), ["book_id", "id"])
+        told = model_passes.notes(done.select("book_id", "chunk", "pos", "id", F.col("tr").alias("text")), "book_id", self.agents)
+        told = told.select("book_id", F.lit("nt").alias("pass"), F.col("chunk").alias("file"), F.col("block").alias("place"), "block", "term", "kind", "text")
+        R.merge_notes(told, ["book_id"]).write.mode("overwrite").parquet(f"{self.work}/{to}-notes")
+        return self._table(f"{to}-notes")
+
+    def _exists(self, name: str) -> bool:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.work}/{name}")
+        return at.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(at)
+
     def _done(self, to: str) -> DataFrame | None:
         """The last translation of each block; None before the first run."""
-        jvm, where = self.spark._jvm, f"{self.work}/{to}"
-        at = jvm.org.apache.hadoop.fs.Path(where)
-        if not at.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(at):
+        if not self._exists(to):
             return None
-        rows = self.spark.read.parquet(where)
+        rows = self._table(to)
         return rows.groupBy("book_id", "id").agg(F.max_by(F.struct("tr", "fp", "chunk"), F.struct("saved", "tr")).alias("r")).select("book_id", "id", "r.*")
 
     def current(self, to: str, partial: bool = False) -> DataFrame:
@@ -83,10 +109,23 @@ class Engine:
         done = self._done(to)
         if done is None:
             return b
+        if self._exists(f"{to}-edits"):
+            edits = self._table(f"{to}-edits").groupBy("book_id", "id").agg(F.max_by("new", F.struct("saved", "new")).alias("text"))
+            done = joins.overlay(done.select("book_id", "id", F.col("tr").alias("text")), edits, ["book_id", "id"]).withColumnRenamed("text", "tr")
         told = b.join(done.select("book_id", "id", "tr"), ["book_id", "id"], "left")
         stays = F.col("kind").isin("break", "image", "code") | F.col("asis")
         text = F.coalesce("tr", "text") if partial else F.when(stays, F.coalesce("tr", "text")).otherwise(F.col("tr"))
-        return told.filter(~F.col("drop")).withColumn("text", text).drop("tr")
+        told = told.filter(~F.col("drop")).withColumn("text", text).drop("tr")
+        if not self._exists(f"{to}-notes"):
+            return told
+        # a mark after the first of its terms, or at the block's end, and the note as a block of its own
+        n = self._table(f"{to}-notes").select("book_id", F.col("block").alias("id"), F.concat(F.lit("t-"), "block").alias("_note"), F.col("text").alias("_said"), "terms")
+        both = told.join(n, ["book_id", "id"], "left")
+        mark = F.concat(F.lit("[^"), "_note", F.lit("]"))
+        put = R.anchored(F.col("text"), F.coalesce("terms", F.array().cast("array<string>")), mark)
+        marked = both.withColumn("text", F.when(F.col("_note").isNull(), F.col("text")).when(put.contains(mark), put).otherwise(F.concat("text", mark)))
+        own = both.filter("_note is not null").select(*[F.lit("note").alias(c) if c == "kind" else F.col("_said").alias(c) if c == "text" else F.col("_note").alias(c) if c in ("id", "note_id") else F.array().cast("array<string>").alias(c) if c == "links" else F.col(c) for c in told.columns])
+        return marked.select(*told.columns).unionByName(own)
 
     def build(self, to: str, kind: str, partial: bool = False) -> DataFrame:
         """(book_id, name, content) of each book; also written beside the work as files of bytes."""
@@ -120,6 +159,10 @@ class Engine:
             self.guard(to)
         if "translate" in steps:
             self.translate(to)
+        if "edit" in steps:
+            self.edit(to)
+        if "notes" in steps:
+            self.notes(to)
         if "build" in steps:
             out["books"] = self.build(to, kind, partial)
         if "qa" in steps:
@@ -133,7 +176,8 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("path")
     p.add_argument("--work", required=True)
     p.add_argument("--to", default="en")
-    p.add_argument("--only", action="append", choices=STEPS)
+    p.add_argument("--only", action="append", choices=STEPS + MORE)
+    p.add_argument("--with", dest="more", action="append", choices=MORE, default=[])
     p.add_argument("--skip", action="append", choices=STEPS, default=[])
     p.add_argument("--kind", default="md", choices=["txt", *writers.WRITERS])
     p.add_argument("--partial", action="store_true")
@@ -155,7 +199,7 @@ def main(argv: list[str] | None = None) -> int:
     if a.chunk_words is not None:
         th = dataclasses.replace(th, target_words=a.chunk_words, max_words=a.chunk_words * 7 // 5)
     engine = Engine(SparkSession.builder.getOrCreate(), a.work, thresholds=th)
-    out = engine.run(a.path, a.to, tuple(s for s in a.only or STEPS if s not in a.skip), a.kind, a.partial, not a.force)
+    out = engine.run(a.path, a.to, tuple(s for s in [*(a.only or STEPS), *a.more] if s not in a.skip), a.kind, a.partial, not a.force)
     if "books" in out:
         os.makedirs(a.dest, exist_ok=True)
         for row in out["books"].select("name", "content").toLocalIterator():  # a book at a time

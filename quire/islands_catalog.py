@@ -6,13 +6,13 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from quire.catalog import docs, pairs, query, table
+from quire.catalog import PAIRS, docs, pairs, query, table
 from quire.functions import similarity
 from quire.functions import text as X
 from quire.model import T
 from quire.operators import checks
 from quire.operators import sequence as S
-from quire.plans import packing, passes
+from quire.plans import packing, passes, protocol
 from quire.sinks import writers
 from quire.sources import encoding, html
 
@@ -141,23 +141,34 @@ def encoding_detect(spark, d):
     return told.groupBy("lang", "name").agg(F.count_if("same").alias("right"), F.count("*").alias("n"))
 
 
-def _reversed(t: str) -> str:
-    return t.replace("  ", " ").rstrip()
-
-
-@query()
+@query(
+    """WITH l AS (SELECT doc_id, unnest(range(len(string_split(text, chr(10))))) AS pos, unnest(string_split(text, chr(10))) AS t FROM documents WHERE text IS NOT NULL),
+b AS (SELECT doc_id, pos, array_to_string(list_transform(list_filter(regexp_split_to_array(replace(t, '[[[', '['), '\\s+'), lambda w: w <> ''), lambda w: reverse(w)), ' ') AS tr FROM l WHERE trim(t) <> '')
+SELECT doc_id, count(*) AS blocks, md5(string_agg(tr, chr(10) ORDER BY pos)) AS digest FROM b GROUP BY doc_id"""
+)
 def stub_translate(spark, d):
-    """An ordered pass over the chunks of each book by a model without network."""
+    """An ordered pass over the chunks of each book by a model without network, which reverses words."""
     b = _lines_as_blocks(spark, d).withColumn("words", X.words(F.col("text"))).withColumn("id", F.concat_ws(".", "doc_id", "line"))
     chunked = packing.plan_chunks(b, "doc_id").select("doc_id", "pos", "chunk").join(b.select("doc_id", "pos", "id", F.regexp_replace("text", r"\[\[\[", "[").alias("text")), ["doc_id", "pos"])
-    return passes.translate(chunked, "doc_id", [passes.stub]).groupBy("doc_id", "chunk").agg(F.count("*").alias("blocks"), F.count("tr").alias("translated"))
+    told = passes.translate(chunked, "doc_id", [passes.stub]).groupBy("doc_id").agg(F.count("*").alias("blocks"), F.array_sort(F.collect_list(F.struct("pos", "tr"))).alias("t"))
+    return told.select("doc_id", "blocks", F.md5(F.array_join(F.transform("t", lambda x: x["tr"]), "\n")).alias("digest"))
 
 
-@query()
+def _editor(system: str, prompt: str) -> str:
+    """A model without network: drafts of even length get a mark of exclamation, others aren't named."""
+    drafts = (r for r in protocol.records(prompt, "T"))
+    return "\n".join(f"[[[P {r.args[0]}]]] {r.body}!" for r in drafts if len(r.body) % 2 == 0)
+
+
+@query(
+    f"""WITH {PAIRS}, t AS (SELECT conv_id, turn, trim(replace(tr, '[[[', '['), chr(32) || chr(9) || chr(10) || chr(13) || chr(11) || chr(12)) AS tr FROM pairs)
+SELECT conv_id, turn, md5(tr || '!') AS digest FROM t WHERE length(tr) % 2 = 0 AND tr <> ''"""
+)
 def stub_edit(spark, d):
-    """An edit pass in parallel; rows are what it changed."""
-    p = pairs(spark, d).select("conv_id", F.lit(0).alias("chunk"), F.col("turn").cast("string").alias("id"), F.concat("tr", F.lit(" ")).alias("tr"))
-    return passes.edit(p, "conv_id", _reversed).groupBy("conv_id").agg(F.count("*").alias("edits"))
+    """An edit pass in parallel over chunks; rows are what it changed."""
+    safe = lambda c: F.replace(c, F.lit("[[["), F.lit("["))
+    p = pairs(spark, d).select("conv_id", F.lit(0).alias("chunk"), F.col("turn").cast("long").alias("pos"), F.col("turn").cast("string").alias("id"), safe("src").alias("text"), safe("tr").alias("tr")).filter("trim(tr) <> ''")
+    return passes.edit_pass(p, "conv_id", [_editor]).select("conv_id", F.col("pos").alias("turn"), F.md5("new").alias("digest"))
 
 
 _TXT = """WITH l AS (SELECT doc_id, unnest(range(len(string_split(text, chr(10))))) AS pos, unnest(string_split(text, chr(10))) AS text FROM documents WHERE text IS NOT NULL),

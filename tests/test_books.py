@@ -177,3 +177,67 @@ def test_pages_are_read_back_as_they_were(spark, kind):
             want, got = [t for _, t in want], [t for _, t in got]
         same += want == got
     assert same >= 0.99 * len(made)
+
+
+def test_a_request_carries_the_book_around_it(spark):
+    from quire.plans import passes, protocol
+
+    def agent(system, prompt):
+        if system == "condense":
+            return "all so far"
+        ids = [r.args[0] for r in protocol.records(prompt, "P")]
+        head = prompt.split("---")[0] if "---" in prompt else ""
+        head = "\n".join(x[:12] if x.startswith("Before") else x for x in head.splitlines())
+        return "\n".join(f"[[[P {i}]]] {i} <{' '.join(head.split())}>" for i in ids) + f"\n[[[META]]] SUMMARY: part {ids[0]}\nTERMS: river = Fluss\nsea = none"
+
+    rows = [("b", c, c * 10 + k, f"{c}{k}", f"the river {c}{k}") for c in range(3) for k in range(2)]
+    got = {r.id: r.tr for r in passes.translate(spark.createDataFrame(rows, "book string, chunk int, pos long, id string, text string"), "book", [agent]).collect()}
+    assert got["00"] == "00 <Ahead: the river 10 the river 11>"
+    assert "Plot: part 00" in got["10"] and "Terms: river = Fluss" in got["10"] and "Before: 00 <" in got["10"] and "Ahead: the river 20" in got["10"]
+    assert "Plot: part 00 part 10 Terms" in got["20"] and "Ahead" not in got["20"]
+
+
+def test_losses_are_asked_for_again_and_twins_refused():
+    from quire.plans import passes
+
+    long = "a long text of many words " * 5
+    calls = []
+
+    def agent(system, prompt):
+        calls.append(prompt)
+        return "[[[P 1]]] " + ("short" if len(calls) == 1 else long)
+
+    assert passes.regrown([agent], {"1": "tiny"}, {"1": long}, 2) == {"1": "short"}
+    assert passes.regrown([agent], {"1": "tiny"}, {"1": long}, 2) == {"1": long.strip()}
+    with pytest.raises(ValueError, match="same text"):
+        passes._answer(f"[[[P 1]]] {long}\n[[[P 2]]] {long}", ["1", "2"], {"1": "one thing " * 9, "2": "quite another " * 9})
+
+
+def test_edits_keep_the_longest_part():
+    from quire.plans import passes
+
+    answers = iter(["[[[P 1]]] A\n[[[P 9]]] x", "[[[P 1]]] A\n[[[P 2]]] B\n[[[P 9]]] x", "[[[P 9]]] x"])
+    tr = {"1": "a", "2": "b", "3": "c"}
+    assert passes.edited([lambda s, p: next(answers)], ["1", "2", "3"], tr, tr, retries=3) == {"1": "A", "2": "B"}
+    assert passes.edited([lambda s, p: "[[[P 1]]] a"], ["1"], tr, tr) == {}
+
+
+def test_engine_edits_and_notes(spark, tmp_path):
+    from quire import engine
+    from quire.plans import protocol
+
+    def agent(system, prompt):
+        if system == "edit":
+            return "\n".join(f"[[[P {r.args[0]}]]] {r.body.replace('dog', 'hound')}" for r in protocol.records(prompt, "T") if "dog" in r.body)
+        if system == "notes":
+            return "\n".join(f"[[[NOTE {r.args[0]} fact]]]\nTERM: fox\nTEXT: a beast" for r in protocol.records(prompt, "P") if "fox" in r.body)
+        return "\n".join(f"[[[P {r.args[0]}]]] {r.body}" for r in protocol.records(prompt, "P"))
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "b.md").write_text("# Tale\n\nThe foxes saw a dog.\n\nThe dog saw a fox.\n")
+    e = engine.Engine(spark, f"file://{tmp_path}/work", [agent])
+    out = e.run(f"file://{tmp_path}/in", "de", ("read", "translate", "edit", "notes", "build"), "md")
+    made = bytes(out["books"].first().content).decode()
+    assert "The foxes[^t-s01.b0002] saw a hound." in made and "The hound saw a fox." in made and "[^t-s01.b0002]: fox — a beast" in made
+    with pytest.raises(ValueError, match="hardly a book"):
+        e.guard("de")
