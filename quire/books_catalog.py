@@ -395,4 +395,67 @@ def mojibake_repair(spark, d):
     return encoding.repaired(t.select("doc_id", spoiled.alias("text")), "text").select("doc_id", F.md5("text").alias("digest"))
 
 
-assert "reference_spans" in _SQL
+@query(
+    f"""WITH {SHELF}, t AS (SELECT book, pos, '<a1>' || pos || '</a1> and <a2>out</a2> and <a3>in</a3>' AS text, pos + 3 AS one, pos + 8 AS three FROM b WHERE kind = 'p'),
+n AS (SELECT book, pos FROM b WHERE kind = 'note'), m AS (SELECT t.*, EXISTS (SELECT 1 FROM n WHERE n.book = t.book AND n.pos = t.one) AS k1, EXISTS (SELECT 1 FROM n WHERE n.book = t.book AND n.pos = t.three) AS k3 FROM t)
+SELECT book, pos, CASE WHEN k1 THEN '<a1>' || pos || '</a1>' ELSE CAST(pos AS VARCHAR) END || ' and <a' || CASE WHEN k1 THEN 2 ELSE 1 END || '>out</a' || CASE WHEN k1 THEN 2 ELSE 1 END || '> and ' ||
+  CASE WHEN k3 THEN '<a' || CASE WHEN k1 THEN 3 ELSE 2 END || '>in</a' || CASE WHEN k1 THEN 3 ELSE 2 END || '>' ELSE 'in' END AS text, CAST(1 + CAST(k1 AS INTEGER) + CAST(k3 AS INTEGER) AS INTEGER) AS n_links FROM m"""
+)
+def pruned_links(spark, d):
+    """Labels of links that lead to no note go, the others are numbered anew; addresses outside stay."""
+    b = shelf(spark, d)
+    t = b.filter("kind = 'p'").select("book", "pos", F.expr("concat('b', pos)").alias("id"), F.expr("concat('<a1>', pos, '</a1> and <a2>out</a2> and <a3>in</a3>')").alias("text"), F.expr("array(concat('#n', pos + 3), 'http://x.org', concat('#n', pos + 8))").alias("links"))
+    anchors = b.filter("kind = 'note'").select("book", F.expr("concat('n', pos)").alias("name"))
+    return J.prune_links(t, anchors, ["book"]).select("book", "pos", "text", F.size("links").alias("n_links"))
+
+
+@query(
+    """WITH k AS (SELECT user_id, event_type, arg_max(event_id, (ts, event_id)) AS v FROM events GROUP BY ALL), l AS (SELECT user_id, arg_max(event_id, (ts, event_id)) AS last FROM events GROUP BY user_id)
+SELECT user_id, l.last, string_agg(event_type || '=' || v, ' ' ORDER BY event_type) AS kept FROM k JOIN l USING (user_id) GROUP BY user_id, l.last"""
+)
+def chunk_saves(spark, d):
+    """Repeated saves of a chunk merged key by key, other fields from the last save; here a user's events."""
+    e = table(spark, d, "events").select("user_id", F.struct("ts", "event_id").alias("saved"), F.col("event_id").alias("last"), F.create_map("event_type", F.col("event_id")).alias("tr"))
+    out = S.merged_saves(e, ["user_id"], "saved", ["tr"])
+    told = F.transform(F.array_sort(F.map_entries("tr")), lambda x: F.concat_ws("=", x["key"], x["value"].cast("string")))
+    return out.select("user_id", "last", F.array_join(told, " ").alias("kept"))
+
+
+_RANGES = """g AS (SELECT *, chapter - row_number() OVER (PARTITION BY model, whole ORDER BY chapter) AS g FROM w), r AS (SELECT model, whole, min(chapter) AS a, max(chapter) AS z FROM g GROUP BY model, whole, g)"""
+
+
+@query(
+    f"""WITH c AS (SELECT event_type AS model, user_id // 5 AS chapter, count(*) AS n FROM events WHERE event_id % 2 = 0 GROUP BY ALL), t AS (SELECT user_id // 5 AS chapter, count(*) AS total FROM events WHERE event_id % 2 = 0 GROUP BY ALL),
+w AS (SELECT model, chapter, n = total AS whole FROM c JOIN t USING (chapter)), {_RANGES}
+SELECT model, whole, string_agg(CASE WHEN a = z THEN CAST(a AS VARCHAR) ELSE a || '–' || z END, ', ' ORDER BY a) AS ranges FROM r GROUP BY model, whole"""
+)
+def coverage_ranges(spark, d):
+    """The chapters that a model did as a whole, and those that it did in part, as ranges."""
+    e = table(spark, d, "events").filter("event_id % 2 = 0").select(F.col("event_type").alias("model"), F.expr("user_id div 5").alias("chapter"))
+    n = e.groupBy("model", "chapter").agg(F.count("*").alias("n"))
+    w = n.join(n.groupBy("chapter").agg(F.sum("n").alias("total")), "chapter").select("model", "chapter", (F.col("n") == F.col("total")).alias("whole"))
+    return S.ranges(w, ["model", "whole"], "chapter")
+
+
+def _problem_sql() -> str:
+    parts = {"missing": "completeness", "terms": "terms_check", "marks": "note_marks"}
+    counts = [f"SELECT '{kind}' AS kind, CAST({'coalesce(sum(missed), 0)' if kind == 'terms' else 'count(*)'} AS BIGINT) AS n FROM ({_SQL[name]})" for kind, name in parts.items()]
+    counts.append(f"SELECT 'numbers', count(*) FROM ({_SQL['number_check']}) WHERE side = 'lost' AND excuse IS NULL")
+    return f"WITH c AS ({' UNION ALL '.join(counts)}) SELECT * FROM c UNION ALL SELECT 'all', CAST(sum(n) AS BIGINT) FROM c"
+
+
+def problems(spark, d):
+    """Q06, Q01, Q02, Q05: problems by kind and altogether, over the tables that the single checks take."""
+    from quire import catalog, checks_catalog
+
+    count = lambda df, kind, c=F.count("*"): df.agg(c.cast("long").alias("n")).select(F.lit(kind).alias("kind"), "n")
+    c = count(catalog.completeness(spark, d), "missing")
+    c = c.unionByName(count(catalog.terms_check(spark, d), "terms", F.coalesce(F.sum("missed"), F.lit(0))))
+    c = c.unionByName(count(checks_catalog.note_marks(spark, d), "marks"))
+    c = c.unionByName(count(checks_catalog.number_check(spark, d).filter("side = 'lost' and excuse is null"), "numbers"))
+    return c.unionByName(c.agg(F.sum("n").alias("n")).select(F.lit("all").alias("kind"), "n"))
+
+
+from quire import checks_catalog as _checks  # noqa: E402, F401  its SQL is part of the next one's
+
+problems = query(_problem_sql())(problems)

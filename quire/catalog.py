@@ -329,17 +329,6 @@ def pass_share(spark, d):
     return n.crossJoin(F.broadcast(n.agg(F.sum("blocks").alias("all")))).select("model", "blocks", F.round(F.col("blocks") / F.col("all"), 6).alias("share"))
 
 
-@query(
-    """WITH c AS (SELECT event_type AS model, user_id % 12 AS chapter, count(*) AS n FROM events GROUP BY ALL), t AS (SELECT user_id % 12 AS chapter, count(*) AS total FROM events GROUP BY ALL)
-SELECT model, chapter, n, n = total AS whole FROM c JOIN t USING (chapter)"""
-)
-def model_coverage(spark, d):
-    """Which chapters a model did, whole or in part."""
-    e = table(spark, d, "events").select(F.col("event_type").alias("model"), (F.col("user_id") % 12).alias("chapter"))
-    n = e.groupBy("model", "chapter").agg(F.count("*").alias("n"))
-    return n.join(n.groupBy("chapter").agg(F.sum("n").alias("total")), "chapter").select("model", "chapter", "n", (F.col("n") == F.col("total")).alias("whole"))
-
-
 @query(
     """WITH n AS (SELECT DISTINCT event_type, user_id FROM events), g AS (SELECT *, user_id - row_number() OVER (PARTITION BY event_type ORDER BY user_id) AS g FROM n),
 r AS (SELECT event_type, min(user_id) AS a, max(user_id) AS b FROM g GROUP BY event_type, g)

@@ -39,12 +39,14 @@ def next_at_or_after(left: DataFrame, right: DataFrame, by: str, at: str, value:
     return both.withColumn(value, F.last("_v", ignorenulls=True).over(w)).filter("_side = 1").drop("_side", "_v")
 
 
-def sweep(df: DataFrame, text: str, pairs: list[tuple[str, str]]) -> DataFrame:
-    """Exact replacements in the order given, and how many there were."""
+def sweep(df: DataFrame, text: str, pairs: list[tuple], id_col: str | None = None) -> DataFrame:
+    """Exact replacements (old, new) or (old, new, block ids) in the order given, and how many there were;
+    one with ids is made in these blocks only."""
     out, n = F.col(text), F.lit(0)
-    for a, b in pairs:
-        m = F.regexp_count(out, F.lit("\\Q" + a + "\\E"))
-        n, out = n + m, F.replace(out, F.lit(a), F.lit(b))
+    for a, b, *ids in pairs:
+        here = F.lit(True) if not ids else F.coalesce(F.col(id_col).cast("string").isin(*[str(i) for i in ids[0]]), F.lit(False))
+        m = F.when(here, F.regexp_count(out, F.lit("\\Q" + a + "\\E"))).otherwise(0)
+        n, out = n + m, F.when(here, F.replace(out, F.lit(a), F.lit(b))).otherwise(out)
     return df.withColumn("n_replaced", n.cast("long")).withColumn(text, out)
 
 
@@ -65,3 +67,24 @@ def todo(blocks: DataFrame, done: DataFrame, by: list[str], fp: Column) -> DataF
     d = done.select("id", F.col("fp").alias("_fp"), F.lit(True).alias("_has"))
     ok = F.coalesce(F.col("_has"), F.lit(False)) & (F.col("_fp").isNull() | (F.col("_fp") == fp))
     return blocks.join(d, "id", "left").groupBy(*by).agg(F.count("*").alias("blocks"), F.sum(F.when(ok, 0).otherwise(1)).alias("missing")).filter("missing > 0")
+
+
+def prune_links(blocks: DataFrame, anchors: DataFrame, by: list[str]) -> DataFrame:
+    """Blocks (by, id, text, links) without the labels of inner links that lead to no anchor (by, name); the
+    labels that stay are numbered anew, and their words stay all."""
+    rest = [c for c in blocks.columns if c not in ("text", "links")]
+    told = blocks.select(*by, "id", F.posexplode("links").alias("i", "href"))
+    known = anchors.select(*by, F.concat(F.lit("#"), "name").alias("href")).distinct().withColumn("_there", F.lit(True))
+    good = told.join(known, [*by, "href"], "left").withColumn("keep", ~F.col("href").startswith("#") | F.coalesce("_there", F.lit(False)))
+    plan = good.groupBy(*by, "id").agg(F.array_sort(F.collect_list(F.struct("i", "href", "keep"))).alias("_p"))
+    both = blocks.join(plan, [*by, "id"], "left").withColumn("_p", F.coalesce("_p", F.expr("cast(array() as array<struct<i:int,href:string,keep:boolean>>)")))
+    upto = lambda i: F.size(F.filter(F.slice("_p", 1, i + 1), lambda x: x["keep"]))
+    steps = F.transform("_p", lambda x, i: F.struct((i + 1).cast("string").alias("old"), F.when(x["keep"], F.concat(F.lit("a"), upto(i).cast("string"))).alias("new")))
+
+    def relabel(text, x):
+        begin, end = F.concat(F.lit("<a"), x["old"], F.lit(">")), F.concat(F.lit("</a"), x["old"], F.lit(">"))
+        as_new = lambda slash: F.when(x["new"].isNull(), "").otherwise(F.concat(F.lit(slash), x["new"], F.lit(">")))
+        return F.replace(F.replace(text, begin, as_new("<")), end, as_new("</"))
+
+    kept = F.transform(F.filter("_p", lambda x: x["keep"]), lambda x: x["href"])
+    return both.select(*rest, F.aggregate(steps, F.col("text"), relabel).alias("text"), kept.alias("links"))

@@ -97,3 +97,14 @@ def value_at(df: DataFrame, column: str, rank: int, most: int = 4096) -> float |
             return value
         rank -= times
     return None
+
+
+def merged_saves(records: DataFrame, by: list[str], saved: str, maps: list[str]) -> DataFrame:
+    """What repeated saves of a chunk come to: of the ``maps`` the last value of each key, of other fields the
+    last save's; ``saved`` orders the saves.  A null map has no keys."""
+    rest = [c for c in records.columns if c not in (*by, saved, *maps)]
+    out = records.groupBy(*by).agg(F.max_by(F.struct(F.lit(0).alias("_"), *rest), saved).alias("r"), F.max(saved).alias(saved)).select(*by, saved, *[F.col("r." + c).alias(c) for c in rest])
+    for m in maps:
+        one = records.select(*by, saved, F.explode(m).alias("k", "v")).groupBy(*by, "k").agg(F.max_by("v", saved).alias("v"))
+        out = out.join(one.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias(m)), by, "left")
+    return out

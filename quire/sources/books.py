@@ -133,10 +133,65 @@ def epub(raw: bytes) -> list[dict]:
         words = " ".join(re.sub(r"<[^>]*>", " ", b["text"]) for b in found).split()
         if len(words) < 120 and re.match(r"(?i)begin reading|contents|table of contents|newsletter|sign up", " ".join(words)):
             continue
-        out += [_block(b["kind"], b["text"], b["links"], b["level"]) for b in found]
+        out += [_block(b["kind"], b["text"], b["links"], b["level"], b.get("note_id")) for b in found]
     return out
 
 
+def meta(path: str, raw: bytes) -> dict[str, str]:
+    """What a file says of its book: title, author, lang, series and its number, publisher and year."""
+    ext = path.lower().rpartition(".")[2]
+    local = lambda e: e.tag.rpartition("}")[2]
+    said = lambda e: " ".join("".join(e.itertext()).split()) if e is not None else ""
+    if ext == "epub":
+        z = zipfile.ZipFile(io.BytesIO(raw))
+        opf = next(e.get("full-path") for e in ElementTree.fromstring(z.read("META-INF/container.xml")).iter() if local(e) == "rootfile")
+        tree = ElementTree.fromstring(z.read(opf))
+        names = {"title": "title", "creator": "author", "language": "lang", "publisher": "publisher", "date": "year"}
+        out: dict[str, str] = {}
+        for e in tree.iter():
+            if local(e) in names and e.tag.startswith("{http://purl.org/dc/elements/1.1/}"):
+                out.setdefault(names[local(e)], said(e))
+            key = {"calibre:series": "series", "calibre:series_index": "series_no"}.get(e.get("name") or "") or {"belongs-to-collection": "series", "group-position": "series_no"}.get(e.get("property") or "")
+            if local(e) == "meta" and key:
+                out.setdefault(key, e.get("content") or said(e))
+    elif ext == "fb2":
+        head = next((e for e in ElementTree.fromstring(raw) if local(e) == "description"), None)
+        of = lambda name: next((e for e in head.iter() if local(e) == name), None) if head is not None else None
+        author, series = of("author"), of("sequence")
+        out = {"title": said(of("book-title")), "lang": said(of("lang")), "publisher": said(of("publisher")), "year": said(of("year"))}
+        if author is not None:
+            out["author"] = " ".join(x for n in ("first-name", "middle-name", "last-name") for x in [said(next((e for e in author if local(e) == n), None))] if x)
+        if series is not None:
+            out |= {"series": series.get("name") or "", "series_no": series.get("number") or ""}
+    elif ext in ("html", "htm", "xhtml"):
+        from quire.sources.encoding import decode
+
+        told = html.read(decode(raw)[0]).meta
+        out = {"title": told.get("title", "").strip(), "lang": told.get("lang", ""), "author": told.get("author", "")}
+    else:
+        out = {}
+    if out.get("year"):
+        out["year"] = out["year"][:4]
+    return {k: v for k, v in out.items() if v}
+
+
+def read_meta(spark: SparkSession, path: str) -> DataFrame:
+    """(book_id, meta) of all files under ``path``; an unreadable file has an empty map."""
+
+    def run(frames):
+        for frame in frames:
+            rows = []
+            for p, raw in zip(frame["path"], frame["content"], strict=True):
+                try:
+                    rows.append((p.rpartition("/")[2], meta(p, bytes(raw))))
+                except (ValueError, KeyError, StopIteration, ElementTree.ParseError, zipfile.BadZipFile):
+                    rows.append((p.rpartition("/")[2], {}))
+            yield pd.DataFrame(rows, columns=["book_id", "meta"])
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
+    return files.mapInPandas(run, "book_id string, meta map<string,string>")
+
+
 def fb2(raw: bytes) -> list[dict]:
     """Sections, poems and the notes body."""
     out = []
@@ -192,7 +247,7 @@ def parse(path: str, raw: bytes) -> list[dict]:
     if ext == "fb2":
         return fb2(raw)
     if ext in ("html", "htm", "xhtml"):
-        return [_block(b["kind"], b["text"], b["links"], b["level"]) for b in html.read(decode(raw)[0]).blocks]
+        return [_block(b["kind"], b["text"], b["links"], b["level"], b.get("note_id")) for b in html.read(decode(raw)[0]).blocks]
     if ext in ("md", "markdown"):
         return markdown(decode(raw)[0])
     if ext == "txt":

@@ -9,7 +9,9 @@ VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 SILENT = {"script", "style", "template"}
 INLINE = {"i": "i", "em": "i", "b": "b", "strong": "b", "sup": "sup", "sub": "sub", "code": "code", "s": "s", "del": "s", "strike": "s"}
 TITLES = {"h1": ("title", 1), "h2": ("title", 2), "h3": ("subtitle", 3), "h4": ("subtitle", 4), "h5": ("subtitle", 5), "h6": ("subtitle", 6)}
-BLOCK = {"p", "div", "li", "ul", "ol", "pre", "blockquote", "section", "article", "body", "table", "tr", "td", "th", "dl", "dt", "dd", "figure", "header", "footer", "main", *TITLES}
+BLOCK = {"p", "div", "li", "ul", "ol", "pre", "blockquote", "section", "article", "aside", "body", "table", "tr", "td", "th", "dl", "dt", "dd", "figure", "header", "footer", "main", *TITLES}
+#: Parts of a page that are notes.
+NOTE_TYPES = {"footnote", "endnote", "note", "rearnote"}
 SUB_CLASS = re.compile(r"subtitle|epigraph|source|dedication", re.I)
 TITLE_CLASS = re.compile(r"chap|title|head", re.I)
 
@@ -38,6 +40,7 @@ class _Reader(HTMLParser):
         self.silent, self.open, self.stack = 0, [], [("body", "")]
         self.text, self.links, self.anchors, self.in_title, self.pre = [], [], [], False, 0
         self.table, self.row, self.cell = None, None, None
+        self.note = None  # (depth, id) of an open note
 
     # a run of inline content
     def _flush(self):
@@ -49,7 +52,9 @@ class _Reader(HTMLParser):
             body = re.sub(r"<(\w+)></\1>", "", re.sub(r"\s+", " ", raw)).strip()
         if re.sub(r"<[^>]*>", "", body).strip():
             kind, level = kind_of(tag, cls, self.styles)
-            self.blocks.append({"kind": kind, "text": body, "links": self.links, "anchors": self.anchors, "level": level, "spans": None})
+            if self.note:
+                kind, level, body = "note", None, re.sub(r"^(?:\[\d+\]|\d+[.)]?)\s+", "", body)
+            self.blocks.append({"kind": kind, "text": body, "links": self.links, "anchors": self.anchors, "level": level, "spans": None, "note_id": self.note[1] if self.note else None})
             self.census.append((tag, cls, re.sub(r"<[^>]*>", "", body)[:90]))
             self.links, self.anchors = [], []
         self.text = [f"<{t}>" for t in self.open if not t.startswith("a")]
@@ -107,6 +112,9 @@ class _Reader(HTMLParser):
                     self.stack.pop()
             self.pre += tag == "pre"
             self.stack.append((tag, at.get("class") or ""))
+            kinds = {*(at.get("epub:type") or "").split(), *(x.removeprefix("doc-") for x in (at.get("role") or "").split())}
+            if kinds & NOTE_TYPES and at.get("id"):
+                self.note = (len(self.stack), at["id"])
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -145,6 +153,8 @@ class _Reader(HTMLParser):
                 pass
             self.pre = max(0, self.pre - (tag == "pre"))
             self.stack = self.stack or [("body", "")]
+            if self.note and len(self.stack) < self.note[0]:
+                self.note = None
 
     def _cell(self):
         if self.cell is not None:

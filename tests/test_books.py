@@ -241,3 +241,38 @@ def test_engine_edits_and_notes(spark, tmp_path):
     assert "The foxes[^t-s01.b0002] saw a hound." in made and "The hound saw a fox." in made and "[^t-s01.b0002]: fox — a beast" in made
     with pytest.raises(ValueError, match="hardly a book"):
         e.guard("de")
+
+
+def test_work_state(spark, tmp_path):
+    import json
+
+    from quire.sources import state
+
+    (tmp_path / "a.json").write_text(json.dumps({"saved": "2024-01-02T00:00:00", "model": "m", "tr": {"b1": "one", "b2": "two"}, "src": {"b1": "f1"}}))
+    (tmp_path / "b.json").write_text(json.dumps({"saved": "2024-01-01T00:00:00", "model": "old", "tr": {"b1": "older", "b3": "three"}}))
+    (tmp_path / "c.json").write_text(json.dumps({"saved": "2024-01-03T00:00:00", "edits": {"b2": {"old": "two", "new": "TWO"}, "b9": {"old": "x", "new": "y"}}}))
+    got = {r.id: (r.text, r.fp, r.model, r.edited) for r in state.translations(state.read_chunks(spark, f"file://{tmp_path}")).collect()}
+    assert got == {"b1": ("one", "f1", "m", False), "b2": ("TWO", None, "m", True), "b3": ("three", None, "old", False)}
+
+
+def test_metadata_and_notes_of_files(spark, tmp_path):
+    raw = writers.epub(copied(), "A title", "de")
+    assert books.meta("x.epub", raw) == {"title": "A title", "lang": "de"}
+    fb2 = writers.fb2(copied(), "B title").replace("<book-title>", '<author><first-name>Jo</first-name><last-name>Doe</last-name></author><sequence name="S" number="2"/><book-title>')
+    assert books.meta("x.fb2", fb2.encode()) == {"title": "B title", "lang": "en", "author": "Jo Doe", "series": "S", "series_no": "2"}
+    page = b'<html lang="fr"><title>T</title><meta name="author" content="A B"><body><p>Text<a href="#f1">1</a></p><aside epub:type="footnote" id="f1"><p>1. A note</p><p>goes on</p></aside><p>After</p>'
+    assert books.meta("p.html", page) == {"title": "T", "lang": "fr", "author": "A B"} and books.meta("p.txt", b"") == {}
+    assert [(b["kind"], b["text"], b["note_id"]) for b in books.parse("p.html", page)] == [("p", "Text<a1>1</a1>", None), ("note", "A note", "f1"), ("note", "goes on", "f1"), ("p", "After", None)]
+    (tmp_path / "x.epub").write_bytes(raw)
+    (tmp_path / "y.epub").write_bytes(b"no zip")
+    assert {r.book_id: r.meta for r in books.read_meta(spark, f"file://{tmp_path}").collect()} == {"x.epub": {"title": "A title", "lang": "de"}, "y.epub": {}}
+
+
+def test_sweeps_in_named_blocks_and_mentions(spark):
+    from quire.operators import joins
+    from quire.plans import packing
+
+    df = spark.createDataFrame([("b1", "a cat and a cat"), ("b2", "a cat")], "id string, text string")
+    got = joins.sweep(df, "text", [("cat", "dog", ["b1"]), ("a ", "the ")], "id").orderBy("id").collect()
+    assert [(r.text, r.n_replaced) for r in got] == [("the dog and the dog", 4), ("the cat", 1)]
+    assert packing.mentions("rivers", "the River flows") and not packing.mentions("rivers", "a driver") and packing.mentions("東京", "私は東京に") and not packing.mentions("cat", "cat")

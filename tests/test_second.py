@@ -95,7 +95,7 @@ def test_glossary_budget(spark):
         for k, (turn, text) in enumerate(zip(part["turn"], texts, strict=True)):
             entry = {a: f"{a} = {b}" for a, b in terms.items()}
             low = text.lower()
-            hot = [e for a, e in entry.items() if any(w in low for w in [x.removesuffix("s") for x in sorted(a.lower().split(), key=len)[-2:] if len(x) >= 4])]
+            hot = [e for a, e in entry.items() if any(re.search(rf"\b{re.escape(w)}", low) for w in [x.removesuffix("s") for x in sorted(a.lower().split(), key=len)[-2:] if len(x) >= 4])]
             used, n = 0, 0
             for e in hot:
                 if used + len(e) + 1 <= T.terms_budget:
