@@ -276,3 +276,34 @@ def test_sweeps_in_named_blocks_and_mentions(spark):
     got = joins.sweep(df, "text", [("cat", "dog", ["b1"]), ("a ", "the ")], "id").orderBy("id").collect()
     assert [(r.text, r.n_replaced) for r in got] == [("the dog and the dog", 4), ("the cat", 1)]
     assert packing.mentions("rivers", "the River flows") and not packing.mentions("rivers", "a driver") and packing.mentions("東京", "私は東京に") and not packing.mentions("cat", "cat")
+
+
+def test_chains_back_off_and_wait():
+    from quire.plans import passes
+
+    now, slept, calls = [0.0], [], []
+
+    def sleep(seconds):
+        slept.append(seconds)
+        now[0] += seconds
+
+    def spent(system, prompt):
+        calls.append("spent")
+        if now[0] < 30:
+            raise passes.RateLimited("quota", 30)
+        return "late"
+
+    def broken(system, prompt):
+        calls.append("broken")
+        raise passes.AgentError("no line")
+
+    limits = lambda: host.Limits(lambda: now[0])
+    with pytest.raises(passes.AgentError):
+        passes.request([spent, broken], "s", "p", str, 3, limits(), 100, 1, sleep)
+    assert calls == ["spent", "broken", "broken", "broken"] and slept == [1, 2]
+    now[0] = 0.0
+    assert passes.request([spent], "s", "p", str, 3, limits(), 100, 1, sleep) == "late" and slept[-1] == 30
+    now[0] = 0.0
+    with pytest.raises(passes.RateLimited):
+        passes.request([spent], "s", "p", str, 3, limits(), 10, 1, sleep)
+    assert passes.request([broken, lambda s, p: "next"], "s", "p", str, 2, limits()) == "next"
