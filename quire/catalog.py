@@ -30,7 +30,7 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from quire import books_catalog, checks_catalog, islands_catalog  # noqa: F401  register their queries
+    from quire import books_catalog, checks_catalog, islands_catalog, parsers_catalog  # noqa: F401  register their queries
 
     return dict(_QUERIES)
 

@@ -349,3 +349,26 @@ def natural_key(c: Column) -> Column:
 def merged_map(old: Column, new: Column) -> Column:
     """Both maps; of a key in both the new value."""
     return F.map_concat(F.map_filter(old, lambda k, _: ~F.array_contains(F.map_keys(new), k)), new)
+
+
+def translatable(blocks: DataFrame) -> DataFrame:
+    """Blocks of prose, verse, notes and tables that don't stay as they are."""
+    return blocks.filter(F.col("kind").isin("p", "verse", "note", "table") & ~F.coalesce("asis", F.lit(False)))
+
+
+def backfilled(blocks: DataFrame, translations: DataFrame, key: list[str], partial: bool = False) -> DataFrame:
+    """Blocks (key, kind, text, asis, drop) with their translation (key, tr) as text, without what is dropped.
+
+    What stays as it is, breaks and images have the source's text where they have none; so has
+    everything with ``partial``, else it is missing."""
+    told = blocks.filter(~F.coalesce("drop", F.lit(False))).join(translations.select(*key, "tr"), key, "left")
+    stays = F.coalesce("asis", F.lit(False)) | F.col("kind").isin("break", "image", "code")
+    text = F.when(stays | F.lit(partial), F.coalesce("tr", "text")).otherwise(F.col("tr"))
+    return told.withColumn("missing", F.col("tr").isNull() & ~stays).withColumn("text", text).drop("tr")
+
+
+def better_answer(source: Column, first: Column, second: Column, th: Thresholds = T) -> Column:
+    """Of lengths: whether a first answer is far too short or long, and a second one is nearer to its source."""
+    ratio = lambda c: c / F.greatest(source, F.lit(1))
+    far = (source >= th.loss_min) & ~ratio(first).between(th.loss_low, th.loss_high)
+    return far & (F.abs(ratio(second) - 1) < F.abs(ratio(first) - 1))
