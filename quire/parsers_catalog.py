@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quire.books_catalog import SHELF, shelf
 from quire.catalog import PAIRS, docs, pairs, query, table
 from quire.functions import text as X
 from quire.operators import reading as R
+from quire.operators import sequence as S
 from quire.plans import answers
+from quire.sources import books
 
 #: Words of a document in Latin letters, five at least.
 _WS = "w AS (SELECT doc_id, ws FROM (SELECT doc_id, regexp_extract_all(text, '[A-Za-z]{2,}') AS ws FROM documents WHERE text IS NOT NULL) WHERE len(ws) >= 5)"
@@ -143,3 +147,57 @@ def regrown(spark, d):
     """Answers that are far too short or long, replaced by a second one if it is nearer to the source's length; here twice as long."""
     size = lambda c: F.length(F.trim(c))
     return pairs(spark, d).select("conv_id", "turn", R.better_answer(size(F.col("src")), size(F.col("tr")), size(F.col("tr")) * 2).alias("regrown"))
+
+
+#: Lines of documents that look like text in every format.
+_LINES = "l AS (SELECT doc_id, line, t FROM (SELECT doc_id, unnest(range(len(string_split(text, chr(10))))) AS line, trim(unnest(string_split(text, chr(10)))) AS t FROM documents WHERE text IS NOT NULL) WHERE regexp_matches(t, '^[A-Za-z][A-Za-z0-9 .,;:!?-]*$'))"
+
+
+def _lines(spark, d):
+    return S.lines(docs(spark, d), keep=("doc_id",)).withColumn("text", F.trim("text")).filter(F.col("text").rlike(r"^[A-Za-z][A-Za-z0-9 .,;:!?-]*$"))
+
+
+def _texts(spark, d, sep):
+    whole = F.array_sort(F.collect_list(F.struct("line", "text")))
+    return _lines(spark, d).groupBy("doc_id").agg(whole.alias("w")).select("doc_id", F.array_join(F.transform("w", lambda x: x["text"]), sep).alias("text"))
+
+
+def _read(parse):
+    def run(batches):
+        for batch in batches:
+            rows = [(i, n, b["kind"], b["text"]) for i, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True) for n, b in enumerate(parse(t))]
+            kinds = (pa.int64(), pa.int64(), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["doc_id", "pos", "kind", "text"])
+
+    return run
+
+
+@query(
+    f"""WITH {_LINES}, t AS (SELECT *, length(t) < 60 AND (regexp_matches(t, '(?i)^(chapter|part|book|kapitel|chapitre|cap[ií]tulo|глава|часть)\\b.{{0,60}}$') OR upper(t) = t AND length(regexp_replace(t, '[^A-Za-z]', '', 'g')) >= 3 AND NOT regexp_matches(t, 'ISBN|[0-9]{{4}}')) AS title FROM l),
+k AS (SELECT *, count(*) OVER (PARTITION BY doc_id, title, t) AS n FROM t)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY line) - 1 AS BIGINT) AS pos, CASE WHEN title THEN 'title' ELSE 'p' END AS kind, t AS text FROM k WHERE NOT title OR n <= 3"""
+)
+def plain_text(spark, d):
+    """Documents as plain text: titles by their words and capitals, repeated ones left out."""
+    t = _texts(spark, d, "\n").withColumn("text", F.concat(F.lit("- 7 -\n"), "text", F.lit("\n 12 ")))
+    return t.mapInArrow(_read(books.plain), "doc_id long, pos long, kind string, text string")
+
+
+@query(f"""WITH {_LINES}, k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line) - 1 AS r FROM l)
+SELECT doc_id, CAST(r AS BIGINT) AS pos, CASE r % 6 WHEN 0 THEN 'title' WHEN 2 THEN 'subtitle' WHEN 3 THEN 'code' WHEN 4 THEN 'table' ELSE 'p' END AS kind,
+  CASE r % 6 WHEN 1 THEN 'see <b>' || regexp_replace(t, '\\s+', ' ', 'g') || '</b> <a1>there</a1>' WHEN 3 THEN t WHEN 4 THEN 'a | b' || chr(10) || t || ' | 1' ELSE regexp_replace(t, '\\s+', ' ', 'g') END AS text FROM k""")
+def markdown_text(spark, d):
+    """Documents as Markdown with headings, spans, links, fences and tables."""
+    w = Window.partitionBy("doc_id").orderBy("line")
+    t, one = F.col("text"), F.regexp_replace("text", r"\s+", " ")
+    made = (
+        F.when(F.expr("r % 6 = 0"), F.concat(F.lit("## "), one))
+        .when(F.expr("r % 6 = 1"), F.concat(F.lit("see **"), one, F.lit("**\n[there](http://x.org)")))
+        .when(F.expr("r % 6 = 2"), F.concat(F.lit("#### "), one, F.lit(" ##")))
+        .when(F.expr("r % 6 = 3"), F.concat(F.lit("```py\n"), t, F.lit("\n```")))
+        .when(F.expr("r % 6 = 4"), F.concat(F.lit("| a | b |\n|---|:-:|\n| "), t, F.lit(" | 1 |")))
+        .otherwise(one)
+    )
+    rows = _lines(spark, d).withColumn("r", F.row_number().over(w) - 1).withColumn("text", made)
+    whole = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("line", "text"))).alias("w"))
+    return whole.select("doc_id", F.array_join(F.transform("w", lambda x: x["text"]), "\n\n").alias("text")).mapInArrow(_read(books.markdown), "doc_id long, pos long, kind string, text string")
