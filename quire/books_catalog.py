@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from quire.catalog import LINES, PAIRS, _SQL, docs, pairs, query, table
+from quire.catalog import LINES, PAIRS, docs, pairs, query, table
 from quire.functions import text as X
 from quire.operators import joins as J
 from quire.operators import language as L
@@ -435,27 +435,3 @@ def coverage_ranges(spark, d):
     n = e.groupBy("model", "chapter").agg(F.count("*").alias("n"))
     w = n.join(n.groupBy("chapter").agg(F.sum("n").alias("total")), "chapter").select("model", "chapter", (F.col("n") == F.col("total")).alias("whole"))
     return S.ranges(w, ["model", "whole"], "chapter")
-
-
-def _problem_sql() -> str:
-    parts = {"missing": "completeness", "terms": "terms_check", "marks": "note_marks"}
-    counts = [f"SELECT '{kind}' AS kind, CAST({'coalesce(sum(missed), 0)' if kind == 'terms' else 'count(*)'} AS BIGINT) AS n FROM ({_SQL[name]})" for kind, name in parts.items()]
-    counts.append(f"SELECT 'numbers', count(*) FROM ({_SQL['number_check']}) WHERE side = 'lost' AND excuse IS NULL")
-    return f"WITH c AS ({' UNION ALL '.join(counts)}) SELECT * FROM c UNION ALL SELECT 'all', CAST(sum(n) AS BIGINT) FROM c"
-
-
-def problems(spark, d):
-    """Q06, Q01, Q02, Q05: problems by kind and altogether, over the tables that the single checks take."""
-    from quire import catalog, checks_catalog
-
-    count = lambda df, kind, c=F.count("*"): df.agg(c.cast("long").alias("n")).select(F.lit(kind).alias("kind"), "n")
-    c = count(catalog.completeness(spark, d), "missing")
-    c = c.unionByName(count(catalog.terms_check(spark, d), "terms", F.coalesce(F.sum("missed"), F.lit(0))))
-    c = c.unionByName(count(checks_catalog.note_marks(spark, d), "marks"))
-    c = c.unionByName(count(checks_catalog.number_check(spark, d).filter("side = 'lost' and excuse is null"), "numbers"))
-    return c.unionByName(c.agg(F.sum("n").alias("n")).select(F.lit("all").alias("kind"), "n"))
-
-
-from quire import checks_catalog as _checks  # noqa: E402, F401  its SQL is part of the next one's
-
-problems = query(_problem_sql())(problems)

@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from quire.catalog import LINES, NEXT, TAGS, docs, neighbours, query, table
+from quire.catalog import _SQL, LINES, NEXT, TAGS, completeness, docs, neighbours, query, table, terms_check
 from quire.functions import numerals
 from quire.functions import text as X
 from quire.operators import alignment, checks
@@ -210,3 +210,20 @@ def fix_parse(spark, d):
     c = table(spark, d, "conversations").filter("text is not null").filter(~first.contains("[") & (first != ""))
     said = F.concat(F.lit("[[[F t"), F.col("turn").cast("string"), F.lit("]]]\nORIG: "), first, F.lit("\nFIX: "), F.reverse(first))
     return answers.fixes(c.groupBy("conv_id").agg(F.array_join(F.collect_list(said), "\n").alias("out")), "out")
+
+
+def _problem_sql() -> str:
+    counted = {"missing": ("completeness", "count(*)", "true"), "terms": ("terms_check", "coalesce(sum(missed), 0)", "true"), "marks": ("note_marks", "count(*)", "true"), "numbers": ("number_check", "count(*)", "side = 'lost' AND excuse IS NULL")}
+    one = [f"SELECT '{kind}' AS kind, CAST({what} AS BIGINT) AS n FROM ({_SQL[name]}) WHERE {where}" for kind, (name, what, where) in counted.items()]
+    return f"WITH c AS ({' UNION ALL '.join(one)}) SELECT * FROM c UNION ALL SELECT 'all', CAST(sum(n) AS BIGINT) FROM c"
+
+
+@query(_problem_sql())
+def problems(spark, d):
+    """Q06, Q01, Q02, Q05: problems by kind and altogether, over the tables that the single checks take."""
+    count = lambda df, kind, c=F.count("*"): df.agg(c.cast("long").alias("n")).select(F.lit(kind).alias("kind"), "n")
+    c = count(completeness(spark, d), "missing")
+    c = c.unionByName(count(terms_check(spark, d), "terms", F.coalesce(F.sum("missed"), F.lit(0))))
+    c = c.unionByName(count(note_marks(spark, d), "marks"))
+    c = c.unionByName(count(number_check(spark, d).filter("side = 'lost' and excuse is null"), "numbers"))
+    return c.unionByName(c.agg(F.sum("n").alias("n")).select(F.lit("all").alias("kind"), "n"))
