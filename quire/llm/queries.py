@@ -20,6 +20,7 @@ ORACLES = {
     "op2_reply_trees": reply_trees.ORACLE,
     "op3_topk_search": topk_search.ORACLE,
     "op4_jaccard_join": jaccard_join.ORACLE,
+    "op7_suffix_dedup": suffix_dedup.ORACLE,
     "op8_mixing": mixing.ORACLE,
     "op9_warc": warc.ORACLE,
 }

@@ -590,3 +590,17 @@ def query(spark, sf_dir):
 
     cut = suffix_dedup(table(spark, sf_dir, "documents"))
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+ORACLE = r"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+w AS (SELECT r, i, md5(array_slice(b, i, i + 199)) AS h FROM (SELECT r, b, unnest(range(1, octet_length(b) - 198)) AS i FROM d WHERE octet_length(b) >= 200)),
+again AS MATERIALIZED (SELECT r, i FROM w WHERE h IN (SELECT h FROM w GROUP BY h HAVING count(*) > 1)),
+runs AS (SELECT r, i, sum(CASE WHEN i - p <= 200 THEN 0 ELSE 1 END) OVER (PARTITION BY r ORDER BY i) AS run FROM (SELECT r, i, lag(i) OVER (PARTITION BY r ORDER BY i) AS p FROM again)),
+spans AS MATERIALIZED (SELECT r, min(i) AS a, max(i) + 199 AS z FROM runs GROUP BY r, run),
+kept AS (SELECT r, coalesce(lag(z) OVER (PARTITION BY r ORDER BY a), 0) + 1 AS a, a - 1 AS z FROM spans UNION ALL SELECT r, max(z) + 1, 2147483647 FROM spans GROUP BY r),
+parts AS (SELECT kept.r, string_agg(substr(hex(b), 2 * a - 1, 2 * greatest(least(z, octet_length(b)) - a + 1, 0)), '' ORDER BY a) AS x FROM kept JOIN d USING (r) GROUP BY kept.r),
+sums AS (SELECT r, sum(z - a + 1) AS gone, count(*) AS n FROM spans GROUP BY r)
+SELECT doc_id, CAST(octet_length(b) AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, coalesce(n, 0) AS n_spans, CASE WHEN x IS NULL THEN sha256(b) ELSE sha256(unhex(x)) END AS kept_sha256
+FROM d LEFT JOIN sums USING (r) LEFT JOIN parts USING (r)
+"""
