@@ -83,8 +83,20 @@ class Words:
         return base + start, np.minimum(count, WINDOW), text
 
 
-def _sigmoid(x):
-    return 0.5 * (1 + np.tanh(0.5 * x))
+def _sigmoid(x, out=None):
+    """By exp, which numpy has as a vector instruction on more machines than tanh."""
+    with np.errstate(over="ignore"):  # to 0 where exp is infinite
+        out = np.negative(x, out=out)
+        np.exp(out, out=out)
+        out += 1
+        return np.reciprocal(out, out=out)
+
+
+def _tanh(x, out=None):
+    out = _sigmoid(2 * x if out is None else np.multiply(x, 2, out=out), out=out)
+    out *= 2
+    out -= 1
+    return out
 
 
 class Network:
@@ -132,7 +144,7 @@ class Network:
                 g, hu = gates[index[:, t]], h @ u
                 zr = _sigmoid(g[:, : 2 * HIDDEN] + hu[:, : 2 * HIDDEN])
                 z, r = zr[:, :HIDDEN], zr[:, HIDDEN:]
-                c = np.tanh(g[:, 2 * HIDDEN :] + r * hu[:, 2 * HIDDEN :])
+                c = _tanh(g[:, 2 * HIDDEN :] + r * hu[:, 2 * HIDDEN :])
                 new = h + z * (c - h)
                 if mask is not None:
                     new = np.where(mask[:, t, None], new, h)
@@ -140,7 +152,7 @@ class Network:
                     tape[d, t] = (h, z, r, c, hu[:, 2 * HIDDEN :])
                 h = new
                 states[t, :, side] = h
-        a = np.tanh(states @ self.p["att_w"] + self.p["att_b"])
+        a = _tanh(states @ self.p["att_w"] + self.p["att_b"])
         s = a @ self.p["att_v"]
         if mask is not None:
             s = np.where(mask.T, s, -1e9)
@@ -185,7 +197,6 @@ class Network:
 
     def neighbours(self, gates: dict, n: int) -> np.ndarray:
         """Logits of the n whole windows that begin at neighbouring words; gates: by direction (3 * HIDDEN, words)."""
-        half = np.float32(0.5)
         seen, out, score, value = {}, np.empty(n, np.float32), np.empty((WINDOW, n), np.float32), np.empty((WINDOW, n), np.float32)
         zr, c, gap = np.empty((2 * HIDDEN, n), np.float32), np.empty((HIDDEN, n), np.float32), np.empty((HIDDEN, n), np.float32)
         for d, order in (("f", range(WINDOW)), ("b", range(WINDOW - 1, -1, -1))):
@@ -195,13 +206,10 @@ class Network:
             for t in order:
                 g, hu = gates[d][:, t : t + n], u @ h
                 np.add(g[: 2 * HIDDEN], hu[: 2 * HIDDEN], out=zr)
-                zr *= half
-                np.tanh(zr, out=zr)
-                zr += 1
-                zr *= half
+                _sigmoid(zr, out=zr)
                 np.multiply(zr[HIDDEN:], hu[2 * HIDDEN :], out=c)
                 c += g[2 * HIDDEN :]
-                np.tanh(c, out=c)
+                _tanh(c, out=c)
                 np.subtract(c, h, out=gap)
                 gap *= zr[:HIDDEN]
                 h += gap
@@ -212,7 +220,7 @@ class Network:
                     a = att @ h
                     a += seen[t]
                     a += self.p["att_b"][:, None]
-                    score[t] = self.p["att_v"] @ np.tanh(a, out=a)
+                    score[t] = self.p["att_v"] @ _tanh(a, out=a)
                     value[t] += w @ h
         score -= score.max(axis=0)
         np.exp(score, out=score)
