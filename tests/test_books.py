@@ -19,9 +19,10 @@ def pages(n, body):
 
 
 def test_pdf_text_loses_heads_and_page_numbers():
-    text = pages(8, lambda i: f"   Some words of page {i} that go on over the broken\nline and end here. The Long Road     {i}")
+    own = lambda i: "abcdefghij"[i] * 9
+    text = pages(8, lambda i: f"   Some words {own(i)} of page {own(9 - i)} {i} that go on over\nthe broken line {own(i)} and end {own(9 - i)} here. The Long Road     {i}")
     got = pdf.read(text)
-    assert len(got) == 8 and all("Long Road" not in b["text"] for b in got) and got[0]["text"].startswith("Some words of page 1")
+    assert len(got) == 8 and all("Long Road" not in b["text"] for b in got) and got[0]["text"].startswith("Some words bbbbbbbbb of page")
     assert [b["page"] for b in got] == list(range(1, 9))
     assert len(pdf.read(pages(3, lambda i: "Words."))) > 3  # a leaflet keeps all its lines
     with pytest.raises(ValueError, match="pictures"):
