@@ -168,14 +168,19 @@ def test_structure_scout_notes_and_listings(spark):
 
 
 def test_translation_carries_the_tail(spark):
+    import dataclasses
+
+    from quire.model import T
     from quire.plans import passes
 
+    alone = dataclasses.replace(T, lookahead_words=0)  # nothing of what follows
+
     def echo(system, prompt):
         before = prompt.partition("\n---\n")[0] if "\n---\n" in prompt else "none"
         return "\n".join(f"[[[P {i}]]] {before}" for i in passes.parse(prompt))
 
     b = spark.createDataFrame([(1, 0, 0, "a", "x"), (1, 1, 1, "b", "y")], "book int, chunk int, pos long, id string, text string")
-    assert [r["tr"] for r in passes.translate(b, "book", [echo]).orderBy("pos").collect()] == ["none", "Before: none"]
+    assert [r["tr"] for r in passes.translate(b, "book", [echo], th=alone).orderBy("pos").collect()] == ["none", "Before: none"]
 
 
 def test_engine(spark, tmp_path):
