@@ -3,6 +3,7 @@
 import hashlib
 import io
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -154,6 +155,41 @@ def test_jaccard_join_is_exact(spark, monkeypatch, few):
     assert got == link_plainly(ids, texts)
 
 
+def test_jaccard_join_by_packs_is_exact(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "FEW", 2)
+    monkeypatch.setattr(jaccard_join, "BLOCK", ((1 << 6, 50), (1 << 13, 48), (1 << 62, 1)))
+    texts = near_copies(130, 150, 3, 1) + near_copies(60, 40, 1, 2)
+    ids = [7 * i % 1009 for i in range(len(texts))]
+    got = sorted((tuple(r) for r in jaccard_join.jaccard_join(frame(spark, texts, ids)).collect()), key=str)
+    assert got == link_plainly(ids, texts)
+
+
+def test_packs_of_near_copies_are_small():
+    rng = np.random.default_rng(5)
+    base = np.unique(rng.integers(0, 1 << 62, 400).astype(np.uint64))
+    sets = [np.unique(np.r_[base[rng.random(len(base)) < 0.97], rng.integers(0, 1 << 62, 5).astype(np.uint64)]) for _ in range(32)]
+    tokens, bits = jaccard_join.packed(sets)
+    assert all((a == b).all() for a, b in zip(jaccard_join.unpacked(tokens, bits, len(sets)), sets, strict=True))
+    assert len(tokens) + len(bits) < sum(x.nbytes for x in sets) / 8
+
+
+def test_shuffle_files_of_a_tidy_stage_go_at_once(spark):
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    ids = lambda: {f.getName().split("_")[1] for f in (files.apply(i) for i in range(files.size())) if f.getName().startswith("shuffle_") and f.getName().endswith(".data")}
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = disk.getAllFiles()
+    old = ids()
+    scratch = Scratch(spark, "tidy", tidy=True)
+    assert scratch.stage(spark.range(1000).repartition(3, "id"), "t").count() == 1000
+    for _ in range(50):
+        files = disk.getAllFiles()
+        if ids() <= old:
+            break
+        time.sleep(0.1)
+    assert ids() <= old and spark.conf.get(name) == before
+
+
 def test_jaccard_join_with_null_and_repeated_ids(spark):
     texts = ["a b c d e f g", "a b c d e f g", "z y x w v u", "z y x w v u", "q", None]
     got = sorted((tuple(r) for r in jaccard_join.jaccard_join(frame(spark, texts, [None, 5, 5, 9, 9, 3])).collect()), key=str)
