@@ -138,7 +138,7 @@ SELECT book, pos, CASE WHEN asis OR kind = 'title' THEN coalesce(tr, text) ELSE
 def backfilled(spark, d):
     """Translations over their blocks; what stays has its own text, dropped blocks are left out, others are missing. Here titles stay."""
     b = shelf(spark, d).withColumn("asis", F.expr("pos % 9 = 2 or kind = 'title'")).withColumn("drop", F.expr("pos % 13 = 5"))
-    tr = shelf(spark, d).filter("pos % 4 <> 3").select("book", "pos", F.reverse("text").alias("tr"))
+    tr = shelf(spark, d).filter("pos % 4 <> 3").select("book", "pos", X.reverse(F.col("text")).alias("tr"))
     return R.backfilled(b, tr, ["book", "pos"]).select("book", "pos", "text", "missing")
 
 

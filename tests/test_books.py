@@ -5,9 +5,10 @@ import zipfile
 from xml.etree import ElementTree
 
 import pytest
+from conftest import against_sql
 from pyspark.sql import functions as F
 
-from quire import host
+from quire import catalog, host
 from quire.functions import text as X
 from quire.model import T
 from quire.sinks import writers
@@ -308,3 +309,30 @@ def test_chains_back_off_and_wait():
     with pytest.raises(passes.RateLimited):
         passes.request([spent], "s", "p", str, 3, limits(), 10, 1, sleep)
     assert passes.request([broken, lambda s, p: "next"], "s", "p", str, 2, limits()) == "next"
+
+
+ODD = ["ßheit eins\nßtum zwei", "ŉone two\nﬁrst word", "ΟΔΟΣ ΟΔΟΣ\nİstanbul ΣΑΣ", "été ä tail\nplain", "ᾳ mark\nǰ mark"] * 8
+
+
+@pytest.mark.parametrize("name", ["backfilled", "context_window", "note_anchors"])
+def test_letters_that_change_length_match_sql(spark, tmp_path, name):
+    import duckdb
+
+    rows_ = [(i, "s", "en", ODD[i % len(ODD)] + "\n" + ODD[(i * 3 + 1) % len(ODD)]) for i in range(40)]
+    spark.createDataFrame(rows_, "doc_id long, source string, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    against_sql(catalog.queries()[name](spark, str(tmp_path)), con, catalog.oracle_sql()[name])
+
+
+def test_entry_after_a_widened_letter_matches_sql(spark, tmp_path):
+    import duckdb
+
+    line = lambda k: f"{'ß' if k % 5 == 4 else ''}word {1950 + k}"
+    rows_ = [(i, "s", "en", "\n".join(line(k) for k in range(60))) for i in range(24)]
+    spark.createDataFrame(rows_, "doc_id long, source string, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    df = catalog.queries()["reference_spans"](spark, str(tmp_path))
+    assert df.count() > 0
+    against_sql(df, con, catalog.oracle_sql()["reference_spans"])
