@@ -176,9 +176,10 @@ class Network:
         dstates = alpha[:, :, None] * dpool + da @ self.p["att_w"].T
         dx = np.zeros_like(x)
         time = index.shape[1]
+        order_of, first = groups(index.T.ravel())  # the places of a word, together
         for d, order in (("f", range(time - 1, -1, -1)), ("b", range(time))):
             u, dh, side = self.p[f"u_{d}"], np.zeros((len(index), HIDDEN), np.float32), slice(0, HIDDEN) if d == "f" else slice(HIDDEN, None)
-            dgates = np.zeros((len(x), 3 * HIDDEN), np.float32)
+            dgates, each = np.zeros((len(x), 3 * HIDDEN), x.dtype), np.empty((time, len(index), 3 * HIDDEN), x.dtype)
             for t in order:
                 h, z, r, c, hc = tape[d, t]
                 dh = dh + dstates[t, :, side]
@@ -186,46 +187,83 @@ class Network:
                 dc = live * z * (1 - c * c)
                 dz = live * (c - h) * z * (1 - z)
                 dr = dc * hc * r * (1 - r)
-                dg = np.concatenate([dz, dr, dc], axis=1)
+                each[t] = np.concatenate([dz, dr, dc], axis=1)
                 du = np.concatenate([dz, dr, dc * r], axis=1)
-                np.add.at(dgates, index[:, t], dg)
                 g[f"u_{d}"] += h.T @ du
                 dh = dh - live * z + du @ u.T
+            dgates[index.T.ravel()[order_of[first]]] = np.add.reduceat(each.reshape(-1, 3 * HIDDEN)[order_of], first, axis=0)
             g[f"w_{d}"], g[f"b_{d}"] = x.T @ dgates, dgates[:-1].sum(axis=0)
             dx += dgates @ self.p[f"w_{d}"].T
         return g, dx
 
-    def neighbours(self, gates: dict, n: int) -> np.ndarray:
-        """Logits of the n whole windows that begin at neighbouring words; gates: by direction (3 * HIDDEN, words)."""
-        seen, out, score, value = {}, np.empty(n, np.float32), np.empty((WINDOW, n), np.float32), np.empty((WINDOW, n), np.float32)
-        zr, c, gap = np.empty((2 * HIDDEN, n), np.float32), np.empty((HIDDEN, n), np.float32), np.empty((HIDDEN, n), np.float32)
-        for d, order in (("f", range(WINDOW)), ("b", range(WINDOW - 1, -1, -1))):
+    def tables(self, x: np.ndarray) -> dict:
+        """For ``neighbours``, by direction: rows of the words' gates and first states, and the weights of a state.
+
+        A state is kept with 1 added, and a 1 after it that carries the biases.  Every gate is
+        1 / (1 + exp(y)), and a tanh twice that less 1: weights give y, signs and factors are in them.
+        """
+        out = {}
+        scale = np.r_[np.full(2 * HIDDEN, -1), np.full(HIDDEN, -2)].astype(np.float32)
+        for d in "fb":
             side = slice(0, HIDDEN) if d == "f" else slice(HIDDEN, None)
-            u, att, w = np.ascontiguousarray(self.p[f"u_{d}"].T), np.ascontiguousarray(self.p["att_w"][side].T), self.p["out_w"][side]
-            h = np.zeros((HIDDEN, n), np.float32)
-            for t in order:
-                g, hu = gates[d][:, t : t + n], u @ h
-                np.add(g[: 2 * HIDDEN], hu[: 2 * HIDDEN], out=zr)
-                _sigmoid(zr, out=zr)
-                np.multiply(zr[HIDDEN:], hu[2 * HIDDEN :], out=c)
-                c += g[2 * HIDDEN :]
-                _tanh(c, out=c)
-                np.subtract(c, h, out=gap)
-                gap *= zr[:HIDDEN]
-                h += gap
-                if d == "f":
-                    seen[t] = att @ h
-                    value[t] = w @ h
-                else:
-                    a = att @ h
-                    a += seen[t]
-                    a += self.p["att_b"][:, None]
-                    score[t] = self.p["att_v"] @ _tanh(a, out=a)
-                    value[t] += w @ h
-        score -= score.max(axis=0)
-        np.exp(score, out=score)
-        np.divide(np.einsum("tn,tn->n", score, value), score.sum(axis=0), out=out)
-        return out + self.p["out_b"][0]
+            g = (x @ self.p[f"w_{d}"] + self.p[f"b_{d}"]) * scale
+            with np.errstate(over="ignore"):
+                first = 1 + (2 / (1 + np.exp(g[:, 2 * HIDDEN :])) - 1) / (1 + np.exp(g[:, :HIDDEN]))
+            m = np.concatenate([(self.p[f"u_{d}"] * scale).T, -2 * self.p["att_w"][side].T, self.p["out_w"][None, side]])
+            bias = -m.sum(axis=1)
+            if d == "f":
+                bias[3 * HIDDEN :] += np.r_[-2 * self.p["att_b"], self.p["out_b"]]
+            out[d] = np.concatenate([g, first], axis=1), np.concatenate([m, bias[:, None]], axis=1)
+        return out
+
+    def neighbours(self, tables: dict, which: np.ndarray) -> np.ndarray:
+        """Logits of the whole windows that begin at neighbouring words, all that ``which`` has room for.
+
+        One product of a state's weights gives the next gates, its part of the attention and of
+        the logit; everything else is done in place.
+        """
+        n = len(which) - WINDOW + 1
+        add, subtract, divide, exp = np.add, np.subtract, np.divide, np.exp
+        one, two, twice = np.float32(1), np.float32(2), 2 * self.p["att_v"]
+        state, made = np.ones((HIDDEN + 1, n), np.float32), np.empty((3 * HIDDEN + ATTEND + 1, n), np.float32)
+        zr, c, h = np.empty((2 * HIDDEN, n), np.float32), np.empty((HIDDEN, n), np.float32), state[:HIDDEN]
+        z, r = zr[:HIDDEN], zr[HIDDEN:]
+        made_zr, made_c, made_out = made[: 2 * HIDDEN], made[2 * HIDDEN : 3 * HIDDEN], made[3 * HIDDEN :]
+        # by time the exponents of the attention and, last, the logit of the state
+        seen, score = np.empty((WINDOW, ATTEND + 1, n), np.float32), np.empty((WINDOW, n), np.float32)
+        with np.errstate(over="ignore"):  # to 0 where exp is infinite
+            for d, order in (("f", range(WINDOW)), ("b", range(WINDOW - 1, -1, -1))):
+                table, weights = tables[d]
+                rows = np.ascontiguousarray(table[which].T)
+                g_zr, g_c, first = rows[: 2 * HIDDEN], rows[2 * HIDDEN : 3 * HIDDEN], rows[3 * HIDDEN :]
+                for t in order:
+                    if t == order[0]:
+                        h[:] = first[:, t : t + n]
+                    else:
+                        add(made_zr, g_zr[:, t : t + n], zr)
+                        exp(zr, zr)
+                        add(zr, one, zr)
+                        divide(made_c, r, c)
+                        add(c, g_c[:, t : t + n], c)
+                        exp(c, c)
+                        add(c, one, c)
+                        divide(two, c, c)
+                        subtract(c, h, c)
+                        divide(c, z, c)
+                        add(h, c, h)
+                    np.matmul(weights, state, made)
+                    if d == "f":
+                        seen[t] = made_out
+                    else:
+                        add(seen[t], made_out, seen[t])
+                        a = seen[t, :ATTEND]
+                        exp(a, a)
+                        add(a, one, a)
+                        divide(one, a, a)
+                        np.matmul(twice, a, score[t])
+            score -= score.max(axis=0)
+            exp(score, score)
+        return np.einsum("tn,tn->n", score, seen[:, ATTEND]) / score.sum(axis=0)
 
     def all_logits(self, w: Words) -> tuple[np.ndarray, np.ndarray]:
         """Logits of all overlapping windows, and their texts."""
@@ -234,16 +272,14 @@ class Network:
         out = np.empty(len(start), np.float32)
         whole = length == WINDOW
         if whole.any():
-            by_word = {d: x @ self.p[f"w_{d}"] + self.p[f"b_{d}"] for d in "fb"}
+            tables = self.tables(x)
             at, place = start[whole], np.flatnonzero(whole)
             i = 0
             while i < len(at):
                 # the windows that begin within so many words; between texts there are some words with none
                 j = int(np.searchsorted(at, at[i] + TOGETHER))
                 n = int(at[j - 1] - at[i]) + 1
-                which = w.which[at[i] : at[i] + n + WINDOW - 1]
-                gates = {d: np.ascontiguousarray(by_word[d][which].T) for d in "fb"}
-                out[place[i:j]] = self.neighbours(gates, n)[at[i:j] - at[i]]
+                out[place[i:j]] = self.neighbours(tables, w.which[at[i] : at[i] + n + WINDOW - 1])[at[i:j] - at[i]]
                 i = j
         some = np.flatnonzero(~whole)
         which = np.r_[w.which, np.full(WINDOW, len(x) - 1)]
@@ -277,7 +313,9 @@ class Network:
         logit, text = self.all_logits(w)
         n = len(w.counts)
         top = np.full(n, -12.0)
-        np.maximum.at(top, text, logit)
+        if len(text):
+            first = np.flatnonzero(np.r_[True, text[1:] != text[:-1]])  # a text's windows lie together
+            top[text[first]] = np.maximum.reduceat(logit, first)
         some = np.bincount(text, weights=_sigmoid(logit.astype(np.float64)), minlength=n)
         return np.stack([np.ones(n), np.clip(top, -12, 12), np.log1p(some), np.log1p(np.bincount(text, minlength=n))], axis=1)
 

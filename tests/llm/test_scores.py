@@ -73,6 +73,16 @@ def test_toxicity_scores_as_word_by_word():
     assert np.abs(got - [scored_plainly(net, t) for t in some]).max() < 1e-4
 
 
+def test_a_window_runs_each_word_after_its_first_once(monkeypatch):
+    net = toxicity.Network(np.zeros(0, np.uint64), np.zeros(0, np.float32))
+    w = toxicity.Words(*_text.utf8(pa.array([" ".join(np.random.default_rng(41).choice(WORDS, 600))])))
+    n, values, exp = 600 - toxicity.WINDOW + 1, [], np.exp
+    monkeypatch.setattr(np, "exp", lambda x, *a, **k: values.append(np.size(x)) or exp(x, *a, **k))
+    assert len(net.all_logits(w)[0]) == n
+    gates, rest = 6 * toxicity.HIDDEN, toxicity.WINDOW * (toxicity.ATTEND + 1)
+    assert sum(values) <= n * ((toxicity.WINDOW - 1) * gates + rest) + gates * (len(w.hashes) + 1)
+
+
 def featured_plainly(text):
     """The features of one text."""
     b = text.encode()
