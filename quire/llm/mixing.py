@@ -11,10 +11,14 @@ id, so a run can be repeated anywhere.
 
 The cells are one aggregation of the corpus; all raking happens on that small table, and
 the probabilities come back by a join that is broadcast only if the table is small.
+What the driver asks on the way it asks of all margins at once, in one scan: every job and
+every scan costs it a broadcast block of ``spark.broadcast.blockSize``, however small the table.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,18 +62,32 @@ def _key(c: Column) -> Column:
     return F.when(c.isNull(), "-").otherwise(F.concat(F.lit("+"), c.cast("string")))
 
 
-def _reachable(goals: DataFrame) -> float:
-    """The factor to goals by which least(cap, factor * goal) sum to 1; infinite if all caps are needed.  goals: (goal, cap)."""
-    factor = 1.0
-    while True:
-        full = F.col("cap") <= F.lit(factor) * F.col("goal")
-        held, free = goals.agg(F.sum(F.when(full, F.col("cap"))), F.sum(F.when(~full, F.col("goal")))).first()
-        if not free:
-            return float("inf")
-        more = (1.0 - (held or 0.0)) / free
-        if more <= factor * (1 + 1e-12):  # the full ones only grow, so this ends
-            return factor
-        factor = more
+def _by_margin(cells: DataFrame, margins, **also: Callable[[str], Column]) -> DataFrame:
+    """A row for each cell and margin: the cell's numbers, margin, value, and ``also``, columns by margin."""
+    rows = [F.struct(F.lit(m).alias("margin"), F.col(m).alias("value"), *[of(m).alias(k) for k, of in also.items()]) for m in margins]
+    numbers = [c for c in ("tokens", "weight", "bound") if c in cells.columns]
+    return cells.select(*numbers, F.explode(F.array(*rows)).alias("row")).select(*numbers, "row.*")
+
+
+def _reachable(values: DataFrame) -> dict[str, tuple[float, float]]:
+    """From (margin, goal, cap): by margin the sum of its goals, and the factor to goals over that sum by which
+    least(cap, factor * goal) sum to 1; infinite if all caps are needed."""
+    told = lambda by, default: F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in by.items() for x in pair]), F.col("margin")), F.lit(default))
+    wanted = {r.margin: r.wanted or 1.0 for r in values.groupBy("margin").agg(F.sum("goal").alias("wanted")).collect()}
+    factors, found = dict.fromkeys(wanted, 1.0), {}
+    while factors:
+        # a row of numbers for each margin is all that the driver sees
+        goals = values.filter(F.col("margin").isin(*factors)).withColumn("goal", F.col("goal") / told(wanted, 1.0))
+        full = F.col("cap") <= told(factors, 1.0) * F.col("goal")
+        sums = goals.groupBy("margin").agg(F.sum(F.when(full, F.col("cap"))).alias("held"), F.sum(F.when(~full, F.col("goal"))).alias("free")).collect()
+        for r in sums:
+            factor = factors.pop(r.margin)
+            more = (1.0 - (r.held or 0.0)) / r.free if r.free else float("inf")
+            if not r.free or more <= factor * (1 + 1e-12):  # the full ones only grow, so this ends
+                found[r.margin] = wanted[r.margin], factor if r.free else more
+            else:
+                factors[r.margin] = more
+    return found
 
 
 def _raked(m: str) -> Column:
@@ -82,32 +100,33 @@ def _raked(m: str) -> Column:
     return F.when(now > goal, F.col("weight") * (goal / now)).otherwise(grown)
 
 
-def _wanted(m: str, had: Column, exponents: dict[str, float], targets: dict) -> Column:
-    """The target weight of a margin's value ``m``, before it is normalised; ``had`` is its share of the tokens."""
+def _wanted(m: str, had: Column, exponents: dict[str, float], targets: dict, value: Column | None = None) -> Column:
+    """The target weight of a margin's value (``m`` unless given), before it is normalised; ``had`` is its share of the tokens."""
     if m not in targets:
         return F.pow(had, F.lit(exponents[m]))
     told = [x for value, weight in targets[m].items() for x in (F.lit("-" if value is None else "+" + str(value)), F.lit(float(weight)))]
-    return F.coalesce(F.try_element_at(F.create_map(*told), F.col(m)), F.lit(0.0)) if told else F.lit(0.0)
+    return F.coalesce(F.try_element_at(F.create_map(*told), F.col(m) if value is None else value), F.lit(0.0)) if told else F.lit(0.0)
 
 
 def calibrated(cells: DataFrame, scratch: Scratch, exponents: dict[str, float] = EXPONENTS, targets: dict | None = None, sweeps: int = SWEEPS, budget: float = BUDGET) -> DataFrame:
     """From cells (source, lang, topic, tokens): those with a target, with weight and probability."""
-    small = cells.count() <= ONE_TASK
+    count, whole = cells.agg(F.count("*"), F.sum("tokens")).first()
+    small, whole = count <= ONE_TASK, float(whole or 0)
     if small:
         cells = cells.coalesce(1)  # one task needs no shuffle for any margin
     targets = targets or {}
-    whole = float(cells.agg(F.sum("tokens")).first()[0] or 0)
     for m in targets:
         cells = cells.filter(_wanted(m, F.lit(0.0), exponents, targets) > 0)
     state = cells.withColumn("total", F.lit(whole))
-    for m in exponents if whole else ():
+    if whole:
         share = lambda had: had.cast("double") / whole
-        values = cells.groupBy(m).agg(share(F.sum("tokens")).alias("had")).select(_wanted(m, F.col("had"), exponents, targets).alias("goal"), (F.col("had") / budget).alias("cap"))
-        # a row of numbers for each margin is all that the driver sees
-        wanted = values.agg(F.sum("goal")).first()[0] or 1.0
-        factor = _reachable(values.withColumn("goal", F.col("goal") / wanted))
-        had = share(F.sum("tokens").over(Window.partitionBy(m)))
-        state = state.withColumn(f"goal_{m}", F.least(had / budget, F.lit(factor) * (_wanted(m, had, exponents, targets) / wanted)))
+        values = _by_margin(cells, exponents).groupBy("margin", "value").agg(share(F.sum("tokens")).alias("had"))
+        goal = F.coalesce(*[F.when(F.col("margin") == m, _wanted(m, F.col("had"), exponents, targets, F.col("value"))) for m in exponents])
+        reached = _reachable(values.select("margin", goal.alias("goal"), (F.col("had") / budget).alias("cap")))
+        for m in exponents:
+            wanted, factor = reached.get(m, (1.0, float("inf")))
+            had = share(F.sum("tokens").over(Window.partitionBy(m)))
+            state = state.withColumn(f"goal_{m}", F.least(had / budget, F.lit(factor) * (_wanted(m, had, exponents, targets) / wanted)))
     if not whole:
         state = state.withColumns({f"goal_{m}": F.lit(0.0) for m in exponents})
     state = state.withColumn("bound", F.col("tokens") / (F.col("total") * F.lit(budget)))
@@ -119,18 +138,15 @@ def calibrated(cells: DataFrame, scratch: Scratch, exponents: dict[str, float] =
             state = state.withColumn("weight", _raked(m))
         if sweep % STAGED == STAGED - 1 or sweep == sweeps - 1:
             state = scratch.stage(state, f"sweep{sweep}")
-            if _error(state, exponents) < TOLERANCE:
+            if _error(state.coalesce(1) if small else state, exponents) < TOLERANCE:
                 break
     return state.withColumn("probability", F.least(F.lit(1.0), F.lit(budget) * F.col("total") * F.col("weight") / F.col("tokens")))
 
 
 def _error(state: DataFrame, exponents: dict[str, float]) -> float:
     """The largest difference of a margin's value from its goal."""
-    off = None
-    for m in exponents:
-        one = state.groupBy(m).agg(F.abs(F.sum(F.least("weight", "bound")) - F.first(f"goal_{m}")).alias("off")).agg(F.max("off").alias("off"))
-        off = one if off is None else off.unionByName(one)
-    return off.agg(F.max("off")).first()[0] or 0.0
+    off = F.abs(F.sum(F.least("weight", "bound")) - F.first("goal")).alias("off")
+    return _by_margin(state, exponents, goal=lambda m: F.col(f"goal_{m}")).groupBy("margin", "value").agg(off).agg(F.max("off")).first()[0] or 0.0
 
 
 def mix(

@@ -450,6 +450,18 @@ def test_mixing_in_many_tasks(spark, monkeypatch):
     assert all(abs(whole[r.doc_id, r.n_tokens] - r.probability) < 1e-9 for r in mixing.mix(docs).collect())
 
 
+def test_mixing_asks_of_all_margins_at_once(spark):
+    sc, docs = spark.sparkContext, mixed_docs(spark).drop("topic", "probability")
+    try:
+        sc.setJobGroup("mixing", "jobs of one call")
+        assert len(mixing.mix(docs).collect()) == 1204
+    finally:
+        for name in ("spark.jobGroup.id", "spark.job.description", "spark.job.interruptOnCancel"):
+            sc.setLocalProperty(name, None)
+    # each job costs the driver a broadcast block, however small its table: 42 where every margin was asked by itself
+    assert len(sc.statusTracker().getJobIdsForGroup("mixing")) <= 24
+
+
 def test_warc_reads_what_it_writes(spark, tmp_path):
     big = "x" * 2000
     pages = spark.createDataFrame([(1, "u\r\n", big, 0), (5, None, big, 0), (3, "v", big, 0), (4, "w", "small", 0), (6, "w", "small", 0), (None, "n", None, 0), (8, "é", "WARC/1.1\r\n\r\n", 0)], "page_id long, url string, html string, payload int")
