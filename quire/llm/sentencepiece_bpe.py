@@ -2,7 +2,9 @@
 
 A text is a dummy space and the text, spaces written as the model's space mark.  No piece
 holds that mark but at its beginning, so merges never cross the start of a run of spaces:
-texts are cut there, and each distinct chunk of a batch is encoded once without dropout.
+texts are cut there.  Nor do they cross two ASCII characters that are neighbours in no piece
+(before a comma, between digits): chunks are cut into parts there, and each distinct part of
+a block of texts is encoded once without dropout.
 
 Within a chunk the agenda holds every pair of neighbours that some piece spells, the best
 piece first and of equal ones the leftmost.  A candidate is skipped for good when the keyed
@@ -10,10 +12,10 @@ hash of (seed, epoch, text, place of the chunk in it, chunk, span and split of t
 falls under the dropout rate; what remains is merged until no candidate is left.  The hash
 makes a segmentation a function of its key: runs and lost executors repeat it, while every
 occurrence of a chunk, and other seeds and epochs, draw anew.  A dropped candidate changes
-a segmentation only if it would have been merged, so an occurrence that drops none of the
-merges of its undropped chunk shares that chunk's tokens, and only the others are merged
-one by one.  All agendas of a batch advance together in numpy; a chunk of more than
-``LONG`` symbols has a heap of its own.
+a segmentation only if it would have been merged, so an occurrence of a part that drops none of
+its undropped merges shares its tokens, and only the others are merged one by one.  Spans are
+counted in the chunk, so the cut into parts changes no draw.  Agendas advance together in numpy,
+parts of equal size as columns of a matrix; a part of more than ``LONG`` symbols has a heap.
 
 Characters without a piece, and the space mark itself in a text, are spelled in bytes, so
 decoding gives back every text.
@@ -22,6 +24,7 @@ decoding gives back every text.
 from __future__ import annotations
 
 import heapq
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +40,14 @@ DROPOUT, SEED, EPOCH = 0.1, 17, 0
 LONG = 96
 MARK = "▁"
 NEVER = np.int64(1) << 40
+#: No entry of the table of pairs: ids and ranks have 20 bits.
+EMPTY = U(0xFFFFFFFFFFFFFFFF)
+#: Parts of up to so many symbols are columns, so many side by side; their ranks carry a row in six bits.
+COLUMN, BESIDE, ROW, NO_RANK = 48, 1 << 14, 6, np.int32(1 << 30)
+#: Letters, at most, whose pairs are looked up directly.
+LETTERS = 512
+#: A place where no final symbol begins.
+GONE = -9
 
 
 class Model:
@@ -47,13 +58,15 @@ class Model:
 
         said = sentencepiece.SentencePieceProcessor(model_proto=raw)
         n = said.get_piece_size()
+        if n >= 1 << 20:
+            raise ValueError(f"{n} pieces; ids have 20 bits here")
         names = [said.id_to_piece(i) for i in range(n)]
         plain = [i for i in range(n) if not (said.is_control(i) or said.is_unknown(i) or said.is_byte(i) or said.is_unused(i))]
         ids = {names[i]: i for i in plain}
         self.letters = np.full(0x110000, -1, np.int64)
-        for name, i in ids.items():
-            if len(name) == 1:
-                self.letters[ord(name)] = i
+        single = {i for name, i in ids.items() if len(name) == 1}
+        for i in single:
+            self.letters[ord(names[i])] = i
         order = sorted(plain, key=lambda i: -said.get_score(i))
         rank = {i: r for r, i in enumerate(order)}
         self.piece = np.array(order, np.int64)
@@ -71,42 +84,66 @@ class Model:
         self.starts = np.cumsum(self.lengths) - self.lengths
         self.text = np.frombuffer(b"".join(text), np.uint8)
         self.space = self.letters[ord(MARK)]
+        # neighbouring ASCII characters that lie in no piece, a space for the mark: no merge crosses them
+        self.apart = np.zeros((256, 256), bool)
+        self.apart[:128, :128] = True
+        for name in ids:
+            spelled = name.replace(MARK, " ").encode()
+            for a, b in zip(spelled, spelled[1:]):
+                self.apart[a, b] = False
         self._hash()
+        # pairs of the letters in most pairs have a table of their own; 0 is of all other symbols
+        often = Counter(x for pair in self.pairs for x in pair if x in single)
+        common = [x for x, _ in often.most_common(LETTERS - 1)]
+        self.short = np.zeros(n + 1, np.int32)
+        self.short[common] = np.arange(1, len(common) + 1)
+        self.two = np.full((LETTERS, LETTERS), NO_RANK, np.int32)
+        for (a, b), rank in self.pairs.items():
+            if self.short[a] and self.short[b]:
+                self.two[self.short[a], self.short[b]] = rank << ROW
 
     def _hash(self):
-        """An open-addressed table of the pairs, with short probes."""
-        key = np.array([(a << 32) | b for a, b in self.pairs], U)
-        value = np.array(list(self.pairs.values()), np.int64)
-        self.bits = max(4, int(len(key) * 4).bit_length())
-        self.keys, self.values = np.zeros(1 << self.bits, U), np.full(1 << self.bits, NEVER)
-        taken, slot, left, self.probes = np.zeros(1 << self.bits, bool), self._slot(key), np.arange(len(key)), 0
+        """An open-addressed table of the pairs and their ranks, a word each, with short probes."""
+        pair = np.array([(a << 20) | b for a, b in self.pairs], U)
+        value = np.array(list(self.pairs.values()), U)
+        self.bits = max(4, int(len(pair) * 4).bit_length())
+        self.entries = np.full(1 << self.bits, EMPTY, U)
+        slot, left, self.probes = self._slot(pair), np.arange(len(pair)), 0
         while len(left):
             at = (slot[left] + self.probes) & ((1 << self.bits) - 1)
             order = np.argsort(at, kind="stable")
             once = order[np.r_[True, at[order][1:] != at[order][:-1]]]
-            once = once[~taken[at[once]]]
-            taken[at[once]], self.keys[at[once]], self.values[at[once]] = True, key[left[once]], value[left[once]]
+            once = once[self.entries[at[once]] == EMPTY]
+            self.entries[at[once]] = (pair[left[once]] << U(20)) | value[left[once]]
             left = np.delete(left, once)
             self.probes += 1
 
-    def _slot(self, key):
-        return ((key * U(0x9E3779B97F4A7C15)) >> U(64 - self.bits)).astype(np.int64)
+    def _slot(self, pair):
+        return ((pair * U(0x9E3779B97F4A7C15)) >> U(64 - self.bits)).astype(np.int64)
 
     def ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The rank of the piece that each pair spells, NEVER without one."""
-        key = (a.astype(U) << U(32)) | b.astype(U)
-        slot, out = self._slot(key), np.full(len(a), NEVER)
-        left = np.flatnonzero((a >= 0) & (b >= 0))
-        for probe in range(self.probes):
-            at = (slot[left] + probe) & ((1 << self.bits) - 1)
-            hit = self.keys[at] == key[left]
-            out[left[hit]] = self.values[at[hit]]
-            left = left[~hit & (self.values[at] != NEVER)]
+        pair = (a.astype(U) << U(20)) | b.astype(U)  # of a symbol without a piece: no pair of the table
+        slot = self._slot(pair)
+        found = self.entries[slot]
+        hit = found >> U(20) == pair
+        out = np.where(hit, (found & U(0xFFFFF)).astype(np.int64), NEVER)
+        left = np.flatnonzero(~hit & (found != EMPTY))
+        for probe in range(1, self.probes):
             if not len(left):
                 break
+            found = self.entries[(slot[left] + probe) & ((1 << self.bits) - 1)]
+            hit = found >> U(20) == pair[left]
+            out[left[hit]] = found[hit] & U(0xFFFFF)
+            left = left[~hit & (found != EMPTY)]
         return out
 
 
+def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """All places of ranges, one range after the other."""
+    return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())
+
+
 _models: dict[bytes, Model] = {}
 
 
@@ -122,8 +159,8 @@ def _skipped(key: np.ndarray, begin: np.ndarray, middle: np.ndarray, end: np.nda
     return (mix(mix(span) ^ key) >> U(32)) < U(limit)
 
 
-def _by_heap(model: Model, symbols: list[int], key, limit: int, merges: list | None = None) -> list[int]:
-    """One chunk, symbol by symbol."""
+def _by_heap(model: Model, symbols: list[int], key, off: int, limit: int, merges: list | None = None) -> list[int]:
+    """One part, symbol by symbol."""
     n = len(symbols)
     after, before, width = list(range(1, n + 1)), list(range(-1, n - 1)), [1] * n
     agenda = []
@@ -131,7 +168,7 @@ def _by_heap(model: Model, symbols: list[int], key, limit: int, merges: list | N
     def offer(i):
         j = after[i]
         if j < n and (rank := model.pairs.get((symbols[i], symbols[j]))) is not None:
-            if not limit or not _skipped(np.array([key]), *(np.array([x]) for x in (i, j, j + width[j])), limit)[0]:
+            if not limit or not _skipped(np.array([key]), *(np.array([off + x]) for x in (i, j, j + width[j])), limit)[0]:
                 heapq.heappush(agenda, (rank, i, j, symbols[i], symbols[j], width[i], width[j]))
 
     for i in range(n):
@@ -151,17 +188,104 @@ def _by_heap(model: Model, symbols: list[int], key, limit: int, merges: list | N
     return [i for i in range(n) if symbols[i] != -9]
 
 
-def _segment(model: Model, symbols: np.ndarray, first: np.ndarray, key: np.ndarray, limit: int, merges: list | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Merge the chunks that begin at ``first``: final symbols, and where in the input each begins.
+def _segment(model: Model, symbols: np.ndarray, first: np.ndarray, key: np.ndarray, off: np.ndarray, limit: int, merges: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Merge the parts that begin at ``first``: final symbols, and where in the input each begins.
+
+    ``key`` and ``off`` are the key of a part's chunk and the place of the part in it; ``merges``
+    takes arrays of the merges made: part, begin, middle and end in it."""
+    sizes = np.diff(np.r_[first, len(symbols)])
+    out = np.full(len(symbols), GONE, np.int32)
+    narrow = min(COLUMN, LONG)
+    order = np.argsort(np.minimum(sizes, narrow + 1).astype(np.int8), kind="stable")
+    ends = np.searchsorted(sizes[order], np.arange(narrow + 1), "right")
+    for n in range(1, narrow + 1):
+        for lo in range(ends[n - 1], ends[n], BESIDE):
+            part = order[lo : min(lo + BESIDE, ends[n])]
+            _columns(model, symbols, first[part], n, part, key, off, limit, merges, out)
+    rest = order[ends[narrow] :]
+    if len(rest):
+        made = None if merges is None else []
+        sym, place = _wide(model, symbols[_ranges(first[rest], sizes[rest])], np.cumsum(sizes[rest]) - sizes[rest], key[rest], off[rest], limit, made)
+        out[_ranges(first[rest], sizes[rest])[place]] = sym
+        for m in made or ():
+            merges.append(np.concatenate([rest[m[:1]], m[1:]]))
+    place = np.flatnonzero(out != GONE)
+    return out[place], place
+
+
+def _columns(model: Model, symbols: np.ndarray, base: np.ndarray, n: int, part: np.ndarray, key: np.ndarray, off: np.ndarray, limit: int, merges: list | None, out: np.ndarray) -> None:
+    """Merge parts of ``n`` symbols that begin at ``base``, each a column: every round merges the best pair of each.
+
+    Final symbols go to ``out``, where in the input they begin."""
+    sym = symbols[base + np.arange(n)[:, None]].astype(np.int32)
+    if n == 1:
+        out[base] = sym[0]
+        return
+    place = np.repeat(np.arange(n + 1, dtype=np.int32)[:, None], len(base), axis=1)  # the last row is the end
+
+    def dropped(at, column):
+        """Which of the pairs at these flat places are skipped."""
+        o, flat = off[part[column]], place.ravel()
+        return _skipped(key[part[column]], *(o + flat[at + i * len(base)] for i in range(3)), limit)
+
+    letters = model.short[sym]
+    rank = model.two.ravel()[letters[:-1] * np.int32(LETTERS) + letters[1:]]
+    rank |= np.arange(n - 1, dtype=np.int32)[:, None]
+    flat = rank.ravel()
+    odd = np.flatnonzero(((letters[:-1] == 0) | (letters[1:] == 0)).ravel())
+    if len(odd):
+        r = model.ranks(sym.ravel()[odd], sym.ravel()[odd + len(base)])
+        flat[odd] = np.where(r == NEVER, NO_RANK, (r << ROW) | odd // len(base))
+    if limit:
+        some = np.flatnonzero(flat < NO_RANK)
+        flat[some[dropped(some, some % len(base))]] = NO_RANK
+    live = np.arange(len(base))
+    while True:
+        best = rank.min(axis=0, initial=NO_RANK)
+        go = best[live] < NO_RANK >> 1
+        if not go.all():
+            done, live = live[~go], live[go]
+            out[base[done] + place[:-1, done]] = sym[:, done]
+            if not len(live):
+                return
+            if len(live) * 4 < len(base) * 3:
+                sym, place, rank, base, part, best = (x.take(live, axis=-1) for x in (sym, place, rank, base, part, best))
+                live = np.arange(len(base))
+        wide = len(base)
+        at = best & ((1 << ROW) - 1)
+        at[best >= NO_RANK >> 1] = 0  # columns that are done stay beside the others for a while
+        here = at[live] * wide + live
+        if merges is not None:
+            flat = place.ravel()
+            merges.append(np.stack([part[live], flat[here], flat[here + wide], flat[here + 2 * wide]]))
+        new = model.piece[best[live] >> ROW]
+        after = np.arange(len(sym), dtype=np.int32)[:, None] > at
+        sym = np.where(after[:-1], sym[1:], sym[:-1])
+        sym.ravel()[here] = new
+        place = np.where(after, place[1:], place[:-1])
+        rank = np.where(after[:-2], rank[1:] - 1, rank[:-1])
+        if not len(rank):
+            continue
+        flat = sym.ravel()
+        left, right = np.flatnonzero(here >= wide), np.flatnonzero(here < rank.size)
+        where = np.concatenate([here[left] - wide, here[right]])
+        r = model.ranks(np.concatenate([flat[here[left] - wide], new[right]]), np.concatenate([new[left], flat[here[right] + wide]]))
+        row = where // wide
+        found = np.where(r == NEVER, NO_RANK, (r << ROW) | row).astype(np.int32)
+        if limit:
+            some = np.flatnonzero(r != NEVER)
+            found[some[dropped(where[some], where[some] - row[some] * wide)]] = NO_RANK
+        rank.ravel()[where] = found
+
 
-    ``merges`` takes arrays of the merges made: chunk, begin, middle and end."""
-    n = len(symbols)
-    sizes = np.diff(np.r_[first, n])
+def _wide(model: Model, symbols: np.ndarray, first: np.ndarray, key: np.ndarray, off: np.ndarray, limit: int, merges: list | None) -> tuple[np.ndarray, np.ndarray]:
+    """``_segment`` of parts of any size, one after the other."""
+    sizes = np.diff(np.r_[first, len(symbols)])
     out_symbol, out_place = [], []
     for c in np.flatnonzero(sizes > LONG):
         part = symbols[first[c] : first[c] + sizes[c]].tolist()
         made = None if merges is None else []
-        live = _by_heap(model, part, key[c], limit, made)
+        live = _by_heap(model, part, key[c], int(off[c]), limit, made)
         if made:
             merges.append(np.c_[np.full(len(made), c), np.array(made, np.int64)].T)
         out_symbol.append(np.array([part[i] for i in live], np.int64))
@@ -180,7 +304,8 @@ def _segment(model: Model, symbols: np.ndarray, first: np.ndarray, key: np.ndarr
             k = np.minimum(j + 1, len(sym) - 1)
             base = first[owner[i]]
             end = np.where((j + 1 < len(sym)) & (owner[k] == owner[j]), place[k] - base, sizes[owner[i]])
-            r[some[_skipped(key[owner[i]], place[i] - base, place[j] - base, end, limit)]] = NEVER
+            o = off[owner[i]]
+            r[some[_skipped(key[owner[i]], o + place[i] - base, o + place[j] - base, o + end, limit)]] = NEVER
         return r
 
     rank = ranked(np.arange(len(sym)))
@@ -215,13 +340,8 @@ def _segment(model: Model, symbols: np.ndarray, first: np.ndarray, key: np.ndarr
     return sym[order], place[order]
 
 
-def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """All places of ranges, one range after the other."""
-    return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())
-
-
-def _chunk_tokens(model: Model, data: np.ndarray, start: np.ndarray, end: np.ndarray, key: np.ndarray, limit: int, merges: list | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens of chunks, one after the other, and how many each has."""
+def _chunk_tokens(model: Model, data: np.ndarray, start: np.ndarray, end: np.ndarray, key: np.ndarray, off: np.ndarray, limit: int, merges: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens of parts, one after the other, and how many each has."""
     raw = data[_ranges(start, end - start)]
     lead = np.flatnonzero((raw & 0xC0) != 0x80)
     width = np.diff(np.r_[lead, len(raw)])
@@ -234,19 +354,22 @@ def _chunk_tokens(model: Model, data: np.ndarray, start: np.ndarray, end: np.nda
     symbols[code == ord(MARK)] = -1
     symbols[code == 0x20] = model.space
     first = np.searchsorted(lead, np.cumsum(end - start) - (end - start))
-    sym, place = _segment(model, symbols, first, key, limit, merges)
+    sym, place = _segment(model, symbols, first, key, off, limit, merges)
     size = np.where(sym < 0, width[place], 1)
     tokens = np.repeat(sym, size)
     spelled = np.flatnonzero(sym < 0)
     at = np.cumsum(size) - size
     tokens[_ranges(at[spelled], size[spelled])] = model.bytes[raw[_ranges(lead[place[spelled]], width[place[spelled]])]]
-    owner = np.searchsorted(first, place, "right") - 1
-    return tokens, np.bincount(owner, weights=size, minlength=len(start)).astype(np.int64)
+    total = np.r_[0, np.cumsum(size)]
+    return tokens, np.diff(total[np.searchsorted(place, np.r_[first, len(lead)])])
 
 
 def _distinct(data: np.ndarray, start: np.ndarray, end: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """One chunk of each kind, and the kind of every chunk; equal hashes are held against the bytes."""
-    _, pick, which = np.unique(h, return_index=True, return_inverse=True)
+    """One part of each kind, and the kind of every part; equal hashes are held against the bytes."""
+    order = np.argsort(h)
+    new = np.r_[True, h[order[1:]] != h[order[:-1]]][: len(h)]
+    pick, which = order[new], np.empty(len(h), np.int64)
+    which[order] = np.cumsum(new) - 1
     size = end - start
     same = size == size[pick[which]]
     some = np.flatnonzero(same & (pick[which] != np.arange(len(h))))
@@ -255,12 +378,12 @@ def _distinct(data: np.ndarray, start: np.ndarray, end: np.ndarray, h: np.ndarra
     return np.r_[pick, odd], np.where(same, which, len(pick) + np.cumsum(~same) - 1)
 
 
-def _any_dropped(merges: list, which: np.ndarray, chunks: int, key: np.ndarray, limit: int) -> np.ndarray:
-    """Whether an occurrence with this key drops some merge of its chunk ``which``."""
+def _any_dropped(merges: list, which: np.ndarray, parts: int, key: np.ndarray, off: np.ndarray, limit: int) -> np.ndarray:
+    """Whether an occurrence with this key, at this place of its chunk, drops some merge of its part ``which``."""
     chunk, begin, middle, end = np.concatenate([*merges, np.zeros((4, 0), np.int64)], axis=1)
     order = np.argsort(chunk, kind="stable")
     begin, middle, end = begin[order], middle[order], end[order]
-    count = np.bincount(chunk, minlength=chunks)
+    count = np.bincount(chunk, minlength=parts)
     first = np.cumsum(count) - count
     out = np.zeros(len(which), bool)
     n = count[which]
@@ -270,12 +393,13 @@ def _any_dropped(merges: list, which: np.ndarray, chunks: int, key: np.ndarray,
         hi = max(lo + 1, int(np.searchsorted(total, total[lo] + (1 << 18), "right")) - 1)
         at = _ranges(first[which[lo:hi]], n[lo:hi])
         of = np.repeat(np.arange(lo, hi), n[lo:hi])
-        out[of[_skipped(key[of], begin[at], middle[at], end[at], limit)]] = True
+        o = off[of]
+        out[of[_skipped(key[of], o + begin[at], o + middle[at], o + end[at], limit)]] = True
         lo = hi
     return out
 
 
-def encode_batch(model: Model, column, dropout: float, seed: int, epoch: int, limit_bytes: int = 1 << 20) -> pa.ListArray:
+def encode_batch(model: Model, column, dropout: float, seed: int, epoch: int, limit_bytes: int = 2 << 20) -> pa.ListArray:
     """The tokens of each text of a column."""
     data, at = utf8(column)
     limit = int(dropout * (1 << 32))
@@ -297,25 +421,37 @@ def encode_batch(model: Model, column, dropout: float, seed: int, epoch: int, li
             start = np.flatnonzero(cut)
             end = np.r_[start[1:], len(grown)]
             doc = np.searchsorted(begin, start, "right") - 1
-            (h,) = byte_hashes(grown, start, end)
-            pick, which = _distinct(grown, start, end, h)
+            # the parts of a chunk, between which no merge is possible
+            split = cut.copy()
+            split[1:] |= model.apart[grown[:-1], grown[1:]]
+            first = np.flatnonzero(split)
+            last = np.r_[first[1:], len(grown)]
+            (own_h,) = byte_hashes(grown, first, last)
+            pick, which = _distinct(grown, first, last, own_h)
             merges = [] if limit else None
-            flat, n = _chunk_tokens(model, grown, start[pick], end[pick], h[pick], 0, merges)
+            flat, n = _chunk_tokens(model, grown, first[pick], last[pick], own_h[pick], np.zeros(len(pick), np.int64), 0, merges)
             if limit:
-                # every occurrence has a key: of its text, its place in the text and its chunk
+                # every occurrence of a chunk has a key: of its text, its place in the text and its bytes
+                (h,) = byte_hashes(grown, start, end)
                 lead = np.searchsorted(doc, np.arange(len(full)))
                 nth = (np.arange(len(start)) - lead[doc]).astype(U)
                 text = mix(np.add.reduceat(mix(h + mix(nth + U(1))), lead) + mix(mix(np.array([seed], U)) + U(epoch)))
                 key = mix(h + mix(text[doc] + nth))
-                hit = np.flatnonzero(_any_dropped(merges, which, len(pick), key, limit))
+                # and its parts a place in it, in characters
+                of = np.cumsum(cut[first]) - 1
+                off = np.cumsum((grown & 0xC0) != 0x80)
+                off = off[first] - off[start][of]
+                key = key[of]
+                hit = np.flatnonzero(_any_dropped(merges, which, len(pick), key, off, limit))
                 if len(hit):
-                    one, again = _distinct(grown, start[hit], end[hit], key[hit])
-                    own, m = _chunk_tokens(model, grown, start[hit[one]], end[hit[one]], key[hit[one]], limit)
+                    one, again = _distinct(grown, first[hit], last[hit], mix(key[hit] + mix(off[hit].astype(U))))
+                    some = hit[one]
+                    own, m = _chunk_tokens(model, grown, first[some], last[some], key[some], off[some], limit)
                     which[hit] = len(n) + again
                     flat, n = np.r_[flat, own], np.r_[n, m]
             where = np.cumsum(n) - n
             tokens.append(flat[_ranges(where[which], n[which])].astype(np.int32))
-            count[full] = np.bincount(doc, weights=n[which], minlength=len(full)).astype(np.int64)
+            count[full] = np.add.reduceat(n[which], np.searchsorted(first, begin))
         counts.append(count)
     n = np.concatenate([np.zeros(1, np.int64), *counts])
     values = np.concatenate([np.zeros(0, np.int32), *tokens])

@@ -209,6 +209,26 @@ def test_dropout_against_a_plain_agenda():
         assert ids == out
 
 
+def test_parts_that_no_merge_joins_are_encoded_once(monkeypatch):
+    with open(sentencepiece_bpe.MODEL, "rb") as f:
+        raw = f.read()
+    model = sentencepiece_bpe.Model(raw)
+    texts = pa.array([" ".join(f"walk{i}, été{i}" for i in range(1000, 1200)), "naïve\u2581x  a,b\n\t" + "мир,мир;" * 40 + "x" * 120, "世界 1,000.5", None, ""])
+    plain, dropped = (sentencepiece_bpe.encode_batch(model, texts, rate, 3, 1).to_pylist() for rate in (0, 0.3))
+    asked = []
+    whole = sentencepiece_bpe._segment
+    monkeypatch.setattr(sentencepiece_bpe, "_segment", lambda m, symbols, first, *rest: asked.append(len(first)) or whole(m, symbols, first, *rest))
+    sentencepiece_bpe.encode_batch(model, texts.slice(0, 1), 0, 3, 1)
+    assert sum(asked) < 20  # of 400 different words
+    # whatever lies in columns and whatever letters have a table of their own
+    for name, few in (("COLUMN", 1), ("COLUMN", 5), ("BESIDE", 3), ("LETTERS", 2)):
+        with monkeypatch.context() as m:
+            m.setattr(sentencepiece_bpe, name, few)
+            other = sentencepiece_bpe.Model(raw)
+            assert sentencepiece_bpe.encode_batch(other, texts, 0, 3, 1).to_pylist() == plain
+            assert sentencepiece_bpe.encode_batch(other, texts, 0.3, 3, 1).to_pylist() == dropped
+
+
 # -- edges
 
 
