@@ -10,7 +10,8 @@ Labels are of documents, so training picks windows: those with words that stand
 toxic documents at first, then those that the network itself scores highest.  Training is
 plain numpy on the driver, on a bounded sample, and learns from every ``APART_BY``-th window
 of it; the document's unit is fitted on all windows.  Scoring encodes each distinct word of
-a batch once and runs neighbouring windows together: their words at one time are a slice.
+a batch once, each distinct window of a piece of it once, and runs neighbouring windows
+together: their words at one time are a slice.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from quire.llm._frames import col, table
 from quire.llm._labels import fold, training_rows
 from quire.llm._scratch import small_batches
-from quire.llm._text import U, byte_hashes, groups, lean, mix, runs_of_rows, utf8, words
+from quire.llm._text import BASE, U, byte_hashes, groups, lean, mix, runs_of_rows, utf8, words
 
 #: Training documents of each label, and the bytes that one may have.
 PER_CLASS, MOST_BYTES = 2400, 16 << 10
@@ -82,6 +83,30 @@ class Words:
         start = np.minimum(k * stride, np.maximum(0, count - WINDOW))
         return base + start, np.minimum(count, WINDOW), text
 
+    def alike(self, at: np.ndarray) -> np.ndarray:
+        """For whole windows that begin at ``at``, the first of them with the same words."""
+        h = self.hashes[self.which]
+        done = 1
+        for digit in bin(WINDOW)[3:]:  # of 3 words from 1, of 6 from 3: a polynomial over the words' hashes
+            h = h[:-done] * U(pow(BASE, done, 1 << 64)) + h[done:]
+            done *= 2
+            if digit == "1":
+                h = h[:-1] * U(BASE) + self.hashes[self.which[done:]]
+                done += 1
+        h = h[at]
+        order = np.argsort(h)
+        h = h[order]
+        new = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+        first = np.empty(len(at), np.int64)
+        first[order] = np.repeat(np.minimum.reduceat(order, new), np.diff(np.r_[new, len(at)]))
+        # the words decide, not their hashes
+        later = np.flatnonzero(first != np.arange(len(at)))
+        a, b, same = at[later], at[first[later]], np.ones(len(later), bool)
+        for k in range(WINDOW):
+            same &= self.which[a + k] == self.which[b + k]
+        first[later[~same]] = later[~same]
+        return first
+
 
 def _sigmoid(x, out=None):
     """By exp, which numpy has as a vector instruction on more machines than tanh."""
@@ -274,13 +299,24 @@ class Network:
         if whole.any():
             tables = self.tables(x)
             at, place = start[whole], np.flatnonzero(whole)
+            # windows of the same words are scored once; words are left out where no other window lies
+            first = w.alike(at)
+            own = np.flatnonzero(first == np.arange(len(at)))
+            need = at[own]
+            begin = np.flatnonzero(np.r_[True, np.diff(need) > WINDOW])
+            run = np.diff(np.r_[begin, len(need)])
+            size = need[begin + run - 1] - need[begin] + WINDOW
+            moved = need[begin] - (np.cumsum(size) - size)
+            which = w.which[np.repeat(moved, size) + np.arange(size.sum())]
+            at, whose = need - np.repeat(moved, run), place[own]
             i = 0
             while i < len(at):
                 # the windows that begin within so many words; between texts there are some words with none
                 j = int(np.searchsorted(at, at[i] + TOGETHER))
                 n = int(at[j - 1] - at[i]) + 1
-                out[place[i:j]] = self.neighbours(tables, w.which[at[i] : at[i] + n + WINDOW - 1])[at[i:j] - at[i]]
+                out[whose[i:j]] = self.neighbours(tables, which[at[i] : at[i] + n + WINDOW - 1])[at[i:j] - at[i]]
                 i = j
+            out[place] = out[place[first]]
         some = np.flatnonzero(~whole)
         which = np.r_[w.which, np.full(WINDOW, len(x) - 1)]
         for i in range(0, len(some), TOGETHER):

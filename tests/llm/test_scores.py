@@ -105,6 +105,27 @@ def featured_plainly(text):
     ]
 
 
+def test_windows_of_the_same_words_are_scored_once(monkeypatch):
+    rng = np.random.default_rng(3)
+    net = toxicity.Network(np.zeros(0, np.uint64), np.zeros(0, np.float32))
+    passage, other = (" ".join(map(str, rng.integers(0, 10**6, 200))) for _ in range(2))
+    texts = [passage, f"{other} {passage}", "short", "", f"{passage} {passage}", passage]
+    one_by_one = [net.features(toxicity.Words(*_text.utf8(pa.array([t]))))[0] for t in texts]
+    w = toxicity.Words(*_text.utf8(pa.array(texts)))
+    ran = []
+    whole = toxicity.Network.neighbours
+    monkeypatch.setattr(toxicity.Network, "neighbours", lambda self, tables, which: ran.append(len(which) - toxicity.WINDOW + 1) or whole(self, tables, which))
+    assert np.allclose(net.features(w), one_by_one, atol=1e-5)
+    assert sum(ran) < 600  # of over 1,000 windows
+    # hashes only propose
+    monkeypatch.setattr(toxicity, "BASE", 0)
+    w.hashes[:] = 7
+    start, length, _ = w.windows()
+    at = start[length == toxicity.WINDOW]
+    words = w.which[at[:, None] + np.arange(toxicity.WINDOW)]
+    assert (words[w.alike(at)] == words).all()
+
+
 def test_quality_features_and_scores_as_document_by_document():
     texts, labels = labelled("quality")
     texts = [*texts, "", " \n", "a\na\n b\n", "é\r\né", "x" * 3000]
